@@ -116,7 +116,6 @@ DROPPED = ("avg_unique_media", "avg_media", "avg_unique_symbol", "avg_symbol")
 def _register_drop_columns():
     from communitylens.plans.registry import ORACLE, QUERIES
     from communitylens.plans.q_stats import A01_SQL
-    from communitylens.plans.oracle_views import with_views
     keep = ["tag", "total_tweets", "avg_unique_hashtag", "avg_unique_mention", "avg_unique_urls",
             "avg_unique_anyentity", "avg_hashtags", "avg_mention", "avg_urls", "avg_anyentity",
             "avg_tweet_uniquewords", "avg_tweet_length", "avg_tweet_density"]
@@ -127,7 +126,7 @@ def _register_drop_columns():
         return fl.drop_columns(full, DROPPED)
 
     QUERIES["drop_columns"] = q_f13
-    ORACLE["drop_columns"] = with_views(f"SELECT {', '.join(keep)} FROM ({A01_SQL}) s")
+    ORACLE["drop_columns"] = (f"SELECT {', '.join(keep)} FROM ({A01_SQL}) s")
 
 
 _register_drop_columns()

@@ -16,7 +16,7 @@ from communitylens.plans.oracle_views import with_views
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {}  # raw SQL; views are added by oracle_sql()
 
 
 def query(key: str, sql: str | None = None):
@@ -25,7 +25,7 @@ def query(key: str, sql: str | None = None):
             raise ValueError(f"duplicate query key {key}")
         QUERIES[key] = fn
         if sql is not None:
-            ORACLE[key] = with_views(sql)
+            ORACLE[key] = sql
         return fn
     return deco
 
@@ -36,3 +36,9 @@ def load_all() -> None:
         q_sources, q_filters, q_joins, q_stats, q_cooccur, q_windows, q_sets,
         q_scalar, q_edges, q_features, q_text, q_model, q_stream,
     )
+
+
+def oracle_sql() -> dict[str, str]:
+    """Oracle strings with the canonical views they use prepended."""
+    load_all()
+    return {k: with_views(v) for k, v in ORACLE.items()}

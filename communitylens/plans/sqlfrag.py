@@ -16,7 +16,7 @@ def ratio(num: str, den: str) -> str:
 
 def letters_tokens(t: str) -> str:
     """X10 in DuckDB."""
-    return (f"list_filter(string_split(regexp_replace(lower({t}), '[^a-z]+', ' ', 'g'), ' '), x -> x <> '')")
+    return (f"list_filter(string_split(regexp_replace(lower({t}), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '')")
 
 
 def collapse_ws(t: str) -> str:
