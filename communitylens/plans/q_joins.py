@@ -145,13 +145,15 @@ def word_dictionary(part):
 
 
 @query("dictionary_probe", """
-SELECT t.post_id, t.word, w.community FROM (
+SELECT t.post_id, count(DISTINCT t.word) AS n_words, count(DISTINCT w.community) AS n_communities FROM (
   SELECT DISTINCT id AS post_id, unnest(list_filter(string_split(regexp_replace(lower(status_text), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '')) AS word
-  FROM posts) t JOIN word_dictionary w ON t.word = w.word""")
+  FROM posts) t JOIN word_dictionary w ON t.word = w.word GROUP BY t.post_id""")
 def q_j12(spark, d):
     t = Tables(spark, d)
     toks = t.posts.select(F.col("id").alias("post_id"), F.explode(letters_only_tokens("status_text")).alias("word")).distinct()
-    return jn.dictionary_probe(toks, word_dictionary(t.part)).select("post_id", "word", "community")
+    hits = jn.dictionary_probe(toks, word_dictionary(t.part))
+    return hits.groupBy("post_id").agg(F.count_distinct("word").alias("n_words"),
+                                       F.count_distinct("community").alias("n_communities"))
 
 
 @query("drop_ids_across_tables", """
