@@ -84,3 +84,48 @@ def screen_name_from_url(url) -> Column:
 def r4(x) -> Column:
     """Reference output precision: 4 decimals."""
     return F.round(_c(x), 4)
+
+
+# ---- X09 analyser -----------------------------------------------------------------------
+from communitylens.functions.lexicons import ANALYSER_STOPWORDS, FOLD_FROM, FOLD_MULTI, FOLD_TO  # noqa: E402
+
+TOKEN_PATTERN = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
+
+
+def fold_accents(text) -> Column:
+    t = F.translate(_c(text), FOLD_FROM, FOLD_TO)
+    for a, b in FOLD_MULTI:
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return t
+
+
+def analyse_text(text) -> Column:
+    """Standard tokens -> accent folding -> stopwords removed
+    (case-insensitive) -> lower case."""
+    toks = F.regexp_extract_all(fold_accents(text), F.lit(TOKEN_PATTERN), 0)
+    stop = F.array(*[F.lit(w) for w in ANALYSER_STOPWORDS])
+    return F.transform(F.filter(toks, lambda x: ~F.array_contains(stop, F.lower(x))), lambda x: F.lower(x))
+
+
+def normalise_post(text) -> Column:
+    """X11: html entities fixed, 'RT' tokens and double quotes removed,
+    *emphasis* and #hashtag marks unpacked, whitespace collapsed."""
+    t = F.trim(_c(text))
+    for a, b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", "\""), ("&#39;", "'")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    t = F.regexp_replace(t, r"(^|\s)RT(\s|$)", "$1$2")
+    t = F.regexp_replace(t, "\"", " ")
+    t = F.regexp_replace(t, r"\*(\w+)\*", "$1")
+    t = F.regexp_replace(t, r"#(\w+)", "$1")
+    return collapse_whitespace(t)
+
+
+def username_shape(name) -> list[Column]:
+    """Number of letters, number of digits and the case class
+    (1 all upper, 2 all lower, 3 mixed; no letters at all counts as 1)."""
+    n = _c(name)
+    upper = F.length(F.regexp_replace(n, "[^A-Z]", ""))
+    lower = F.length(F.regexp_replace(n, "[^a-z]", ""))
+    digits = F.length(F.regexp_replace(n, "[^0-9]", ""))
+    case = F.when(lower == 0, 1).when(upper == 0, 2).otherwise(3)
+    return [(upper + lower).alias("n_alpha"), digits.alias("n_digits"), case.alias("case_class")]
