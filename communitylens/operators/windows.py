@@ -127,7 +127,9 @@ def global_row_number(df: DataFrame, order_cols, n_parts: int | None = None) ->
     x = (df.repartitionByRange(n_parts, *order_cols).sortWithinPartitions(*order_cols)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))
-    x = x.withColumn("_off", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
+    # Range boundaries come from a sample, so the two readers below must see
+    # one materialised copy: a reliable checkpoint in the shared folder.
+    x = x.withColumn("_off", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)).checkpoint()
     sizes = x.groupBy("_pid").agg(F.count(F.lit(1)).alias("_sz"))
     pre = sizes.withColumn("_base", F.coalesce(F.sum("_sz").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -149,3 +151,25 @@ def shuffle_take(df: DataFrame, id_col: str, n: int, seed: str = "42") -> DataFr
     distributed top-n, no global sort)."""
     key = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(seed)))
     return df.withColumn("_k", key).orderBy("_k", id_col).limit(n).drop("_k")
+
+
+def global_running_sum(df: DataFrame, order_cols, value_col: str, out_col: str = "cum_before",
+                       n_parts: int | None = None) -> DataFrame:
+    """Exclusive running sum of ``value_col`` in the global order of
+    ``order_cols`` without a single-task window: range-partition, running
+    sums inside each partition (window over the partition id), plus the
+    prefix of the per-partition totals (one row per partition)."""
+    spark = df.sparkSession
+    n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = df.repartitionByRange(n_parts, *order_cols).withColumn("_pid", F.spark_partition_id())
+    # Range boundaries come from a sample, so the two readers below must see
+    # one materialised copy: a reliable checkpoint in the shared folder.
+    x = x.checkpoint()
+    w = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_local", F.coalesce(F.sum(value_col).over(w), F.lit(0)))
+    totals = x.groupBy("_pid").agg(F.sum(value_col).alias("_tot"))
+    pre = totals.withColumn("_base", F.coalesce(F.sum("_tot").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return (x.join(F.broadcast(pre.select("_pid", "_base")), "_pid")
+            .withColumn(out_col, F.col("_base") + F.col("_local"))
+            .drop("_pid", "_local", "_base"))

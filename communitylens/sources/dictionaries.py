@@ -18,3 +18,59 @@ def organise_tags(part: DataFrame) -> DataFrame:
             .when(F.col("p_size") <= CB_MAX_SIZE, "cb").otherwise("discarded"))
     return part.select(F.col("p_partkey").alias("tag"), F.col("p_brand").alias("community"),
                        role.alias("role"), F.col("p_type").alias("type"))
+
+
+def write_community_tsv(part: DataFrame, path: str) -> None:
+    """The community dictionary file of the fixture: one line per community,
+    ``name<TAB>#own1|#own2|<TAB>#cb1|`` (no header), from the part table."""
+    o = organise_tags(part).filter(F.col("role") != "discarded")
+
+    def tags(role):
+        return F.array_join(F.array_sort(F.collect_list(F.when(F.col("role") == role,
+                                                               F.concat(F.lit("#P"), F.col("tag").cast("string"))))), "|")
+
+    lines = o.groupBy("community").agg(tags("own").alias("own"), tags("cb").alias("cb"))
+    (lines.select(F.concat_ws("\t", "community", F.concat(F.col("own"), F.lit("|")), F.concat(F.col("cb"), F.lit("|"))).alias("v"))
+     .write.mode("overwrite").text(path))
+
+
+def read_community_dict(spark, path: str) -> DataFrame:
+    """(community, tag, kind) from the TSV; every '|' part loses its
+    leading '#' and is lower-cased; empty parts are dropped.  No line is
+    skipped (the file has no header)."""
+    raw = spark.read.option("sep", "\t").option("header", "false").schema(
+        "name string, own string, cb string").csv(path)
+
+    def part(col, kind):
+        return (raw.select(F.col("name").alias("community"), F.explode(F.split(F.col(col), r"\|")).alias("t"))
+                .select("community", F.lower(F.regexp_replace("t", "^#", "")).alias("tag"), F.lit(kind).alias("kind")))
+
+    return part("own", "own").unionByName(part("cb", "cb")).filter(F.col("tag") != "")
+
+
+def invert_community_dict(long_dict: DataFrame, order_col: str = "community") -> DataFrame:
+    """Tag -> one community; when a tag is listed by several
+    communities the last one (greatest ``order_col``) wins."""
+    return long_dict.groupBy("tag").agg(F.max_by("community", F.col(order_col)).alias("community"))
+
+
+def read_class_dictionaries(spark, path: str, top_n: int) -> DataFrame:
+    """A folder of ``<label>_[<n>_]<pos>.csv`` files with ``word,score``
+    lines -> (pos, label, word, score); the first ``top_n`` lines of each
+    file (files are written best first); a missing score is 0.0."""
+    raw = (spark.read.schema("word string, score string").csv(path)
+           .withColumn("file", F.col("_metadata.file_name")))
+    m = r"^([^_]+)_(?:\d+_)?([^_.]+)\.csv$"
+    x = raw.select(F.regexp_extract("file", m, 2).alias("pos"), F.regexp_extract("file", m, 1).alias("label"),
+                   "word", F.coalesce(F.col("score").try_cast("double"), F.lit(0.0)).alias("score"))
+    from pyspark.sql import Window
+    w = Window.partitionBy("pos", "label").orderBy(F.col("score").desc(), F.col("word").asc())
+    return x.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top_n).drop("_r")
+
+
+def read_multi_value_dict(spark, path: str) -> DataFrame:
+    """``word,c1,c2,...`` lines -> (word, value) for non-empty values."""
+    lines = spark.read.text(path)
+    parts = F.split("value", ",")
+    return (lines.select(F.element_at(parts, 1).alias("word"), F.explode(F.slice(parts, 2, 1 << 20)).alias("v"))
+            .filter(F.trim("v") != "").select("word", F.trim("v").alias("value")))
