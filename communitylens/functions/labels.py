@@ -14,4 +14,4 @@ def label_precedence(labels: Column) -> Column:
     prec = F.array(*[F.lit(x) for x in PRECEDENCE_OVER_ADVOCATE])
     kept = F.when(F.arrays_overlap(labels, prec), F.filter(labels, lambda x: x != "advocate")).otherwise(labels)
     expand = F.create_map(*[F.lit(x) for kv in LABEL_EXPANSION.items() for x in kv])
-    return F.transform(kept, lambda x: F.coalesce(F.element_at(expand, x), x))
+    return F.transform(kept, lambda x: F.coalesce(F.try_element_at(expand, x), x))

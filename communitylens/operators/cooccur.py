@@ -164,8 +164,8 @@ def pair_overlaps(members: DataFrame, group_col: str, elem_col: str) -> DataFram
     pairs = sig.select("w", F.explode(F.flatten(F.transform(
         F.sequence(F.lit(0), F.size("sig") - 2),
         lambda i: F.transform(F.sequence(i + 1, F.size("sig") - 1),
-                              lambda j: F.struct(F.element_at("sig", i + 1).alias("g1"),
-                                                 F.element_at("sig", j + 1).alias("g2")))))).alias("p"))
+                              lambda j: F.struct(F.try_element_at("sig", i + 1).alias("g1"),
+                                                 F.try_element_at("sig", j + 1).alias("g2")))))).alias("p"))
     return pairs.groupBy(F.col("p.g1").alias("g1"), F.col("p.g2").alias("g2")).agg(F.sum("w").alias("inter"))
 
 

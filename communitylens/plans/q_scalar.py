@@ -31,7 +31,7 @@ LEFT JOIN (SELECT post_id, string_agg('#p' || CAST(tag AS VARCHAR), ' ' ORDER BY
 SELECT doc_id, len({split_ws('text')}) AS n_tokens, {split_ws('text')}[1] AS first_token FROM documents""")
 def q_x01(spark, d):
     w = tx.split_whitespace("text")
-    return Tables(spark, d).documents.select("doc_id", F.size(w).alias("n_tokens"), F.element_at(w, 1).alias("first_token"))
+    return Tables(spark, d).documents.select("doc_id", F.size(w).alias("n_tokens"), F.try_element_at(w, F.lit(1)).alias("first_token"))
 
 
 @query("collapse_whitespace", f"""

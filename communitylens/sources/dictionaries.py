@@ -72,5 +72,5 @@ def read_multi_value_dict(spark, path: str) -> DataFrame:
     """``word,c1,c2,...`` lines -> (word, value) for non-empty values."""
     lines = spark.read.text(path)
     parts = F.split("value", ",")
-    return (lines.select(F.element_at(parts, 1).alias("word"), F.explode(F.slice(parts, 2, 1 << 20)).alias("v"))
+    return (lines.select(F.try_element_at(parts, F.lit(1)).alias("word"), F.explode(F.slice(parts, 2, 1 << 20)).alias("v"))
             .filter(F.trim("v") != "").select("word", F.trim("v").alias("value")))

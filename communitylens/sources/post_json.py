@@ -127,7 +127,7 @@ def extract_entities(parsed: DataFrame) -> DataFrame:
 
     urls = F.concat(texts("_ent", "urls", "expanded_url"), texts("_qent", "urls", "expanded_url"),
                     texts("_rent", "urls", "expanded_url"))
-    media = F.element_at(F.col("_media.media"), 1)
+    media = F.try_element_at(F.col("_media.media"), F.lit(1))
     return parsed.select(
         "id",
         merged("hashtags", "text").alias("entities_hashtag"),

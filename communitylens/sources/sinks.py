@@ -57,8 +57,8 @@ def read_user_post_files(spark, path: str, strip_rt: bool = False) -> DataFrame:
     kind are skipped; the variant strips a leading 'rt ' and lower-cases."""
     lines = spark.read.text(path)
     parts = F.split("value", r"\|", 3)
-    x = lines.select(F.element_at(parts, 1).alias("user"), F.element_at(parts, 2).alias("kind"),
-                     F.element_at(parts, 3).alias("text")).filter(F.col("kind").isin("ot", "rt"))
+    x = lines.select(F.try_element_at(parts, F.lit(1)).alias("user"), F.try_element_at(parts, F.lit(2)).alias("kind"),
+                     F.try_element_at(parts, F.lit(3)).alias("text")).filter(F.col("kind").isin("ot", "rt"))
     if strip_rt:
         x = x.withColumn("text", F.regexp_replace(F.lower("text"), "^rt ", ""))
     return x

@@ -109,7 +109,7 @@ class Tables:
         """One row per order: id, user_id, created_at, kind, four counters,
         reply target and status_text."""
         o = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-        kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in KIND_BY_PRIORITY.items() for x in kv]),
+        kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in KIND_BY_PRIORITY.items() for x in kv]),
                                        F.col("o_orderpriority")), F.lit("original"))
         lines = self.post_lines
         j = o.join(lines, o.o_orderkey == lines.l_orderkey, "left")
@@ -133,7 +133,7 @@ class Tables:
         c = self.raw("customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
         d = self.raw("documents").select("doc_id", "text")
         seg = F.col("c_mktsegment")
-        label = F.element_at(F.create_map(*[F.lit(x) for kv in LABEL_BY_SEGMENT.items() for x in kv]), seg)
+        label = F.try_element_at(F.create_map(*[F.lit(x) for kv in LABEL_BY_SEGMENT.items() for x in kv]), seg)
         label = F.when((seg == "MACHINERY") & (F.col("c_custkey") % 3 == 0), F.lit(None).cast("string")).otherwise(label)
         return (c.join(d, c.c_custkey == d.doc_id, "left")
                 .select(F.col("c_custkey").alias("id"),
