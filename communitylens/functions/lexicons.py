@@ -23,3 +23,13 @@ FOLD_MULTI = (("ß", "ss"), ("Æ", "AE"), ("æ", "ae"), ("Œ", "OE"), ("œ", "oe
 # these labels is present; the short patient code is expanded.
 PRECEDENCE_OVER_ADVOCATE = ("hpo", "hpi", "research")
 LABEL_EXPANSION = {"P": "Patient"}
+
+# Sentiment lexicon stand-in (U-S1).  The published feature uses a
+# third-party rule-based analyser that is not available here; this small
+# word -> valence table feeds the same compound formula s / sqrt(s^2 + 15).
+SENTIMENT_LEXICON = {
+    "good": 1.9, "great": 3.1, "new": 1.0, "hot": 0.6, "large": 0.4,
+    "bad": -2.5, "poor": -2.1, "old": -0.6, "cold": -0.7, "small": -0.3,
+}
+SENTIMENT_ALPHA = 15.0
+POLARITY_THRESHOLD = 0.05
