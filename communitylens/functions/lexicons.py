@@ -33,3 +33,29 @@ SENTIMENT_LEXICON = {
 }
 SENTIMENT_ALPHA = 15.0
 POLARITY_THRESHOLD = 0.05
+
+# The English stopword list of the text features (the public
+# NLTK list) followed by the extra words the feature code adds.
+TEXT_STOPWORDS = tuple("""
+i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself
+she she's her hers herself it it's its itself they them their theirs themselves what which who whom this that that'll
+these those am is are was were be been being have has had having do does did doing a an the and but if or because as
+until while of at by for with about against between into through during before after above below to from up down in
+out on off over under again further then once here there when where why how all any both each few more most other
+some such no nor not only own same so than too very s t can will just don don't should should've now d ll m o re ve y
+ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma mightn
+mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
+http tweet retweet rt twitter https tweets #ff ff rt
+""".split())
+
+# Manual keyword lists per class (T06), a hand-made configuration.
+MANUAL_DICTIONARIES = {
+    "en": ("the", "and", "of", "with"), "fr": ("le", "la", "des", "une"),
+    "de": ("der", "die", "und", "nicht"), "es": ("el", "la", "los", "que"),
+}
+# Gazetteers (T09): person titles and professions (professions also match
+# any token ending in 'ist').
+GAZETTEERS = {
+    "title": ("dr", "prof", "mr", "mrs", "ms"),
+    "profession": ("doctor", "nurse", "scientist", "researcher", "engineer"),
+}

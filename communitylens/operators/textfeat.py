@@ -19,3 +19,134 @@ def community_word_match(texts: DataFrame, id_col: str, text_col: str, word_dict
     out = texts.select(id_col).join(m, id_col, "left")
     n = F.coalesce("n", F.lit(0))
     return out.select(id_col, (n > 0).alias("has_match"), n.alias("n_communities"))
+
+
+from pyspark.sql import Window  # noqa: E402
+
+from communitylens.functions.lexicons import TEXT_STOPWORDS  # noqa: E402
+from communitylens.operators.windows import global_row_number  # noqa: E402
+
+
+def text_tokens(text_col, drop_stopwords: bool = True, min_len: int = 1):
+    """X10 tokens, optionally without the text stopwords and short tokens."""
+    t = letters_only_tokens(text_col)
+    if drop_stopwords:
+        stop = F.array(*[F.lit(w) for w in TEXT_STOPWORDS])
+        t = F.filter(t, lambda x: ~F.array_contains(stop, x))
+    if min_len > 1:
+        t = F.filter(t, lambda x: F.length(x) >= min_len)
+    return t
+
+
+def class_word_frequency(docs: DataFrame, class_col: str, text_col: str) -> DataFrame:
+    """(class, word, freq) over all texts of a class; stopwords and
+    tokens shorter than 2 removed."""
+    return (docs.select(F.col(class_col).alias("class"), F.explode(text_tokens(F.col(text_col), True, 2)).alias("word"))
+            .groupBy("class", "word").agg(F.count(F.lit(1)).alias("freq")))
+
+
+def top_per_class(df: DataFrame, value_col: str, n: int) -> DataFrame:
+    w = Window.partitionBy("class").orderBy(F.col(value_col).desc(), F.col("word").asc())
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+def class_word_score(freq: DataFrame) -> DataFrame:
+    """Equation 1, f(w,l) / sum_l f(w,l); words of a single class
+    (score 1.0) removed.  The per-word total is a group-by joined back (no
+    window over a hot word)."""
+    tot = freq.groupBy("word").agg(F.sum("freq").alias("total"))
+    return (freq.join(tot, "word").select("class", "word", (F.col("freq") / F.col("total")).alias("score"))
+            .filter(F.col("score") != 1.0))
+
+
+def class_word_goodness(pass1: DataFrame) -> DataFrame:
+    """Within the pass-1 lists: f(w,l)/sum_labels f(w,.) * f(w,l)/sum_words f(.,l)."""
+    by_word = pass1.groupBy("word").agg(F.sum("freq").alias("fw"))
+    by_label = pass1.groupBy("class").agg(F.sum("freq").alias("fl"))
+    return (pass1.join(by_word, "word").join(by_label, "class")
+            .select("class", "word", ((F.col("freq") / F.col("fw")) * (F.col("freq") / F.col("fl"))).alias("score")))
+
+
+def proto_terms(items: DataFrame, n: int = 100, min_df: int = 2) -> DataFrame:
+    """T04 over (class, doc, term) rows: equation-1 score with document
+    frequency >= 2 and score < 1, top n per class."""
+    freq = items.groupBy("class", F.col("term").alias("word")).agg(F.count(F.lit(1)).alias("freq"))
+    df = items.groupBy(F.col("term").alias("word")).agg(F.count_distinct("doc").alias("df"))
+    sc = class_word_score(freq).join(df.filter(F.col("df") >= min_df), "word").filter(F.col("score") < 1.0)
+    return top_per_class(sc, "score", n).select("class", "word", "score", "rank")
+
+
+def dictionary_match(user_tokens: DataFrame, dictionary: DataFrame, labels) -> DataFrame:
+    """Per user and dictionary over the *set* of the user's tokens:
+    score sum, match count, max score and any match; one column group per
+    dictionary label (``labels`` = the bounded label list), 0 when none."""
+    toks = user_tokens.select("user", "word").distinct()
+    m = toks.join(dictionary.select(F.col("class").alias("dict"), "word", "score"), "word")
+    g = m.groupBy("user").pivot("dict", list(labels)).agg(
+        F.sum("score").alias("score_sum"), F.count(F.lit(1)).alias("match_count"), F.max("score").alias("max_score"))
+    out = user_tokens.select("user").distinct().join(g, "user", "left").na.fill(0)
+    for lab in labels:
+        out = out.withColumn(f"{lab}_any_match", (F.col(f"{lab}_match_count") > 0).cast("int"))
+    return out
+
+
+def gazetteer_match(user_tokens: DataFrame, gazetteers: dict) -> DataFrame:
+    """Per user and list a 0/1 flag (token in the list; professions
+    also match tokens ending in 'ist')."""
+    cols = []
+    for name, words in gazetteers.items():
+        hit = F.col("word").isin(*words)
+        if name == "profession":
+            hit = hit | F.col("word").endswith("ist")
+        cols.append(F.max(hit.cast("int")).alias(f"has_{name}"))
+    return user_tokens.groupBy("user").agg(*cols)
+
+
+def tfidf(doc_terms: DataFrame, min_df: int = 2, max_df: float = 0.501, max_features: int = 10_000) -> DataFrame:
+    """T11 over (doc, term) rows (one per occurrence): terms with df >= min_df
+    and df <= max_df * N, the max_features most frequent (ties: term asc);
+    weight = tf * (ln(N / df) + 1), no normalisation.  Output sparse
+    (doc, term, tf, weight)."""
+    n_docs = doc_terms.select(F.count_distinct("doc")).scalar()
+    tf = doc_terms.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= n_docs * F.lit(max_df)))
+    top = kept.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(max_features)
+    idf = F.log(n_docs.cast("double") / F.col("df")) + 1.0
+    return (tf.join(top.select("term", "df"), "term")
+            .select("doc", "term", "tf", F.round(F.col("tf") * idf, 6).alias("weight")))
+
+
+def skipgram_offsets(n: int, k: int):
+    """Offsets (0, a1, ..., a_{n-1}) of the n-token grams inside a window of
+    n + k tokens with the first token fixed (0 .. k skips)."""
+    from itertools import combinations
+    return [(0,) + c for c in combinations(range(1, n + k), n - 1)]
+
+
+def _gram_builder(tokens, offs):
+    def build(i):
+        return F.concat_ws(" ", *[F.try_element_at(tokens, i + o) for o in offs])
+    return build
+
+
+def skipgrams(tokens, n: int, k: int):
+    """All k-skip-n-grams of a token array as 'a b [c]' strings."""
+    arrays = []
+    for offs in skipgram_offsets(n, k):
+        last = offs[-1]
+        idx = F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))),
+                       lambda i: i + last <= F.size(tokens))
+        arrays.append(F.transform(idx, _gram_builder(tokens, offs)))
+    return F.concat(*arrays)
+
+
+def vocabulary(doc_terms: DataFrame, max_df: float = 0.99, max_features: int = 500_000) -> DataFrame:
+    """Kept terms (df <= max_df * N, the max_features most frequent)
+    indexed 0.. in alphabetical order, as the vectoriser numbers them."""
+    n_docs = doc_terms.select(F.count_distinct("doc")).scalar()
+    stats = doc_terms.groupBy("term").agg(F.count_distinct("doc").alias("df"), F.count(F.lit(1)).alias("cf"))
+    kept = stats.filter(F.col("df") <= n_docs * F.lit(max_df))
+    top = kept.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(max_features)
+    ranked = global_row_number(top.select("term", "cf"), ["term"])
+    return ranked.select(F.col("term").alias("word"), (F.col("row_number") - 1).alias("index"), F.col("cf").alias("count"))

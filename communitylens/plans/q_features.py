@@ -103,11 +103,12 @@ def q_uk3(spark, d):
 @query("post_cosine", """
 WITH p AS (SELECT id, user_id, CASE WHEN kind = 'retweet' THEN 'rt' ELSE 'ot' END AS side,
                   regexp_extract_all(lower(status_text), '\\b\\w\\w+\\b') AS w FROM posts),
-c AS (SELECT id, word, CAST(count(*) AS DOUBLE) AS c FROM (SELECT id, unnest(w) AS word FROM p) x GROUP BY id, word),
+c AS (SELECT id, user_id, side, word, CAST(count(*) AS DOUBLE) AS c
+      FROM (SELECT id, user_id, side, unnest(w) AS word FROM p) x GROUP BY id, user_id, side, word),
 nrm AS (SELECT id, sqrt(sum(c * c)) AS norm FROM c GROUP BY id),
 pp AS (SELECT a.user_id, a.side, a.id AS i, b.id AS j FROM p a JOIN p b ON a.user_id = b.user_id AND a.side = b.side AND a.id < b.id),
-dot AS (SELECT x.i, x.j, sum(ca.c * cb.c) AS d FROM pp x JOIN c ca ON ca.id = x.i JOIN c cb ON cb.id = x.j AND ca.word = cb.word
-        GROUP BY x.i, x.j),
+dot AS (SELECT ca.id AS i, cb.id AS j, sum(ca.c * cb.c) AS d FROM c ca JOIN c cb
+        ON ca.user_id = cb.user_id AND ca.side = cb.side AND ca.word = cb.word AND ca.id < cb.id GROUP BY ca.id, cb.id),
 cs AS (SELECT pp.user_id, pp.side, coalesce(dot.d / (na.norm * nb.norm), 0.0) AS cs FROM pp
        LEFT JOIN dot ON pp.i = dot.i AND pp.j = dot.j LEFT JOIN nrm na ON na.id = pp.i LEFT JOIN nrm nb ON nb.id = pp.j),
 n AS (SELECT user_id, side, count(*) AS n FROM p GROUP BY user_id, side),

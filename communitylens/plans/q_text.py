@@ -1,3 +1,300 @@
-"""Queries."""
+"""Queries for class dictionaries and text features."""
 
 from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from communitylens.functions.lexicons import GAZETTEERS, MANUAL_DICTIONARIES, TEXT_STOPWORDS
+from communitylens.functions.text import normalise_post
+from communitylens.operators import textfeat as tf
+from communitylens.plans.oracle_views import register
+from communitylens.plans.registry import query
+from communitylens.plans.sqlfrag import letters_tokens
+from communitylens.session import scratch_path
+from communitylens.sources import dictionaries as dic
+from communitylens.sources.tables import Tables
+
+PASS1_TOP, PROTO_TOP, S07_TOP = 200, 100, 100
+LANGS = ("de", "en", "es", "fr")  # the four document languages of the fixture
+SKIPGRAM_SHAPES = ((2, 1), (2, 2), (3, 1), (3, 2))
+
+_STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in TEXT_STOPWORDS) + "]"
+
+
+def _tok_sql(t: str, stop=True, min_len=1) -> str:
+    s = letters_tokens(t)
+    if stop:
+        s = f"list_filter({s}, lambda x: NOT list_contains({_STOP}, x))"
+    if min_len > 1:
+        s = f"list_filter({s}, lambda x: length(x) >= {min_len})"
+    return s
+
+
+register("t_freq", f"""
+SELECT class, word, count(*) AS freq FROM (SELECT lang AS class, unnest({_tok_sql('text', True, 2)}) AS word FROM documents) x
+GROUP BY class, word""")
+register("t_pass1", f"""
+SELECT class, word, freq, rank FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY freq DESC, word ASC) AS rank FROM t_freq) r
+WHERE rank <= {PASS1_TOP}""")
+register("t_goodness", """
+SELECT p.class, p.word, (p.freq / w.fw) * (p.freq / l.fl) AS score FROM t_pass1 p
+JOIN (SELECT word, sum(freq) AS fw FROM t_pass1 GROUP BY word) w ON p.word = w.word
+JOIN (SELECT class, sum(freq) AS fl FROM t_pass1 GROUP BY class) l ON p.class = l.class""")
+register("doc_tokens", f"""SELECT doc_id AS "user", unnest({_tok_sql('text', True, 2)}) AS word FROM documents""")
+
+
+def _docs(t):
+    return t.documents.select("doc_id", F.col("lang").alias("class"), "text")
+
+
+def _freq(t):
+    return tf.class_word_frequency(_docs(t), "class", "text")
+
+
+def _pass1(t):
+    return tf.top_per_class(_freq(t), "freq", PASS1_TOP)
+
+
+def _doc_tokens(t):
+    return t.documents.select(F.col("doc_id").alias("user"), F.explode(tf.text_tokens(F.col("text"), True, 2)).alias("word"))
+
+
+@query("class_word_frequency", "SELECT class, word, freq, rank FROM t_pass1")
+def q_t01(spark, d):
+    return _pass1(Tables(spark, d)).select("class", "word", "freq", "rank")
+
+
+@query("class_word_score", """
+SELECT f.class, f.word, f.freq / t.total AS score FROM t_freq f JOIN (SELECT word, sum(freq) AS total FROM t_freq GROUP BY word) t
+ON f.word = t.word WHERE f.freq / t.total <> 1.0""")
+def q_t02(spark, d):
+    return tf.class_word_score(_freq(Tables(spark, d)))
+
+
+@query("class_word_goodness", "SELECT class, word, score FROM t_goodness")
+def q_t03(spark, d):
+    return tf.class_word_goodness(_pass1(Tables(spark, d)))
+
+
+_PROTO_SQL = """
+WITH f AS (SELECT class, term AS word, count(*) AS freq FROM items GROUP BY class, term),
+t AS (SELECT word, sum(freq) AS total FROM f GROUP BY word),
+df AS (SELECT term AS word, count(DISTINCT doc) AS df FROM items GROUP BY term),
+s AS (SELECT f.class, f.word, f.freq / t.total AS score FROM f JOIN t ON f.word = t.word JOIN df ON f.word = df.word
+      WHERE df.df >= 2 AND f.freq / t.total < 1.0)
+SELECT class, word, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY score DESC, word ASC) AS rank FROM s) r
+WHERE rank <= {top}"""
+
+
+@query("proto_words", "WITH items AS (SELECT lang AS class, doc_id AS doc, unnest(" + _tok_sql("text", True, 2)
+       + ") AS term FROM documents), " + _PROTO_SQL.strip()[5:].replace("{top}", str(PROTO_TOP)))
+def q_t04w(spark, d):
+    t = Tables(spark, d)
+    items = t.documents.select(F.col("lang").alias("class"), F.col("doc_id").alias("doc"),
+                               F.explode(tf.text_tokens(F.col("text"), True, 2)).alias("term"))
+    return tf.proto_terms(items, PROTO_TOP)
+
+
+@query("proto_hashtags", """WITH items AS (
+  SELECT u.label AS class, h.post_id AS doc, lower(unnest(regexp_extract_all(h.text, '\\B#\\w*[a-zA-Z]+\\w*'))) AS term
+  FROM hashtag_texts h JOIN posts p ON p.id = h.post_id JOIN users u ON u.id = p.user_id
+  WHERE u.label IS NOT NULL AND len(regexp_extract_all(h.text, '\\B#\\w*[a-zA-Z]+\\w*')) >= 2), """
+       + _PROTO_SQL.strip()[5:].replace("{top}", str(PROTO_TOP)))
+def q_t04h(spark, d):
+    from communitylens.functions.text import extract_hashtags
+    from communitylens.plans.q_scalar import hashtag_texts
+    t = Tables(spark, d)
+    h = hashtag_texts(t).withColumn("tags", extract_hashtags("text")).filter(F.size("tags") >= 2)
+    lab = t.posts.select(F.col("id").alias("post_id"), "user_id").join(
+        t.users.select(F.col("id").alias("user_id"), "label"), "user_id").filter(F.col("label").isNotNull())
+    items = h.join(lab, "post_id").select(F.col("label").alias("class"), F.col("post_id").alias("doc"),
+                                          F.explode(F.transform("tags", lambda x: F.lower(x))).alias("term"))
+    return tf.proto_terms(items, PROTO_TOP)
+
+
+def _match_sql(dict_view: str, labels) -> str:
+    cols = []
+    for lab in labels:
+        cols += [f"coalesce(sum(CASE WHEN m.dict = '{lab}' THEN m.score END), 0.0) AS {lab}_score_sum",
+                 f"count(CASE WHEN m.dict = '{lab}' THEN 1 END) AS {lab}_match_count",
+                 f"coalesce(max(CASE WHEN m.dict = '{lab}' THEN m.score END), 0.0) AS {lab}_max_score",
+                 f"CAST(count(CASE WHEN m.dict = '{lab}' THEN 1 END) > 0 AS INTEGER) AS {lab}_any_match"]
+    return f"""
+WITH toks AS (SELECT DISTINCT "user", word FROM doc_tokens),
+m AS (SELECT t."user", d.class AS dict, d.score FROM toks t JOIN ({dict_view}) d ON t.word = d.word)
+SELECT u."user", {', '.join(cols)} FROM (SELECT DISTINCT "user" FROM doc_tokens) u LEFT JOIN m ON u."user" = m."user"
+GROUP BY u."user\""""
+
+
+@query("dictionary_match", _match_sql("SELECT class, word, score FROM t_goodness", LANGS))
+def q_t05(spark, d):
+    t = Tables(spark, d)
+    dic_ = tf.class_word_goodness(_pass1(t))
+    labels = sorted(r[0] for r in dic_.select("class").distinct().limit(1001).collect())  # bounded label list
+    return tf.dictionary_match(_doc_tokens(t), dic_, labels)
+
+
+_MANUAL_ROWS = [(lab, w) for lab, ws in MANUAL_DICTIONARIES.items() for w in ws]
+_MANUAL_SQL = " UNION ALL ".join(f"SELECT '{lab}' AS class, '{w}' AS word, 0.0 AS score" for lab, w in _MANUAL_ROWS)
+
+
+@query("manual_dictionary_match", _match_sql(_MANUAL_SQL, sorted(MANUAL_DICTIONARIES)))
+def q_t06(spark, d):
+    t = Tables(spark, d)
+    manual = spark.createDataFrame([(lab, w, 0.0) for lab, w in _MANUAL_ROWS], "class string, word string, score double")
+    return tf.dictionary_match(_doc_tokens(t), manual, sorted(MANUAL_DICTIONARIES))
+
+
+def _register_t07():
+    from communitylens.plans.registry import ORACLE, QUERIES
+    proto = ("WITH items AS (SELECT lang AS class, doc_id AS doc, unnest(" + _tok_sql("text", True, 2)
+             + ") AS term FROM documents), " + _PROTO_SQL.strip()[5:].replace("{top}", str(PROTO_TOP)))
+    sql = f"""
+WITH pw AS ({proto}),
+n AS (SELECT "user", count(*) AS n FROM doc_tokens GROUP BY "user"),
+m AS (SELECT t."user", pw.class AS dictionary, count(*) AS hits, count(DISTINCT t.word) AS n_entries
+      FROM doc_tokens t JOIN pw ON t.word = pw.word GROUP BY t."user", pw.class)
+SELECT m."user", m.dictionary, m.hits / n.n AS share, m.n_entries FROM m JOIN n ON m."user" = n."user\""""
+
+    def q_t07(spark, d):
+        t = Tables(spark, d)
+        items = t.documents.select(F.col("lang").alias("class"), F.col("doc_id").alias("doc"),
+                                   F.explode(tf.text_tokens(F.col("text"), True, 2)).alias("term"))
+        pw = tf.proto_terms(items, PROTO_TOP).select(F.col("class").alias("dictionary"), "word")
+        toks = _doc_tokens(t)
+        n = toks.groupBy("user").agg(F.count(F.lit(1)).alias("n"))
+        m = toks.join(pw, "word").groupBy("user", "dictionary").agg(F.count(F.lit(1)).alias("hits"),
+                                                                     F.count_distinct("word").alias("n_entries"))
+        return m.join(n, "user").select("user", "dictionary", (F.col("hits") / F.col("n")).alias("share"), "n_entries")
+
+    QUERIES["proto_features"] = q_t07
+    ORACLE["proto_features"] = sql
+
+
+_register_t07()
+
+
+@query("community_word_match", """
+WITH x AS (SELECT post_id, text, regexp_matches(text, '#[\\w\\-]+') AS has_tag,
+                  concat_ws(' ', text, array_to_string(list_transform(regexp_extract_all(text, '#[\\w\\-]+'), lambda h: substr(h, 2)), ' ')) AS full_text
+           FROM hashtag_texts),
+m AS (SELECT x.post_id, string_agg(DISTINCT w.community, ' ' ORDER BY w.community) AS communities FROM (
+        SELECT post_id, unnest(list_filter(string_split(regexp_replace(lower(full_text), '[^a-z]+', ' ', 'g'), ' '), lambda t: t <> '')) AS word
+        FROM x WHERE has_tag) x JOIN word_dictionary w ON x.word = w.word GROUP BY x.post_id)
+SELECT x.post_id, coalesce(m.communities, '') AS communities FROM x LEFT JOIN m ON x.post_id = m.post_id""")
+def q_t08(spark, d):
+    from communitylens.functions.text import append_hashtag_words, HASHTAG_HYPHEN_PATTERN
+    from communitylens.functions.text import letters_only_tokens
+    from communitylens.plans.q_joins import word_dictionary
+    from communitylens.plans.q_scalar import hashtag_texts
+    t = Tables(spark, d)
+    h = hashtag_texts(t)
+    toks = (h.filter(F.col("text").rlike(HASHTAG_HYPHEN_PATTERN))
+            .select("post_id", F.explode(letters_only_tokens(append_hashtag_words("text"))).alias("word")))
+    m = (toks.join(word_dictionary(t.part), "word").groupBy("post_id")
+         .agg(F.array_join(F.array_sort(F.collect_set("community")), " ").alias("communities")))
+    return h.select("post_id").join(m, "post_id", "left").select("post_id", F.coalesce("communities", F.lit("")).alias("communities"))
+
+
+@query("gazetteer_match", f"""
+SELECT "user", max(CAST(word IN ({', '.join(repr(w) for w in GAZETTEERS['title'])}) AS INTEGER)) AS has_title,
+       max(CAST(word IN ({', '.join(repr(w) for w in GAZETTEERS['profession'])}) OR ends_with(word, 'ist') AS INTEGER)) AS has_profession
+FROM doc_tokens GROUP BY "user\"""")
+def q_t09(spark, d):
+    return tf.gazetteer_match(_doc_tokens(Tables(spark, d)), GAZETTEERS)
+
+
+@query("community_word_dictionary", "SELECT word, community FROM word_dictionary")
+def q_t10(spark, d):
+    from communitylens.plans.q_joins import word_dictionary
+    return word_dictionary(Tables(spark, d).part)
+
+
+def _tfidf_sql(items: str, min_df=2, max_df=0.501, max_features=10_000) -> str:
+    return f"""
+WITH it AS ({items}),
+nd AS (SELECT count(DISTINCT doc) AS n FROM it),
+tf AS (SELECT doc, term, count(*) AS tf FROM it GROUP BY doc, term),
+st AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term),
+top AS (SELECT term, df FROM st WHERE df >= {min_df} AND df <= (SELECT n FROM nd) * {max_df} ORDER BY cf DESC, term ASC LIMIT {max_features})
+SELECT tf.doc, tf.term, tf.tf, round(tf.tf * (ln((SELECT n FROM nd) / top.df) + 1.0), 6) AS weight
+FROM tf JOIN top ON tf.term = top.term"""
+
+
+def _normalise_sql_text():
+    from communitylens.plans.q_scalar import _normalise_sql
+    return _normalise_sql("text")
+
+
+@query("tfidf", _tfidf_sql(f"SELECT doc_id AS doc, unnest({_tok_sql(_normalise_sql_text(), True)}) AS term FROM documents"))
+def q_t11(spark, d):
+    docs = Tables(spark, d).documents
+    items = docs.select(F.col("doc_id").alias("doc"), F.explode(tf.text_tokens(normalise_post("text"), True)).alias("term"))
+    return tf.tfidf(items)
+
+
+def _skip_sql(n, k):
+    offs = tf.skipgram_offsets(n, k)
+    toks = letters_tokens("text")
+    parts = []
+    for o in offs:
+        last = o[-1]
+        gram = " || ' ' || ".join(f"t[i + {x}]" for x in o)
+        parts.append(f"list_transform(list_filter(range(1, len(t) + 1), lambda i: i + {last} <= len(t)), lambda i: {gram})")
+    arr = parts[0]
+    for p in parts[1:]:
+        arr = f"list_concat({arr}, {p})"
+    return f"SELECT doc, unnest({arr}) AS term FROM (SELECT doc_id AS doc, {toks} AS t FROM documents) x"
+
+
+@query("skipgram_tfidf", " UNION ALL ".join(
+    f"SELECT 'n{n}k{k}' AS shape, * FROM ({_tfidf_sql(_skip_sql(n, k))}) s{n}{k}" for n, k in SKIPGRAM_SHAPES))
+def q_t12(spark, d):
+    from communitylens.functions.text import letters_only_tokens
+    docs = Tables(spark, d).documents.select(F.col("doc_id").alias("doc"), letters_only_tokens("text").alias("t"))
+    out = None
+    for n, k in SKIPGRAM_SHAPES:
+        items = docs.select("doc", F.explode(tf.skipgrams(F.col("t"), n, k)).alias("term"))
+        part = tf.tfidf(items).select(F.lit(f"n{n}k{k}").alias("shape"), "doc", "term", "tf", "weight")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("vocabulary", f"""
+WITH it AS (SELECT doc_id AS doc, unnest({_tok_sql(_normalise_sql_text(), True)}) AS term FROM documents),
+nd AS (SELECT count(DISTINCT doc) AS n FROM it),
+st AS (SELECT term, count(DISTINCT doc) AS df, count(*) AS cf FROM it GROUP BY term),
+top AS (SELECT term, cf FROM st WHERE df <= (SELECT n FROM nd) * 0.99 ORDER BY cf DESC, term ASC LIMIT 500000)
+SELECT term AS word, row_number() OVER (ORDER BY term) - 1 AS index, cf AS count FROM top""")
+def q_t17(spark, d):
+    docs = Tables(spark, d).documents
+    items = docs.select(F.col("doc_id").alias("doc"), F.explode(tf.text_tokens(normalise_post("text"), True)).alias("term"))
+    return tf.vocabulary(items)
+
+
+@query("word_cluster_counts", f"""
+WITH it AS (SELECT doc_id AS doc, unnest({_tok_sql(_normalise_sql_text(), True)}) AS term FROM documents),
+nd AS (SELECT count(DISTINCT doc) AS n FROM it),
+st AS (SELECT term, count(DISTINCT doc) AS df, count(*) AS cf FROM it GROUP BY term),
+top AS (SELECT term, cf FROM st WHERE df <= (SELECT n FROM nd) * 0.99 ORDER BY cf DESC, term ASC LIMIT 500000),
+voc AS (SELECT term AS word, row_number() OVER (ORDER BY term) - 1 AS index FROM top)
+SELECT it.doc AS "user", e.label AS cluster, count(*) AS n FROM it JOIN voc ON it.term = voc.word JOIN embeddings e ON e.vec_id = voc.index
+GROUP BY it.doc, e.label""")
+def q_t15(spark, d):
+    t = Tables(spark, d)
+    items = t.documents.select(F.col("doc_id").alias("doc"), F.explode(tf.text_tokens(normalise_post("text"), True)).alias("term"))
+    voc = tf.vocabulary(items)
+    clusters = t.embeddings.select(F.col("vec_id").alias("index"), F.col("label").alias("cluster"))
+    return (items.join(voc.select(F.col("word").alias("term"), "index"), "term").join(clusters, "index")
+            .groupBy(F.col("doc").alias("user"), "cluster").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("read_class_dictionaries", f"""
+SELECT 'any' AS pos, class AS label, word, CAST(freq AS DOUBLE) AS score FROM t_pass1 WHERE rank <= {S07_TOP}""")
+def q_s07(spark, d):
+    path = scratch_path(spark, f"class-dicts-{uuid.uuid4().hex[:12]}")
+    pass1 = _pass1(Tables(spark, d)).select(F.lit("any").alias("pos"), "class", "word", F.col("freq").cast("double").alias("score"))
+    dic.write_class_dictionaries(pass1, path)
+    return dic.read_class_dictionaries(spark, path, S07_TOP).select("pos", "label", "word", "score")

@@ -54,15 +54,21 @@ def invert_community_dict(long_dict: DataFrame, order_col: str = "community") ->
     return long_dict.groupBy("tag").agg(F.max_by("community", F.col(order_col)).alias("community"))
 
 
+def write_class_dictionaries(dicts: DataFrame, path: str) -> None:
+    """Class dictionaries (pos, class, word, score) as CSV ``word,score``
+    lines in one folder per part of speech and label."""
+    (dicts.select("pos", F.col("class").alias("label"), "word", "score")
+     .write.mode("overwrite").partitionBy("pos", "label").csv(path))
+
+
 def read_class_dictionaries(spark, path: str, top_n: int) -> DataFrame:
-    """A folder of ``<label>_[<n>_]<pos>.csv`` files with ``word,score``
-    lines -> (pos, label, word, score); the first ``top_n`` lines of each
-    file (files are written best first); a missing score is 0.0."""
-    raw = (spark.read.schema("word string, score string").csv(path)
-           .withColumn("file", F.col("_metadata.file_name")))
-    m = r"^([^_]+)_(?:\d+_)?([^_.]+)\.csv$"
-    x = raw.select(F.regexp_extract("file", m, 2).alias("pos"), F.regexp_extract("file", m, 1).alias("label"),
-                   "word", F.coalesce(F.col("score").try_cast("double"), F.lit(0.0)).alias("score"))
+    """A folder of class dictionaries (one folder per pos and label,
+    ``word,score`` lines) -> (pos, label, word, score): the first ``top_n``
+    entries of each list (lists are kept best first); a missing score is
+    0.0."""
+    raw = (spark.read.schema("word string, score string, pos string, label string")
+           .option("basePath", path).csv(path))
+    x = raw.select("pos", "label", "word", F.coalesce(F.col("score").try_cast("double"), F.lit(0.0)).alias("score"))
     from pyspark.sql import Window
     w = Window.partitionBy("pos", "label").orderBy(F.col("score").desc(), F.col("word").asc())
     return x.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top_n).drop("_r")
