@@ -173,3 +173,18 @@ def global_running_sum(df: DataFrame, order_cols, value_col: str, out_col: str =
     return (x.join(F.broadcast(pre.select("_pid", "_base")), "_pid")
             .withColumn(out_col, F.col("_base") + F.col("_local"))
             .drop("_pid", "_local", "_base"))
+
+
+def hash_rank(df: DataFrame, group_col: str, key: str, buckets_hex: int = 4, out: str = "hash_rank") -> DataFrame:
+    """1-based rank of each row inside its group in md5(key) order, computed
+    without sorting a whole group in one task: rows before the row's md5
+    bucket come from a per-group histogram of md5 prefixes, the rank inside
+    the bucket from a window over (group, bucket)."""
+    h = F.md5(F.col(key).cast("string"))
+    x = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, buckets_hex))
+    hist = x.groupBy(group_col, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    wc = Window.partitionBy(group_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.select(group_col, "_b", F.coalesce(F.sum("_c").over(wc), F.lit(0)).alias("_before"))
+    wl = Window.partitionBy(group_col, "_b").orderBy("_h", key)
+    return (x.join(hist, [group_col, "_b"]).withColumn(out, F.col("_before") + F.row_number().over(wl))
+            .drop("_h", "_b", "_before"))

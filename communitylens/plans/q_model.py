@@ -1,3 +1,336 @@
-"""Queries."""
+"""Queries for model data work (M01-M15) and the ML-backed text rows
+(T13 LDA topics, T14 word clusters).  Evaluation tables have SQL oracles;
+model training and scoring are rows-only checks."""
 
 from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from communitylens.operators import features as fe
+from communitylens.operators import model as md
+from communitylens.operators import stats
+from communitylens.operators import textfeat as tf
+from communitylens.plans import q_features, q_text
+from communitylens.plans.oracle_views import register
+from communitylens.plans.registry import ORACLE, query
+from communitylens.session import scratch_path
+from communitylens.sources.dictionaries import organise_tags
+from communitylens.sources.tables import Tables
+
+LANGS = q_text.LANGS
+BEHAVIOUR = ("total_hashtags", "user_activeness", "collective_influence")
+# Fixed label codes of the annotation lookup (M13), in code order.
+LABEL_CODES = ("advocate", "hpi", "hpo", "patient", "quality", "research", "toxic")
+
+
+def _uddin(t):
+    return fe.uddin_features(t.users, stats.user_rollup(t.posts), fe.post_entity_counts(t.posts, t.post_entities))
+
+
+def _auto_match(t):
+    dic_ = tf.class_word_goodness(q_text._pass1(t))
+    return tf.dictionary_match(q_text._doc_tokens(t), dic_, list(LANGS))
+
+
+# ---- M01 / M02 / M03 / M04 ---------------------------------------------------------------
+@query("feature_sets", f"""
+WITH ud AS ({ORACLE['uddin_features']}), dm AS ({ORACLE['dictionary_match']})
+SELECT u.id AS user_id, u.label, {', '.join(f'ud.{c}' for c in BEHAVIOUR)},
+       {', '.join(f'coalesce(dm.{lab}_score_sum, 0.0) AS {lab}_score_sum' for lab in LANGS)}
+FROM users u JOIN ud ON u.id = ud.user_id LEFT JOIN dm ON u.id = dm."user\"""")
+def q_m01(spark, d):
+    t = Tables(spark, d)
+    from communitylens.operators.joins import assemble_features
+    dm = _auto_match(t).select(F.col("user").alias("user_id"), *[f"{lab}_score_sum" for lab in LANGS])
+    base = t.users.select(F.col("id").alias("user_id"), "label")
+    return assemble_features(base, "user_id", _uddin(t).select("user_id", *BEHAVIOUR), dm)
+
+
+@query("has_url_feature", "SELECT u.id AS user_id, CAST(p.url IS NOT NULL AS INTEGER) AS has_url FROM users u LEFT JOIN pages p ON u.id = p.page_id")
+def q_m02(spark, d):
+    t = Tables(spark, d)
+    return md.has_url_feature(t.users, t.pages.select(F.col("page_id").alias("id"), "url"))
+
+
+@query("standardise", f"""
+WITH ud AS ({ORACLE['uddin_features']}),
+s AS (SELECT {', '.join(f'avg({c}) AS {c}_mean, stddev_pop({c}) AS {c}_std, min({c}) AS {c}_min, max({c}) AS {c}_max' for c in BEHAVIOUR)} FROM ud)
+SELECT ud.user_id, {', '.join(f'round(coalesce(({c} - {c}_mean) / nullif({c}_std, 0), 0.0), 6) AS z_{c}, round(coalesce(({c} - {c}_min) / nullif(CAST({c}_max - {c}_min AS DOUBLE), 0), 0.0), 6) AS mm_{c}' for c in BEHAVIOUR)}
+FROM ud, s""")
+def q_m03(spark, d):
+    return md.standardise(_uddin(Tables(spark, d)), list(BEHAVIOUR), "user_id")
+
+
+@query("validate_features", f"""
+WITH pc AS ({ORACLE['post_cosine']})
+SELECT user_id, (CASE WHEN ot_cos_std IS NULL OR isnan(ot_cos_std) THEN 1 ELSE 0 END)
+              + (CASE WHEN rt_cos_std IS NULL OR isnan(rt_cos_std) THEN 1 ELSE 0 END) AS n_bad FROM pc
+WHERE ot_cos_std IS NULL OR rt_cos_std IS NULL OR isnan(ot_cos_std) OR isnan(rt_cos_std)""")
+def q_m04(spark, d):
+    pc = q_features.q_uk4(spark, d)
+    return md.validate_features(pc, "user_id", ["ot_cos_std", "rt_cos_std"])
+
+
+# ---- M10-M14: a deterministic dictionary classifier ---------------------------------------
+def _rule_predictions(spark, d, dictionary="auto"):
+    """(doc_id, truth = language, prediction = the dictionary with the
+    largest score sum, ties by name, 'none' without any match)."""
+    t = Tables(spark, d)
+    if dictionary == "auto":
+        m = _auto_match(t)
+        score = "score_sum"
+    else:
+        from communitylens.functions.lexicons import MANUAL_DICTIONARIES
+        rows = [(lab, w, 0.0) for lab, ws in MANUAL_DICTIONARIES.items() for w in ws]
+        manual = spark.createDataFrame(rows, "class string, word string, score double")
+        m = tf.dictionary_match(q_text._doc_tokens(t), manual, list(LANGS))
+        score = "match_count"
+    best = F.array(*[F.struct(F.col(f"{lab}_{score}").cast("double").alias("s"), F.lit(lab).alias("c")) for lab in LANGS])
+    top = F.aggregate(best, F.struct(F.lit(0.0).alias("s"), F.lit("none").alias("c")),
+                      lambda acc, x: F.when(x["s"] > acc["s"], x).otherwise(acc))
+    pred = m.select(F.col("user").alias("doc_id"), top["c"].alias("prediction"))
+    return (t.documents.select("doc_id", F.col("lang").alias("truth")).join(pred, "doc_id", "left")
+            .select("doc_id", "truth", F.coalesce("prediction", F.lit("none")).alias("prediction")))
+
+
+def _pred_sql(match_sql: str, score: str) -> str:
+    best = "'none'"
+    cond = []
+    # first strictly greater score wins, scanning the labels in order
+    s = "0.0"
+    expr = "'none'"
+    for lab in LANGS:
+        col = f"CAST(m.{lab}_{score} AS DOUBLE)"
+        expr = f"CASE WHEN {col} > {s} THEN '{lab}' ELSE {expr} END"
+        s = f"greatest({s}, {col})"
+    return f"""
+SELECT d.doc_id, d.lang AS truth, coalesce({expr}, 'none') AS prediction
+FROM documents d LEFT JOIN ({match_sql}) m ON d.doc_id = m."user\""""
+
+
+def _auto_pred_sql():
+    return _pred_sql(ORACLE["dictionary_match"], "score_sum")
+
+
+def _manual_pred_sql():
+    return _pred_sql(ORACLE["manual_dictionary_match"], "match_count")
+
+
+def _scores_sql(pred: str) -> str:
+    return f"""
+WITH pr AS ({pred}),
+cl AS (SELECT truth AS c FROM pr UNION SELECT prediction FROM pr),
+per AS (SELECT cl.c, coalesce(tp.tp, 0) AS tp, coalesce(sp.support, 0) AS support, coalesce(np.npred, 0) AS npred FROM cl
+        LEFT JOIN (SELECT truth AS c, count(*) AS tp FROM pr WHERE truth = prediction GROUP BY truth) tp ON cl.c = tp.c
+        LEFT JOIN (SELECT truth AS c, count(*) AS support FROM pr GROUP BY truth) sp ON cl.c = sp.c
+        LEFT JOIN (SELECT prediction AS c, count(*) AS npred FROM pr GROUP BY prediction) np ON cl.c = np.c),
+pr2 AS (SELECT c, coalesce(CAST(tp AS DOUBLE) / nullif(npred, 0), 0.0) AS p, coalesce(CAST(tp AS DOUBLE) / nullif(support, 0), 0.0) AS r,
+               support FROM per),
+pf AS (SELECT c, p, r, coalesce(2 * p * r / nullif(p + r, 0), 0.0) AS f, support FROM pr2),
+tot AS (SELECT count(*) AS n, count(CASE WHEN truth = prediction THEN 1 END) AS tp FROM pr)
+SELECT c AS name, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, CAST(support AS BIGINT) AS support FROM pf
+UNION ALL SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), CAST(sum(support) AS BIGINT) FROM pf
+UNION ALL SELECT 'weighted avg', round(sum(p * support) / sum(support), 6), round(sum(r * support) / sum(support), 6),
+                 round(sum(f * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM pf
+UNION ALL SELECT 'micro avg', round(CAST(tp AS DOUBLE) / n, 6), round(CAST(tp AS DOUBLE) / n, 6), round(CAST(tp AS DOUBLE) / n, 6), CAST(n AS BIGINT) FROM tot
+UNION ALL SELECT 'accuracy', round(CAST(tp AS DOUBLE) / n, 6), round(CAST(tp AS DOUBLE) / n, 6), round(CAST(tp AS DOUBLE) / n, 6), CAST(n AS BIGINT) FROM tot"""
+
+
+def _register_eval():
+    from communitylens.plans.registry import QUERIES
+
+    def q_m10(spark, d):
+        return md.class_scores(_rule_predictions(spark, d))
+
+    def q_m11(spark, d):
+        return md.confusion_matrix(_rule_predictions(spark, d), list(LANGS) + ["none"])
+
+    def q_m12(spark, d):
+        return md.prediction_audit(_rule_predictions(spark, d), "doc_id")
+
+    def q_m14(spark, d):
+        a = md.class_scores(_rule_predictions(spark, d, "auto")).withColumn("setting", F.lit("auto"))
+        m = md.class_scores(_rule_predictions(spark, d, "manual")).withColumn("setting", F.lit("manual"))
+        return md.experiment_pivot(a.unionByName(m), list(LANGS))
+
+    QUERIES["class_scores"] = q_m10
+    ORACLE["class_scores"] = _scores_sql(_auto_pred_sql())
+    QUERIES["confusion_matrix"] = q_m11
+    labs = list(LANGS) + ["none"]
+    ORACLE["confusion_matrix"] = (f"WITH pr AS ({_auto_pred_sql()}) SELECT truth, "
+                                  + ", ".join(f"count(CASE WHEN prediction = '{x}' THEN 1 END) AS {x}" for x in labs)
+                                  + " FROM pr GROUP BY truth")
+    QUERIES["prediction_audit"] = q_m12
+    ORACLE["prediction_audit"] = (f"WITH pr AS ({_auto_pred_sql()}) SELECT doc_id, prediction, truth, "
+                                  "CASE WHEN prediction = truth THEN 'ok' ELSE 'wrong' END AS result FROM pr")
+    QUERIES["experiment_pivot"] = q_m14
+    cols = ", ".join(f"max(CASE WHEN name = '{c}' THEN precision END) AS {c}_p, max(CASE WHEN name = '{c}' THEN recall END) AS {c}_r, "
+                     f"max(CASE WHEN name = '{c}' THEN f1 END) AS {c}_f1" for c in LANGS)
+    ORACLE["experiment_pivot"] = (f"WITH s AS (SELECT 'auto' AS setting, * FROM ({_scores_sql(_auto_pred_sql())}) a "
+                                  f"UNION ALL SELECT 'manual', * FROM ({_scores_sql(_manual_pred_sql())}) m) "
+                                  f"SELECT setting, {cols} FROM s GROUP BY setting")
+
+
+_register_eval()
+
+
+# ---- M13 -------------------------------------------------------------------------------------
+def _code(col):
+    codes = F.create_map(*[F.lit(x) for i, lab in enumerate(LABEL_CODES) for x in (lab, i)])
+    return F.try_element_at(codes, col)
+
+
+@query("annotator_agreement", f"""
+WITH codes AS (SELECT * FROM (VALUES {', '.join(f"('{lab}', {i})" for i, lab in enumerate(LABEL_CODES))}) v(name, code)),
+a AS (SELECT u.id, list_filter([(SELECT code FROM codes WHERE name = u.label),
+                                CASE WHEN l.toxic = 1 THEN 6 END], lambda x: x IS NOT NULL) AS l1,
+             list_filter([(SELECT code FROM codes WHERE name = CASE WHEN c.c_mktsegment = 'MACHINERY' THEN 'research' ELSE u.label END),
+                          CASE WHEN l.quality = 1 THEN 4 END], lambda x: x IS NOT NULL) AS l2
+      FROM users u JOIN labels l ON u.id = l.doc_id JOIN customer c ON c.c_custkey = u.id),
+r AS (SELECT id,
+        CASE WHEN (len(l1) > 1 OR len(l2) > 1) AND len(list_intersect(l1, l2)) > 0 THEN list_max(list_intersect(l1, l2)) ELSE list_max(l1) END AS a1,
+        CASE WHEN (len(l1) > 1 OR len(l2) > 1) AND len(list_intersect(l1, l2)) > 0 THEN list_max(list_intersect(l1, l2)) ELSE list_max(l2) END AS a2
+      FROM a WHERE len(l1) > 0 AND len(l2) > 0),
+n AS (SELECT count(*) AS n, CAST(count(CASE WHEN a1 = a2 THEN 1 END) AS DOUBLE) / count(*) AS po FROM r),
+pe AS (SELECT CAST(sum(n1 * n2) AS DOUBLE) / ((SELECT n FROM n) * (SELECT n FROM n)) AS pe FROM
+        (SELECT a1 AS c, count(*) AS n1 FROM r GROUP BY a1) x JOIN (SELECT a2 AS c, count(*) AS n2 FROM r GROUP BY a2) y USING (c))
+SELECT CAST(n AS BIGINT) AS n, round(po, 6) AS po, round(coalesce(pe, 0.0), 6) AS pe,
+       round((po - coalesce(pe, 0.0)) / (1 - coalesce(pe, 0.0)), 6) AS kappa FROM n, pe""")
+def q_m13(spark, d):
+    t = Tables(spark, d)
+    seg = t.customer.select(F.col("c_custkey").alias("id"), "c_mktsegment")
+    base = t.users.select("id", "label").join(t.labels.withColumnRenamed("doc_id", "id"), "id").join(seg, "id")
+    l2_label = F.when(F.col("c_mktsegment") == "MACHINERY", F.lit("research")).otherwise(F.col("label"))
+    a1 = base.select("id", F.filter(F.array(_code(F.col("label")), F.when(F.col("toxic") == 1, F.lit(6))),
+                                    lambda x: x.isNotNull()).alias("labels"))
+    a2 = base.select("id", F.filter(F.array(_code(l2_label), F.when(F.col("quality") == 1, F.lit(4))),
+                                    lambda x: x.isNotNull()).alias("labels"))
+    return md.cohen_kappa(md.resolve_annotations(a1, a2, "id"))
+
+
+@query("organise_tags", """
+SELECT community, array_to_string(list_sort(list('#P' || CAST(tag AS VARCHAR)) FILTER (WHERE role = 'own')), '|') AS own_tags,
+       array_to_string(list_sort(list('#P' || CAST(tag AS VARCHAR)) FILTER (WHERE role = 'cb')), '|') AS cb_tags,
+       count(CASE WHEN role = 'own' THEN 1 END) AS n_own, count(CASE WHEN role = 'cb' THEN 1 END) AS n_cb,
+       count(CASE WHEN role = 'discarded' THEN 1 END) AS n_discarded
+FROM (SELECT p_partkey AS tag, p_brand AS community, CASE WHEN p_size <= 5 THEN 'own' WHEN p_size <= 10 THEN 'cb' ELSE 'discarded' END AS role
+      FROM part) o GROUP BY community HAVING count(CASE WHEN role <> 'discarded' THEN 1 END) > 0""")
+def q_m15(spark, d):
+    return md.organised_lines(organise_tags(Tables(spark, d).part))
+
+
+# ---- M05-M09: Spark ML (rows-only) -----------------------------------------------------------
+FEATURE_COLS = BEHAVIOUR + ("favorites_count", "plain_statuses", "retweets", "total_mentions", "total_urls",
+                            "tweet_influence", "std_urls", "std_hashtags", "user_inclination")
+
+
+def _training(spark, d, labelled_only=True):
+    from pyspark.ml.feature import StringIndexer
+    t = Tables(spark, d)
+    dm = _auto_match(t).select(F.col("user").alias("user_id"), *[f"{lab}_score_sum" for lab in LANGS])
+    from communitylens.operators.joins import assemble_features
+    base = t.users.select(F.col("id").alias("user_id"), "label")
+    df = assemble_features(base, "user_id", _uddin(t).select("user_id", *FEATURE_COLS), dm)
+    cols = list(FEATURE_COLS) + [f"{lab}_score_sum" for lab in LANGS]
+    df = md.assemble_vector(df, cols)
+    lab = df.filter(F.col("label").isNotNull())
+    indexer = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc").fit(lab)
+    out = indexer.transform(lab) if labelled_only else df
+    # Iterative estimators read their input many times: materialise it once
+    # in the shared checkpoint folder (also cuts the lineage for recovery).
+    return out.checkpoint(), cols, indexer
+
+
+@query("train_classifiers")
+def q_m05(spark, d):
+    df, cols, ix = _training(spark, d)
+    df = md.class_weights(df).checkpoint()
+    out = None
+    for name, est in md.classifiers(len(cols), len(ix.labels)).items():
+        pred = est.fit(df).transform(df).select(F.lit(name).alias("model"), "user_id", "label_idx",
+                                                F.col("prediction").alias("prediction"))
+        out = pred if out is None else out.unionByName(pred)
+    return out
+
+
+@query("pca_then_train")
+def q_m06(spark, d):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import PCA
+    df, cols, _ = _training(spark, d)
+    k = min(1000, max(1, len(cols) // 2))
+    pipe = Pipeline(stages=[PCA(k=k, inputCol="features", outputCol="pca"),
+                            LogisticRegression(featuresCol="pca", labelCol="label_idx", maxIter=100)])
+    return pipe.fit(df).transform(df).select("user_id", "label_idx", "prediction")
+
+
+@query("cross_validate")
+def q_m07(spark, d):
+    from pyspark.ml.classification import LogisticRegression
+    df, _, _ = _training(spark, d)
+    df = md.fold_column(df, "user_id", "label_idx", 10).checkpoint()
+    out = None
+    for k in range(10):
+        train, test = df.filter(F.col("fold") != k), df.filter(F.col("fold") == k)
+        m = LogisticRegression(labelCol="label_idx", maxIter=100).fit(train)
+        p = m.transform(test).select("user_id", "label_idx", "prediction", "fold")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@query("feature_importance_select")
+def q_m08(spark, d):
+    from pyspark.ml.classification import RandomForestClassifier
+    df, cols, _ = _training(spark, d)
+    rf = RandomForestClassifier(labelCol="label_idx", numTrees=20, seed=42).fit(df)
+    imp = rf.featureImportances.toArray().tolist()  # one value per feature column
+    mean = sum(imp) / len(imp)
+    rows = [(c, float(v), bool(v >= mean)) for c, v in zip(cols, imp)]
+    return spark.createDataFrame(rows, "feature string, importance double, kept boolean")
+
+
+@query("predict_batch")
+def q_m09(spark, d):
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IndexToString
+    df, _, ix = _training(spark, d)
+    path = scratch_path(spark, f"model-{uuid.uuid4().hex[:12]}")
+    Pipeline(stages=[LogisticRegression(labelCol="label_idx", maxIter=100)]).fit(df).write().overwrite().save(path)
+    model = PipelineModel.load(path)
+    everyone, _, _ = _training(spark, d, labelled_only=False)
+    scored = model.transform(everyone)
+    lab = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=ix.labels).transform(scored)
+    return lab.select("user_id", "label", "predicted_label")
+
+
+@query("lda_topics")
+def q_t13(spark, d):
+    """Bag of words (df >= 5, <= 50 %, <= 1e6 words) -> 100-topic LDA ->
+    per document topic weights (top topic and its weight)."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+    t = Tables(spark, d)
+    docs = t.documents.select("doc_id", tf.text_tokens(F.col("text"), True, 2).alias("toks"))
+    cv = CountVectorizer(inputCol="toks", outputCol="tf", minDF=5, maxDF=0.5, vocabSize=1_000_000).fit(docs)
+    bag = cv.transform(docs)
+    lda = LDA(k=100, maxIter=20, featuresCol="tf", seed=42, optimizer="online").fit(bag)
+    from pyspark.ml.functions import vector_to_array
+    out = lda.transform(bag).select("doc_id", vector_to_array("topicDistribution").alias("w"))
+    top = F.array_max("w")
+    return out.select("doc_id", F.array_position("w", top).alias("top_topic"), F.round(top, 6).alias("top_weight"))
+
+
+@query("word_vectors_and_clusters")
+def q_t14(spark, d):
+    """L2-normalised word vectors -> k-means (200) -> word -> cluster."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import Normalizer
+    from pyspark.ml.functions import array_to_vector
+    e = Tables(spark, d).embeddings.select("vec_id", array_to_vector("embedding").alias("v"))
+    n = Normalizer(inputCol="v", outputCol="features", p=2.0).transform(e)
+    km = KMeans(k=200, seed=42, maxIter=20).fit(n)
+    return km.transform(n).select("vec_id", F.col("prediction").alias("cluster"))
