@@ -1,3 +1,58 @@
-"""Queries."""
+"""Queries for the streaming rows (R01-R05).  Each runs a Structured
+Streaming job to completion over a feed derived from the given tables and
+returns its sink; the oracle is the batch SQL of the same operation."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from communitylens.plans import q_filters, q_sources  # noqa: F401  (oracle strings used below)
+from communitylens.plans.registry import ORACLE, query
+from communitylens.sources import post_json as pj
+from communitylens.sources.tables import Tables
+from communitylens.streaming import stream as st
+
+DUPLICATED_TYPE = "view"   # events of this type are delivered twice
+BROKEN_TYPE = "error"      # events of this type arrive as damaged JSON
+
+
+def _ingest_sql():
+    return f"""
+WITH p AS ({ORACLE['parse_post_json']}), e AS ({ORACLE['extract_entities']})
+SELECT p.*, e.entities_hashtag, e.entities_symbol, e.entities_user_mention, e.entities_url, e.entities_media_url,
+       e.entities_media_type FROM p JOIN e ON p.id = e.id"""
+
+
+@query("stream_ingest", _ingest_sql())
+def q_r01(spark, d):
+    return st.stream_ingest(spark, pj.post_json_feed(Tables(spark, d)))
+
+
+@query("stream_dedup", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def q_r02(spark, d):
+    ev = Tables(spark, d).events
+    once = pj.event_feed(ev, None).withColumn("_order", F.lit(0))
+    js = pj.event_feed(ev.filter(F.col("event_type") == DUPLICATED_TYPE), None).withColumn("_order", F.lit(1))
+    feed = once.unionByName(js)
+    # order the landed files by event time so that re-deliveries arrive close to the original
+    feed = feed.withColumn("_t", F.get_json_object("value", "$.ts")).withColumn(
+        "_order", F.concat(F.col("_t"), F.lit("#"), F.col("_order").cast("string"))).drop("_t")
+    out = st.stream_dedup(spark, feed)
+    return out.select("event_id", F.col("event_time").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props")
+
+
+@query("stream_quarantine", f"SELECT event_id FROM events WHERE event_type = '{BROKEN_TYPE}'")
+def q_r03(spark, d):
+    _, bad = st.stream_quarantine(spark, pj.event_feed(Tables(spark, d).events, BROKEN_TYPE))
+    return bad.select("event_id")
+
+
+@query("stream_progress", "SELECT count(*) AS n FROM events")
+def q_r04(spark, d):
+    return st.stream_progress(spark, pj.event_feed(Tables(spark, d).events, None))
+
+
+@query("stream_filter", f"SELECT id, status_text FROM ({ORACLE['keyword_track_filter']}) k")
+def q_r05(spark, d):
+    kw = spark.createDataFrame([(k,) for k in q_filters.TRACKED_KEYWORDS], "keyword string")
+    return st.stream_filter(spark, pj.post_json_feed(Tables(spark, d)), kw)

@@ -112,10 +112,11 @@ def parse_post_json(feed: DataFrame) -> DataFrame:
         F.col("retweeted_status.entities").alias("_rent"), F.col("extended_entities").alias("_media"))
 
 
-def extract_entities(parsed: DataFrame) -> DataFrame:
-    """Hashtags / symbols lower-cased and mentions de-duplicated in
-    order, with the quoted and the retweeted post's entities merged in;
-    urls as expanded, not de-duplicated; only the first media item."""
+def entity_columns() -> list:
+    """S03 column expressions over a parsed post (see ``parse_post_json``):
+    hashtags / symbols lower-cased and mentions de-duplicated in order, with
+    the quoted and the retweeted post's entities merged in; urls as
+    expanded, not de-duplicated; only the first media item."""
     def texts(e, field, key):
         return F.coalesce(F.transform(F.col(e)[field], lambda x: x[key]), F.array().cast("array<string>"))
 
@@ -128,14 +129,17 @@ def extract_entities(parsed: DataFrame) -> DataFrame:
     urls = F.concat(texts("_ent", "urls", "expanded_url"), texts("_qent", "urls", "expanded_url"),
                     texts("_rent", "urls", "expanded_url"))
     media = F.try_element_at(F.col("_media.media"), F.lit(1))
-    return parsed.select(
-        "id",
-        merged("hashtags", "text").alias("entities_hashtag"),
-        merged("symbols", "text").alias("entities_symbol"),
-        merged("user_mentions", "id_str", lower=False).alias("entities_user_mention"),
-        urls.alias("entities_url"),
-        media["media_url"].alias("entities_media_url"),
-        media["type"].alias("entities_media_type"))
+    return [merged("hashtags", "text").alias("entities_hashtag"),
+            merged("symbols", "text").alias("entities_symbol"),
+            merged("user_mentions", "id_str", lower=False).alias("entities_user_mention"),
+            urls.alias("entities_url"),
+            media["media_url"].alias("entities_media_url"),
+            media["type"].alias("entities_media_type")]
+
+
+def extract_entities(parsed: DataFrame) -> DataFrame:
+    """(id, entity columns) of parsed posts."""
+    return parsed.select("id", *entity_columns())
 
 
 EVENT_SCHEMA = T.StructType([
