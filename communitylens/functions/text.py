@@ -103,8 +103,7 @@ def analyse_text(text) -> Column:
     """Standard tokens -> accent folding -> stopwords removed
     (case-insensitive) -> lower case."""
     toks = F.regexp_extract_all(fold_accents(text), F.lit(TOKEN_PATTERN), 0)
-    stop = F.array(*[F.lit(w) for w in ANALYSER_STOPWORDS])
-    return F.transform(F.filter(toks, lambda x: ~F.array_contains(stop, F.lower(x))), lambda x: F.lower(x))
+    return F.transform(F.filter(toks, lambda x: ~F.lower(x).isin(*ANALYSER_STOPWORDS)), lambda x: F.lower(x))
 
 
 def normalise_post(text) -> Column:

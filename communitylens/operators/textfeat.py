@@ -31,8 +31,8 @@ def text_tokens(text_col, drop_stopwords: bool = True, min_len: int = 1):
     """X10 tokens, optionally without the text stopwords and short tokens."""
     t = letters_only_tokens(text_col)
     if drop_stopwords:
-        stop = F.array(*[F.lit(w) for w in TEXT_STOPWORDS])
-        t = F.filter(t, lambda x: ~F.array_contains(stop, x))
+        # a long literal IN list becomes a hash-set probe (InSet) in codegen
+        t = F.filter(t, lambda x: ~x.isin(*TEXT_STOPWORDS))
     if min_len > 1:
         t = F.filter(t, lambda x: F.length(x) >= min_len)
     return t
@@ -102,12 +102,13 @@ def gazetteer_match(user_tokens: DataFrame, gazetteers: dict) -> DataFrame:
     return user_tokens.groupBy("user").agg(*cols)
 
 
-def tfidf(doc_terms: DataFrame, min_df: int = 2, max_df: float = 0.501, max_features: int = 10_000) -> DataFrame:
+def tfidf(doc_terms: DataFrame, n_docs, min_df: int = 2, max_df: float = 0.501,
+          max_features: int = 10_000) -> DataFrame:
     """T11 over (doc, term) rows (one per occurrence): terms with df >= min_df
     and df <= max_df * N, the max_features most frequent (ties: term asc);
     weight = tf * (ln(N / df) + 1), no normalisation.  Output sparse
-    (doc, term, tf, weight)."""
-    n_docs = doc_terms.select(F.count_distinct("doc")).scalar()
+    (doc, term, tf, weight).  ``n_docs`` (N) is the number of documents of
+    the corpus, empty ones included (a scalar column)."""
     tf = doc_terms.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= n_docs * F.lit(max_df)))
@@ -141,10 +142,9 @@ def skipgrams(tokens, n: int, k: int):
     return F.concat(*arrays)
 
 
-def vocabulary(doc_terms: DataFrame, max_df: float = 0.99, max_features: int = 500_000) -> DataFrame:
+def vocabulary(doc_terms: DataFrame, n_docs, max_df: float = 0.99, max_features: int = 500_000) -> DataFrame:
     """Kept terms (df <= max_df * N, the max_features most frequent)
     indexed 0.. in alphabetical order, as the vectoriser numbers them."""
-    n_docs = doc_terms.select(F.count_distinct("doc")).scalar()
     stats = doc_terms.groupBy("term").agg(F.count_distinct("doc").alias("df"), F.count(F.lit(1)).alias("cf"))
     kept = stats.filter(F.col("df") <= n_docs * F.lit(max_df))
     top = kept.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(max_features)

@@ -66,8 +66,9 @@ def compare(spark_df, sql: str, con: duckdb.DuckDBPyConnection) -> dict:
     a, b = rows_of(s_rows, cols), rows_of(d_rows, cols)
     res["values_match"] = a == b
     if not res["values_match"]:
-        diff_a = [x for x in a if x not in set(b)][:3]
-        diff_b = [x for x in b if x not in set(a)][:3]
+        sa, sb = set(a), set(b)
+        diff_a = [x for x in a if x not in sb][:3]
+        diff_b = [x for x in b if x not in sa][:3]
         res["only_spark"] = diff_a
         res["only_oracle"] = diff_b
     res["ok"] = res["values_match"] and len(s_rows) == len(d_rows)

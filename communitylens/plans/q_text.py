@@ -212,10 +212,17 @@ def q_t10(spark, d):
     return word_dictionary(Tables(spark, d).part)
 
 
+def _n_docs(docs):
+    """N of the vectoriser: every document, empty ones included (a scalar
+    subquery over the documents table, read on its own)."""
+    fresh = docs.sparkSession.read.parquet(*docs.inputFiles())
+    return fresh.select(F.count(F.lit(1))).scalar()
+
+
 def _tfidf_sql(items: str, min_df=2, max_df=0.501, max_features=10_000) -> str:
     return f"""
 WITH it AS ({items}),
-nd AS (SELECT count(DISTINCT doc) AS n FROM it),
+nd AS (SELECT count(*) AS n FROM documents),
 tf AS (SELECT doc, term, count(*) AS tf FROM it GROUP BY doc, term),
 st AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term),
 top AS (SELECT term, df FROM st WHERE df >= {min_df} AND df <= (SELECT n FROM nd) * {max_df} ORDER BY cf DESC, term ASC LIMIT {max_features})
@@ -232,7 +239,7 @@ def _normalise_sql_text():
 def q_t11(spark, d):
     docs = Tables(spark, d).documents
     items = docs.select(F.col("doc_id").alias("doc"), F.explode(tf.text_tokens(normalise_post("text"), True)).alias("term"))
-    return tf.tfidf(items)
+    return tf.tfidf(items, _n_docs(docs))
 
 
 def _skip_sql(n, k):
@@ -257,26 +264,26 @@ def q_t12(spark, d):
     out = None
     for n, k in SKIPGRAM_SHAPES:
         items = docs.select("doc", F.explode(tf.skipgrams(F.col("t"), n, k)).alias("term"))
-        part = tf.tfidf(items).select(F.lit(f"n{n}k{k}").alias("shape"), "doc", "term", "tf", "weight")
+        part = tf.tfidf(items, _n_docs(docs)).select(F.lit(f"n{n}k{k}").alias("shape"), "doc", "term", "tf", "weight")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 @query("vocabulary", f"""
 WITH it AS (SELECT doc_id AS doc, unnest({_tok_sql(_normalise_sql_text(), True)}) AS term FROM documents),
-nd AS (SELECT count(DISTINCT doc) AS n FROM it),
+nd AS (SELECT count(*) AS n FROM documents),
 st AS (SELECT term, count(DISTINCT doc) AS df, count(*) AS cf FROM it GROUP BY term),
 top AS (SELECT term, cf FROM st WHERE df <= (SELECT n FROM nd) * 0.99 ORDER BY cf DESC, term ASC LIMIT 500000)
 SELECT term AS word, row_number() OVER (ORDER BY term) - 1 AS index, cf AS count FROM top""")
 def q_t17(spark, d):
     docs = Tables(spark, d).documents
     items = docs.select(F.col("doc_id").alias("doc"), F.explode(tf.text_tokens(normalise_post("text"), True)).alias("term"))
-    return tf.vocabulary(items)
+    return tf.vocabulary(items, _n_docs(docs))
 
 
 @query("word_cluster_counts", f"""
 WITH it AS (SELECT doc_id AS doc, unnest({_tok_sql(_normalise_sql_text(), True)}) AS term FROM documents),
-nd AS (SELECT count(DISTINCT doc) AS n FROM it),
+nd AS (SELECT count(*) AS n FROM documents),
 st AS (SELECT term, count(DISTINCT doc) AS df, count(*) AS cf FROM it GROUP BY term),
 top AS (SELECT term, cf FROM st WHERE df <= (SELECT n FROM nd) * 0.99 ORDER BY cf DESC, term ASC LIMIT 500000),
 voc AS (SELECT term AS word, row_number() OVER (ORDER BY term) - 1 AS index FROM top)
@@ -285,7 +292,7 @@ GROUP BY it.doc, e.label""")
 def q_t15(spark, d):
     t = Tables(spark, d)
     items = t.documents.select(F.col("doc_id").alias("doc"), F.explode(tf.text_tokens(normalise_post("text"), True)).alias("term"))
-    voc = tf.vocabulary(items)
+    voc = tf.vocabulary(items, _n_docs(t.documents))
     clusters = t.embeddings.select(F.col("vec_id").alias("index"), F.col("label").alias("cluster"))
     return (items.join(voc.select(F.col("word").alias("term"), "index"), "term").join(clusters, "index")
             .groupBy(F.col("doc").alias("user"), "cluster").agg(F.count(F.lit(1)).alias("n")))
