@@ -24,6 +24,16 @@ LABEL_BY_SEGMENT = {"AUTOMOBILE": "patient", "BUILDING": "hpo", "FURNITURE": "hp
 SEED_MAX_SIZE = 5  # communities(tag, community) = parts with p_size <= 5
 
 
+def _kind_struct(kind: str):
+    def build(v):
+        return F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+    return build
+
+
+VIEWS_DIR_CONF = "spark.communitylens.viewsDir"
+STORED_VIEWS = ("posts", "post_tags", "post_mentions", "post_entities", "post_communities", "communities", "users")
+
+
 class Tables:
     """Raw tables and canonical views of one data folder."""
 
@@ -34,6 +44,18 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _stored(self, name: str) -> DataFrame | None:
+        """A canonical view written by ``materialize_views`` for this data
+        folder, when the session names a views folder."""
+        base = self.spark.conf.get(VIEWS_DIR_CONF, None)
+        if not base:
+            return None
+        path = f"{base.rstrip('/')}/{name}"
+        marker = self.spark.conf.get(VIEWS_DIR_CONF + ".source", None)
+        if marker != self.sf_dir:
+            return None
+        return self.spark.read.parquet(path)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in RAW_TABLES:
             return self.raw(name)
@@ -42,6 +64,9 @@ class Tables:
     # ---- posts and their entities -------------------------------------------------
     @cached_property
     def post_tags(self) -> DataFrame:
+        stored = self._stored("post_tags")
+        if stored is not None:
+            return stored
         """(post_id, tag): one row per distinct tag of a post."""
         return (self.raw("lineitem")
                 .select(F.col("l_orderkey").alias("post_id"), F.col("l_partkey").alias("tag"))
@@ -49,6 +74,9 @@ class Tables:
 
     @cached_property
     def post_mentions(self) -> DataFrame:
+        stored = self._stored("post_mentions")
+        if stored is not None:
+            return stored
         """(post_id, mention): one row per distinct mentioned user of a post."""
         return (self.raw("lineitem")
                 .select(F.col("l_orderkey").alias("post_id"), F.col("l_suppkey").alias("mention"))
@@ -56,6 +84,9 @@ class Tables:
 
     @cached_property
     def communities(self) -> DataFrame:
+        stored = self._stored("communities")
+        if stored is not None:
+            return stored
         """(tag, community): the seed dictionary, one row per tag."""
         return (self.raw("part").filter(F.col("p_size") <= SEED_MAX_SIZE)
                 .select(F.col("p_partkey").alias("tag"), F.col("p_brand").alias("community")))
@@ -64,23 +95,23 @@ class Tables:
     def post_entities(self) -> DataFrame:
         """(post_id, kind, value): the five entity kinds as one long table of
         strings; hashtag = tag, mention = supplier, symbol = part type,
-        url = a link per part size, media = the first line's part name."""
+        url = a link per part size, media = the first line's part name.
+        One group-by on the order (sets are built map-side), then explode."""
+        stored = self._stored("post_entities")
+        if stored is not None:
+            return stored
         li = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
         part = self.raw("part").select("p_partkey", "p_name", "p_type", "p_size")
-        lp = li.join(part, li.l_partkey == part.p_partkey)
-        first_media = (lp.groupBy("l_orderkey")
-                       .agg(F.min_by("p_name", F.struct("l_linenumber", "l_partkey")).alias("value"))
-                       .select(F.col("l_orderkey").alias("post_id"), F.lit("media").alias("kind"), "value"))
-        rest = lp.select(
-            F.col("l_orderkey").alias("post_id"),
-            F.explode(F.array(
-                F.struct(F.lit("hashtag").alias("kind"), F.col("l_partkey").cast("string").alias("value")),
-                F.struct(F.lit("mention").alias("kind"), F.col("l_suppkey").cast("string").alias("value")),
-                F.struct(F.lit("symbol").alias("kind"), F.col("p_type").alias("value")),
-                F.struct(F.lit("url").alias("kind"),
-                         F.concat(F.lit("https://shop.example/size/"), F.col("p_size").cast("string")).alias("value")),
-            )).alias("e")).select("post_id", "e.kind", "e.value")
-        return rest.unionByName(first_media).distinct()
+        per_post = (li.join(part, li.l_partkey == part.p_partkey).groupBy("l_orderkey").agg(
+            F.collect_set(F.col("l_partkey").cast("string")).alias("hashtag"),
+            F.collect_set(F.col("l_suppkey").cast("string")).alias("mention"),
+            F.collect_set("p_type").alias("symbol"),
+            F.collect_set(F.concat(F.lit("https://shop.example/size/"), F.col("p_size").cast("string"))).alias("url"),
+            F.min_by("p_name", F.struct("l_linenumber", "l_partkey")).alias("media")))
+        kinds = F.flatten(F.array(*[F.transform(F.col(k), _kind_struct(k)) for k in ("hashtag", "mention", "symbol", "url")],
+                                  F.array(F.struct(F.lit("media").alias("kind"), F.col("media").alias("value")))))
+        return per_post.select(F.col("l_orderkey").alias("post_id"), F.explode(kinds).alias("e")).select(
+            "post_id", "e.kind", "e.value")
 
     @cached_property
     def post_lines(self) -> DataFrame:
@@ -106,6 +137,9 @@ class Tables:
 
     @cached_property
     def posts(self) -> DataFrame:
+        stored = self._stored("posts")
+        if stored is not None:
+            return stored
         """One row per order: id, user_id, created_at, kind, four counters,
         reply target and status_text."""
         o = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
@@ -130,6 +164,9 @@ class Tables:
     # ---- users ----------------------------------------------------------------------
     @cached_property
     def users(self) -> DataFrame:
+        stored = self._stored("users")
+        if stored is not None:
+            return stored
         c = self.raw("customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
         d = self.raw("documents").select("doc_id", "text")
         seg = F.col("c_mktsegment")
@@ -151,6 +188,23 @@ class Tables:
 
     @cached_property
     def post_communities(self) -> DataFrame:
+        stored = self._stored("post_communities")
+        if stored is not None:
+            return stored
         """(post_id, community): F01 for every community at once."""
         return (self.post_tags.join(self.communities, "tag")
                 .select("post_id", "community").distinct())
+
+
+def materialize_views(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
+    """Write the canonical views once (parquet under ``out_dir``) and point
+    the session at them: later jobs read the stored tables instead of
+    re-deriving posts and entities from lineitem."""
+    t = Tables(spark, sf_dir)
+    spark.conf.unset(VIEWS_DIR_CONF)
+    for name in STORED_VIEWS:
+        df = getattr(t, name)
+        key = {"posts": "id", "users": "id", "communities": "tag"}.get(name, "post_id")
+        df.repartition(key).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{name}")
+    spark.conf.set(VIEWS_DIR_CONF, out_dir)
+    spark.conf.set(VIEWS_DIR_CONF + ".source", t.sf_dir)
