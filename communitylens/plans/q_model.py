@@ -334,3 +334,14 @@ def q_t14(spark, d):
     n = Normalizer(inputCol="v", outputCol="features", p=2.0).transform(e)
     km = KMeans(k=200, seed=42, maxIter=20).fit(n)
     return km.transform(n).select("vec_id", F.col("prediction").alias("cluster"))
+
+
+@query("min_max", f"""
+WITH ud AS ({ORACLE['uddin_features']}),
+s AS (SELECT {', '.join(f'min({c}) AS {c}_min, max({c}) AS {c}_max' for c in BEHAVIOUR)} FROM ud)
+SELECT ud.user_id, {', '.join(f'round(coalesce(({c} - {c}_min) / nullif(CAST({c}_max - {c}_min AS DOUBLE), 0), 0.0), 6) AS mm_{c}' for c in BEHAVIOUR)}
+FROM ud, s""")
+def q_m03_minmax(spark, d):
+    """M03 second form: min-max scaling to [0, 1] only."""
+    out = md.standardise(_uddin(Tables(spark, d)), list(BEHAVIOUR), "user_id")
+    return out.select("user_id", *[f"mm_{c}" for c in BEHAVIOUR])
