@@ -56,10 +56,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:  # not readable through the runtime conf on this session
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        # local runs and tests only: the cluster names a shared folder
         configured = tempfile.mkdtemp(prefix="communitylens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", configured)
+        try:
+            spark.conf.set("spark.checkpoint.dir", configured)
+        except Exception:  # a core conf may be read-only at run time
+            pass
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
