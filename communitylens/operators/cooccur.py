@@ -41,14 +41,18 @@ def cooccurring_tags_topn(post_tags: DataFrame, post_communities: DataFrame, com
 def tag_communities(post_tags: DataFrame, communities: DataFrame) -> DataFrame:
     """(tag, community) -- for posts with >= 2 tags whose tags meet
     >= 2 communities, every tag of the post (length > 1) is linked to all
-    communities of the post."""
-    n_tags = post_tags.groupBy("post_id").agg(F.count(F.lit(1)).alias("n_tags")).filter(F.col("n_tags") >= 2)
-    lt = _long_tags(post_tags).join(n_tags.select("post_id"), "post_id", "left_semi")
-    pcomm = lt.join(communities, "tag").select("post_id", "community").distinct()
-    good = (pcomm.groupBy("post_id").agg(F.count(F.lit(1)).alias("n_c")).filter(F.col("n_c") >= 2)
-            .select("post_id"))
-    return (lt.join(good, "post_id", "left_semi").join(pcomm, "post_id")
-            .select("tag", "community").distinct())
+    communities of the post.  One group-by per post (tag count, long tags
+    and their community set), then the post's own tags x communities,
+    which is bounded by the size of one post."""
+    long_tag = F.length(F.col("tag").cast("string")) >= 2
+    per_post = (post_tags.join(communities.select("tag", "community"), "tag", "left")
+                .groupBy("post_id").agg(
+                    F.count_distinct("tag").alias("n_tags"),
+                    F.collect_set(F.when(long_tag, F.col("tag"))).alias("tags"),
+                    F.collect_set(F.when(long_tag, F.col("community"))).alias("comms"))
+                .filter((F.col("n_tags") >= 2) & (F.size("comms") >= 2)))
+    return (per_post.select(F.explode("tags").alias("tag"), "comms")
+            .select("tag", F.explode("comms").alias("community")).distinct())
 
 
 def community_counts_per_tag(tag_comm: DataFrame) -> DataFrame:
