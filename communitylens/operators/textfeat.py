@@ -146,7 +146,10 @@ def vocabulary(doc_terms: DataFrame, n_docs, max_df: float = 0.99, max_features:
     """Kept terms (df <= max_df * N, the max_features most frequent)
     indexed 0.. in alphabetical order, as the vectoriser numbers them."""
     stats = doc_terms.groupBy("term").agg(F.count_distinct("doc").alias("df"), F.count(F.lit(1)).alias("cf"))
-    kept = stats.filter(F.col("df") <= n_docs * F.lit(max_df))
-    top = kept.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(max_features)
-    ranked = global_row_number(top.select("term", "cf"), ["term"])
+    kept = stats.filter(F.col("df") <= n_docs * F.lit(max_df)).select("term", "cf")
+    # the max_features most frequent terms via a range-partitioned global
+    # rank (no single-task merge of k rows per partition)
+    by_freq = global_row_number(kept, [F.col("cf").desc(), F.col("term").asc()])
+    top = by_freq.filter(F.col("row_number") <= max_features).drop("row_number")
+    ranked = global_row_number(top, ["term"])
     return ranked.select(F.col("term").alias("word"), (F.col("row_number") - 1).alias("index"), F.col("cf").alias("count"))
