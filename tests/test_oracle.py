@@ -36,3 +36,18 @@ def test_every_query_has_a_builder_and_most_an_oracle():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 150
+
+
+def test_materialized_views_give_the_same_results(spark, con):
+    import uuid
+
+    from communitylens.session import scratch_path
+    from communitylens.sources.tables import VIEWS_DIR_CONF, materialize_views
+    materialize_views(spark, SF, scratch_path(spark, f"views-test-{uuid.uuid4().hex[:8]}"))
+    try:
+        for key in ("content_stats", "community_similarity_by_tag"):
+            res = compare(E.queries()[key](spark, SF), E.oracle_sql()[key], con)
+            assert res["ok"], (key, res)
+    finally:
+        spark.conf.unset(VIEWS_DIR_CONF)
+        spark.conf.unset(VIEWS_DIR_CONF + ".source")
