@@ -17,6 +17,13 @@ from pyspark.sql import functions as F
 from communitylens.operators.stats import distribution_summary, iqr_outliers
 
 
+def _scalar(one_value: DataFrame):
+    """A one-row, one-column aggregate as a literal column (one number
+    reaches the driver; the outer plan needs no join)."""
+    v = one_value.first()[0]
+    return F.lit(v).cast("bigint") if isinstance(v, int) else F.lit(v)
+
+
 def _long_tags(post_tags: DataFrame, min_len: int = 2) -> DataFrame:
     return post_tags.filter(F.length(F.col("tag").cast("string")) >= min_len)
 
@@ -66,8 +73,11 @@ def upper_outliers(df: DataFrame, key: str, value_col: str) -> DataFrame:
     with one group)."""
     fences = iqr_outliers(df.select(F.lit(0).alias("_g"), F.col(value_col).cast("double").alias("_v")), ["_g"], "_v")
     hi = fences.filter(F.col("has_fences")).select((F.col("q3") + 1.5 * F.col("iqr")).alias("_hi"))
-    bound = hi.select(F.max("_hi")).scalar()
-    return df.filter(F.col(value_col).cast("double") > bound)
+    # one number: taken as a literal so the filter needs no join at all
+    bound = hi.agg(F.max("_hi")).first()[0]
+    if bound is None:
+        return df.filter(F.lit(False))
+    return df.filter(F.col(value_col).cast("double") > F.lit(float(bound)))
 
 
 def hashtag_community_presence(post_tags: DataFrame, communities: DataFrame) -> DataFrame:
@@ -76,11 +86,11 @@ def hashtag_community_presence(post_tags: DataFrame, communities: DataFrame) ->
     number of upper outliers."""
     tc = tag_communities(post_tags, communities)
     counts = community_counts_per_tag(tc)
-    n_c02 = tc.select(F.count_distinct("tag")).scalar()
-    n_all = _long_tags(post_tags).select(F.count_distinct("tag")).scalar()
+    n_c02 = _scalar(tc.select(F.count_distinct("tag")))
+    n_all = _scalar(_long_tags(post_tags).select(F.count_distinct("tag")))
     summ = distribution_summary(counts, "n_communities")
-    n_out = upper_outliers(counts, "tag", "n_communities").select(F.count(F.lit(1))).scalar()
-    n_multi = counts.select(F.count(F.lit(1))).scalar()
+    n_out = _scalar(upper_outliers(counts, "tag", "n_communities").select(F.count(F.lit(1))))
+    n_multi = _scalar(counts.select(F.count(F.lit(1))))
     return summ.select(
         n_c02.alias("n_tags_c02"), n_all.alias("n_tags_all"), n_multi.alias("n_multi"),
         "max", "p75", "p50", "p25", "min", "mean", n_out.alias("n_upper_outliers"),
@@ -122,9 +132,9 @@ def user_community_presence(posts: DataFrame, post_communities: DataFrame) -> Da
     uc = user_community_counts(posts, post_communities)
     multi = uc.filter(F.col("n_communities") > 1)
     summ = distribution_summary(multi, "n_communities")
-    n_out = upper_outliers(multi, "user_id", "n_communities").select(F.count(F.lit(1))).scalar()
-    n_users = uc.select(F.count(F.lit(1))).scalar()
-    n_multi = multi.select(F.count(F.lit(1))).scalar()
+    n_out = _scalar(upper_outliers(multi, "user_id", "n_communities").select(F.count(F.lit(1))))
+    n_users = _scalar(uc.select(F.count(F.lit(1))))
+    n_multi = _scalar(multi.select(F.count(F.lit(1))))
     return summ.select(n_users.alias("n_users"), n_multi.alias("n_multi"),
                        "max", "p75", "p50", "p25", "min", "mean", n_out.alias("n_upper_outliers")
                        ).withColumn("share_multi", F.try_divide(F.col("n_multi").cast("double"), F.col("n_users")))
