@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from communitylens.llm.u64map import U64Map
+
 #: Texts are cut here first: a run without white space and one space before
 #: it never shares a pre-token with what stands around it.
 CHUNK = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -91,43 +93,15 @@ class ByteBPE:
         self._pair_table()
 
     def _pair_table(self) -> None:
-        """(left id, right id) -> rank for every way to cut a token in two,
-        as an open-addressed table that numpy can probe."""
+        """(left id, right id) -> rank for every way to cut a token in two."""
         pairs = [(self.ranks[t[:i]] << 32 | self.ranks[t[i:]], r) for t, r in self.ranks.items()
                  for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        keys = np.array([k for k, _ in pairs], dtype=np.uint64)
-        vals = np.array([r for _, r in pairs], dtype=np.int64)
-        self.bits = max(8, int(len(pairs) * 4).bit_length())
-        self.table_keys = np.full(1 << self.bits, np.uint64(2**64 - 1), dtype=np.uint64)
-        self.table_vals = np.full(1 << self.bits, -1, dtype=np.int64)
-        slot, todo, self.probes = self._slot(keys), np.arange(len(keys)), 0
-        while len(todo):
-            free = todo[self.table_vals[slot[todo]] < 0]
-            at, winner = np.unique(slot[free], return_index=True)
-            placed = free[winner]
-            self.table_keys[at], self.table_vals[at] = keys[placed], vals[placed]
-            todo = np.setdiff1d(todo, placed, assume_unique=True)
-            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
-            self.probes += 1
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.pair_map = U64Map(np.array([k for k, _ in pairs], dtype=np.uint64))
+        self.pair_rank = np.array([r for _, r in pairs] + [-1], dtype=np.int64)  # -1: not found
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge rank of each pair of ids, -1 where the vocabulary has none."""
-        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
-        slot = self._slot(keys)
-        out = np.where(self.table_keys[slot] == keys, self.table_vals[slot], -1)
-        miss = np.flatnonzero((out < 0) & (self.table_vals[slot] >= 0))
-        for _ in range(self.probes):
-            if not len(miss):
-                break
-            slot[miss] = (slot[miss] + 1) & ((1 << self.bits) - 1)
-            at = slot[miss]
-            hit = self.table_keys[at] == keys[miss]
-            out[miss[hit]] = self.table_vals[at[hit]]
-            miss = miss[~hit & (self.table_vals[at] >= 0)]
-        return out
+        return self.pair_rank[self.pair_map.find(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64))]
 
     def merge_one(self, piece: bytes) -> list[int]:
         """Ids of one pre-token, one merge at a time (the plain rule)."""

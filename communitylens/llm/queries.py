@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from communitylens.llm import byte_bpe, exact_dedup, mixing
+from communitylens.llm import byte_bpe, context_tree, exact_dedup, mixing, ngram_join, quality_model
 from communitylens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,29 @@ def query(sql: str | None = None):
     return deco
 
 
+@query()
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its near-duplicate class and number of links."""
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learned outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = quality_model.crc_remainder(F.col("row.doc_id"), 5) == 0
+    return quality_model.score(docs.select("doc_id", "text"), model).select(
+        "row.doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query()
+def op2_context_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability and the unigram one beside it."""
+    return context_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query("""
 WITH n AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') AS w

@@ -1,16 +1,16 @@
-"""Word shingles as 64-bit hashes, vectorised per document batch."""
+"""Words and word shingles as 64-bit hashes, vectorised over many texts."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
 
-#: A word is a run of anything but the six ASCII white-space characters.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+WIDTH = 5
+#: Bytes of text hashed at a time; keeps the arrays in the processor's cache.
+BATCH_BYTES = 600_000
 
-_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 _U = np.uint64
 
 
@@ -23,43 +23,63 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def words(text: str | None, lower: bool = True) -> list[str]:
-    """The words of a text, A-Z in lower case; null has none."""
-    if not text:
-        return []
-    return WORD.findall(text.translate(_ASCII_LOWER) if lower else text)
+def words(text: str | None) -> list[bytes]:
+    """The words of a text in UTF-8, A-Z in lower case; null has none.
+    ``bytes.split`` cuts at the six ASCII white-space characters."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-class WordHasher:
-    """64-bit hashes of words, remembered while the memory stays small."""
+def word_hashes(ws: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, ws), dtype=np.uint64, count=len(ws))
 
-    def __init__(self, limit: int = 400_000):
-        self.limit = limit
-        self.seen: dict[str, int] = {}
 
-    def __call__(self, ws: list[str]) -> np.ndarray:
-        seen = self.seen
-        if len(seen) > self.limit:
-            seen.clear()
-        for w in set(ws).difference(seen):
-            seen[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(seen.__getitem__, ws), dtype=np.uint64, count=len(ws))
-
-
-def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every run of ``width`` words; a shorter text is one shingle."""
-    n = len(hashes)
-    if n == 0:
-        return hashes
-    k = min(width, n)
-    out = np.full(n - k + 1, _U(k), dtype=np.uint64)
+def _rolled(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words that begin at each word."""
+    n = len(h) - k + 1
+    out = np.full(n, _U(k), dtype=np.uint64)
     for i in range(k):
-        out = mix64(out * _U(0x9E3779B97F4A7C15) + hashes[i:n - k + 1 + i])
+        out = mix64(out * _U(0x9E3779B97F4A7C15) + h[i:i + n])
     return out
 
 
-def shingle_set(text: str | None, hasher: WordHasher, width: int = 5) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text (empty for a text without words)."""
-    s = shingle_hashes(hasher(words(text)), width)
-    s.sort()
+def shingle_batch(texts: list[str | None], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all texts, one text after the other, and how many
+    each has: one for each run of ``width`` words.  A text of fewer words is
+    one shingle, a text without words has none."""
+    each = [word_hashes(words(t)) for t in texts]
+    lens = np.array([len(h) for h in each], dtype=np.int64)
+    counts = np.where(lens >= width, lens - width + 1, np.minimum(lens, 1))
+    flat = np.concatenate(each) if each else np.zeros(0, _U)
+    out = np.empty(int(counts.sum()), dtype=np.uint64)
+    if len(flat) >= width:
+        rolled = _rolled(flat, width)
+        long = lens >= width
+        first = np.concatenate(([0], np.cumsum(lens)))[:-1][long]
+        n = counts[long]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        out[np.repeat(long, counts)] = rolled[at]
+    short = np.flatnonzero((lens > 0) & (lens < width))
+    if len(short):
+        begin = np.cumsum(counts) - counts
+        for i in short:
+            out[begin[i]] = _rolled(each[i], len(each[i]))[0]
+    return out, counts
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    s = np.sort(hashes)
     return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
+
+
+def in_batches(texts: Iterable[str | None], size: int = BATCH_BYTES) -> Iterator[list[str | None]]:
+    """Runs of texts of about ``size`` characters, at least one text each."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t or "")
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
