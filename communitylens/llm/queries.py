@@ -11,7 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from communitylens.llm import byte_bpe, context_tree, exact_dedup, mixing, ngram_join, quality_model
+from communitylens.llm import (
+    byte_bpe,
+    context_tree,
+    exact_dedup,
+    fingerprints,
+    html_text,
+    mixing,
+    ngram_join,
+    quality_model,
+    token_counts,
+    warc,
+)
 from communitylens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +79,42 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")))
 
 
+@query()
+def op5_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Every document's tokens, counted in flat token files of all texts."""
+    import public_tokenizers
+    ranks = byte_bpe.read_vocabulary(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, by_split=True)
+
+
+@query()
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint beside its edited text's and the next one's."""
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query("""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT h, max(page_id) AS original FROM p GROUP BY h)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(0, 8), lambda i: list_aggregate(list_transform([15, 10, 5, 0], lambda s:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (5 * i + 1)::INT, 5))::BIGINT >> s) & 31) + 1)::INT, 1)),
+    'string_agg', '')), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> original THEN original END AS refers_to
+FROM p JOIN k USING (h)""")
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as archived and read back, in order of the merged index."""
+    return (warc.capture_histories(table(spark, sf_dir, "pages"))
+            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
 @query()
 def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """Every whole text encoded and decoded with the 50k byte-level ranks."""
