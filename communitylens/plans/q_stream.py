@@ -31,20 +31,19 @@ def q_r01(spark, d):
 @query("stream_dedup", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def q_r02(spark, d):
     ev = Tables(spark, d).events
-    once = pj.event_feed(ev, None).withColumn("_order", F.lit(0))
-    js = pj.event_feed(ev.filter(F.col("event_type") == DUPLICATED_TYPE), None).withColumn("_order", F.lit(1))
-    feed = once.unionByName(js)
-    # order the landed files by event time so that re-deliveries arrive close to the original
-    feed = feed.withColumn("_t", F.get_json_object("value", "$.ts")).withColumn(
-        "_order", F.concat(F.col("_t"), F.lit("#"), F.col("_order").cast("string"))).drop("_t")
+    again = ev.filter(F.col("event_type") == DUPLICATED_TYPE)
+    feed = pj.event_feed(ev, None).select("value").unionByName(pj.event_feed(again, None).select("value"))
     out = st.stream_dedup(spark, feed)
     return out.select("event_id", F.col("event_time").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props")
 
 
-@query("stream_quarantine", f"SELECT event_id FROM events WHERE event_type = '{BROKEN_TYPE}'")
+@query("stream_quarantine", f"""
+SELECT event_id, CASE WHEN event_type = '{BROKEN_TYPE}' THEN 'quarantine' ELSE 'good' END AS sink,
+       CASE WHEN event_type = '{BROKEN_TYPE}' THEN NULL ELSE user_id END AS user_id FROM events""")
 def q_r03(spark, d):
-    _, bad = st.stream_quarantine(spark, pj.event_feed(Tables(spark, d).events, BROKEN_TYPE))
-    return bad.select("event_id")
+    good, bad = st.stream_quarantine(spark, pj.event_feed(Tables(spark, d).events, BROKEN_TYPE))
+    return (good.select("event_id", F.lit("good").alias("sink"), "user_id")
+            .unionByName(bad.select("event_id", F.lit("quarantine").alias("sink"), F.lit(None).cast("bigint").alias("user_id"))))
 
 
 @query("stream_progress", "SELECT count(*) AS n FROM events")

@@ -1,9 +1,11 @@
 """Structured Streaming jobs over the post and event feeds.
 
 Every job reads a folder of JSON-line files with the file source, runs to
-completion with ``availableNow`` (each micro-batch bounded by
-``maxFilesPerTrigger``), writes a checkpointed sink under the shared
-checkpoint folder and returns the sink read back as a batch table.
+completion with ``availableNow``, writes a checkpointed sink under the shared
+checkpoint folder and returns the sink read back as a batch table.  A
+micro-batch holds ``max_bytes`` of input at most; sinks written from
+``foreachBatch`` use a folder for each batch and overwrite it, so a batch that is
+run again writes the same rows once.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from communitylens.session import scratch_path
 from communitylens.sources import post_json as pj
 from communitylens.sources.post_json import EVENT_SCHEMA
 
-BATCH_RECORDS = 1_000  # one micro-batch per file of at most 1 000 records
+FILE_RECORDS = 1_000_000   # records in one landed feed file
+MAX_BYTES = 64 << 30       # input of one micro-batch
 
 
 def _run(spark: SparkSession, name: str):
@@ -25,10 +28,17 @@ def _run(spark: SparkSession, name: str):
     return base, f"{base}/feed", f"{base}/out", f"{base}/checkpoint"
 
 
-def write_feed(lines: DataFrame, path: str, order_col: str | None = None) -> None:
-    """Land a feed as JSON-line files of at most BATCH_RECORDS records."""
-    df = lines.orderBy(order_col).drop(order_col) if order_col else lines
-    df.write.mode("overwrite").option("maxRecordsPerFile", BATCH_RECORDS).text(path)
+def write_feed(lines: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
+    """Land a feed as JSON-line files; no job below depends on their order."""
+    lines.select("value").write.mode("append").option("maxRecordsPerFile", file_records).text(path)
+
+
+def _source(spark: SparkSession, feed: str, max_bytes: int) -> DataFrame:
+    return spark.readStream.option("maxBytesPerTrigger", max_bytes).text(feed)
+
+
+def _finish(writer, ckpt: str) -> None:
+    writer.option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
 
 
 def ingest_table(parsed: DataFrame) -> DataFrame:
@@ -41,15 +51,12 @@ def ingest_table(parsed: DataFrame) -> DataFrame:
     return parsed.select(*flat, *arrays, *ents[4:])
 
 
-def stream_ingest(spark: SparkSession, feed_lines: DataFrame) -> DataFrame:
-    """Post feed -> parse (S02) + entities (S03) -> parquet table,
-    one micro-batch per 1 000 records."""
+def stream_ingest(spark: SparkSession, feed_lines: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Post feed -> parse (S02) + entities (S03) -> parquet table."""
     _, feed, out, ckpt = _run(spark, "ingest")
     write_feed(feed_lines, feed)
-    src = spark.readStream.option("maxFilesPerTrigger", 1).text(feed)
-    q = (ingest_table(pj.parse_post_json(src)).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
+    rows = ingest_table(pj.parse_post_json(_source(spark, feed, max_bytes)))
+    _finish(rows.writeStream.format("parquet").option("path", out), ckpt)
     return spark.read.parquet(out)
 
 
@@ -59,71 +66,75 @@ def parse_events(src: DataFrame) -> DataFrame:
     return j.select("j.*").withColumn("event_time", F.to_timestamp("ts"))
 
 
-def stream_dedup(spark: SparkSession, feed_lines: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The same event id arriving twice becomes one row: watermark on
-    the event time plus dropDuplicatesWithinWatermark (bounded state)."""
-    _, feed, out, ckpt = _run(spark, "dedup")
-    write_feed(feed_lines, feed, "_order")
-    src = spark.readStream.option("maxFilesPerTrigger", 1).text(feed)
-    ev = parse_events(src).filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    d = ev.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
-    q = (d.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+def dedup_feed(spark: SparkSession, feed: str, out: str, ckpt: str, delay: str | None = None,
+               max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Deduplicate the event files of a folder into ``out``.
+
+    By default state is keyed by event id and no row is ever late, so the
+    result is right in any file order.  ``delay`` bounds the state for a
+    caller who knows how late a repeat can come: rows later than that
+    behind the watermark are then dropped, and only then."""
+    ev = parse_events(_source(spark, feed, max_bytes)).filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    once = (ev.dropDuplicates(["event_id"]) if delay is None
+            else ev.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"]))
+    _finish(once.writeStream.format("parquet").option("path", out), ckpt)
     return spark.read.parquet(out)
 
 
-def stream_quarantine(spark: SparkSession, feed_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good records to the table, broken ones to a quarantine sink
-    (two writes per micro-batch in foreachBatch); processing goes on."""
+def stream_dedup(spark: SparkSession, feed_lines: DataFrame, delay: str | None = None,
+                 max_bytes: int = MAX_BYTES, file_records: int = FILE_RECORDS) -> DataFrame:
+    """The same event id arriving twice becomes one row."""
+    _, feed, out, ckpt = _run(spark, "dedup")
+    write_feed(feed_lines, feed, file_records)
+    return dedup_feed(spark, feed, out, ckpt, delay, max_bytes)
+
+
+def stream_quarantine(spark: SparkSession, feed_lines: DataFrame, max_bytes: int = MAX_BYTES
+                      ) -> tuple[DataFrame, DataFrame]:
+    """Good records to the table, broken ones to a quarantine sink (two
+    writes of one parsed micro-batch); processing goes on."""
     base, feed, _, ckpt = _run(spark, "quarantine")
     good_path, bad_path = f"{base}/good", f"{base}/quarantine"
     write_feed(feed_lines, feed)
-    src = spark.readStream.option("maxFilesPerTrigger", 1).text(feed)
-    parsed = parse_events(src)
+    parsed = parse_events(_source(spark, feed, max_bytes))
 
     def write_both(batch: DataFrame, epoch_id: int):
+        batch.persist()
         bad = F.col("_corrupt_record").isNotNull()
         rid = F.regexp_extract(F.col("_corrupt_record"), r"\"event_id\":(\d+)", 1)
-        batch.filter(~bad).drop("_corrupt_record").write.mode("append").parquet(good_path)
+        (batch.filter(~bad).drop("_corrupt_record").write.mode("overwrite").parquet(f"{good_path}/epoch={epoch_id}"))
         (batch.filter(bad).select(F.when(rid != "", rid.cast("bigint")).alias("event_id"),
-                                  F.col("_corrupt_record").alias("raw"), F.lit(epoch_id).alias("epoch"))
-         .write.mode("append").parquet(bad_path))
+                                  F.col("_corrupt_record").alias("raw"))
+         .write.mode("overwrite").parquet(f"{bad_path}/epoch={epoch_id}"))
+        batch.unpersist()
 
-    q = parsed.writeStream.foreachBatch(write_both).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
-    q.awaitTermination()
+    _finish(parsed.writeStream.foreachBatch(write_both), ckpt)
     return spark.read.parquet(good_path), spark.read.parquet(bad_path)
 
 
-def stream_progress(spark: SparkSession, feed_lines: DataFrame) -> DataFrame:
+def stream_progress(spark: SparkSession, feed_lines: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Running count of processed records (complete-mode aggregate of
     one row), read back after the run."""
     _, feed, out, ckpt = _run(spark, "progress")
     write_feed(feed_lines, feed)
-    src = spark.readStream.option("maxFilesPerTrigger", 1).text(feed)
-    counts = src.groupBy().agg(F.count(F.lit(1)).alias("n"))
+    counts = _source(spark, feed, max_bytes).groupBy().agg(F.count(F.lit(1)).alias("n"))
 
-    def keep_latest(batch: DataFrame, epoch_id: int):
-        batch.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(out)
+    def keep(batch: DataFrame, epoch_id: int):
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
 
-    q = (counts.writeStream.outputMode("complete").foreachBatch(keep_latest).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    hist = spark.read.parquet(out)
-    return hist.agg(F.max_by("n", "epoch").alias("n"), F.count(F.lit(1)).alias("n_batches")).select("n")
+    _finish(counts.writeStream.outputMode("complete").foreachBatch(keep), ckpt)
+    return spark.read.parquet(out).agg(F.max_by("n", "epoch").alias("n"))
 
 
-def stream_filter(spark: SparkSession, feed_lines: DataFrame, keywords: DataFrame, langs=("en",)) -> DataFrame:
+def stream_filter(spark: SparkSession, feed_lines: DataFrame, keywords: DataFrame, langs=("en",),
+                  max_bytes: int = MAX_BYTES) -> DataFrame:
     """F08 + F09 on the post feed: language filter, then a stream-static
     semi join of the text tokens with the tracked keyword table."""
     _, feed, out, ckpt = _run(spark, "filter")
     write_feed(feed_lines, feed)
-    src = spark.readStream.option("maxFilesPerTrigger", 1).text(feed)
+    src = _source(spark, feed, max_bytes)
     parsed = pj.parse_post_json(src).select("id", "lang", "status_text").filter(F.col("lang").isin(*langs))
     toks = parsed.select("id", "status_text", F.explode(F.split(F.lower("status_text"), r"\s+")).alias("keyword"))
     hits = toks.join(keywords.select(F.lower("keyword").alias("keyword")).distinct(), "keyword", "left_semi")
-    kept = hits.select("id", "status_text")
-    q = (kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    _finish(hits.select("id", "status_text").writeStream.format("parquet").option("path", out), ckpt)
     return spark.read.parquet(out).distinct()

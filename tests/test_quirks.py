@@ -169,16 +169,23 @@ def test_kappa_disjoint_and_shared_labels(spark):
 
 
 def test_stream_dedup_and_quarantine(spark):
+    from communitylens.session import scratch_path
     from communitylens.sources import post_json as pj
     from communitylens.streaming import stream as st
     ev = spark.createDataFrame(
-        [(1, datetime(2024, 1, 1, 0, 0), 5, "view", 1.0, "{}"), (2, datetime(2024, 1, 1, 0, 1), 5, "error", 2.0, "{}")],
+        [(i, datetime(2024, 1, 1 + i % 20, i % 24, 0), 5, "error" if i % 7 == 0 else "view", 1.0, "{}") for i in range(1, 201)],
         "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
     feed = pj.event_feed(ev, None)
-    twice = feed.unionByName(feed).withColumn("_order", F.lit("0"))
-    out = st.stream_dedup(spark, twice)
-    assert sorted(r["event_id"] for r in out.collect()) == [1, 2]
+    # several files, newest events first, every file's events again in a later file
+    path = scratch_path(spark, "feed-out-of-order")
+    for part in ("event_id > 150", "event_id <= 60", "event_id > 150", "event_id BETWEEN 61 AND 150", "event_id <= 60"):
+        st.write_feed(pj.event_feed(ev.filter(part), None).coalesce(1), path, file_records=40)
+    out = st.dedup_feed(spark, path, path + "-out", path + "-ckpt", max_bytes=4096)
+    assert sorted(r["event_id"] for r in out.collect()) == list(range(1, 201))
+    twice = st.stream_dedup(spark, feed.unionByName(feed).repartition(4), file_records=30)
+    assert sorted(r["event_id"] for r in twice.collect()) == list(range(1, 201))
     good, bad = st.stream_quarantine(spark, pj.event_feed(ev, "error").unionByName(
-        spark.createDataFrame([("{not json",)], "value string")))
-    assert sorted(r["event_id"] for r in good.collect()) == [1]
-    assert sorted((r["event_id"] is None) for r in bad.collect()) == [False, True]
+        spark.createDataFrame([("{not json",)], "value string")), max_bytes=4096)
+    assert sorted(r["event_id"] for r in good.collect()) == [i for i in range(1, 201) if i % 7]
+    assert sorted(r["event_id"] or 0 for r in bad.collect()) == [0] + [i for i in range(1, 201) if i % 7 == 0]
+
