@@ -37,7 +37,7 @@ def extract_hashtags(text) -> Column:
 
 def extract_hashtags_hyphen(text) -> Column:
     """Hashtags incl. hyphens, without the '#'."""
-    return F.transform(F.regexp_extract_all(_c(text), F.lit(HASHTAG_HYPHEN_PATTERN), 0), lambda h: F.substring(h, 2, 1 << 30))
+    return F.transform(F.regexp_extract_all(_c(text), F.lit(HASHTAG_HYPHEN_PATTERN), 0), lambda h: F.substr(h, F.lit(2)))
 
 
 def append_hashtag_words(text) -> Column:

@@ -22,8 +22,9 @@ def set_union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def set_except(a: DataFrame, b: DataFrame) -> DataFrame:
-    """E04."""
-    return a.exceptAll(b).distinct()
+    """Distinct rows of ``a`` that do not occur in ``b`` at all, however
+    often they occur in ``a``."""
+    return a.subtract(b)
 
 
 def retain_only(a: DataFrame, allowed: DataFrame, key: str) -> DataFrame:

@@ -76,30 +76,52 @@ def proto_terms(items: DataFrame, n: int = 100, min_df: int = 2) -> DataFrame:
     return top_per_class(sc, "score", n).select("class", "word", "score", "rank")
 
 
-def dictionary_match(user_tokens: DataFrame, dictionary: DataFrame, labels) -> DataFrame:
-    """Per user and dictionary over the *set* of the user's tokens:
-    score sum, match count, max score and any match; one column group per
-    dictionary label (``labels`` = the bounded label list), 0 when none."""
+def dictionary_match(user_tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(user, dict, score_sum, match_count, max_score, any_match) over
+    the *set* of the user's tokens, a row for every user and dictionary
+    (zeros without a match), whatever dictionaries there are."""
     toks = user_tokens.select("user", "word").distinct()
     m = toks.join(dictionary.select(F.col("class").alias("dict"), "word", "score"), "word")
-    g = m.groupBy("user").pivot("dict", list(labels)).agg(
-        F.sum("score").alias("score_sum"), F.count(F.lit(1)).alias("match_count"), F.max("score").alias("max_score"))
-    out = user_tokens.select("user").distinct().join(g, "user", "left").na.fill(0)
-    for lab in labels:
-        out = out.withColumn(f"{lab}_any_match", (F.col(f"{lab}_match_count") > 0).cast("int"))
-    return out
-
-
-def gazetteer_match(user_tokens: DataFrame, gazetteers: dict) -> DataFrame:
-    """Per user and list a 0/1 flag (token in the list; professions
-    also match tokens ending in 'ist')."""
-    cols = []
-    for name, words in gazetteers.items():
-        hit = F.col("word").isin(*words)
-        if name == "profession":
-            hit = hit | F.col("word").endswith("ist")
-        cols.append(F.max(hit.cast("int")).alias(f"has_{name}"))
-    return user_tokens.groupBy("user").agg(*cols)
+    g = m.groupBy("user", "dict").agg(F.sum("score").alias("score_sum"), F.count(F.lit(1)).alias("match_count"),
+                                      F.max("score").alias("max_score"))
+    return (with_all_dictionaries(user_tokens, dictionary.select(F.col("class").alias("dict")))
+            .join(g, ["user", "dict"], "left").na.fill(0)
+            .withColumn("any_match", (F.col("match_count") > 0).cast("int")))
+
+
+def with_all_dictionaries(user_tokens: DataFrame, dicts: DataFrame) -> DataFrame:
+    """(user, dict) for every user and dictionary: the list of dictionary
+    names is one row, exploded beside each user."""
+    names = dicts.agg(F.array_sort(F.collect_set("dict")).alias("names")).select("names").scalar()
+    return user_tokens.select("user").distinct().select("user", F.explode(names).alias("dict"))
+
+
+def entry_shares(user_tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(user, dictionary, entry, share, n_entries).  A row with entry
+    null for every user and dictionary: the share of the user's tokens that
+    are entries (0 without a hit) and the number of different entries; and a
+    row for each entry that occurs: its relative frequency."""
+    n = user_tokens.groupBy("user").agg(F.count(F.lit(1)).alias("n"))
+    hits = (user_tokens.join(dictionary.select("dictionary", "word"), "word").groupBy("user", "dictionary", "word")
+            .agg(F.count(F.lit(1)).alias("hits")).join(n, "user"))
+    entries = hits.select("user", "dictionary", F.col("word").alias("entry"), (F.col("hits") / F.col("n")).alias("share"),
+                          F.lit(1).cast("bigint").alias("n_entries"))
+    totals = hits.groupBy("user", "dictionary").agg((F.sum("hits") / F.first("n")).alias("share"),
+                                                    F.count(F.lit(1)).alias("n_entries"))
+    every = with_all_dictionaries(user_tokens, dictionary.select(F.col("dictionary").alias("dict")))
+    zeros = (every.withColumnRenamed("dict", "dictionary").join(totals, ["user", "dictionary"], "left").na.fill(0)
+             .select("user", "dictionary", F.lit(None).cast("string").alias("entry"), "share", "n_entries"))
+    return entries.unionByName(zeros)
+
+
+def gazetteer_match(user_tokens: DataFrame, lists: DataFrame, names=("title", "profession")) -> DataFrame:
+    """Per user and list of ``lists`` (list, word) a 0/1 flag (a token is
+    in the list; professions also match tokens ending in 'ist')."""
+    hits = (user_tokens.join(lists, "word").select("user", "list")
+            .unionByName(user_tokens.filter(F.col("word").endswith("ist")).select("user", F.lit("profession").alias("list")))
+            .distinct())
+    flags = hits.groupBy("user").agg(*[F.max((F.col("list") == n).cast("int")).alias(f"has_{n}") for n in names])
+    return user_tokens.select("user").distinct().join(flags, "user", "left").na.fill(0)
 
 
 def tfidf(doc_terms: DataFrame, n_docs, min_df: int = 2, max_df: float = 0.501,
@@ -112,7 +134,9 @@ def tfidf(doc_terms: DataFrame, n_docs, min_df: int = 2, max_df: float = 0.501,
     tf = doc_terms.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= n_docs * F.lit(max_df)))
-    top = kept.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(max_features)
+    # the most frequent terms by a range-partitioned rank: nothing is merged in one task
+    top = (global_row_number(kept, [F.col("cf").desc(), F.col("term").asc()])
+           .filter(F.col("row_number") <= max_features))
     idf = F.log(n_docs.cast("double") / F.col("df")) + 1.0
     return (tf.join(top.select("term", "df"), "term")
             .select("doc", "term", "tf", F.round(F.col("tf") * idf, 6).alias("weight")))

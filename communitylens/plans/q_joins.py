@@ -76,7 +76,7 @@ SELECT p_brand, CASE WHEN CAST(substr(p_brand, 7) AS INTEGER) <= 12 THEN 'ch' EL
 
 
 def category_flags(part):
-    num = F.substring("p_brand", 7, 10).cast("int")
+    num = F.substr("p_brand", F.lit(7)).cast("int")
     b = part.select("p_brand").distinct()
     c1 = b.select(F.col("p_brand").alias("tag"), F.when(num % 2 == 1, "c").otherwise("uc").alias("category"))
     c2 = b.select(F.col("p_brand").alias("tag"), F.when(num <= 12, "ch").otherwise("ac").alias("category"))
@@ -157,15 +157,20 @@ def q_j12(spark, d):
 
 
 @query("drop_ids_across_tables", """
-SELECT r.user_id, r.newtweet_count, r.retweet_count FROM user_rollup r
-WHERE r.user_id NOT IN (SELECT id FROM users WHERE user_desc IS NULL OR length(trim(user_desc)) = 0)""")
+WITH ok AS (SELECT id FROM users WHERE NOT (user_desc IS NULL OR length(trim(user_desc)) = 0))
+SELECT 'posts' AS table_name, r.user_id, r.newtweet_count AS value FROM user_rollup r WHERE r.user_id IN (SELECT id FROM ok)
+UNION ALL SELECT 'favourites', r.user_id, r.favorited_count FROM user_rollup r WHERE r.user_id IN (SELECT id FROM ok)
+UNION ALL SELECT 'profiles', u.id, CAST(length(u.user_desc) AS BIGINT) FROM users u WHERE u.id IN (SELECT id FROM ok)""")
 def q_j13(spark, d):
     t = Tables(spark, d)
     bad = t.users.filter(F.col("user_desc").isNull() | (F.length(F.trim("user_desc")) == 0)).select(F.col("id").alias("user_id"))
-    r = stats.user_rollup(t.posts).select("user_id", "newtweet_count", "retweet_count")
-    feats = stats.user_rollup(t.posts).select("user_id", "favorited_count")
-    kept_r, _kept_f = jn.drop_ids_across_tables(bad, "user_id", r, feats)
-    return kept_r
+    rollup = stats.user_rollup(t.posts)
+    tables = {"posts": rollup.select("user_id", F.col("newtweet_count").cast("bigint").alias("value")),
+              "favourites": rollup.select("user_id", F.col("favorited_count").cast("bigint").alias("value")),
+              "profiles": t.users.select(F.col("id").alias("user_id"), F.length("user_desc").cast("bigint").alias("value"))}
+    kept = jn.drop_ids_across_tables(bad, "user_id", *tables.values())
+    parts = [k.select(F.lit(n).alias("table_name"), "user_id", "value") for n, k in zip(tables, kept)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("enrich_user_profile", """

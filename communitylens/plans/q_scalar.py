@@ -173,7 +173,7 @@ FROM posts""")
 def q_x14(spark, d):
     p = Tables(spark, d).posts
     s = F.date_format(F.col("created_at"), "EEE MMM dd HH:mm:ss +0000 yyyy")
-    parsed = F.to_timestamp(F.substring(s, 5, 100), "MMM dd HH:mm:ss Z yyyy").cast("timestamp_ntz")
+    parsed = F.to_timestamp(F.substr(s, F.lit(5)), "MMM dd HH:mm:ss Z yyyy").cast("timestamp_ntz")
     return p.select("id", s.alias("created_at_str"), parsed.alias("parsed"))
 
 

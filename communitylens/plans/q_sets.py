@@ -37,10 +37,14 @@ def q_e03(spark, d):
     return st.set_union(_tags_of(t, A), _tags_of(t, B))
 
 
-@query("set_except", f"{_TAGS.format(A)} EXCEPT SELECT tag FROM excluded_tags")
+@query("set_except", """
+SELECT pt.tag FROM post_communities pc JOIN post_tags pt ON pc.post_id = pt.post_id WHERE pc.community = '{a}'
+EXCEPT SELECT tag FROM excluded_tags""".format(a=A))
 def q_e04(spark, d):
     t = Tables(spark, d)
-    return st.set_except(_tags_of(t, A), outlier_exclusion_list(t.post_tags, t.communities, 100).select("tag"))
+    # one row per post and tag: a tag repeats as often as posts of the community carry it
+    used = t.post_communities.filter(F.col("community") == A).join(t.post_tags, "post_id").select("tag")
+    return st.set_except(used, outlier_exclusion_list(t.post_tags, t.communities, 100).select("tag"))
 
 
 @query("retain_only", f"SELECT tag FROM ({_TAGS.format(A)}) x WHERE tag IN (SELECT tag FROM communities)")

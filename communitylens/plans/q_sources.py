@@ -196,19 +196,15 @@ WITH m AS (SELECT DISTINCT pc.community AS g, lt.tag AS e FROM post_communities
            WHERE lt.tag NOT IN (SELECT tag FROM excluded_tags)),
 sz AS (SELECT g, count(*) AS n FROM m GROUP BY g),
 ov AS (SELECT a.g AS g1, b.g AS g2, count(*) AS inter FROM m a JOIN m b ON a.e = b.e AND a.g < b.g GROUP BY a.g, b.g),
-s AS (SELECT g1, g2, inter / (s1.n + s2.n - inter) AS similarity FROM ov JOIN sz s1 ON ov.g1 = s1.g JOIN sz s2 ON ov.g2 = s2.g),
-sym AS (SELECT g1 AS community, g2 AS c, similarity FROM s UNION ALL SELECT g2, g1, similarity FROM s)
-SELECT * FROM (PIVOT sym ON c USING first(similarity) GROUP BY community)""")
+s AS (SELECT g1, g2, inter / (s1.n + s2.n - inter) AS similarity FROM ov JOIN sz s1 ON ov.g1 = s1.g JOIN sz s2 ON ov.g2 = s2.g)
+SELECT g1 AS community, g2 AS other, similarity FROM s UNION ALL SELECT g2, g1, similarity FROM s""")
 def q_s16(spark, d):
     t = Tables(spark, d)
     excl = outlier_exclusion_list(t.post_tags, t.communities, 100)
     pairs = jaccard_pairs(community_tag_sets(t.post_tags, t.post_communities, excl), "community", "tag")
-    # The column list is the (dictionary-bounded) set of community names.
-    names = sorted(r[0] for r in pairs.select("community1").union(pairs.select("community2")).distinct()
-                   .limit(10_001).collect())
-    if len(names) > 10_000:
-        raise ValueError("too many communities for a wide matrix; use the long form")
-    return sinks.wide_matrix(pairs, "community1", "community2", "similarity", names)
+    path = _scratch(spark, "matrix")
+    sinks.long_matrix(pairs, "community1", "community2", "similarity").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @query("quarantine_bad_records", """

@@ -114,37 +114,39 @@ def q_t04h(spark, d):
     return tf.proto_terms(items, PROTO_TOP)
 
 
-def _match_sql(dict_view: str, labels) -> str:
-    cols = []
-    for lab in labels:
-        cols += [f"coalesce(sum(CASE WHEN m.dict = '{lab}' THEN m.score END), 0.0) AS {lab}_score_sum",
-                 f"count(CASE WHEN m.dict = '{lab}' THEN 1 END) AS {lab}_match_count",
-                 f"coalesce(max(CASE WHEN m.dict = '{lab}' THEN m.score END), 0.0) AS {lab}_max_score",
-                 f"CAST(count(CASE WHEN m.dict = '{lab}' THEN 1 END) > 0 AS INTEGER) AS {lab}_any_match"]
+def _match_sql(dict_view: str) -> str:
     return f"""
-WITH toks AS (SELECT DISTINCT "user", word FROM doc_tokens),
-m AS (SELECT t."user", d.class AS dict, d.score FROM toks t JOIN ({dict_view}) d ON t.word = d.word)
-SELECT u."user", {', '.join(cols)} FROM (SELECT DISTINCT "user" FROM doc_tokens) u LEFT JOIN m ON u."user" = m."user"
-GROUP BY u."user\""""
+WITH toks AS (SELECT DISTINCT "user", word FROM doc_tokens), dv AS ({dict_view}),
+m AS (SELECT t."user", dv.class AS dict, sum(dv.score) AS score_sum, count(*) AS match_count, max(dv.score) AS max_score
+      FROM toks t JOIN dv ON t.word = dv.word GROUP BY t."user", dv.class)
+SELECT u."user", l.dict, coalesce(m.score_sum, 0.0) AS score_sum, coalesce(m.match_count, 0) AS match_count,
+       coalesce(m.max_score, 0.0) AS max_score, CAST(m.match_count IS NOT NULL AS INTEGER) AS any_match
+FROM (SELECT DISTINCT "user" FROM doc_tokens) u, (SELECT DISTINCT class AS dict FROM dv) l
+LEFT JOIN m ON m."user" = u."user" AND m.dict = l.dict"""
 
 
-@query("dictionary_match", _match_sql("SELECT class, word, score FROM t_goodness", LANGS))
+@query("dictionary_match", _match_sql("SELECT class, word, score FROM t_goodness"))
 def q_t05(spark, d):
     t = Tables(spark, d)
-    dic_ = tf.class_word_goodness(_pass1(t))
-    labels = sorted(r[0] for r in dic_.select("class").distinct().limit(1001).collect())  # bounded label list
-    return tf.dictionary_match(_doc_tokens(t), dic_, labels)
+    return tf.dictionary_match(_doc_tokens(t), tf.class_word_goodness(_pass1(t)))
 
 
 _MANUAL_ROWS = [(lab, w) for lab, ws in MANUAL_DICTIONARIES.items() for w in ws]
 _MANUAL_SQL = " UNION ALL ".join(f"SELECT '{lab}' AS class, '{w}' AS word, 0.0 AS score" for lab, w in _MANUAL_ROWS)
 
 
-@query("manual_dictionary_match", _match_sql(_MANUAL_SQL, sorted(MANUAL_DICTIONARIES)))
+def manual_dictionary(spark):
+    """The manual dictionaries as read from their list files (one word a
+    line, the file's name is the dictionary's)."""
+    base = scratch_path(spark, f"lists-{uuid.uuid4().hex[:12]}")
+    for lab, ws in MANUAL_DICTIONARIES.items():
+        dic.write_text_file(spark, f"{base}/{lab}.txt", "\n".join(ws) + "\n")
+    return dic.read_word_lists(spark, base).select(F.col("list").alias("class"), "word", F.lit(0.0).alias("score"))
+
+
+@query("manual_dictionary_match", _match_sql(_MANUAL_SQL))
 def q_t06(spark, d):
-    t = Tables(spark, d)
-    manual = spark.createDataFrame([(lab, w, 0.0) for lab, w in _MANUAL_ROWS], "class string, word string, score double")
-    return tf.dictionary_match(_doc_tokens(t), manual, sorted(MANUAL_DICTIONARIES))
+    return tf.dictionary_match(_doc_tokens(Tables(spark, d)), manual_dictionary(spark))
 
 
 def _register_t07():
@@ -154,20 +156,20 @@ def _register_t07():
     sql = f"""
 WITH pw AS ({proto}),
 n AS (SELECT "user", count(*) AS n FROM doc_tokens GROUP BY "user"),
-m AS (SELECT t."user", pw.class AS dictionary, count(*) AS hits, count(DISTINCT t.word) AS n_entries
-      FROM doc_tokens t JOIN pw ON t.word = pw.word GROUP BY t."user", pw.class)
-SELECT m."user", m.dictionary, m.hits / n.n AS share, m.n_entries FROM m JOIN n ON m."user" = n."user\""""
+h AS (SELECT t."user", pw.class AS dictionary, t.word, count(*) AS hits FROM doc_tokens t JOIN pw ON t.word = pw.word
+      GROUP BY t."user", pw.class, t.word),
+m AS (SELECT "user", dictionary, sum(hits) AS hits, count(*) AS n_entries FROM h GROUP BY "user", dictionary)
+SELECT h."user", h.dictionary, h.word AS entry, h.hits / n.n AS share, 1::BIGINT AS n_entries FROM h JOIN n ON h."user" = n."user"
+UNION ALL
+SELECT n."user", l.dictionary, NULL, coalesce(m.hits / n.n, 0.0), coalesce(m.n_entries, 0)
+FROM n CROSS JOIN (SELECT DISTINCT class AS dictionary FROM pw) l LEFT JOIN m ON m."user" = n."user" AND m.dictionary = l.dictionary"""
 
     def q_t07(spark, d):
         t = Tables(spark, d)
         items = t.documents.select(F.col("lang").alias("class"), F.col("doc_id").alias("doc"),
                                    F.explode(tf.text_tokens(F.col("text"), True, 2)).alias("term"))
         pw = tf.proto_terms(items, PROTO_TOP).select(F.col("class").alias("dictionary"), "word")
-        toks = _doc_tokens(t)
-        n = toks.groupBy("user").agg(F.count(F.lit(1)).alias("n"))
-        m = toks.join(pw, "word").groupBy("user", "dictionary").agg(F.count(F.lit(1)).alias("hits"),
-                                                                     F.count_distinct("word").alias("n_entries"))
-        return m.join(n, "user").select("user", "dictionary", (F.col("hits") / F.col("n")).alias("share"), "n_entries")
+        return tf.entry_shares(_doc_tokens(t), pw)
 
     QUERIES["proto_features"] = q_t07
     ORACLE["proto_features"] = sql
@@ -198,12 +200,20 @@ def q_t08(spark, d):
     return h.select("post_id").join(m, "post_id", "left").select("post_id", F.coalesce("communities", F.lit("")).alias("communities"))
 
 
+def gazetteers(spark):
+    """(list, word) of the gazetteers as read from their list files."""
+    base = scratch_path(spark, f"gazetteers-{uuid.uuid4().hex[:12]}")
+    for name, ws in GAZETTEERS.items():
+        dic.write_text_file(spark, f"{base}/{name}.txt", "\n".join(ws) + "\n")
+    return dic.read_word_lists(spark, base)
+
+
 @query("gazetteer_match", f"""
 SELECT "user", max(CAST(word IN ({', '.join(repr(w) for w in GAZETTEERS['title'])}) AS INTEGER)) AS has_title,
        max(CAST(word IN ({', '.join(repr(w) for w in GAZETTEERS['profession'])}) OR ends_with(word, 'ist') AS INTEGER)) AS has_profession
 FROM doc_tokens GROUP BY "user\"""")
 def q_t09(spark, d):
-    return tf.gazetteer_match(_doc_tokens(Tables(spark, d)), GAZETTEERS)
+    return tf.gazetteer_match(_doc_tokens(Tables(spark, d)), gazetteers(spark))
 
 
 @query("community_word_dictionary", "SELECT word, community FROM word_dictionary")
@@ -212,11 +222,10 @@ def q_t10(spark, d):
     return word_dictionary(Tables(spark, d).part)
 
 
-def _n_docs(docs):
+def _n_docs(t):
     """N of the vectoriser: every document, empty ones included (a scalar
-    subquery over the documents table, read on its own)."""
-    fresh = docs.sparkSession.read.parquet(*docs.inputFiles())
-    return fresh.select(F.count(F.lit(1))).scalar()
+    subquery over a read of its own)."""
+    return t.raw("documents").select(F.count(F.lit(1))).scalar()
 
 
 def _tfidf_sql(items: str, min_df=2, max_df=0.501, max_features=10_000) -> str:
@@ -237,9 +246,10 @@ def _normalise_sql_text():
 
 @query("tfidf", _tfidf_sql(f"SELECT doc_id AS doc, unnest({_tok_sql(_normalise_sql_text(), True)}) AS term FROM documents"))
 def q_t11(spark, d):
-    docs = Tables(spark, d).documents
+    t = Tables(spark, d)
+    docs = t.documents
     items = docs.select(F.col("doc_id").alias("doc"), F.explode(tf.text_tokens(normalise_post("text"), True)).alias("term"))
-    return tf.tfidf(items, _n_docs(docs))
+    return tf.tfidf(items, _n_docs(t))
 
 
 def _skip_sql(n, k):
@@ -260,11 +270,12 @@ def _skip_sql(n, k):
     f"SELECT 'n{n}k{k}' AS shape, * FROM ({_tfidf_sql(_skip_sql(n, k))}) s{n}{k}" for n, k in SKIPGRAM_SHAPES))
 def q_t12(spark, d):
     from communitylens.functions.text import letters_only_tokens
-    docs = Tables(spark, d).documents.select(F.col("doc_id").alias("doc"), letters_only_tokens("text").alias("t"))
+    t = Tables(spark, d)
+    docs = t.documents.select(F.col("doc_id").alias("doc"), letters_only_tokens("text").alias("t"))
     out = None
     for n, k in SKIPGRAM_SHAPES:
         items = docs.select("doc", F.explode(tf.skipgrams(F.col("t"), n, k)).alias("term"))
-        part = tf.tfidf(items, _n_docs(docs)).select(F.lit(f"n{n}k{k}").alias("shape"), "doc", "term", "tf", "weight")
+        part = tf.tfidf(items, _n_docs(t)).select(F.lit(f"n{n}k{k}").alias("shape"), "doc", "term", "tf", "weight")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -276,9 +287,10 @@ st AS (SELECT term, count(DISTINCT doc) AS df, count(*) AS cf FROM it GROUP BY t
 top AS (SELECT term, cf FROM st WHERE df <= (SELECT n FROM nd) * 0.99 ORDER BY cf DESC, term ASC LIMIT 500000)
 SELECT term AS word, row_number() OVER (ORDER BY term) - 1 AS index, cf AS count FROM top""")
 def q_t17(spark, d):
-    docs = Tables(spark, d).documents
+    t = Tables(spark, d)
+    docs = t.documents
     items = docs.select(F.col("doc_id").alias("doc"), F.explode(tf.text_tokens(normalise_post("text"), True)).alias("term"))
-    return tf.vocabulary(items, _n_docs(docs))
+    return tf.vocabulary(items, _n_docs(t))
 
 
 @query("word_cluster_counts", f"""
@@ -292,7 +304,7 @@ GROUP BY it.doc, e.label""")
 def q_t15(spark, d):
     t = Tables(spark, d)
     items = t.documents.select(F.col("doc_id").alias("doc"), F.explode(tf.text_tokens(normalise_post("text"), True)).alias("term"))
-    voc = tf.vocabulary(items, _n_docs(t.documents))
+    voc = tf.vocabulary(items, _n_docs(t))
     clusters = t.embeddings.select(F.col("vec_id").alias("index"), F.col("label").alias("cluster"))
     return (items.join(voc.select(F.col("word").alias("term"), "index"), "term").join(clusters, "index")
             .groupBy(F.col("doc").alias("user"), "cluster").agg(F.count(F.lit(1)).alias("n")))

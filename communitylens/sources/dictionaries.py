@@ -54,6 +54,31 @@ def invert_community_dict(long_dict: DataFrame, order_col: str = "community") ->
     return long_dict.groupBy("tag").agg(F.max_by("community", F.col(order_col)).alias("community"))
 
 
+def write_text_file(spark, path: str, text: str) -> None:
+    """One small named file on whatever file system the path names (fixture
+    files whose name carries meaning; Spark's sinks choose names)."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def _file_name():
+    """Base name of the file a row was read from, percent escapes undone."""
+    return F.url_decode(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+
+
+def read_word_lists(spark, path: str) -> DataFrame:
+    """(list, word) from a folder of ``<list>.txt`` files with one word a
+    line; blank lines are skipped."""
+    rows = spark.read.text(path).select(F.regexp_replace(_file_name(), r"\.txt$", "").alias("list"),
+                                        F.trim("value").alias("word"))
+    return rows.filter(F.col("word") != "").distinct()
+
+
 def write_class_dictionaries(dicts: DataFrame, path: str) -> None:
     """Class dictionaries (pos, class, word, score) as CSV ``word,score``
     lines in one folder per part of speech and label."""
@@ -78,5 +103,5 @@ def read_multi_value_dict(spark, path: str) -> DataFrame:
     """``word,c1,c2,...`` lines -> (word, value) for non-empty values."""
     lines = spark.read.text(path)
     parts = F.split("value", ",")
-    return (lines.select(F.try_element_at(parts, F.lit(1)).alias("word"), F.explode(F.slice(parts, 2, 1 << 20)).alias("v"))
-            .filter(F.trim("v") != "").select("word", F.trim("v").alias("value")))
+    return (lines.select(F.try_element_at(parts, F.lit(1)).alias("word"), F.posexplode(parts).alias("pos", "v"))
+            .filter((F.col("pos") > 0) & (F.trim("v") != "")).select("word", F.trim("v").alias("value")))

@@ -98,7 +98,7 @@ def parse_post_json(feed: DataFrame) -> DataFrame:
     j = feed.select(F.from_json("value", POST_JSON_SCHEMA).alias("j")).select("j.*")
     return j.select(
         F.col("id_str").cast("bigint").alias("id"),
-        F.to_timestamp(F.substring("created_at", 5, 100), "MMM dd HH:mm:ss Z yyyy").cast("timestamp_ntz").alias("created_at"),
+        F.to_timestamp(F.substr("created_at", F.lit(5)), "MMM dd HH:mm:ss Z yyyy").cast("timestamp_ntz").alias("created_at"),
         "lang",
         F.coalesce(F.col("extended_tweet.full_text"), F.col("text")).alias("status_text"),
         F.col("user.id_str").alias("user_id_str"),

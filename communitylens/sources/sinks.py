@@ -92,6 +92,14 @@ def merge_shards(spark, path: str, schema: str, sort_col: str) -> DataFrame:
     return spark.read.option("header", "true").schema(schema).csv(path).orderBy(sort_col)
 
 
+def long_matrix(pairs: DataFrame, row_col: str, col_col: str, value_col: str) -> DataFrame:
+    """S16, the matrix as rows: (community, other, value) both ways round,
+    '#' trimmed; the form for any number of communities."""
+    a, b = (F.regexp_replace(c, "^#", "") for c in (row_col, col_col))
+    return (pairs.select(a.alias("community"), b.alias("other"), F.col(value_col))
+            .unionByName(pairs.select(b.alias("community"), a.alias("other"), F.col(value_col))))
+
+
 def wide_matrix(pairs: DataFrame, row_col: str, col_col: str, value_col: str, values) -> DataFrame:
     """Square matrix, one row per ``row_col`` value, one column per
     value of ``values`` (the column list is always given); '#' trimmed."""
