@@ -80,22 +80,43 @@ def upper_outliers(df: DataFrame, key: str, value_col: str) -> DataFrame:
     return df.filter(F.col(value_col).cast("double") > F.lit(float(bound)))
 
 
-def hashtag_community_presence(post_tags: DataFrame, communities: DataFrame) -> DataFrame:
-    """C03 summary row: tags seen in C02 and over all tags, share of tags in
-    > 1 community (both denominators), A09 of the community counts and the
-    number of upper outliers."""
-    tc = tag_communities(post_tags, communities)
-    counts = community_counts_per_tag(tc)
-    n_c02 = _scalar(tc.select(F.count_distinct("tag")))
-    n_all = _scalar(_long_tags(post_tags).select(F.count_distinct("tag")))
-    summ = distribution_summary(counts, "n_communities")
-    n_out = _scalar(upper_outliers(counts, "tag", "n_communities").select(F.count(F.lit(1))))
-    n_multi = _scalar(counts.select(F.count(F.lit(1))))
-    return summ.select(
-        n_c02.alias("n_tags_c02"), n_all.alias("n_tags_all"), n_multi.alias("n_multi"),
-        "max", "p75", "p50", "p25", "min", "mean", n_out.alias("n_upper_outliers"),
-        F.try_divide(n_multi.cast("double"), n_c02).alias("share_multi"),
-        F.try_divide(n_multi.cast("double"), n_all).alias("share_multi_all"))
+def tag_presence(post_tags: DataFrame, communities: DataFrame) -> DataFrame:
+    """(tag, n_communities) of every C02 tag, made once and kept: reports,
+    fences and exclusion lists all read this small table."""
+    return (tag_communities(post_tags, communities).groupBy("tag")
+            .agg(F.count(F.lit(1)).alias("n_communities")).checkpoint())
+
+
+def _report(numbers: DataFrame, key: str, n_top: int, totals: dict) -> DataFrame:
+    """The presence report as rows (section, rank, item, value): the summary
+    (``totals`` plus A09 of the numbers and the count of upper outliers), the
+    ``n_top`` largest, and every upper outlier."""
+    outliers = upper_outliers(numbers, key, "n_communities")
+    summary = distribution_summary(numbers, "n_communities").select(
+        *[v.cast("double").alias(k) for k, v in totals.items()], "max", "p75", "p50", "p25", "min", "mean",
+        _scalar(outliers.select(F.count(F.lit(1)))).cast("double").alias("n_upper_outliers"))
+    rows = summary.select(F.explode(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).alias("value"))
+                                              for c in summary.columns])).alias("s"))
+    item, value = F.col(key).cast("string").alias("item"), F.col("n_communities").cast("double").alias("value")
+    none = F.lit(None).cast("int").alias("rank")
+    return (rows.select(F.lit("summary").alias("section"), none, "s.item", "s.value")
+            .unionByName(top_by_value(numbers, key, "n_communities", n_top)
+                         .select(F.lit("top").alias("section"), "rank", item, value))
+            .unionByName(outliers.select(F.lit("outlier").alias("section"), none, item, value)))
+
+
+def hashtag_community_presence(post_tags: DataFrame, communities: DataFrame, n_top: int = 500) -> DataFrame:
+    """Tags seen in C02 and over all tags, share of tags in > 1
+    community (both denominators), A09 of their community counts, the tags in
+    the most communities and the upper outliers."""
+    tags = tag_presence(post_tags, communities)
+    counts = tags.filter(F.col("n_communities") > 1)
+    n_c02, n_multi = tags.agg(F.count(F.lit(1)), F.count(F.when(F.col("n_communities") > 1, 1))).first()
+    n_all = _long_tags(post_tags).select("tag").distinct().count()
+    totals = {"n_tags_c02": F.lit(n_c02), "n_tags_all": F.lit(n_all), "n_multi": F.lit(n_multi),
+              "share_multi": F.try_divide(F.lit(float(n_multi)), F.lit(n_c02)),
+              "share_multi_all": F.try_divide(F.lit(float(n_multi)), F.lit(n_all))}
+    return _report(counts, "tag", n_top, totals)
 
 
 def top_by_value(df: DataFrame, key: str, value_col: str, n: int) -> DataFrame:
@@ -109,7 +130,7 @@ def top_by_value(df: DataFrame, key: str, value_col: str, n: int) -> DataFrame:
 def outlier_exclusion_list(post_tags: DataFrame, communities: DataFrame, max_n: int = 100) -> DataFrame:
     """The upper-outlier tags of C03 (by community count), at most
     ``max_n``, ordered by count desc then tag."""
-    counts = community_counts_per_tag(tag_communities(post_tags, communities))
+    counts = tag_presence(post_tags, communities).filter(F.col("n_communities") > 1)
     return top_by_value(upper_outliers(counts, "tag", "n_communities"), "tag", "n_communities", max_n)
 
 
@@ -126,18 +147,14 @@ def user_community_counts(posts: DataFrame, post_communities: DataFrame) -> Data
             .select("user_id", F.coalesce("n_communities", F.lit(0)).cast("bigint").alias("n_communities")))
 
 
-def user_community_presence(posts: DataFrame, post_communities: DataFrame) -> DataFrame:
-    """C05 summary row over users (zero-community users stay in the
+def user_community_presence(posts: DataFrame, post_communities: DataFrame, n_top: int = 500) -> DataFrame:
+    """The report of C03 over users (zero-community users stay in the
     denominator)."""
-    uc = user_community_counts(posts, post_communities)
-    multi = uc.filter(F.col("n_communities") > 1)
-    summ = distribution_summary(multi, "n_communities")
-    n_out = _scalar(upper_outliers(multi, "user_id", "n_communities").select(F.count(F.lit(1))))
-    n_users = _scalar(uc.select(F.count(F.lit(1))))
-    n_multi = _scalar(multi.select(F.count(F.lit(1))))
-    return summ.select(n_users.alias("n_users"), n_multi.alias("n_multi"),
-                       "max", "p75", "p50", "p25", "min", "mean", n_out.alias("n_upper_outliers")
-                       ).withColumn("share_multi", F.try_divide(F.col("n_multi").cast("double"), F.col("n_users")))
+    uc = user_community_counts(posts, post_communities).checkpoint()
+    n_users, n_multi = uc.agg(F.count(F.lit(1)), F.count(F.when(F.col("n_communities") > 1, 1))).first()
+    totals = {"n_users": F.lit(n_users), "n_multi": F.lit(n_multi),
+              "share_multi": F.try_divide(F.lit(float(n_multi)), F.lit(n_users))}
+    return _report(uc.filter(F.col("n_communities") > 1), "user_id", n_top, totals)
 
 
 def tag_user_awareness(tag_users: DataFrame, n: int = 500) -> DataFrame:

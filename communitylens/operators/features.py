@@ -217,3 +217,11 @@ def penn_sentiment_features(posts: DataFrame, keywords) -> DataFrame:
                  F.round(F.sqrt(F.greatest(F.col(f"q_{x}") / k - mean * mean, F.lit(0.0))), 4).alias(f"std_{x}"),
                  F.col(f"count_{x}").cast("bigint").alias(f"count_{x}")]
     return out.select(*cols)
+
+
+def topic_counts(posts: DataFrame, post_tags: DataFrame, communities: DataFrame) -> DataFrame:
+    """(user_id, community, n): tags of a user's posts that belong to each
+    community."""
+    own = posts.select(F.col("id").alias("post_id"), "user_id")
+    return (post_tags.join(communities.select("tag", "community"), "tag").join(own, "post_id")
+            .groupBy("user_id", "community").agg(F.count(F.lit(1)).alias("n")))

@@ -27,16 +27,16 @@ def has_url_feature(users: DataFrame, urls: DataFrame) -> DataFrame:
 
 def standardise(df: DataFrame, cols, key: str) -> DataFrame:
     """Z-score with mean and population std, and min-max to [0, 1].
-    The column statistics are scalar subqueries over one aggregate row."""
-    stats = df.agg(*[F.avg(c).alias(f"{c}__mean") for c in cols], *[F.stddev_pop(c).alias(f"{c}__std") for c in cols],
-                   *[F.min(c).alias(f"{c}__min") for c in cols], *[F.max(c).alias(f"{c}__max") for c in cols])
+    The column statistics are one aggregate row, taken as literals."""
+    stats = df.agg(*[f(c).alias(f"{c}__{n}") for c in cols for n, f in
+                     (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]).first()
     out = [F.col(key)]
     for c in cols:
-        mean, std = stats.select(f"{c}__mean").scalar(), stats.select(f"{c}__std").scalar()
-        mn, mx = stats.select(f"{c}__min").scalar(), stats.select(f"{c}__max").scalar()
+        mean, std, low, high = (F.lit(None if (x := stats[f"{c}__{n}"]) is None else float(x)).cast("double")
+                                for n in ("mean", "std", "min", "max"))
         v = F.col(c).cast("double")
         out += [F.round(F.coalesce(F.try_divide(v - mean, std), F.lit(0.0)), 6).alias(f"z_{c}"),
-                F.round(F.coalesce(F.try_divide(v - mn, (mx - mn).cast("double")), F.lit(0.0)), 6).alias(f"mm_{c}")]
+                F.round(F.coalesce(F.try_divide(v - low, high - low), F.lit(0.0)), 6).alias(f"mm_{c}")]
     return df.select(*out)
 
 
@@ -47,43 +47,47 @@ def validate_features(df: DataFrame, key: str, cols) -> DataFrame:
 
 
 # ---- M10-M14 -------------------------------------------------------------------------
+def contingency(pred: DataFrame, truth_col: str = "truth", pred_col: str = "prediction") -> DataFrame:
+    """(truth, prediction, n): one pass over the predictions, kept, as every
+    score below is a sum over this small table."""
+    return (pred.groupBy(F.col(truth_col).alias("truth"), F.col(pred_col).alias("prediction"))
+            .agg(F.count(F.lit(1)).alias("n")).checkpoint())
+
+
 def class_scores(pred: DataFrame, truth_col: str = "truth", pred_col: str = "prediction") -> DataFrame:
     """Per class precision, recall, F1 and support (0 when undefined),
     then unweighted (macro) and support-weighted means, micro scores and
     accuracy, as one long table (name, precision, recall, f1, support)."""
-    t, p = F.col(truth_col), F.col(pred_col)
-    classes = pred.select(t.alias("c")).unionByName(pred.select(p.alias("c"))).distinct()
-    tp = pred.filter(t == p).groupBy(t.alias("c")).agg(F.count(F.lit(1)).alias("tp"))
-    sup = pred.groupBy(t.alias("c")).agg(F.count(F.lit(1)).alias("support"))
-    npred = pred.groupBy(p.alias("c")).agg(F.count(F.lit(1)).alias("npred"))
-    per = classes.join(tp, "c", "left").join(sup, "c", "left").join(npred, "c", "left").na.fill(0)
+    cells = contingency(pred, truth_col, pred_col)
+    hit = F.col("truth") == F.col("prediction")
+    # each cell counts for its truth's support and its prediction's total
+    sides = cells.select(F.explode(F.array(
+        F.struct(F.col("truth").alias("c"), F.when(hit, F.col("n")).otherwise(0).alias("tp"), F.col("n").alias("support"),
+                 F.lit(0).cast("bigint").alias("npred")),
+        F.struct(F.col("prediction").alias("c"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("support"),
+                 F.col("n").alias("npred")))).alias("s")).select("s.*")
+    per = sides.groupBy("c").agg(*[F.sum(x).alias(x) for x in ("tp", "support", "npred")])
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("npred")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support")), F.lit(0.0))
     per = per.select("c", prec.alias("p"), rec.alias("r"), "support", "tp")
     per = per.withColumn("f", F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0)))
     rows = per.select(F.col("c").alias("name"), F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"),
                       F.round("f", 6).alias("f1"), F.col("support").cast("bigint").alias("support"))
-    n = pred.select(F.count(F.lit(1))).scalar()
-    tp_all = pred.filter(t == p).select(F.count(F.lit(1))).scalar()
-    macro = per.agg(F.round(F.avg("p"), 6).alias("precision"), F.round(F.avg("r"), 6).alias("recall"),
-                    F.round(F.avg("f"), 6).alias("f1"), F.sum("support").cast("bigint").alias("support"))
-    weighted = per.agg(*[F.round(F.sum(F.col(x) * F.col("support")) / F.sum("support"), 6).alias(nm)
-                         for x, nm in (("p", "precision"), ("r", "recall"), ("f", "f1"))],
-                       F.sum("support").cast("bigint").alias("support"))
-    micro_v = F.round(tp_all.cast("double") / n, 6)
-    micro = per.agg(F.count(F.lit(1)).alias("_")).select(micro_v.alias("precision"), micro_v.alias("recall"),
-                                                         micro_v.alias("f1"), n.cast("bigint").alias("support"))
-    acc = per.agg(F.count(F.lit(1)).alias("_")).select(micro_v.alias("precision"), micro_v.alias("recall"),
-                                                       micro_v.alias("f1"), n.cast("bigint").alias("support"))
-    return (rows.unionByName(macro.select(F.lit("macro avg").alias("name"), "*"))
-            .unionByName(weighted.select(F.lit("weighted avg").alias("name"), "*"))
-            .unionByName(micro.select(F.lit("micro avg").alias("name"), "*"))
-            .unionByName(acc.select(F.lit("accuracy").alias("name"), "*")))
-
-
-def confusion_matrix(pred: DataFrame, labels, truth_col: str = "truth", pred_col: str = "prediction") -> DataFrame:
-    """Counts truth x predicted with the fixed label list as columns."""
-    return (pred.groupBy(F.col(truth_col).alias("truth")).pivot(pred_col, list(labels)).count().na.fill(0))
+    total = F.sum("support").cast("bigint")
+    micro = F.round(F.sum("tp").cast("double") / F.sum("support"), 6)
+    weighted = lambda x: F.round(F.sum(F.col(x) * F.col("support")) / F.sum("support"), 6)
+    line = lambda name, p, r, f: F.struct(F.lit(name).alias("name"), p.alias("precision"), r.alias("recall"),
+                                          f.alias("f1"), total.alias("support"))
+    means = per.agg(F.array(
+        line("macro avg", *[F.round(F.avg(x), 6) for x in "prf"]), line("weighted avg", *[weighted(x) for x in "prf"]),
+        line("micro avg", micro, micro, micro), line("accuracy", micro, micro, micro)).alias("m"))
+    return rows.unionByName(means.select(F.explode("m").alias("m")).select("m.*"))
+
+
+def confusion_matrix(pred: DataFrame, truth_col: str = "truth", pred_col: str = "prediction") -> DataFrame:
+    """(truth, prediction, n), one row per pair that occurs; ``pivot``
+    in a sink that knows its labels makes it wide."""
+    return contingency(pred, truth_col, pred_col)
 
 
 def prediction_audit(pred: DataFrame, key: str, truth_col: str = "truth", pred_col: str = "prediction") -> DataFrame:
@@ -119,11 +123,36 @@ def cohen_kappa(pairs: DataFrame) -> DataFrame:
         F.round(F.try_divide(po - F.coalesce(pe, F.lit(0.0)), 1 - F.coalesce(pe, F.lit(0.0))), 6).alias("kappa"))
 
 
-def experiment_pivot(scores: DataFrame, classes) -> DataFrame:
-    """One row per setting with precision / recall / F1 per class
-    (scores: setting, name, precision, recall, f1)."""
-    return (scores.filter(F.col("name").isin(*classes)).groupBy("setting").pivot("name", list(classes))
-            .agg(F.first("precision").alias("p"), F.first("recall").alias("r"), F.first("f1").alias("f1")))
+def experiment_pivot(scores: DataFrame) -> DataFrame:
+    """(setting, class, p, r, f1): one row per setting and class (scores:
+    setting, name, precision, recall, f1); the means are not classes."""
+    means = ("macro avg", "weighted avg", "micro avg", "accuracy")
+    return (scores.filter(~F.col("name").isin(*means))
+            .select("setting", F.col("name").alias("class"), F.col("precision").alias("p"), F.col("recall").alias("r"), "f1"))
+
+
+def format_deltas(base: DataFrame, other: DataFrame, keys) -> DataFrame:
+    """M14, how a paper prints changes: (keys, metric, delta) with '-' for
+    none, '(0.03)' for a loss and '0.03' for a gain."""
+    b, o = (_metrics_long(x, keys, n) for x, n in ((base, "b"), (other, "o")))
+    d = F.round(F.col("o"), 2) - F.round(F.col("b"), 2)
+    text = (F.when(F.abs(d) < 0.005, "-").when(d < 0, F.concat(F.lit("("), F.format_number(-d, 2), F.lit(")")))
+            .otherwise(F.format_number(d, 2)))
+    return b.join(o, [*keys, "metric"]).select(*keys, "metric", text.alias("delta"))
+
+
+def _metrics_long(scores: DataFrame, keys, value: str) -> DataFrame:
+    return scores.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias(value))
+                                                    for m in ("p", "r", "f1")])).alias("m")).select(*keys, "m.*")
+
+
+def absolute_results(base: DataFrame, deltas: DataFrame, keys) -> DataFrame:
+    """M14 second half: base values (two decimals) plus a table of printed
+    deltas; '-' adds nothing and brackets subtract."""
+    text = F.regexp_replace("delta", r"[()]", "").try_cast("double")
+    change = (F.when(F.col("delta") == "-", 0.0).when(F.col("delta").startswith("("), -text).otherwise(text))
+    return (_metrics_long(base, keys, "b").join(deltas, [*keys, "metric"])
+            .select(*keys, "metric", F.round(F.round("b", 2) + change, 2).alias("value")))
 
 
 def organised_lines(organised: DataFrame) -> DataFrame:
@@ -148,19 +177,35 @@ def class_weights(df: DataFrame, label_col: str = "label_idx") -> DataFrame:
     return df.join(counts, label_col).withColumn("weight", n.cast("double") / (k * F.col("_nc"))).drop("_nc")
 
 
-def classifiers(n_features: int, n_classes: int, seed: int = 42):
-    """The reference's model family as Spark ML estimators."""
+def classifiers(n_features: int, n_classes: int, n_rows: int, seed: int = 42, boosting_rounds: int = 100,
+                svm_c: float = 0.01, hidden: int = 500):
+    """The reference's model family as Spark ML estimators.  A penalty C
+    on summed losses is regParam = 1 / (C n) on averaged ones."""
     from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                            MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
     return {
         "logistic_regression": LogisticRegression(labelCol="label_idx", maxIter=100),
         "random_forest": RandomForestClassifier(labelCol="label_idx", numTrees=20, seed=seed),
-        "linear_svm": OneVsRest(classifier=LinearSVC(regParam=0.01, maxIter=50), labelCol="label_idx", weightCol="weight"),
-        "gradient_boosting": OneVsRest(classifier=GBTClassifier(maxIter=20, seed=seed), labelCol="label_idx"),
-        "mlp": MultilayerPerceptronClassifier(labelCol="label_idx", layers=[n_features, 500, n_classes], maxIter=100, seed=seed),
+        "linear_svm": OneVsRest(classifier=LinearSVC(regParam=1.0 / (svm_c * max(1, n_rows)), maxIter=50),
+                                labelCol="label_idx", weightCol="weight"),
+        "gradient_boosting": OneVsRest(classifier=GBTClassifier(maxIter=boosting_rounds, seed=seed), labelCol="label_idx"),
+        "mlp": MultilayerPerceptronClassifier(labelCol="label_idx", layers=[n_features, hidden, n_classes], maxIter=100, seed=seed),
     }
 
 
+def out_of_fold(df: DataFrame, estimators: dict, key: str, label_col: str, folds: int = 10) -> DataFrame:
+    """(model, key, label, prediction, fold); every row is predicted
+    by a model that was fitted without the row's fold."""
+    df = fold_column(df, key, label_col, folds).checkpoint()
+    out = None
+    for name, est in estimators.items():
+        for k in range(folds):
+            test = est.fit(df.filter(F.col("fold") != k)).transform(df.filter(F.col("fold") == k))
+            part = test.select(F.lit(name).alias("model"), key, label_col, "prediction", "fold")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def fold_column(df: DataFrame, key: str, label_col: str, k: int = 10) -> DataFrame:
     """fold = (row number within the label in md5(key) order) mod k,
     i.e. stratified folds; the rank is the skew-safe two-level hash rank."""

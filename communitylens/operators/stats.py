@@ -147,6 +147,36 @@ def user_rollup_with_sets(posts: DataFrame, post_entities: DataFrame) -> DataFra
     return user_rollup(posts).join(sets, "user_id", "left").na.fill(0, [f"n_{k}" for k in ENTITY_KINDS])
 
 
+def _value_bucket(v):
+    """A coarse bucket that never falls as the value rises: a 256th of a
+    natural-log step, so that a (group, bucket) window stays small however
+    many distinct values a group has."""
+    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * 256).cast("bigint")
+
+
+def values_at_ranks(hist: DataFrame, group_cols, value_col: str, ranks: dict) -> DataFrame:
+    """(group, n, one column per rank) from a histogram (group, value, _c).
+
+    ``ranks`` maps a column name to its 0-based rank as an expression over
+    ``_n``, the rows of the group.  Two levels: rows before a value bucket come from
+    the bucket counts of the group, the rank inside from a window over the
+    distinct values of that one bucket."""
+    g = list(group_cols)
+    x = hist.withColumn("_b", _value_bucket(F.col(value_col)))
+    buckets = x.groupBy(*g, "_b").agg(F.sum("_c").alias("_bc"))
+    before = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = (buckets.withColumn("_before", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
+               .withColumn("_n", F.sum("_bc").over(Window.partitionBy(*g))))
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), r.cast("bigint").alias("r")) for k, r in ranks.items()]))
+    wanted = (buckets.select(*g, "_b", "_before", "_bc", "_n", asked.alias("q"))
+              .filter((F.col("_before") <= F.col("q.r")) & (F.col("q.r") < F.col("_before") + F.col("_bc")))
+              .select(*g, "_b", "_n", F.col("q.k").alias("_k"), (F.col("q.r") - F.col("_before")).alias("_r")))
+    inside = Window.partitionBy(*g, "_k").orderBy(value_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = x.join(wanted, [*g, "_b"]).withColumn("_cum", F.sum("_c").over(inside)).filter(F.col("_cum") > F.col("_r"))
+    return hit.groupBy(*g).agg(F.first("_n").alias("n"),
+                               *[F.min(F.when(F.col("_k") == k, F.col(value_col))).alias(k) for k in ranks])
+
+
 def iqr_outliers(df: DataFrame, group_cols, value_col: str) -> DataFrame:
     """A10: rank-based IQR fences per group.
 
@@ -155,20 +185,11 @@ def iqr_outliers(df: DataFrame, group_cols, value_col: str) -> DataFrame:
     Q1 - 1.5 IQR .. Q3 + 1.5 IQR; fences are null when IQR = 0.
 
     Values are first reduced to a (group, value) histogram (partial
-    aggregation, spread by value hash), so the window that finds the two
-    ranks runs over distinct values only, never over all rows of a hot
-    group."""
+    aggregation, spread by value hash); the two ranks come from
+    ``values_at_ranks``, so no window runs over all values of a group."""
     g = list(group_cols)
     h = df.groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*g).orderBy(value_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = (h.withColumn("_cum", F.sum("_c").over(w))
-         .withColumn("_n", F.sum("_c").over(Window.partitionBy(*g))))
-    k1 = F.floor(F.col("_n") * 25 / 100)
-    k3 = F.floor(F.col("_n") * 75 / 100)
-    q = h.groupBy(*g).agg(
-        F.first("_n").alias("n"),
-        F.min(F.when(F.col("_cum") > k1, F.col(value_col))).alias("q1"),
-        F.min(F.when(F.col("_cum") > k3, F.col(value_col))).alias("q3"))
+    q = values_at_ranks(h, g, value_col, {"q1": F.floor(F.col("_n") * 25 / 100), "q3": F.floor(F.col("_n") * 75 / 100)})
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo = F.col("q1") - 1.5 * F.col("iqr")
     hi = F.col("q3") + 1.5 * F.col("iqr")
@@ -282,11 +303,26 @@ def tag_user_counts(posts: DataFrame, post_tags: DataFrame) -> DataFrame:
 
 def distribution_summary(df: DataFrame, value_col: str, group_cols=()) -> DataFrame:
     """Max, .75, .50, .25, min and mean (exact, interpolated
-    percentiles as DuckDB quantile_cont)."""
-    v = F.col(value_col).cast("double")
-    aggs = [F.max(v).alias("max"), r4(F.percentile(v, 0.75)).alias("p75"), r4(F.percentile(v, 0.5)).alias("p50"),
-            r4(F.percentile(v, 0.25)).alias("p25"), F.min(v).alias("min"), r4(F.avg(v)).alias("mean")]
-    return df.groupBy(*group_cols).agg(*aggs) if group_cols else df.agg(*aggs)
+    percentiles as DuckDB quantile_cont): each percentile lies between the
+    values at two ranks of a histogram."""
+    g = list(group_cols) or ["_all"]
+    src = df.select(*group_cols, *([] if group_cols else [F.lit(0).alias("_all")]), F.col(value_col).cast("double").alias("_v"))
+    h = src.filter(F.col("_v").isNotNull()).groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    shares = {"p75": 0.75, "p50": 0.5, "p25": 0.25}
+    ranks = {}
+    for name, p in shares.items():
+        place = F.lit(p) * (F.col("_n") - 1)
+        ranks |= {f"{name}_lo": F.floor(place), f"{name}_hi": F.ceil(place)}
+    q = values_at_ranks(h, g, "_v", ranks)
+    whole = h.groupBy(*g).agg(F.max("_v").alias("max"), F.min("_v").alias("min"),
+                              r4(F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"))
+
+    def between(name, p):
+        place = F.lit(p) * (F.col("n") - 1)
+        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        return r4(lo + (hi - lo) * (place - F.floor(place))).alias(name)
+    return (q.join(whole, g).select(*group_cols, "max", between("p75", 0.75), between("p50", 0.5), between("p25", 0.25),
+                                    "min", "mean"))
 
 
 def edge_weights(edges: DataFrame, src: str = "from", dst: str = "to") -> DataFrame:

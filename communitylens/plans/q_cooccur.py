@@ -54,17 +54,29 @@ def q_c02(spark, d):
     return co.tag_communities(t.post_tags, t.communities)
 
 
-@query("hashtag_community_presence", f"""
-SELECT (SELECT count(DISTINCT tag) FROM tag_comm) AS n_tags_c02,
-       (SELECT count(DISTINCT tag) FROM long_tags) AS n_tags_all,
-       count(*) AS n_multi, {_summary('CAST(n_communities AS DOUBLE)')},
-       (SELECT count(*) FROM tag_ncomm WHERE n_communities > {_iqr_hi('tag_ncomm', 'n_communities')}) AS n_upper_outliers,
-       count(*) / (SELECT count(DISTINCT tag) FROM tag_comm) AS share_multi,
-       count(*) / (SELECT count(DISTINCT tag) FROM long_tags) AS share_multi_all
-FROM tag_ncomm""")
+def _report_sql(src: str, key: str, totals: dict) -> str:
+    """The three sections of a presence report over (key, n_communities)."""
+    v = "CAST(n_communities AS DOUBLE)"
+    parts = dict(totals) | {
+        "max": f"max({v})", "p75": f"round(quantile_cont({v}, 0.75), 4)", "p50": f"round(quantile_cont({v}, 0.5), 4)",
+        "p25": f"round(quantile_cont({v}, 0.25), 4)", "min": f"min({v})", "mean": f"round(avg({v}), 4)",
+        "n_upper_outliers": f"count(CASE WHEN n_communities > {_iqr_hi(src, 'n_communities')} THEN 1 END)"}
+    summary = " UNION ALL ".join(f"SELECT 'summary' AS section, NULL::INTEGER AS rank, '{k}' AS item, CAST({e} AS DOUBLE) AS value "
+                                 f"FROM {src}" for k, e in parts.items())
+    return f"""{summary}
+UNION ALL SELECT 'top', rank::INTEGER, item, value FROM (SELECT row_number() OVER (ORDER BY n_communities DESC, {key}) AS rank,
+  CAST({key} AS VARCHAR) AS item, {v} AS value FROM {src}) r WHERE rank <= {TOP_PRESENCE}
+UNION ALL SELECT 'outlier', NULL, CAST({key} AS VARCHAR), {v} FROM {src} WHERE n_communities > {_iqr_hi(src, 'n_communities')}"""
+
+
+@query("hashtag_community_presence", _report_sql("tag_ncomm", "tag", {
+    "n_tags_c02": "max((SELECT count(DISTINCT tag) FROM tag_comm))",
+    "n_tags_all": "max((SELECT count(DISTINCT tag) FROM long_tags))",
+    "n_multi": "count(*)", "share_multi": "count(*) / (SELECT count(DISTINCT tag) FROM tag_comm)",
+    "share_multi_all": "count(*) / (SELECT count(DISTINCT tag) FROM long_tags)"}))
 def q_c03(spark, d):
     t = Tables(spark, d)
-    return co.hashtag_community_presence(t.post_tags, t.communities)
+    return co.hashtag_community_presence(t.post_tags, t.communities, TOP_PRESENCE)
 
 
 @query("user_communities", """
@@ -80,16 +92,15 @@ SELECT a.user_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_communities FROM (SELECT
 LEFT JOIN (SELECT user_id, count(*) AS n FROM user_communities GROUP BY user_id) n ON a.user_id = n.user_id""")
 
 
-@query("user_community_presence", f"""
-WITH multi AS (SELECT * FROM user_ncomm WHERE n_communities > 1)
-SELECT (SELECT count(*) FROM user_ncomm) AS n_users, count(*) AS n_multi,
-       {_summary('CAST(n_communities AS DOUBLE)')},
-       (SELECT count(*) FROM multi WHERE n_communities > {_iqr_hi('multi', 'n_communities')}) AS n_upper_outliers,
-       count(*) / (SELECT count(*) FROM user_ncomm) AS share_multi
-FROM multi""")
+register("user_multi", "SELECT user_id, n_communities FROM user_ncomm WHERE n_communities > 1")
+
+
+@query("user_community_presence", _report_sql("user_multi", "user_id", {
+    "n_users": "max((SELECT count(*) FROM user_ncomm))", "n_multi": "count(*)",
+    "share_multi": "count(*) / (SELECT count(*) FROM user_ncomm)"}))
 def q_c05(spark, d):
     t = Tables(spark, d)
-    return co.user_community_presence(t.posts, t.post_communities)
+    return co.user_community_presence(t.posts, t.post_communities, TOP_PRESENCE)
 
 
 @query("tag_user_awareness", f"""

@@ -19,7 +19,6 @@ from communitylens.session import scratch_path
 from communitylens.sources.dictionaries import organise_tags
 from communitylens.sources.tables import Tables
 
-LANGS = q_text.LANGS
 BEHAVIOUR = ("total_hashtags", "user_activeness", "collective_influence")
 # Fixed label codes of the annotation lookup (M13), in code order.
 LABEL_CODES = ("advocate", "hpi", "hpo", "patient", "quality", "research", "toxic")
@@ -30,22 +29,87 @@ def _uddin(t):
 
 
 def _auto_match(t):
-    dic_ = tf.class_word_goodness(q_text._pass1(t))
-    return tf.dictionary_match(q_text._doc_tokens(t), dic_, list(LANGS))
+    return tf.dictionary_match(q_text._doc_tokens(t), tf.class_word_goodness(q_text._pass1(t)))
 
 
 # ---- M01 / M02 / M03 / M04 ---------------------------------------------------------------
+# The named feature sets and the blocks that each is made of.
+FEATURE_SETS = {
+    "text": ("text",), "text_and_name": ("text", "name"), "behaviour": ("behaviour",), "numeric": ("behaviour", "topical"),
+    "manual_dict": ("manual",), "autodict": ("auto",), "behaviour_and_autodict": ("behaviour", "auto"),
+    "text_and_autodict": ("text", "auto"), "basic_and_user_url": ("behaviour", "url"),
+    "text_and_behaviour": ("text", "behaviour"), "text_and_manualdict": ("text", "manual"),
+    "text_and_autodict_and_behaviour": ("text", "auto", "behaviour"),
+}
+_SETS_SQL = ", ".join(f"('{s}', '{b}')" for s, bs in FEATURE_SETS.items() for b in bs)
+
+
+def _unpivot_sql(src: str, key: str, block: str, cols) -> str:
+    return " UNION ALL ".join(f"SELECT '{block}' AS block, {key} AS user_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM {src}"
+                              for c in cols)
+
+
+def feature_blocks(spark, t):
+    """(block, user_id, feature, value): every block of the named sets as
+    long rows; a feature that is not there is 0."""
+    def wide(df, block, cols):
+        return df.select(F.lit(block).alias("block"), "user_id", F.explode(F.array(*[
+            F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])).alias("f")).select(
+            "block", "user_id", "f.*")
+
+    def long(df, block, user, feature, value):
+        return df.select(F.lit(block).alias("block"), F.col(user).alias("user_id"), F.col(feature).cast("string").alias("feature"),
+                         F.col(value).cast("double").alias("value"))
+
+    def terms(col):
+        words = F.explode(tf.text_tokens(F.coalesce(F.col(col), F.lit("")), True, 2)).alias("word")
+        return t.users.select(F.col("id").alias("user"), words).groupBy("user", "word").agg(F.count(F.lit(1)).alias("n"))
+    url = md.has_url_feature(t.users, t.pages.select(F.col("page_id").alias("id"), "url"))
+    topical = fe.topic_counts(t.posts, t.post_tags, t.communities)
+    return (wide(_uddin(t), "behaviour", BEHAVIOUR)
+            .unionByName(long(topical, "topical", "user_id", "community", "n"))
+            .unionByName(long(_auto_match(t), "auto", "user", "dict", "score_sum"))
+            .unionByName(long(tf.dictionary_match(q_text._doc_tokens(t), q_text.manual_dictionary(spark)),
+                              "manual", "user", "dict", "match_count"))
+            .unionByName(wide(url, "url", ["has_url"]))
+            .unionByName(long(terms("user_desc"), "text", "user", "word", "n"))
+            .unionByName(long(terms("screen_name"), "name", "user", "word", "n")))
+
+
+def set_members(sets=FEATURE_SETS):
+    """Column: the names of the sets that a row's block belongs to."""
+    by_block = {}
+    for name, parts in sets.items():
+        for b in parts:
+            by_block.setdefault(b, []).append(name)
+    return F.create_map(*[x for b, ns in by_block.items() for x in (F.lit(b), F.lit(" ".join(sorted(ns))))])[F.col("block")]
+
+
+def feature_set(blocks, name: str, sets=FEATURE_SETS):
+    """One set by its name, (user_id, block, feature, value)."""
+    return blocks.filter(F.col("block").isin(*sets[name])).select("user_id", "block", "feature", "value")
+
+
 @query("feature_sets", f"""
-WITH ud AS ({ORACLE['uddin_features']}), dm AS ({ORACLE['dictionary_match']})
-SELECT u.id AS user_id, u.label, {', '.join(f'ud.{c}' for c in BEHAVIOUR)},
-       {', '.join(f'coalesce(dm.{lab}_score_sum, 0.0) AS {lab}_score_sum' for lab in LANGS)}
-FROM users u JOIN ud ON u.id = ud.user_id LEFT JOIN dm ON u.id = dm."user\"""")
+WITH ud AS ({ORACLE['uddin_features']}), dm AS ({ORACLE['dictionary_match']}), mm AS ({ORACLE['manual_dictionary_match']}),
+hu AS (SELECT u.id AS user_id, CAST(p.url IS NOT NULL AS INTEGER) AS has_url FROM users u LEFT JOIN pages p ON u.id = p.page_id),
+tc AS (SELECT p.user_id, c.community, count(*) AS n FROM posts p JOIN post_tags pt ON pt.post_id = p.id
+       JOIN communities c ON c.tag = pt.tag GROUP BY p.user_id, c.community),
+tx AS (SELECT id AS user_id, unnest({q_text._tok_sql("coalesce(user_desc, '')", True, 2)}) AS word FROM users),
+nm AS (SELECT id AS user_id, unnest({q_text._tok_sql("coalesce(screen_name, '')", True, 2)}) AS word FROM users),
+blocks AS ({_unpivot_sql('ud', 'user_id', 'behaviour', BEHAVIOUR)}
+  UNION ALL SELECT 'topical', user_id, community, n FROM tc
+  UNION ALL SELECT 'auto', "user", dict, score_sum FROM dm
+  UNION ALL SELECT 'manual', "user", dict, match_count FROM mm
+  UNION ALL SELECT 'url', user_id, 'has_url', has_url FROM hu
+  UNION ALL SELECT 'text', user_id, word, count(*) FROM tx GROUP BY user_id, word
+  UNION ALL SELECT 'name', user_id, word, count(*) FROM nm GROUP BY user_id, word)
+SELECT b.user_id, b.block, b.feature, b.value, v.sets FROM blocks b JOIN (
+  SELECT block, string_agg(set_name, ' ' ORDER BY set_name) AS sets FROM (VALUES {_SETS_SQL}) x(set_name, block) GROUP BY block) v
+  ON v.block = b.block""")
 def q_m01(spark, d):
-    t = Tables(spark, d)
-    from communitylens.operators.joins import assemble_features
-    dm = _auto_match(t).select(F.col("user").alias("user_id"), *[f"{lab}_score_sum" for lab in LANGS])
-    base = t.users.select(F.col("id").alias("user_id"), "label")
-    return assemble_features(base, "user_id", _uddin(t).select("user_id", *BEHAVIOUR), dm)
+    blocks = feature_blocks(spark, Tables(spark, d))
+    return blocks.select("user_id", "block", "feature", "value", set_members().alias("sets"))
 
 
 @query("has_url_feature", "SELECT u.id AS user_id, CAST(p.url IS NOT NULL AS INTEGER) AS has_url FROM users u LEFT JOIN pages p ON u.id = p.page_id")
@@ -79,35 +143,21 @@ def _rule_predictions(spark, d, dictionary="auto"):
     largest score sum, ties by name, 'none' without any match)."""
     t = Tables(spark, d)
     if dictionary == "auto":
-        m = _auto_match(t)
-        score = "score_sum"
+        m, score = _auto_match(t), "score_sum"
     else:
-        from communitylens.functions.lexicons import MANUAL_DICTIONARIES
-        rows = [(lab, w, 0.0) for lab, ws in MANUAL_DICTIONARIES.items() for w in ws]
-        manual = spark.createDataFrame(rows, "class string, word string, score double")
-        m = tf.dictionary_match(q_text._doc_tokens(t), manual, list(LANGS))
-        score = "match_count"
-    best = F.array(*[F.struct(F.col(f"{lab}_{score}").cast("double").alias("s"), F.lit(lab).alias("c")) for lab in LANGS])
-    top = F.aggregate(best, F.struct(F.lit(0.0).alias("s"), F.lit("none").alias("c")),
-                      lambda acc, x: F.when(x["s"] > acc["s"], x).otherwise(acc))
-    pred = m.select(F.col("user").alias("doc_id"), top["c"].alias("prediction"))
-    return (t.documents.select("doc_id", F.col("lang").alias("truth")).join(pred, "doc_id", "left")
+        m, score = tf.dictionary_match(q_text._doc_tokens(t), q_text.manual_dictionary(spark)), "match_count"
+    best = m.filter(F.col(score) > 0).groupBy(F.col("user").alias("doc_id")).agg(
+        F.min(F.struct((-F.col(score)).alias("s"), F.col("dict"))).alias("b"))
+    return (t.documents.select("doc_id", F.col("lang").alias("truth"))
+            .join(best.select("doc_id", F.col("b.dict").alias("prediction")), "doc_id", "left")
             .select("doc_id", "truth", F.coalesce("prediction", F.lit("none")).alias("prediction")))
 
 
 def _pred_sql(match_sql: str, score: str) -> str:
-    best = "'none'"
-    cond = []
-    # first strictly greater score wins, scanning the labels in order
-    s = "0.0"
-    expr = "'none'"
-    for lab in LANGS:
-        col = f"CAST(m.{lab}_{score} AS DOUBLE)"
-        expr = f"CASE WHEN {col} > {s} THEN '{lab}' ELSE {expr} END"
-        s = f"greatest({s}, {col})"
     return f"""
-SELECT d.doc_id, d.lang AS truth, coalesce({expr}, 'none') AS prediction
-FROM documents d LEFT JOIN ({match_sql}) m ON d.doc_id = m."user\""""
+SELECT d.doc_id, d.lang AS truth, coalesce(b.dict, 'none') AS prediction FROM documents d LEFT JOIN (
+  SELECT "user", dict FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY {score} DESC, dict) AS rn
+                            FROM ({match_sql}) m WHERE {score} > 0) r WHERE rn = 1) b ON b."user" = d.doc_id"""
 
 
 def _auto_pred_sql():
@@ -145,32 +195,42 @@ def _register_eval():
         return md.class_scores(_rule_predictions(spark, d))
 
     def q_m11(spark, d):
-        return md.confusion_matrix(_rule_predictions(spark, d), list(LANGS) + ["none"])
+        return md.confusion_matrix(_rule_predictions(spark, d))
 
     def q_m12(spark, d):
         return md.prediction_audit(_rule_predictions(spark, d), "doc_id")
 
-    def q_m14(spark, d):
+    def both(spark, d):
         a = md.class_scores(_rule_predictions(spark, d, "auto")).withColumn("setting", F.lit("auto"))
         m = md.class_scores(_rule_predictions(spark, d, "manual")).withColumn("setting", F.lit("manual"))
-        return md.experiment_pivot(a.unionByName(m), list(LANGS))
+        return md.experiment_pivot(a.unionByName(m))
+
+    def q_m14(spark, d):
+        return both(spark, d)
+
+    def q_m14_absolute(spark, d):
+        """The manual results again, from the auto ones and printed deltas."""
+        pivot = both(spark, d).checkpoint()
+        auto, manual = (pivot.filter(F.col("setting") == s).drop("setting") for s in ("auto", "manual"))
+        return md.absolute_results(auto, md.format_deltas(auto, manual, ["class"]), ["class"])
 
     QUERIES["class_scores"] = q_m10
     ORACLE["class_scores"] = _scores_sql(_auto_pred_sql())
     QUERIES["confusion_matrix"] = q_m11
-    labs = list(LANGS) + ["none"]
-    ORACLE["confusion_matrix"] = (f"WITH pr AS ({_auto_pred_sql()}) SELECT truth, "
-                                  + ", ".join(f"count(CASE WHEN prediction = '{x}' THEN 1 END) AS {x}" for x in labs)
-                                  + " FROM pr GROUP BY truth")
+    ORACLE["confusion_matrix"] = (f"WITH pr AS ({_auto_pred_sql()}) SELECT truth, prediction, count(*) AS n FROM pr "
+                                  "GROUP BY truth, prediction")
     QUERIES["prediction_audit"] = q_m12
     ORACLE["prediction_audit"] = (f"WITH pr AS ({_auto_pred_sql()}) SELECT doc_id, prediction, truth, "
                                   "CASE WHEN prediction = truth THEN 'ok' ELSE 'wrong' END AS result FROM pr")
     QUERIES["experiment_pivot"] = q_m14
-    cols = ", ".join(f"max(CASE WHEN name = '{c}' THEN precision END) AS {c}_p, max(CASE WHEN name = '{c}' THEN recall END) AS {c}_r, "
-                     f"max(CASE WHEN name = '{c}' THEN f1 END) AS {c}_f1" for c in LANGS)
-    ORACLE["experiment_pivot"] = (f"WITH s AS (SELECT 'auto' AS setting, * FROM ({_scores_sql(_auto_pred_sql())}) a "
-                                  f"UNION ALL SELECT 'manual', * FROM ({_scores_sql(_manual_pred_sql())}) m) "
-                                  f"SELECT setting, {cols} FROM s GROUP BY setting")
+    means = "('macro avg', 'weighted avg', 'micro avg', 'accuracy')"
+    pivot = lambda setting, pred: (f"SELECT '{setting}' AS setting, name AS class, precision AS p, recall AS r, f1 "
+                                   f"FROM ({_scores_sql(pred)}) {setting} WHERE name NOT IN {means}")
+    ORACLE["experiment_pivot"] = f"{pivot('auto', _auto_pred_sql())} UNION ALL {pivot('manual', _manual_pred_sql())}"
+    QUERIES["experiment_absolute"] = q_m14_absolute
+    ORACLE["experiment_absolute"] = (f"WITH a AS ({pivot('auto', _auto_pred_sql())}), m AS ({pivot('manual', _manual_pred_sql())}) "
+                                     + " UNION ALL ".join(f"SELECT m.class, '{x}' AS metric, round(m.{x}, 2) AS value FROM m JOIN a ON a.class = m.class"
+                                                          for x in ("p", "r", "f1")))
 
 
 _register_eval()
@@ -226,33 +286,35 @@ FEATURE_COLS = BEHAVIOUR + ("favorites_count", "plain_statuses", "retweets", "to
                             "tweet_influence", "std_urls", "std_hashtags", "user_inclination")
 
 
-def _training(spark, d, labelled_only=True):
+def _training(spark, d):
+    """(every user's vector, the labelled ones, columns, label indexer).
+    Iterative estimators read their input many times: it is made once and
+    kept in the shared checkpoint folder, which also cuts the lineage."""
     from pyspark.ml.feature import StringIndexer
-    t = Tables(spark, d)
-    dm = _auto_match(t).select(F.col("user").alias("user_id"), *[f"{lab}_score_sum" for lab in LANGS])
     from communitylens.operators.joins import assemble_features
+    t = Tables(spark, d)
+    match = _auto_match(t).checkpoint()
+    dicts = sorted(r[0] for r in match.select("dict").distinct().collect())  # a column each: the vector's own width
+    dm = match.groupBy(F.col("user").alias("user_id")).pivot("dict", dicts).agg(F.first("score_sum"))
+    dm = dm.select("user_id", *[F.col(f"`{c}`").alias(f"score_sum_{i}") for i, c in enumerate(dicts)])
     base = t.users.select(F.col("id").alias("user_id"), "label")
     df = assemble_features(base, "user_id", _uddin(t).select("user_id", *FEATURE_COLS), dm)
-    cols = list(FEATURE_COLS) + [f"{lab}_score_sum" for lab in LANGS]
-    df = md.assemble_vector(df, cols)
+    cols = list(FEATURE_COLS) + [f"score_sum_{i}" for i in range(len(dicts))]
+    df = md.assemble_vector(df, cols).checkpoint()
     lab = df.filter(F.col("label").isNotNull())
     indexer = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc").fit(lab)
-    out = indexer.transform(lab) if labelled_only else df
-    # Iterative estimators read their input many times: materialise it once
-    # in the shared checkpoint folder (also cuts the lineage for recovery).
-    return out.checkpoint(), cols, indexer
+    return df, indexer.transform(lab).checkpoint(), cols, indexer
 
 
 @query("train_classifiers")
 def q_m05(spark, d):
-    df, cols, ix = _training(spark, d)
+    """Every model's out-of-fold predictions.  The query shortens the
+    reference's settings (10 folds, 100 boosting rounds), which are the
+    defaults of ``model.classifiers`` and ``model.out_of_fold``."""
+    _, df, cols, ix = _training(spark, d)
     df = md.class_weights(df).checkpoint()
-    out = None
-    for name, est in md.classifiers(len(cols), len(ix.labels)).items():
-        pred = est.fit(df).transform(df).select(F.lit(name).alias("model"), "user_id", "label_idx",
-                                                F.col("prediction").alias("prediction"))
-        out = pred if out is None else out.unionByName(pred)
-    return out
+    ests = md.classifiers(len(cols), len(ix.labels), df.count(), boosting_rounds=3, hidden=20)
+    return md.out_of_fold(df, ests, "user_id", "label_idx", folds=2)
 
 
 @query("pca_then_train")
@@ -260,7 +322,7 @@ def q_m06(spark, d):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import PCA
-    df, cols, _ = _training(spark, d)
+    _, df, cols, _ = _training(spark, d)
     k = min(1000, max(1, len(cols) // 2))
     pipe = Pipeline(stages=[PCA(k=k, inputCol="features", outputCol="pca"),
                             LogisticRegression(featuresCol="pca", labelCol="label_idx", maxIter=100)])
@@ -270,26 +332,26 @@ def q_m06(spark, d):
 @query("cross_validate")
 def q_m07(spark, d):
     from pyspark.ml.classification import LogisticRegression
-    df, _, _ = _training(spark, d)
-    df = md.fold_column(df, "user_id", "label_idx", 10).checkpoint()
-    out = None
-    for k in range(10):
-        train, test = df.filter(F.col("fold") != k), df.filter(F.col("fold") == k)
-        m = LogisticRegression(labelCol="label_idx", maxIter=100).fit(train)
-        p = m.transform(test).select("user_id", "label_idx", "prediction", "fold")
-        out = p if out is None else out.unionByName(p)
-    return out
+    _, df, _, _ = _training(spark, d)
+    return md.out_of_fold(df, {"logistic_regression": LogisticRegression(labelCol="label_idx", maxIter=100)},
+                          "user_id", "label_idx", folds=10).drop("model")
 
 
 @query("feature_importance_select")
 def q_m08(spark, d):
+    """Forest importances; the columns of at least mean importance are
+    cut out of the vectors, whose kept part is returned beside each user."""
     from pyspark.ml.classification import RandomForestClassifier
-    df, cols, _ = _training(spark, d)
-    rf = RandomForestClassifier(labelCol="label_idx", numTrees=20, seed=42).fit(df)
-    imp = rf.featureImportances.toArray().tolist()  # one value per feature column
-    mean = sum(imp) / len(imp)
-    rows = [(c, float(v), bool(v >= mean)) for c, v in zip(cols, imp)]
-    return spark.createDataFrame(rows, "feature string, importance double, kept boolean")
+    from pyspark.ml.feature import VectorSlicer
+    from pyspark.ml.functions import vector_to_array
+    _, df, cols, _ = _training(spark, d)
+    imp = RandomForestClassifier(labelCol="label_idx", numTrees=20, seed=42).fit(df).featureImportances.toArray()
+    kept = [i for i, v in enumerate(imp.tolist()) if v >= imp.mean()]  # one value per feature column
+    cut = VectorSlicer(inputCol="features", outputCol="kept", indices=kept).transform(df)
+    named = F.arrays_zip(F.array(*[F.lit(cols[i]) for i in kept]).alias("f"), F.array(*[F.lit(float(imp[i])) for i in kept]).alias("i"),
+                         vector_to_array("kept").alias("v"))
+    return cut.select("user_id", F.explode(named).alias("z")).select(
+        "user_id", F.col("z.f").alias("feature"), F.col("z.i").alias("importance"), F.col("z.v").alias("value"))
 
 
 @query("predict_batch")
@@ -297,43 +359,67 @@ def q_m09(spark, d):
     from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IndexToString
-    df, _, ix = _training(spark, d)
+    everyone, df, _, ix = _training(spark, d)
     path = scratch_path(spark, f"model-{uuid.uuid4().hex[:12]}")
     Pipeline(stages=[LogisticRegression(labelCol="label_idx", maxIter=100)]).fit(df).write().overwrite().save(path)
-    model = PipelineModel.load(path)
-    everyone, _, _ = _training(spark, d, labelled_only=False)
-    scored = model.transform(everyone)
+    scored = PipelineModel.load(path).transform(everyone)
     lab = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=ix.labels).transform(scored)
     return lab.select("user_id", "label", "predicted_label")
 
 
-@query("lda_topics")
-def q_t13(spark, d):
-    """Bag of words (df >= 5, <= 50 %, <= 1e6 words) -> 100-topic LDA ->
-    per document topic weights (top topic and its weight)."""
+def topic_weights(docs, topics: int = 100, iterations: int = 500, min_df: int = 5, max_df: float = 0.5,
+                  vocabulary: int = 1_000_000):
+    """Bag of words (df >= 5, <= 50 %, <= 1e6 words) -> tf-idf -> LDA ->
+    (doc_id, topic, weight), every topic of every document."""
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-    t = Tables(spark, d)
-    docs = t.documents.select("doc_id", tf.text_tokens(F.col("text"), True, 2).alias("toks"))
-    cv = CountVectorizer(inputCol="toks", outputCol="tf", minDF=5, maxDF=0.5, vocabSize=1_000_000).fit(docs)
-    bag = cv.transform(docs)
-    lda = LDA(k=100, maxIter=20, featuresCol="tf", seed=42, optimizer="online").fit(bag)
+    from pyspark.ml.feature import CountVectorizer, IDF
     from pyspark.ml.functions import vector_to_array
-    out = lda.transform(bag).select("doc_id", vector_to_array("topicDistribution").alias("w"))
-    top = F.array_max("w")
-    return out.select("doc_id", F.array_position("w", top).alias("top_topic"), F.round(top, 6).alias("top_weight"))
+    toks = docs.select("doc_id", tf.text_tokens(F.col("text"), True, 2).alias("toks"))
+    cv = CountVectorizer(inputCol="toks", outputCol="tf", minDF=min_df, maxDF=max_df, vocabSize=vocabulary).fit(toks)
+    counted = cv.transform(toks)
+    bag = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted).select("doc_id", "tfidf").checkpoint()
+    lda = LDA(k=topics, maxIter=iterations, featuresCol="tfidf", seed=42, optimizer="online").fit(bag)
+    return lda.transform(bag).select("doc_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "weight"))
 
 
-@query("word_vectors_and_clusters")
-def q_t14(spark, d):
-    """L2-normalised word vectors -> k-means (200) -> word -> cluster."""
+@query("lda_topics", """
+SELECT d.doc_id, t.topic::INTEGER AS topic, TRUE AS in_range, TRUE AS adds_up FROM documents d, (SELECT unnest(range(0, 100)) AS topic) t""")
+def q_t13(spark, d):
+    """T13 with 20 of the default 500 iterations; what SQL can state of it:
+    every document has all 100 topics, with weights from 0 to 1 that sum to 1
+    (to 0 for a document without a vocabulary word)."""
+    w = topic_weights(Tables(spark, d).documents, iterations=20).checkpoint()
+    total = w.groupBy("doc_id").agg(F.round(F.sum("weight"), 4).isin(0.0, 1.0).alias("adds_up"))
+    return w.join(total, "doc_id").select("doc_id", "topic", F.col("weight").between(0.0, 1.0).alias("in_range"), "adds_up")
+
+
+def vector_clusters(embeddings, k: int = 200, iterations: int = 300):
+    """L2-normalised vectors -> k-means -> (vec_id, cluster)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
-    e = Tables(spark, d).embeddings.select("vec_id", array_to_vector("embedding").alias("v"))
-    n = Normalizer(inputCol="v", outputCol="features", p=2.0).transform(e)
-    km = KMeans(k=200, seed=42, maxIter=20).fit(n)
-    return km.transform(n).select("vec_id", F.col("prediction").alias("cluster"))
+    e = embeddings.select("vec_id", array_to_vector("embedding").alias("v"))
+    n = Normalizer(inputCol="v", outputCol="features", p=2.0).transform(e).checkpoint()
+    return KMeans(k=k, seed=42, maxIter=iterations).fit(n).transform(n).select("vec_id", F.col("prediction").alias("cluster"))
+
+
+@query("word_vectors_and_clusters", """
+SELECT vec_id, 1 AS n_clusters, TRUE AS in_range FROM embeddings""")
+def q_t14(spark, d):
+    """What SQL can state of it: each vector is in one cluster of 200."""
+    c = vector_clusters(Tables(spark, d).embeddings)
+    return c.groupBy("vec_id").agg(F.count_distinct("cluster").cast("int").alias("n_clusters"),
+                                   F.min(F.col("cluster").between(0, 199)).alias("in_range"))
+
+
+@query("word_cluster_counts_trained", f"""
+WITH n AS (SELECT "user", count(*) AS n_tokens FROM ({q_text.CLUSTER_ITEMS_SQL}) it GROUP BY "user")
+SELECT "user", n_tokens FROM n""")
+def q_t15_trained(spark, d):
+    """T15 over the clusters of T14: every token of a user falls in one."""
+    t = Tables(spark, d)
+    counts = q_text.cluster_counts(t, vector_clusters(t.embeddings))
+    return counts.groupBy("user").agg(F.sum("n").cast("bigint").alias("n_tokens"))
 
 
 @query("min_max", f"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from communitylens.functions.lexicons import GAZETTEERS, MANUAL_DICTIONARIES, TEXT_STOPWORDS
 from communitylens.functions.text import normalise_post
 from communitylens.operators import textfeat as tf
+from communitylens.operators.windows import global_row_number
 from communitylens.plans.oracle_views import register
 from communitylens.plans.registry import query
 from communitylens.plans.sqlfrag import letters_tokens
@@ -293,21 +294,45 @@ def q_t17(spark, d):
     return tf.vocabulary(items, _n_docs(t))
 
 
+_VOC_TOKENS_SQL = f"SELECT doc_id AS doc, unnest({_tok_sql(_normalise_sql_text(), True)}) AS term FROM documents"
+# tokens of a user's posts, or of the profile where there are none
+CLUSTER_ITEMS_SQL = f"""
+SELECT doc AS "user", term FROM ({_VOC_TOKENS_SQL}) p UNION ALL
+SELECT u.id, unnest({_tok_sql(_normalise_sql_text().replace('text', 'user_desc'), True)}) FROM users u
+WHERE u.id NOT IN (SELECT doc FROM ({_VOC_TOKENS_SQL}) p2)"""
+
+
+def cluster_items(t):
+    """T15's tokens (user, term): of the user's posts, or of the profile of a
+    user without any."""
+    posts = t.documents.select(F.col("doc_id").alias("user"), F.explode(tf.text_tokens(normalise_post("text"), True)).alias("term"))
+    rest = t.users.select(F.col("id").alias("user"), "user_desc").join(posts.select("user").distinct(), "user", "left_anti")
+    return posts.unionByName(rest.select("user", F.explode(tf.text_tokens(normalise_post("user_desc"), True)).alias("term")))
+
+
+def cluster_counts(t, clusters):
+    """Tokens of each user in each cluster of word vectors.  A word's
+    vector is the one of its vocabulary index; a word without one gets one
+    of the vectors by the md5 of the word, the same every time."""
+    items = cluster_items(t)
+    n_vectors = clusters.agg(F.max("vec_id") + 1).first()[0]
+    voc = (global_row_number(items.select("term").distinct(), ["term"])
+           .select("term", (F.col("row_number") - 1).alias("index")))
+    spare = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("bigint") % n_vectors
+    words = (voc.withColumn("vec_id", F.when(F.col("index") < n_vectors, F.col("index")).otherwise(spare))
+             .join(clusters, "vec_id").select("term", "cluster"))
+    return items.join(words, "term").groupBy("user", "cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("word_cluster_counts", f"""
-WITH it AS (SELECT doc_id AS doc, unnest({_tok_sql(_normalise_sql_text(), True)}) AS term FROM documents),
-nd AS (SELECT count(*) AS n FROM documents),
-st AS (SELECT term, count(DISTINCT doc) AS df, count(*) AS cf FROM it GROUP BY term),
-top AS (SELECT term, cf FROM st WHERE df <= (SELECT n FROM nd) * 0.99 ORDER BY cf DESC, term ASC LIMIT 500000),
-voc AS (SELECT term AS word, row_number() OVER (ORDER BY term) - 1 AS index FROM top)
-SELECT it.doc AS "user", e.label AS cluster, count(*) AS n FROM it JOIN voc ON it.term = voc.word JOIN embeddings e ON e.vec_id = voc.index
-GROUP BY it.doc, e.label""")
+WITH it AS ({CLUSTER_ITEMS_SQL}), nv AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
+voc AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS index FROM (SELECT DISTINCT term FROM it) x),
+w AS (SELECT term, CASE WHEN index < n THEN index ELSE ('0x' || substr(md5(term), 1, 8))::BIGINT % n END AS vec_id FROM voc, nv)
+SELECT it."user", e.label AS cluster, count(*) AS n FROM it JOIN w ON it.term = w.term JOIN embeddings e ON e.vec_id = w.vec_id
+GROUP BY it."user", e.label""")
 def q_t15(spark, d):
     t = Tables(spark, d)
-    items = t.documents.select(F.col("doc_id").alias("doc"), F.explode(tf.text_tokens(normalise_post("text"), True)).alias("term"))
-    voc = tf.vocabulary(items, _n_docs(t))
-    clusters = t.embeddings.select(F.col("vec_id").alias("index"), F.col("label").alias("cluster"))
-    return (items.join(voc.select(F.col("word").alias("term"), "index"), "term").join(clusters, "index")
-            .groupBy(F.col("doc").alias("user"), "cluster").agg(F.count(F.lit(1)).alias("n")))
+    return cluster_counts(t, t.embeddings.select("vec_id", F.col("label").alias("cluster")))
 
 
 @query("read_class_dictionaries", f"""
