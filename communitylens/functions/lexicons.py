@@ -1,4 +1,5 @@
-"""Fixed values that must equal the reference's for right results."""
+"""Word lists and tables.  Those marked as fixed values must equal the
+reference's for right results; the others are stand-ins, and say so."""
 
 # The stopword list of the post analyser (X09), in file order.
 ANALYSER_STOPWORDS = tuple("""
@@ -13,11 +14,10 @@ when's where where's which while who who's whom why why's with won't would would
 your yours yourself yourselves
 """.split())
 
-# Single-character accent folding (X09), source and target in order.
-FOLD_FROM = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÝýÿ"
-FOLD_TO = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOOooooooUUUUuuuuYyy"
-# Multi-character folds.
-FOLD_MULTI = (("ß", "ss"), ("Æ", "AE"), ("æ", "ae"), ("Œ", "OE"), ("œ", "oe"))
+# Letters that folding maps although they are no accented
+# base letter (X09); accented letters are folded by their decomposition.
+FOLD_SINGLE = {"Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ħ": "H", "ħ": "h", "ı": "i", "Ł": "L", "ł": "l", "Ŧ": "T", "ŧ": "t"}
+FOLD_MULTI = {"ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe"}
 
 # Label precedence (X23): advocates are dropped when one of
 # these labels is present; the short patient code is expanded.
@@ -53,7 +53,7 @@ MANUAL_DICTIONARIES = {
     "en": ("the", "and", "of", "with"), "fr": ("le", "la", "des", "une"),
     "de": ("der", "die", "und", "nicht"), "es": ("el", "la", "los", "que"),
 }
-# Gazetteers (T09): person titles and professions (professions also match
+# Stand-in gazetteers (T09), written to list files and read back: person titles and professions (professions also match
 # any token ending in 'ist').
 GAZETTEERS = {
     "title": ("dr", "prof", "mr", "mrs", "ms"),

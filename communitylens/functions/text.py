@@ -87,14 +87,29 @@ def r4(x) -> Column:
 
 
 # ---- X09 analyser -----------------------------------------------------------------------
-from communitylens.functions.lexicons import ANALYSER_STOPWORDS, FOLD_FROM, FOLD_MULTI, FOLD_TO  # noqa: E402
+import unicodedata  # noqa: E402
+
+from communitylens.functions.lexicons import ANALYSER_STOPWORDS, FOLD_MULTI, FOLD_SINGLE  # noqa: E402
 
 TOKEN_PATTERN = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 
 
+def _fold_table() -> dict[str, str]:
+    """Letters of the Latin blocks whose decomposition is one ASCII letter
+    and marks, and the single letters without a decomposition."""
+    table = dict(FOLD_SINGLE)
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if c.isalpha() and len(base) == 1 and base.isascii():
+            table[c] = base
+    return table
+
+
 def fold_accents(text) -> Column:
-    t = F.translate(_c(text), FOLD_FROM, FOLD_TO)
-    for a, b in FOLD_MULTI:
+    """ASCII folding of Latin letters."""
+    table = _fold_table()
+    t = F.translate(_c(text), "".join(table), "".join(table.values()))
+    for a, b in FOLD_MULTI.items():
         t = F.replace(t, F.lit(a), F.lit(b))
     return t
 
@@ -121,10 +136,11 @@ def normalise_post(text) -> Column:
 
 def username_shape(name) -> list[Column]:
     """Number of letters, number of digits and the case class
-    (1 all upper, 2 all lower, 3 mixed; no letters at all counts as 1)."""
+    (1 all upper, 2 no upper, 3 mixed; no letters at all counts as 1), over
+    all of Unicode's letters and digits."""
     n = _c(name)
-    upper = F.length(F.regexp_replace(n, "[^A-Z]", ""))
-    lower = F.length(F.regexp_replace(n, "[^a-z]", ""))
-    digits = F.length(F.regexp_replace(n, "[^0-9]", ""))
-    case = F.when(lower == 0, 1).when(upper == 0, 2).otherwise(3)
-    return [(upper + lower).alias("n_alpha"), digits.alias("n_digits"), case.alias("case_class")]
+    letters = F.length(F.regexp_replace(n, r"[^\p{L}]", ""))
+    upper = F.length(F.regexp_replace(n, r"[^\p{Lu}]", ""))
+    digits = F.length(F.regexp_replace(n, r"[^\p{Nd}]", ""))
+    case = F.when(upper == letters, 1).when(upper == 0, 2).otherwise(3)
+    return [letters.alias("n_alpha"), digits.alias("n_digits"), case.alias("case_class")]

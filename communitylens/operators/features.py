@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from communitylens.functions.lexicons import POLARITY_THRESHOLD, SENTIMENT_ALPHA, SENTIMENT_LEXICON
-from communitylens.functions.text import harmonic_mean, null_safe_ratio, split_whitespace
+from communitylens.functions.text import harmonic_mean, null_safe_ratio, split_whitespace, username_shape
 
 WORD_PATTERN = r"\b\w\w+\b"
 
@@ -129,10 +129,8 @@ def penn_profile_features(users: DataFrame, rollup: DataFrame) -> DataFrame:
     """U-P1: name length and shape (X08), avatar / location flags,
     followers, friends, friend/follower ratio, totals and retweet share."""
     name = F.col("screen_name")
-    alpha = F.length(F.regexp_replace(name, r"[^\p{L}]", ""))
-    upper = F.length(F.regexp_replace(name, r"[^\p{Lu}]", ""))
-    digits = F.length(F.regexp_replace(name, r"[^\p{Nd}]", ""))
-    case = F.when(upper == alpha, "1").when(upper == 0, "2").otherwise("3")
+    alpha, digits, case = username_shape(name)
+    case = case.cast("string")
     j = users.join(rollup, users.id == rollup.user_id, "left")
     total = F.coalesce("newtweet_count", F.lit(0)) + F.coalesce("retweet_count", F.lit(0))
     rts = F.coalesce("retweet_count", F.lit(0))
@@ -191,10 +189,17 @@ def sentiment_compound(text_col) -> F.Column:
     return s / F.sqrt(s * s + F.lit(SENTIMENT_ALPHA))
 
 
-def penn_sentiment_features(posts: DataFrame, keywords) -> DataFrame:
-    """U-S1 per user: for each keyword the share of the user's posts of each
-    polarity that contain it (substring), and over the keywords the mean,
-    population std and non-zero count per polarity."""
+def penn_sentiment_shares(posts: DataFrame, keywords) -> DataFrame:
+    """U-S1, the keyword part: (user_id, keyword, pos, neg, neu), the share of
+    the user's posts of each polarity that contain the keyword (substring);
+    a row for every user and keyword, 0 without a post."""
+    n, hits = _keyword_shares(posts, keywords)
+    every = n.select("user_id", F.explode(F.array(*[F.lit(k) for k in keywords])).alias("keyword"))
+    return every.join(hits, ["user_id", "keyword"], "left").na.fill(0)
+
+
+def _keyword_shares(posts: DataFrame, keywords) -> tuple[DataFrame, DataFrame]:
+    """(posts per user, shares of the keywords that occur)."""
     comp = sentiment_compound(F.col("status_text"))
     pol = F.when(comp >= POLARITY_THRESHOLD, "pos").when(comp <= -POLARITY_THRESHOLD, "neg").otherwise("neu")
     p = posts.select("user_id", pol.alias("pol"), F.lower("status_text").alias("t"))
@@ -204,6 +209,13 @@ def penn_sentiment_features(posts: DataFrame, keywords) -> DataFrame:
             .groupBy("user_id", "keyword").agg(*[F.count(F.when(F.col("pol") == x, 1)).alias(x) for x in ("pos", "neg", "neu")])
             .join(n, "user_id")
             .select("user_id", "keyword", *[(F.col(x) / F.col("n")).alias(x) for x in ("pos", "neg", "neu")]))
+    return n, hits
+
+
+def penn_sentiment_features(posts: DataFrame, keywords) -> DataFrame:
+    """U-S1 per user: over the keyword shares the mean, population std and
+    non-zero count per polarity."""
+    n, hits = _keyword_shares(posts, keywords)
     k = float(len(keywords))
     summ = hits.groupBy("user_id").agg(
         *[F.sum(x).alias(f"s_{x}") for x in ("pos", "neg", "neu")],

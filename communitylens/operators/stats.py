@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from communitylens.functions.text import r4, split_whitespace
 
+MEDIA_TYPE = "photo"  # the one media type of the post feed
 ENTITY_KINDS = ("hashtag", "mention", "url", "media", "symbol")
 
 
@@ -135,9 +136,12 @@ def user_rollup(posts: DataFrame) -> DataFrame:
 
 def user_entity_sets(posts: DataFrame, post_entities: DataFrame) -> DataFrame:
     """A05 entity part: the distinct entity set of each author as a long
-    table (user_id, kind, value) -- never a per-user array."""
-    return (posts.select(F.col("id").alias("post_id"), "user_id").join(post_entities, "post_id")
-            .select("user_id", "kind", "value").distinct())
+    table (user_id, kind, value) -- never a per-user array.  A media entity
+    brings its type along as a kind of its own."""
+    own = posts.select(F.col("id").alias("post_id"), "user_id").join(post_entities, "post_id").select("user_id", "kind", "value")
+    types = own.filter(F.col("kind") == "media").select("user_id", F.lit("media_type").alias("kind"),
+                                                        F.lit(MEDIA_TYPE).alias("value"))
+    return own.unionByName(types).distinct()
 
 
 def user_rollup_with_sets(posts: DataFrame, post_entities: DataFrame) -> DataFrame:

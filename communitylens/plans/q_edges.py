@@ -64,16 +64,13 @@ def q_g01(spark, d):
     return _edges(t, _screen_names(t))
 
 
-@query("edges_by_community", """
-WITH e AS (SELECT t.post_id, u.screen_name AS vertex1, CASE WHEN t.target IS NULL THEN u.screen_name ELSE t.target END AS vertex2,
-                  t.relationship FROM edge_targets t JOIN posts p ON p.id = t.post_id LEFT JOIN users u ON u.id = p.user_id)
-SELECT pc.community, e.vertex1, e.vertex2, e.relationship, 'ID_' || CAST(e.post_id AS VARCHAR) AS imported_id
-FROM post_communities pc JOIN e ON pc.post_id = e.post_id""")
+@query("edges_by_community", "WITH e AS (" + _edges_sql("u.screen_name") + """,
+  a.id AS post_id FROM edge_targets t JOIN post_attrs a ON t.post_id = a.id LEFT JOIN users u ON u.id = a.user_id)
+SELECT pc.community, e.* EXCLUDE (post_id) FROM post_communities pc JOIN e ON pc.post_id = e.post_id""")
 def q_g02(spark, d):
     t = Tables(spark, d)
-    e = _edges(t, _screen_names(t)).select("vertex1", "vertex2", "relationship", "imported_id")
     pc = t.post_communities.select("community", F.concat(F.lit("ID_"), F.col("post_id").cast("string")).alias("imported_id"))
-    return pc.join(e, "imported_id").select("community", "vertex1", "vertex2", "relationship", "imported_id")
+    return pc.join(_edges(t, _screen_names(t)), "imported_id").select("community", *eg.EDGE_COLUMNS)
 
 
 @query("edges_by_days", f"""
@@ -82,10 +79,8 @@ w AS (SELECT p.id, CAST(floor((epoch_us(p.created_at) - epoch_us(f.first)) / 100
       FROM posts p, f),
 s AS (SELECT id, window_id FROM (SELECT id, window_id, row_number() OVER (PARTITION BY window_id ORDER BY md5(CAST(id AS VARCHAR)), id) AS r,
              count(*) OVER (PARTITION BY window_id) AS n FROM w) x WHERE r <= floor(n * {SHARE}))
-SELECT s.window_id, 'twitterID_' || CAST(p.user_id AS VARCHAR) AS vertex1,
-       CASE WHEN t.target IS NULL THEN 'twitterID_' || CAST(p.user_id AS VARCHAR) ELSE 'twitterID_' || t.target END AS vertex2,
-       t.relationship, 'twitterID_' || CAST(p.id AS VARCHAR) AS imported_id
-FROM s JOIN posts p ON p.id = s.id JOIN edge_targets t ON t.post_id = p.id""")
+""" + _edges_sql("CAST(a.user_id AS VARCHAR)", "twitterID_", "twitterID_") + """, s.window_id
+FROM s JOIN post_attrs a ON a.id = s.id JOIN edge_targets t ON t.post_id = a.id""")
 def q_g03(spark, d):
     t = Tables(spark, d)
     win = tumbling_windows(t.posts.select("id", "created_at"), WINDOW_DAYS).select("id", "window_id")
@@ -95,16 +90,15 @@ def q_g03(spark, d):
     e = _edges(t, authors, "twitterID_", "twitterID_", posts=posts)
     return (e.join(picked.select(F.concat(F.lit("twitterID_"), F.col("id").cast("string")).alias("imported_id"), "window_id"),
                    "imported_id")
-            .select("window_id", "vertex1", "vertex2", "relationship", "imported_id"))
+            .select("window_id", *eg.EDGE_COLUMNS))
 
 
 @query("edges_by_user_type", f"""
 WITH u AS (SELECT id FROM users WHERE lower(label) = '{USER_TYPE}'),
 s AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) AS r, count(*) OVER () AS n FROM u) x
       WHERE r <= floor(n * {SHARE}))
-SELECT CAST(p.user_id AS VARCHAR) AS vertex1, CASE WHEN t.target IS NULL THEN CAST(p.user_id AS VARCHAR) ELSE t.target END AS vertex2,
-       t.relationship, 'ID_' || CAST(p.id AS VARCHAR) AS imported_id
-FROM posts p JOIN s ON p.user_id = s.id JOIN edge_targets t ON t.post_id = p.id""")
+""" + _edges_sql("CAST(a.user_id AS VARCHAR)") + """
+FROM post_attrs a JOIN s ON a.user_id = s.id JOIN edge_targets t ON t.post_id = a.id""")
 def q_g04(spark, d):
     t = Tables(spark, d)
     from communitylens.operators.filters import users_by_type
@@ -112,7 +106,7 @@ def q_g04(spark, d):
     picked = sample_share(u, "g", "id", SHARE).select(F.col("id").alias("user_id"))
     posts = t.posts.join(picked, "user_id", "left_semi")
     authors = picked.select("user_id", F.col("user_id").cast("string").alias("author"))
-    return _edges(t, authors, posts=posts).select("vertex1", "vertex2", "relationship", "imported_id")
+    return _edges(t, authors, posts=posts)
 
 
 @query("basic_user_features", """

@@ -176,7 +176,7 @@ def q_uu1(spark, d):
     return fe.uddin_features(t.users, stats.user_rollup(t.posts), _pec(t))
 
 
-def _us1_sql():
+def _us1_sql(final=None):
     val = "CASE w " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SENTIMENT_LEXICON.items()) + " ELSE 0.0 END"
     kw = ", ".join(f"'{k}'" for k in FEATURE_KEYWORDS)
     k = float(len(FEATURE_KEYWORDS))
@@ -198,7 +198,7 @@ r AS (SELECT h.user_id, h.pos / n.n AS pos, h.neg / n.n AS neg, h.neu / n.n AS n
 a AS (SELECT user_id, sum(pos) AS s_pos, sum(neg) AS s_neg, sum(neu) AS s_neu, sum(pos * pos) AS q_pos, sum(neg * neg) AS q_neg,
              sum(neu * neu) AS q_neu, count(CASE WHEN pos > 0 THEN 1 END) AS count_pos, count(CASE WHEN neg > 0 THEN 1 END) AS count_neg,
              count(CASE WHEN neu > 0 THEN 1 END) AS count_neu FROM r GROUP BY user_id)
-SELECT n.user_id, {', '.join(cols)} FROM n LEFT JOIN a ON n.user_id = a.user_id"""
+{{final}}""".replace("{final}", final or f"SELECT n.user_id, {', '.join(cols)} FROM n LEFT JOIN a ON n.user_id = a.user_id")
 
 
 @query("penn_sentiment_features", _us1_sql())
@@ -220,3 +220,12 @@ def q_ut1(spark, d):
     t = Tables(spark, d)
     from communitylens.operators.textfeat import community_word_match
     return community_word_match(hashtag_texts(t), "post_id", "text", word_dictionary(t.part))
+
+
+@query("penn_sentiment_shares", _us1_sql(f"""
+SELECT n.user_id, k.keyword, coalesce(r.pos, 0.0) AS pos, coalesce(r.neg, 0.0) AS neg, coalesce(r.neu, 0.0) AS neu
+FROM n CROSS JOIN (SELECT unnest([{', '.join(repr(k) for k in FEATURE_KEYWORDS)}]) AS keyword) k
+LEFT JOIN (SELECT h.user_id, h.keyword, h.pos / n.n AS pos, h.neg / n.n AS neg, h.neu / n.n AS neu FROM h JOIN n ON h.user_id = n.user_id) r
+  ON r.user_id = n.user_id AND r.keyword = k.keyword"""))
+def q_us1_shares(spark, d):
+    return fe.penn_sentiment_shares(Tables(spark, d).posts, FEATURE_KEYWORDS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from communitylens.functions import text as tx
-from communitylens.functions.lexicons import (ANALYSER_STOPWORDS, FOLD_FROM, FOLD_MULTI, FOLD_TO,
+from communitylens.functions.lexicons import (ANALYSER_STOPWORDS, FOLD_MULTI, FOLD_SINGLE,
                                               PRECEDENCE_OVER_ADVOCATE)
 from communitylens.plans.oracle_views import register
 from communitylens.plans.registry import query
@@ -100,17 +100,19 @@ def q_x07(spark, d):
 
 
 @query("username_shape", """
-SELECT id, length(regexp_replace(screen_name, '[^A-Za-z]', '', 'g')) AS n_alpha,
-  length(regexp_replace(screen_name, '[^0-9]', '', 'g')) AS n_digits,
-  CASE WHEN length(regexp_replace(screen_name, '[^a-z]', '', 'g')) = 0 THEN 1
-       WHEN length(regexp_replace(screen_name, '[^A-Z]', '', 'g')) = 0 THEN 2 ELSE 3 END AS case_class FROM users""")
+SELECT id, length(regexp_replace(screen_name, '[^\\p{L}]', '', 'g')) AS n_alpha,
+  length(regexp_replace(screen_name, '[^\\p{Nd}]', '', 'g')) AS n_digits,
+  CASE WHEN length(regexp_replace(screen_name, '[^\\p{Lu}]', '', 'g')) = length(regexp_replace(screen_name, '[^\\p{L}]', '', 'g')) THEN 1
+       WHEN length(regexp_replace(screen_name, '[^\\p{Lu}]', '', 'g')) = 0 THEN 2 ELSE 3 END AS case_class FROM users""")
 def q_x08(spark, d):
     return Tables(spark, d).users.select("id", *tx.username_shape("screen_name"))
 
 
 def _fold_sql(t: str) -> str:
-    s = f"translate({t}, '{FOLD_FROM}', '{FOLD_TO}')"
-    for a, b in FOLD_MULTI:
+    """Folding the other engine's way: accents stripped by its own function,
+    then the letters that are not an accented base letter."""
+    s = f"strip_accents({t})"
+    for a, b in {**FOLD_SINGLE, **FOLD_MULTI}.items():
         s = f"replace({s}, '{a}', '{b}')"
     return s
 
@@ -215,10 +217,10 @@ LEFT JOIN (SELECT p.user_id, count(DISTINCT pt.tag) AS n FROM posts p JOIN post_
   ON u.id = n.user_id""")
 def q_x19(spark, d):
     t = Tables(spark, d)
-    sets = (t.posts.select(F.col("id").alias("post_id"), "user_id").join(t.post_tags, "post_id")
-            .groupBy("user_id").agg(F.collect_set("tag").alias("tags")))
-    return (t.users.select("id").join(sets, t.users.id == sets.user_id, "left")
-            .select("id", tx.size_or_zero("tags").alias("n_hashtags")))
+    n = (t.posts.select(F.col("id").alias("post_id"), "user_id").join(t.post_tags, "post_id")
+         .select("user_id", "tag").distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("n")))
+    return (t.users.select("id").join(n, t.users.id == n.user_id, "left")
+            .select("id", F.coalesce("n", F.lit(0)).alias("n_hashtags")))
 
 
 @query("screen_name_from_url", "SELECT page_id, regexp_extract(url, '[^/]*$') AS tail FROM pages")

@@ -110,6 +110,15 @@ def q_user_rollup(spark, d):
     return stats.user_rollup_with_sets(t.posts, t.post_entities)
 
 
+@query("user_entity_sets", f"""
+WITH own AS (SELECT p.user_id, e.kind, e.value FROM posts p JOIN post_entities e ON p.id = e.post_id)
+SELECT DISTINCT user_id, kind, value FROM own
+UNION SELECT user_id, 'media_type', '{stats.MEDIA_TYPE}' FROM own WHERE kind = 'media'""")
+def q_user_entity_sets(spark, d):
+    t = Tables(spark, d)
+    return stats.user_entity_sets(t.posts, t.post_entities)
+
+
 @query("distinct_authors", "SELECT DISTINCT user_id FROM posts")
 def q_distinct_authors(spark, d):
     return stats.distinct_authors(Tables(spark, d).posts)

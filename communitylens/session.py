@@ -61,7 +61,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # not readable through the runtime conf on this session
         configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # local runs and tests only: the cluster names a shared folder
+        # local runs and tests only: a cluster names a folder that all its machines share
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="communitylens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         try:
             spark.conf.set("spark.checkpoint.dir", configured)
