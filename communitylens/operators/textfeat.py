@@ -38,10 +38,20 @@ def text_tokens(text_col, drop_stopwords: bool = True, min_len: int = 1):
     return t
 
 
+def token_rows(df: DataFrame, keys, text_col, out: str = "term", drop_stopwords: bool = True, min_len: int = 1) -> DataFrame:
+    """``text_tokens`` as rows beside ``keys``: words are cut, exploded and
+    then filtered as plain columns, all in one generated stage, instead of
+    through array lambdas."""
+    word = F.col(out)
+    rows = df.select(*keys, F.explode(F.split(F.regexp_replace(F.lower(text_col), r"[^a-z]+", " "), " ")).alias(out))
+    keep = (F.length(word) >= min_len) if min_len > 1 else (word != "")
+    return rows.filter(keep & ~word.isin(*TEXT_STOPWORDS) if drop_stopwords else keep)
+
+
 def class_word_frequency(docs: DataFrame, class_col: str, text_col: str) -> DataFrame:
     """(class, word, freq) over all texts of a class; stopwords and
     tokens shorter than 2 removed."""
-    return (docs.select(F.col(class_col).alias("class"), F.explode(text_tokens(F.col(text_col), True, 2)).alias("word"))
+    return (token_rows(docs, [F.col(class_col).alias("class")], F.col(text_col), "word", min_len=2)
             .groupBy("class", "word").agg(F.count(F.lit(1)).alias("freq")))
 
 

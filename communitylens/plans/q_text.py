@@ -59,7 +59,7 @@ def _pass1(t):
 
 
 def _doc_tokens(t):
-    return t.documents.select(F.col("doc_id").alias("user"), F.explode(tf.text_tokens(F.col("text"), True, 2)).alias("word"))
+    return tf.token_rows(t.documents, [F.col("doc_id").alias("user")], F.col("text"), "word", min_len=2)
 
 
 @query("class_word_frequency", "SELECT class, word, freq, rank FROM t_pass1")
@@ -93,8 +93,7 @@ WHERE rank <= {top}"""
        + ") AS term FROM documents), " + _PROTO_SQL.strip()[5:].replace("{top}", str(PROTO_TOP)))
 def q_t04w(spark, d):
     t = Tables(spark, d)
-    items = t.documents.select(F.col("lang").alias("class"), F.col("doc_id").alias("doc"),
-                               F.explode(tf.text_tokens(F.col("text"), True, 2)).alias("term"))
+    items = tf.token_rows(t.documents, [F.col("lang").alias("class"), F.col("doc_id").alias("doc")], F.col("text"), min_len=2)
     return tf.proto_terms(items, PROTO_TOP)
 
 
@@ -167,8 +166,7 @@ FROM n CROSS JOIN (SELECT DISTINCT class AS dictionary FROM pw) l LEFT JOIN m ON
 
     def q_t07(spark, d):
         t = Tables(spark, d)
-        items = t.documents.select(F.col("lang").alias("class"), F.col("doc_id").alias("doc"),
-                                   F.explode(tf.text_tokens(F.col("text"), True, 2)).alias("term"))
+        items = tf.token_rows(t.documents, [F.col("lang").alias("class"), F.col("doc_id").alias("doc")], F.col("text"), min_len=2)
         pw = tf.proto_terms(items, PROTO_TOP).select(F.col("class").alias("dictionary"), "word")
         return tf.entry_shares(_doc_tokens(t), pw)
 
@@ -249,7 +247,7 @@ def _normalise_sql_text():
 def q_t11(spark, d):
     t = Tables(spark, d)
     docs = t.documents
-    items = docs.select(F.col("doc_id").alias("doc"), F.explode(tf.text_tokens(normalise_post("text"), True)).alias("term"))
+    items = tf.token_rows(docs, [F.col("doc_id").alias("doc")], normalise_post("text"))
     return tf.tfidf(items, _n_docs(t))
 
 
@@ -290,7 +288,7 @@ SELECT term AS word, row_number() OVER (ORDER BY term) - 1 AS index, cf AS count
 def q_t17(spark, d):
     t = Tables(spark, d)
     docs = t.documents
-    items = docs.select(F.col("doc_id").alias("doc"), F.explode(tf.text_tokens(normalise_post("text"), True)).alias("term"))
+    items = tf.token_rows(docs, [F.col("doc_id").alias("doc")], normalise_post("text"))
     return tf.vocabulary(items, _n_docs(t))
 
 
@@ -305,9 +303,9 @@ WHERE u.id NOT IN (SELECT doc FROM ({_VOC_TOKENS_SQL}) p2)"""
 def cluster_items(t):
     """T15's tokens (user, term): of the user's posts, or of the profile of a
     user without any."""
-    posts = t.documents.select(F.col("doc_id").alias("user"), F.explode(tf.text_tokens(normalise_post("text"), True)).alias("term"))
+    posts = tf.token_rows(t.documents, [F.col("doc_id").alias("user")], normalise_post("text"))
     rest = t.users.select(F.col("id").alias("user"), "user_desc").join(posts.select("user").distinct(), "user", "left_anti")
-    return posts.unionByName(rest.select("user", F.explode(tf.text_tokens(normalise_post("user_desc"), True)).alias("term")))
+    return posts.unionByName(tf.token_rows(rest, ["user"], normalise_post("user_desc")))
 
 
 def cluster_counts(t, clusters):
