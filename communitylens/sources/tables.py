@@ -64,30 +64,30 @@ class Tables:
     # ---- posts and their entities -------------------------------------------------
     @cached_property
     def post_tags(self) -> DataFrame:
+        """(post_id, tag): one row per distinct tag of a post."""
         stored = self._stored("post_tags")
         if stored is not None:
             return stored
-        """(post_id, tag): one row per distinct tag of a post."""
         return (self.raw("lineitem")
                 .select(F.col("l_orderkey").alias("post_id"), F.col("l_partkey").alias("tag"))
                 .distinct())
 
     @cached_property
     def post_mentions(self) -> DataFrame:
+        """(post_id, mention): one row per distinct mentioned user of a post."""
         stored = self._stored("post_mentions")
         if stored is not None:
             return stored
-        """(post_id, mention): one row per distinct mentioned user of a post."""
         return (self.raw("lineitem")
                 .select(F.col("l_orderkey").alias("post_id"), F.col("l_suppkey").alias("mention"))
                 .distinct())
 
     @cached_property
     def communities(self) -> DataFrame:
+        """(tag, community): the seed dictionary, one row per tag."""
         stored = self._stored("communities")
         if stored is not None:
             return stored
-        """(tag, community): the seed dictionary, one row per tag."""
         return (self.raw("part").filter(F.col("p_size") <= SEED_MAX_SIZE)
                 .select(F.col("p_partkey").alias("tag"), F.col("p_brand").alias("community")))
 
@@ -137,11 +137,11 @@ class Tables:
 
     @cached_property
     def posts(self) -> DataFrame:
+        """One row per order: id, user_id, created_at, kind, four counters,
+        reply target and status_text."""
         stored = self._stored("posts")
         if stored is not None:
             return stored
-        """One row per order: id, user_id, created_at, kind, four counters,
-        reply target and status_text."""
         o = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
         kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in KIND_BY_PRIORITY.items() for x in kv]),
                                        F.col("o_orderpriority")), F.lit("original"))
@@ -188,10 +188,10 @@ class Tables:
 
     @cached_property
     def post_communities(self) -> DataFrame:
+        """(post_id, community): F01 for every community at once."""
         stored = self._stored("post_communities")
         if stored is not None:
             return stored
-        """(post_id, community): F01 for every community at once."""
         return (self.post_tags.join(self.communities, "tag")
                 .select("post_id", "community").distinct())
 
@@ -203,23 +203,25 @@ def materialize_views(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
 
     Order matters for cost: the entity table is built from lineitem once;
     tags and mentions are then read back from it (already distinct per
-    post), and post -> community from the stored tags."""
+    post), and post -> community from the stored tags.  Tables are written as
+    they come out of their own shuffle; plain Parquet keeps no partitioning, so
+    a further one by key would buy nothing."""
     t = Tables(spark, sf_dir)
     spark.conf.unset(VIEWS_DIR_CONF)
     out = out_dir.rstrip("/")
 
-    def put(name, df, key):
-        df.repartition(key).write.mode("overwrite").parquet(f"{out}/{name}")
+    def put(name, df):
+        df.write.mode("overwrite").parquet(f"{out}/{name}")
         return spark.read.parquet(f"{out}/{name}")
 
-    comm = put("communities", t.communities, "tag")
-    ents = put("post_entities", t.post_entities, "post_id")
+    comm = put("communities", t.communities)
+    ents = put("post_entities", t.post_entities)
     tags = put("post_tags", ents.filter(F.col("kind") == "hashtag")
-               .select("post_id", F.col("value").cast("bigint").alias("tag")), "post_id")
+               .select("post_id", F.col("value").cast("bigint").alias("tag")))
     put("post_mentions", ents.filter(F.col("kind") == "mention")
-        .select("post_id", F.col("value").cast("bigint").alias("mention")), "post_id")
-    put("post_communities", tags.join(comm, "tag").select("post_id", "community").distinct(), "post_id")
-    put("posts", t.posts, "id")
-    put("users", t.users, "id")
+        .select("post_id", F.col("value").cast("bigint").alias("mention")))
+    put("post_communities", tags.join(comm, "tag").select("post_id", "community").distinct())
+    put("posts", t.posts)
+    put("users", t.users)
     spark.conf.set(VIEWS_DIR_CONF, out_dir)
     spark.conf.set(VIEWS_DIR_CONF + ".source", t.sf_dir)
