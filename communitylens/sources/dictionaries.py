@@ -99,6 +99,44 @@ def read_class_dictionaries(spark, path: str, top_n: int) -> DataFrame:
     return x.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top_n).drop("_r")
 
 
+def _numbered_lines(spark, path: str) -> DataFrame:
+    """(file, line, value) of a folder of small text files, lines from 0 in
+    file order; a file is one row until its lines are cut, so their order is sure."""
+    whole = spark.read.text(path, wholetext=True).select(_file_name().alias("file"), "value")
+    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+
+
+def read_class_dictionary_files(spark, path: str, top_n: int, pos=None) -> DataFrame:
+    """S07 as files are named by the class dictionary builder,
+    ``<label>_<pos>.csv`` or ``<label>_<n>_<pos>.csv`` (or .txt), ``word,score``
+    lines best first -> (pos, label, word, score): the first ``top_n`` lines of
+    each file, of the listed parts of speech if any; a line without a score has 0.0,
+    and of a word listed twice the later line counts."""
+    name = F.split(F.regexp_replace("file", r"\.(csv|txt)$", ""), "_")
+    cells = F.from_csv("value", "word string, score string, more string")
+    lines = (_numbered_lines(spark, path).filter((F.col("line") < top_n) & (F.col("value") != ""))
+             .select("line", name.alias("n"), cells.alias("c")))
+    exact_two = F.col("c.score").isNotNull() & F.col("c.more").isNull()
+    rows = lines.select("line", F.when(F.size("n") == 3, F.try_element_at("n", F.lit(3))).otherwise(F.try_element_at("n", F.lit(2)))
+                        .alias("pos"), F.col("n")[0].alias("label"), F.col("c.word").alias("word"),
+                        F.when(exact_two, F.coalesce(F.col("c.score").try_cast("double"), F.lit(0.0))).otherwise(0.0).alias("score"))
+    if pos is not None:
+        rows = rows.filter(F.col("pos").isin(*pos))
+    return rows.groupBy("pos", "label", "word").agg(F.max_by("score", "line").alias("score"))
+
+
+def read_user_files(spark, path: str) -> DataFrame:
+    """S09 as per-user files: line 0 is the user, the others are
+    ``ot|text`` or ``rt|text``; anything else before the bar counts as a
+    retweet, a line without a bar is skipped -> (user, kind, text)."""
+    lines = _numbered_lines(spark, path)
+    user = lines.filter(F.col("line") == 0).select("file", F.col("value").alias("user"))
+    cut = F.split("value", r"\|", 2)
+    posts = lines.filter((F.col("line") > 0) & F.col("value").contains("|")).select(
+        "file", F.when(cut[0] == "ot", "ot").otherwise("rt").alias("kind"), cut[1].alias("text"))
+    return posts.join(user, "file").select("user", "kind", "text")
+
+
 def read_multi_value_dict(spark, path: str) -> DataFrame:
     """``word,c1,c2,...`` lines -> (word, value) for non-empty values."""
     lines = spark.read.text(path)

@@ -72,6 +72,25 @@ def test_word_lists_by_file_name(spark):
     assert got == {("person titles", "dr"), ("person titles", "prof"), ("b", "dr")}
 
 
+def test_class_dictionary_files(spark):
+    path = scratch_path(spark, f"classes-{random.random()}")
+    dic.write_text_file(spark, f"{path}/hpi_nouns.csv", 'b,0.5\na,0.25\n"c,d",0.1\n')
+    dic.write_text_file(spark, f"{path}/hpo_2_verbs.csv", "run,1.5\nno score\nrun,0.5\nlast,9\n")
+    dic.write_text_file(spark, f"{path}/hpo_any.txt", "x,1")
+    got = {tuple(r) for r in dic.read_class_dictionary_files(spark, path, 3).select("pos", "label", "word", "score").collect()}
+    assert got == {("nouns", "hpi", "b", 0.5), ("nouns", "hpi", "a", 0.25), ("nouns", "hpi", "c,d", 0.1),
+                   ("verbs", "hpo", "run", 0.5), ("verbs", "hpo", "no score", 0.0), ("any", "hpo", "x", 1.0)}
+    assert dic.read_class_dictionary_files(spark, path, 2, pos=["nouns"]).count() == 2
+
+
+def test_user_files(spark):
+    path = scratch_path(spark, f"users-{random.random()}")
+    dic.write_text_file(spark, f"{path}/a.txt", "ann\not|one | two\nrt|three\nno bar here\n")
+    dic.write_text_file(spark, f"{path}/b.txt", "bob\nxx|four")
+    assert {tuple(r) for r in dic.read_user_files(spark, path).collect()} == {
+        ("ann", "ot", "one | two"), ("ann", "rt", "three"), ("bob", "rt", "four")}
+
+
 def test_matrix_long_and_wide(spark):
     pairs = spark.createDataFrame([("#a", "b", 0.5), ("b", "c", 0.25)], "x string, y string, s double")
     long = {tuple(r) for r in sinks.long_matrix(pairs, "x", "y", "s").collect()}
