@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +29,7 @@ from communitylens.llm.u64map import U64Map
 #: it never shares a pre-token with what stands around it.
 CHUNK = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Chunks remembered by a worker, and characters encoded at a time.
-MEMO = 800_000
+MEMO = 400_000
 BATCH_CHARS = 4_000_000
 
 
@@ -88,7 +89,7 @@ class ByteBPE:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.pattern = regex.compile(pattern)
-        self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
+        self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.chunks: dict[str, bytes] = {}
         self._pair_table()
 
@@ -97,7 +98,7 @@ class ByteBPE:
         pairs = [(self.ranks[t[:i]] << 32 | self.ranks[t[i:]], r) for t, r in self.ranks.items()
                  for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self.pair_map = U64Map(np.array([k for k, _ in pairs], dtype=np.uint64))
-        self.pair_rank = np.array([r for _, r in pairs] + [-1], dtype=np.int64)  # -1: not found
+        self.pair_rank = np.array([r for _, r in pairs] + [-1], dtype=np.int32)  # -1: not found
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge rank of each pair of ids, -1 where the vocabulary has none."""
@@ -130,12 +131,12 @@ class ByteBPE:
         start = stop - lens
         tok = self.byte_ids[np.frombuffer(b"".join(pieces[i] for i in todo), dtype=np.uint8)]
         n = len(tok)
-        owner = np.repeat(np.arange(len(todo)), lens)
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        owner = np.repeat(np.arange(len(todo), dtype=np.int32), lens)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         nxt[stop - 1] = -1
         prv[start] = -1
         alive = np.ones(n, dtype=bool)
-        pair = np.full(n, -1)
+        pair = np.full(n, -1, dtype=np.int32)
         has = np.flatnonzero(nxt >= 0)
         pair[has] = self.pair_ranks(tok[has], tok[has + 1])
         queue, again = RankQueue(self.size), set()
@@ -208,7 +209,8 @@ class ByteBPE:
 
     def encode_stream(self, texts: Iterator[str | None]) -> Iterator[bytes]:
         """As ``encode_batch``, some millions of characters at a time."""
-        held, size = [], 0
+        held: list[str | None] = []
+        size = 0
         for t in texts:
             held.append(t)
             size += len(t or "")
@@ -222,11 +224,21 @@ class ByteBPE:
 
 
 @lru_cache(maxsize=2)
-def encoder(rank_file: bytes, pattern: str) -> ByteBPE:
-    """One encoder for each worker process and vocabulary."""
+def _made(rank_file: bytes, pattern: str) -> ByteBPE:
     return ByteBPE(rank_file, pattern)
 
 
+@contextmanager
+def encoder(rank_file: bytes, pattern: str) -> Iterator[ByteBPE]:
+    """The worker process's encoder for a vocabulary; what it remembers of
+    texts goes when the task ends, so that idle workers stay small."""
+    bpe = _made(rank_file, pattern)
+    try:
+        yield bpe
+    finally:
+        bpe.chunks.clear()
+
+
 def read_vocabulary(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -235,11 +247,12 @@ def read_vocabulary(path: str) -> bytes:
 def encode_documents(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids binary) per row; a null text has no ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(rank_file, pattern)
-        for b in batches:
-            ids = list(bpe.encode_stream(t.as_py() for t in b.column("text")))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                                              pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        with encoder(rank_file, pattern) as bpe:
+            for b in batches:
+                ids = list(bpe.encode_stream(t.as_py() for t in b.column("text")))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    names=["doc_id", "n_tokens", "ids"])
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
@@ -251,15 +264,15 @@ def round_trip(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
     A null or empty text has no tokens; null ids and repeated rows pass
     through, one result row for each row; further columns are ignored."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(rank_file, pattern)
-        for b in batches:
-            n, a, d = [], [], []
-            for ids in bpe.encode_stream(t.as_py() for t in b.column("text")):
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                d.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()),
-                                              pa.array(d, pa.string())],
-                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with encoder(rank_file, pattern) as bpe:
+            for b in batches:
+                n, a, d = [], [], []
+                for ids in bpe.encode_stream(t.as_py() for t in b.column("text")):
+                    n.append(len(ids) // 4)
+                    a.append(hashlib.sha256(ids).hexdigest())
+                    d.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -28,7 +28,7 @@ DIM = 16
 EPOCHS = 5
 RATE = 2.0
 #: Labelled rows that a fit uses at most; documented bound of its sample.
-MAX_TRAIN_ROWS = 4000
+MAX_TRAIN_ROWS = 2500
 BATCH_CHARS = 2_000_000
 SEED = 7
 THRESHOLD = 0.3

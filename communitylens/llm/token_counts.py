@@ -51,13 +51,14 @@ def write_token_files(docs: DataFrame, path: str, rank_file: bytes, pattern: str
     written = dealt.select("shard", "doc_id", "tie").withColumn("ordinal", F.row_number().over(order) - 1).drop("tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, seq = byte_bpe.encoder(rank_file, pattern), 0
-        for b in batches:
-            ids = [np.frombuffer(x, "<u4").astype(ID).tobytes()
-                   for x in bpe.encode_stream(t.as_py() for t in b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(np.arange(seq, seq + len(ids))),
-                                              pa.array(ids, pa.binary())], names=["shard", "seq", "value"])
-            seq += len(ids)
+        seq = 0
+        with byte_bpe.encoder(rank_file, pattern) as bpe:
+            for b in batches:
+                ids = [np.frombuffer(x, "<u4").astype(ID).tobytes()
+                       for x in bpe.encode_stream(t.as_py() for t in b.column("text"))]
+                yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(np.arange(seq, seq + len(ids))),
+                                                  pa.array(ids, pa.binary())], names=["shard", "seq", "value"])
+                seq += len(ids)
     if not by_split:
         dealt = dealt.repartition(n, "shard")
     (dealt.sortWithinPartitions("shard", "doc_id", "tie").mapInArrow(run, "shard long, seq long, value binary")
