@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from communitylens.llm.common import SPACE_CLASS, packed, text_or_empty, unpacked
+from communitylens.llm.common import SPACE_CLASS, packed, reliable, text_or_empty
 
 
 def normal_form(text: Column) -> Column:
@@ -54,9 +54,9 @@ def decisions(docs: DataFrame, prefix_chars: int = 64, digest_all: bool = False)
     null text is the empty text, and all empty or blank texts are equal.  A
     row without doc_id stays only where its group has no id at all
     (``keep_id`` is then null)."""
-    rows = (refine(docs.select("doc_id", "text"), prefix_chars, digest_all)
-            .select(F.col("row.doc_id").alias("doc_id"), F.length(text_or_empty("row.text")).alias("n_chars"),
-                    "len", "prefix", "alive", "digest"))
+    rows = reliable(refine(docs.select("doc_id", "text"), prefix_chars, digest_all)
+                    .select(F.col("row.doc_id").alias("doc_id"), F.length(text_or_empty("row.text")).alias("n_chars"),
+                            "len", "prefix", "alive", "digest"))
     groups = (rows.where("alive").groupBy("len", "prefix", "digest")
               .agg(F.count(F.lit(1)).alias("group_size"), F.min(_rank(F.col("n_chars"), F.col("doc_id"))).alias("best"))
               .select(F.col("len").alias("g_len"), F.col("prefix").alias("g_prefix"), F.col("digest").alias("g_digest"),
@@ -74,12 +74,20 @@ def decisions(docs: DataFrame, prefix_chars: int = 64, digest_all: bool = False)
 def drop_copies(docs: DataFrame, prefix_chars: int = 64) -> DataFrame:
     """The rows of ``docs`` that stay, one for each different text, with the
     columns of ``docs``.  Rows repeated in full leave one row."""
-    rows = refine(docs, prefix_chars)
-    key = F.struct("len", "prefix", "digest")
-    rank = _rank(F.length(text_or_empty("row.text")), F.col("row.doc_id"))
-    best = rows.where("alive").groupBy(key.alias("key")).agg(F.min(rank).alias("best"))
-    twins = (rows.where("alive").select("row", key.alias("k"), rank.alias("rank"))
-             .join(best, F.col("k").eqNullSafe(F.col("key")) & F.col("rank").eqNullSafe(F.col("best")), "left_semi"))
-    # equal rank and equal normal form: rows of one id; any of them serves
-    return unpacked(rows.where(~F.col("alive")).select("row")
-                    .unionByName(twins.dropDuplicates(["k"]).select("row")))
+    text_key = F.xxhash64(text_or_empty())
+    shared = refine(docs.select("doc_id", "text"), prefix_chars).where("alive")
+    rank = F.struct(_rank(F.length(text_or_empty("row.text")), F.col("row.doc_id")).alias("rank"),
+                    F.xxhash64(text_or_empty("row.text")).alias("text_key"))
+    rows = reliable(shared.select(F.struct("len", "prefix", "digest").alias("key"), rank.alias("rank")))
+    best = rows.groupBy("key").agg(F.min("rank").alias("best"))
+    ranked = rows.join(best, "key").select((F.col("rank") == F.col("best")).alias("stays"),
+                                           F.col("rank.rank.doc_id").alias("key_id"), F.col("rank.text_key").alias("key_text"))
+    ids = reliable(ranked.groupBy("key_id", "key_text").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+                   .where("NOT stays OR n > 1"))
+    same = lambda x: F.col("doc_id").eqNullSafe(x["key_id"]) & (text_key == x["key_text"])
+    gone, twins = ids.where("NOT stays"), ids.where("stays")
+    kept = docs.join(gone, same(gone), "left_anti")
+    if twins.isEmpty():
+        return kept
+    one = kept.join(twins, same(twins), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twins, same(twins), "left_anti").unionByName(one)
