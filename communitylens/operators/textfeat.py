@@ -141,7 +141,8 @@ def tfidf(doc_terms: DataFrame, n_docs, min_df: int = 2, max_df: float = 0.501,
     weight = tf * (ln(N / df) + 1), no normalisation.  Output sparse
     (doc, term, tf, weight).  ``n_docs`` (N) is the number of documents of
     the corpus, empty ones included (a scalar column)."""
-    tf = doc_terms.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # read three times below: kept once, so texts are cut into words once
+    tf = doc_terms.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")).checkpoint()
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= n_docs * F.lit(max_df)))
     # the most frequent terms by a range-partitioned rank: nothing is merged in one task
