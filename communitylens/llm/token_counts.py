@@ -25,6 +25,8 @@ from communitylens.session import ensure_checkpoint_dir, scratch_path
 #: End of a document: the free id of the 50k byte-level vocabulary.
 SEPARATOR = 50256
 BLOCK_TOKENS = 1 << 18
+#: Documents encoded and handed on at a time.
+SLICE_ROWS = 500
 #: How an id lies in a file; the vocabulary has fewer than 65,536 ids.
 ID = np.dtype("<u2")
 #: Characters of text in one token file, about.
@@ -53,7 +55,7 @@ def write_token_files(docs: DataFrame, path: str, rank_file: bytes, pattern: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = 0
         with byte_bpe.encoder(rank_file, pattern) as bpe:
-            for b in batches:
+            for b in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
                 ids = [np.frombuffer(x, "<u4").astype(ID).tobytes()
                        for x in bpe.encode_stream(t.as_py() for t in b.column("text"))]
                 yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(np.arange(seq, seq + len(ids))),
