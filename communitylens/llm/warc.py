@@ -1,6 +1,6 @@
 """WARC archives: writing, reading back, and a merged capture index.
 
-Records are written by Spark's own text sink, a file for each partition,
+Records are written by Spark's own text sink, a gzip file for each partition,
 into the shared folder: a record is a header, an empty line and its payload,
 and the sink's line separator is the two line ends that close a record.  An archive
 read back gives a run of index entries sorted by URL key and time; runs are
@@ -12,6 +12,7 @@ histories in global order.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -100,12 +101,13 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REV
                 out.append(record(i, u, h, digest, o, i is not None and o is not None and i != o))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
     (typed.select("page_id", "url", "html", "original").mapInArrow(run, "value string")
-     .write.option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+     .write.option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE)
+     .option("compression", "gzip").text(path))
 
 
 def parse_archive(data: bytes) -> Iterator[dict]:
-    """Records of one archive in file order; a payload whose digest differs
-    from its header's is an error."""
+    """Records of one archive (its bytes after unzipping) in file order; a
+    payload whose digest differs from its header's is an error."""
     at, view = 0, memoryview(data)
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
@@ -140,12 +142,13 @@ def _order(e: dict) -> tuple:
 
 def read_runs(spark, path: str) -> DataFrame:
     """Index entries of all archives in a folder; those of one archive are a
-    sorted run."""
+    sorted run.  Offsets count unzipped bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content")):
                 archive = name.rsplit("/", 1)[-1]
-                entries = sorted((e | {"archive": archive} for e in parse_archive(content.as_py())), key=_order)
+                data = gzip.decompress(content.as_py())
+                entries = sorted((e | {"archive": archive} for e in parse_archive(data)), key=_order)
                 yield from pa.Table.from_pylist(entries, ENTRY).to_batches()
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("path", "content").mapInArrow(run, ENTRY_SQL)

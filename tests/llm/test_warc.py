@@ -1,6 +1,7 @@
 """WARC round trip, revisits and the merged index."""
 
 import base64
+import gzip
 import hashlib
 import random
 
@@ -50,7 +51,7 @@ def test_archives_hold_the_payloads(spark):
     want = {(i, digest(h)) for i, _, h, _ in pages()}
     seen = set()
     for f in spark.read.format("binaryFile").load(path).collect():
-        data = bytes(f.content)
+        data = gzip.decompress(bytes(f.content))
         for e in warc.parse_archive(data):
             assert data[e["offset"]:].startswith(b"WARC/1.1\r\n")
             seen.add((e["page_id"], e["payload_digest"]))
