@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from communitylens.session import ensure_checkpoint_dir
+from communitylens.session import ensure_checkpoint_dir, scratch_path
 
 #: The six ASCII white-space characters, as a Java / RE2 character class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -15,10 +19,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Spark removes a query's shuffle files when it ends, not at some later
+#: garbage collection, where this is set as the query is planned.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
 def reliable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    with _shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder; smaller than a
+    checkpoint, and readers take only the columns that they need."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    with _shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def text_or_empty(c: str | Column = "text") -> Column:

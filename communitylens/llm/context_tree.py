@@ -19,7 +19,6 @@ whole model only the two top levels, 65,536 nodes at most, pass through the driv
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,15 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from communitylens.llm.common import pieces, reliable, text_or_empty
+from communitylens.llm.common import pieces, reliable, stored, text_or_empty
 from communitylens.llm.shingles import in_batches, words
 from communitylens.llm.u64map import U64Map
-from communitylens.session import scratch_path
 
 DEPTH = 5
 #: Characters in a chunk, grams in a part of the tree, bytes sorted at a time.
 CHUNK_CHARS = 32_000_000
-PART_GRAMS = 400_000
+PART_GRAMS = 100_000
 BLOCK_CHARS = 3_000_000
 #: Share of held-out documents: one in so many, by crc32 of the id.
 FOLDS = 10
@@ -159,6 +157,7 @@ def build_levels(grams: np.ndarray, n: np.ndarray, depth: int, least: int) -> tu
     """Levels ``least``..``depth`` for grams that own their subtrees, weighted
     bottom up; and the bits of each gram's byte."""
     nodes, bits = _path((grams & _U(255)).astype(np.int64))
+    bits = bits.astype(np.int8)
     context = (grams >> _U(8)).astype(np.int64)
     levels = []
     for d in range(least, depth + 1):
@@ -167,7 +166,7 @@ def build_levels(grams: np.ndarray, n: np.ndarray, depth: int, least: int) -> tu
         weight = np.repeat(n, 8)
         ones = np.bincount(inverse, weights=weight * bits.ravel(), minlength=len(keys))
         both = np.bincount(inverse, weights=weight, minlength=len(keys))
-        levels.append(Level(keys, inverse.reshape(nodes.shape), both - ones, ones))
+        levels.append(Level(keys, inverse.reshape(nodes.shape).astype(np.int32), both - ones, ones))
     for d in range(depth - 1, least - 1, -1):
         child, parent = levels[d + 1 - least], levels[d - least]
         up = ((child.keys >> 8) & ((1 << 8 * d) - 1)) << 8 | child.keys & 255
@@ -253,14 +252,15 @@ def gram_model(totals: DataFrame, depth: int, part_grams: int = PART_GRAMS) -> D
 
 # --- scoring ------------------------------------------------------------------
 
-def _score_chunk(depth: int):
+def _score_chunk(depth: int, denominator: float):
+    """Scores of a chunk's texts from the items that were looked up for it."""
     def run(docs: pa.Table, items: pa.Table) -> pa.Table:
-        is_word = items.column("word").is_valid()
-        own, grams = items.filter(is_word), items.filter(pa.compute.invert(is_word))
-        word_value = dict(zip(own.column("word").to_pylist(), own.column("value").to_pylist()))
-        known = set(own.filter(own.column("known")).column("word").to_pylist())
-        table = U64Map(grams.column("gram").to_numpy().astype(np.int64).view(np.uint64))
-        value = grams.column("value").to_numpy()
+        # an item is a gram with its value or a word with its count
+        counts = items.column("c").drop_null().to_numpy()
+        word_value = dict(zip(items.column("word").drop_null().to_pylist(), np.log10((counts + 0.1) / denominator).tolist()))
+        unseen = {w for w, c in zip(word_value, counts.tolist()) if c == 0}
+        table = U64Map(items.column("gram").drop_null().to_numpy().view(np.uint64))
+        value = items.column("value").drop_null().to_numpy()
         n_tokens, n_known, base, score, n_bytes = [], [], [], [], []
         for texts in in_batches((t.as_py() for t in docs.column("text")), BLOCK_CHARS // 2):
             data = []
@@ -269,7 +269,7 @@ def _score_chunk(depth: int):
                 data.append(b" ".join(ws) + END)
                 ws.append(END)
                 n_tokens.append(len(ws))
-                n_known.append(sum(map(known.__contains__, ws)))
+                n_known.append(len(ws) - sum(map(unseen.__contains__, ws)))
                 base.append(math.fsum(map(word_value.__getitem__, ws)))
             keys, lens = gram_keys(data, depth)
             score += np.add.reduceat(value[table.find(keys)], np.cumsum(lens) - lens).tolist()
@@ -294,28 +294,24 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS, chu
     the probability 1/256.  Repeated rows train and are scored as often as they come."""
     if not 2 < depth <= 6:
         raise ValueError("depth must be 3 to 6")
-    spark = docs.sparkSession
     n_chunks = pieces(docs, F.length(text_or_empty()) + 1, chunk_chars)
     train = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0, F.lit(True))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", F.lit("chunk")), F.lit(n_chunks)).cast("int").alias("chunk"),
                         "doc_id", "text", train.alias("train"))
-    path = scratch_path(spark, f"ctw-{uuid.uuid4().hex[:12]}")
-    (dealt.groupBy("chunk").applyInArrow(_distinct_items(depth), "chunk int, gram long, word binary, n long")
-     .write.parquet(path))
-    items = spark.read.parquet(path)
+    items = stored(dealt.groupBy("chunk").applyInArrow(_distinct_items(depth), "chunk int, gram long, word binary, n long"),
+                   "ctw-items")
     grams = items.where("gram IS NOT NULL").select("chunk", "gram", "n")
     tokens = items.where("word IS NOT NULL").select("chunk", "word", "n")
     model = gram_model(grams.groupBy("gram").agg(F.sum("n").alias("n")), depth, part_grams)
-    counts = reliable(tokens.groupBy("word").agg(F.sum("n").alias("c")))
+    counts = stored(tokens.groupBy("word").agg(F.sum("n").alias("c")), "ctw-words")
     total, distinct_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    value = F.log10((F.col("c") + 0.1) / F.lit(total + 0.1 * (distinct_words + 1)))
     back = (grams.select("chunk", "gram").join(model, "gram")
-            .select("chunk", "gram", F.lit(None).cast("binary").alias("word"), "value", F.lit(False).alias("known"))
+            .select("chunk", "gram", "value", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"))
             .unionByName(tokens.select("chunk", "word").join(counts, "word")
-                         .select("chunk", F.lit(None).cast("long").alias("gram"), "word", value.alias("value"),
-                                 (F.col("c") > 0).alias("known"))))
+                         .select("chunk", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("value"),
+                                 "word", "c")))
     scored = dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(
-        _score_chunk(depth), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, "
+        _score_chunk(depth, total + 0.1 * (distinct_words + 1)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, "
                              "score double, n_bytes long")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                          "base_score", "score", "n_bytes",
