@@ -33,7 +33,7 @@ from communitylens.llm.u64map import U64Map
 
 DEPTH = 5
 #: Characters in a chunk, grams in a part of the tree, bytes sorted at a time.
-CHUNK_CHARS = 32_000_000
+CHUNK_CHARS = 24_000_000
 PART_GRAMS = 100_000
 BLOCK_CHARS = 3_000_000
 #: Share of held-out documents: one in so many, by crc32 of the id.
