@@ -22,6 +22,10 @@ MAX_REPEATS = 3
 MIX_BLOCKS = 1 << 14
 BLOCKS_PER_SOURCE = 1 << 9
 BLOCKS_PER_SHARD = 1 << 8
+#: A source whose target is below so many blocks is cut into so many blocks of
+#: its own, down to single words, and into MOST_BLOCKS at most.
+FEW_BLOCKS = 1 << 6
+MOST_BLOCKS = 1 << 30
 #: Rows that one (source, md5 prefix) cell holds at most, about.
 CELL_ROWS = 20_000
 SEED = "mix-1"
@@ -119,6 +123,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, mix_bl
     many as the rest of the quota needs.  ``taken`` counts the words of a row
     in the blocks given.
 
+    Sources of ``FEW_BLOCKS`` blocks or more share the blocks by Sainte-Lague;
+    a smaller one's quota is its own target, in blocks of its own length.
+
     A null or blank text has size 0 and takes 0; null is a source of its own;
     repeated rows are rows of their own; an empty table gives no rows."""
     ensure_checkpoint_dir(docs.sparkSession)
@@ -133,19 +140,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, mix_bl
     targets = reliable(source_targets(sizes, weights, max_repeats))
     total, m = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count(F.lit(1))).first()
     block = max(1, -(-total // max(mix_blocks, BLOCKS_PER_SOURCE * m)))
-    given = quotas(targets, block, blocks_per_shard).groupBy("source_rank").agg(F.sum("blocks").alias("blocks"))
-    quota = F.least(F.coalesce("blocks", F.lit(0)) * block, F.col("source_size") * max_repeats)
-    n_blocks = F.greatest(F.ceil(F.col("source_size") / block), F.lit(1)).cast("long")
+    few = F.col("target") < FEW_BLOCKS * block
+    given = quotas(targets.where(~few), block, blocks_per_shard).groupBy("source_rank").agg(F.sum("blocks").alias("blocks"))
+    own = F.least(F.lit(block), F.greatest(F.lit(1), F.floor(F.col("target") / FEW_BLOCKS),
+                                           F.ceil(F.col("source_size") / MOST_BLOCKS))).cast("long")
+    length = F.when(few, own).otherwise(F.lit(block)).cast("long")
+    words = F.when(few, F.round("target").cast("long")).otherwise(F.coalesce("blocks", F.lit(0)) * block)
+    quota = F.least(words, F.col("source_size") * max_repeats)
+    n_blocks = F.greatest(F.ceil(F.col("source_size") / length), F.lit(1)).cast("long")
     seed_of = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("source_rank").cast("string"))), 1, 7),
                      16, 10).cast("long")
     plan = (targets.join(given, "source_rank", "left")
             .select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")).alias("source_key"),
-                    "source_size", "target", F.lit(block).cast("long").alias("block_words"), n_blocks.alias("n_blocks"),
+                    "source_size", "target", length.alias("block_words"), n_blocks.alias("n_blocks"),
                     F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(0).cast("long")
                     .alias("passes"), quota.alias("quota"), seed_of.alias("shift"),
                     F.element_at(F.array(*[F.lit(p).cast("long") for p in PRIMES]),
                                  (seed_of % len(PRIMES) + 1).cast("int")).alias("mult"))
-            .withColumn("rest_blocks", F.round((F.col("quota") - F.col("passes") * F.col("source_size")) / block)
+            .withColumn("rest_blocks", F.round((F.col("quota") - F.col("passes") * F.col("source_size")) / F.col("block_words"))
                         .cast("long")))
     placed = _positions(base, cell_rows)
     out = placed.join(plan, "source_key").withColumn("end", F.col("start") + F.col("size"))

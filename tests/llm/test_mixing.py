@@ -62,6 +62,26 @@ def test_targets_and_taken(spark):
     assert order(again.collect()) == order(got)
 
 
+@pytest.mark.parametrize("weights", [mx.WEIGHTS, (5000, 3, 1)])
+def test_small_sources_take_their_targets(spark, weights):
+    """A long tail beside a hot source, capped at its repeats or by its weight."""
+    tail = {f"t{k:02}": n for k, n in enumerate([1, 2, 3, 7, 20, 55, 150, 400, 900, 2500])}
+    data = [(i, "w " * 100, "en", "hot", None) for i in range(6000)]
+    for s, n in tail.items():
+        data += [(len(data) + j, "w " * min(9, n - at), "en", s, None) for j, at in enumerate(range(0, n, 9))]
+    got = mx.mix(spark.createDataFrame(data, SCHEMA), weights=weights, carry=["source"]).groupBy("row.source").agg(
+        F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert len(got) == len(tail) + 1
+    for r in got:
+        assert r.target > 0 and abs(r.taken - r.target) <= max(0.5, 0.03 * r.target), r
+
+
+def test_small_sources_stay_in_the_mix(spark):
+    data = [(i, "w " * 300, "en", "hot", 1) for i in range(3000)] + [(3000, "one two", "en", "tail", 1)]
+    out = mx.mixed_rows(spark.createDataFrame(data, SCHEMA))
+    assert out.where("source = 'tail'").count() == 3
+
+
 def test_quotas_are_sainte_lague(spark):
     want = {"a": 5310.0, "b": 902.5, "c": 77.0, "d": 0.0, "e": 33.3}
     df = spark.createDataFrame([(s, i + 1, t) for i, (s, t) in enumerate(want.items())],
