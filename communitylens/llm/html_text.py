@@ -6,6 +6,8 @@ containers around it.  Text-to-tag ratios, smoothed by a Gaussian, are cut by
 a threshold into content and the rest; runs of content lines are clusters.
 The container that holds the clusters is the content region, and all its
 lines come out in page order, so that a short line between long ones stays.
+Article and main elements are a hint: they are the region if they hold three
+quarters of the content text, and lie inside the region otherwise.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SIGMA = 1.0
+#: Share of a page's content text from which article and main elements are the
+#: content region by themselves.
+TAGGED_SHARE = 0.75
 
 # Elements that end a line, elements without an end tag,
 # elements that never hold main text, and words of class, id and role names
@@ -176,17 +181,21 @@ def extract(html: str | None, sigma: float = SIGMA) -> str:
     if not any(keep):
         return ""
     content = content_lines(lines, sigma)
-    # article and main elements that hold content lines are regions; without
-    # any, the container around the largest cluster is one
-    weight: dict[int, int] = {}
+    # article and main elements are the region if they hold the bulk of the
+    # content text; else it is the container around the largest cluster and them
+    total, tagged = 0, 0
+    holders: set[int] = set()
     for (text, _, node), c, k in zip(lines, content, keep):
-        if c and k and node.region is not None:
-            weight[id(node.region)] = weight.get(id(node.region), 0) + len(text)
-    if weight:
-        chosen = [k and node.region is not None and any(id(p) in weight for p in _parents(node))
-                  for (_, _, node), k in zip(lines, keep)]
-    elif any(k and node.region is not None for (_, _, node), k in zip(lines, keep)):
-        chosen = [k and node.region is not None for (_, _, node), k in zip(lines, keep)]
+        if c and k:
+            total += len(text)
+            if node.region is not None:
+                tagged += len(text)
+                holders.add(id(node.region))
+    in_tags = [k and node.region is not None for (_, _, node), k in zip(lines, keep)]
+    if not total:
+        chosen = in_tags if any(in_tags) else keep
+    elif tagged >= TAGGED_SHARE * total:
+        chosen = [t and any(id(p) in holders for p in _parents(node)) for (_, _, node), t in zip(lines, in_tags)]
     else:
         clusters, run = [], []
         for i, (c, k) in enumerate(zip(content, keep)):
@@ -197,12 +206,10 @@ def extract(html: str | None, sigma: float = SIGMA) -> str:
                 run = []
         if run:
             clusters.append(run)
-        if not clusters:
-            chosen = keep
-        else:
-            best = max(clusters, key=lambda r: sum(len(lines[i][0]) for i in r))
-            around = _shared([lines[i][2].up or lines[i][2] for i in best])
-            chosen = [k and any(p is around for p in _parents(node)) for (_, _, node), k in zip(lines, keep)]
+        best = max(clusters, key=lambda r: sum(len(lines[i][0]) for i in r))
+        around = _shared([lines[i][2].up or lines[i][2] for i in best]
+                         + [node.region for (_, _, node), t in zip(lines, in_tags) if t])
+        chosen = [k and any(p is around for p in _parents(node)) for (_, _, node), k in zip(lines, keep)]
     return "\n".join(text for (text, _, _), c in zip(lines, chosen) if c)
 
 

@@ -27,6 +27,19 @@ def test_templates(body):
     assert ht.extract(PAGE.replace("BODY", body.format(LONG))) == f"Title & more\n{LONG}\nShort.\nOne\nTwo\n{LONG} x y"
 
 
+def test_long_div_beside_a_short_article():
+    """The tag decides only where it holds the bulk of the content text."""
+    story = [f"{LONG} Part {i} of the story." for i in range(8)]
+    div = "<div class='text'><h1>Title</h1>" + "".join(f"<p>{p}</p>" for p in story) + "</div>"
+    teaser = "<article><h2>Other</h2><p>One sentence about another story that is a line of content.</p></article>"
+    for body in (teaser + div, div + teaser, f"<div>{div}</div><div>{teaser}</div>"):
+        got = ht.extract(PAGE.replace("BODY", body)).split("\n")
+        assert [x for x in got if x in story] == story and "Title" in got and "Other" in got
+        assert not any(w in x for x in got for w in ("aside", "I say", "form", "foot", "cookies"))
+    stray = f"<article><h1>Title</h1>{''.join(f'<p>{p}</p>' for p in story)}</article><div><p>{LONG}</p></div>"
+    assert ht.extract(PAGE.replace("BODY", stray)).split("\n") == ["Title", *story]
+
+
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("   ", ""), ("<p></p>", ""), ("plain", "plain"), ("<nav>only a menu</nav>", ""),
     ("<p>a &lt;b&gt; &#233;&euro;", "a <b> é€"), ("<article>x</article>", "x"), ("<p>a<!-- c --> b</p>", "a b"),
