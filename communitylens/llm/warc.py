@@ -195,32 +195,36 @@ class LoserTree:
 def merge_runs(entries: DataFrame, parts: int | None = None) -> DataFrame:
     """The entries in global order of URL key, time and page id: ranges of
     that order are partitions, and inside each the runs are merged.  A hot URL
-    is split like any range, since time and id are part of the order."""
+    is split like any range, since time and id are part of the order.  Further
+    columns of the entries stay beside them."""
     spark = entries.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: dict[str, list[dict]] = {}
+        schema = ENTRY
         for b in batches:
+            schema = b.schema
             for e in b.to_pylist():
                 runs.setdefault(e["archive"], []).append(e)
-        for r in runs.values():  # a fetched block may arrive in pieces
+        for r in runs.values():  # a run may arrive in pieces
             if any(_order(x) > _order(y) for x, y in zip(r, r[1:])):
                 r.sort(key=_order)
         out: list[dict] = []
         for e in LoserTree([runs[a] for a in sorted(runs)], _order):
             out.append(e)
             if len(out) == 8192:
-                yield from pa.Table.from_pylist(out, ENTRY).to_batches()
+                yield from pa.Table.from_pylist(out, schema).to_batches()
                 out = []
         if out:
-            yield from pa.Table.from_pylist(out, ENTRY).to_batches()
+            yield from pa.Table.from_pylist(out, schema).to_batches()
     return (entries.repartitionByRange(parts, "url_key", "captured", "page_id", "archive", "offset")
-            .mapInArrow(run, ENTRY_SQL))
+            .mapInArrow(run, entries.schema))
 
 
 def capture_histories(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Archive ``pages``, read the archives back, merge their indexes.
+    """Archive ``pages``, read the archives back, merge their indexes; the
+    rows come in global order of URL key, time and page id.
 
     One row for each row of ``pages``: the index entry with payload_bytes and
     payload_digest of the full payload (a revisit's come from the response
@@ -235,7 +239,8 @@ def capture_histories(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYT
     # repeated rows of the response's id are responses of one digest and id
     held = (entries.where("record_type = 'response' AND page_id IS NOT NULL").groupBy("payload_digest")
             .agg(F.max("page_id").alias("held_by"), F.max("payload_bytes").alias("held_bytes")))
-    merged = merge_runs(entries).join(held, "payload_digest", "left")
     revisit = F.col("record_type") == "revisit"
-    return merged.withColumn("payload_bytes", F.when(revisit, F.col("held_bytes")).otherwise(F.col("payload_bytes"))) \
-        .withColumn("refers_to", F.when(revisit, F.col("held_by"))).drop("held_by", "held_bytes")
+    whole = (entries.join(held, "payload_digest", "left")
+             .withColumn("payload_bytes", F.when(revisit, F.col("held_bytes")).otherwise(F.col("payload_bytes")))
+             .withColumn("refers_to", F.when(revisit, F.col("held_by"))).drop("held_by", "held_bytes"))
+    return merge_runs(whole)  # last: a join would lose the order

@@ -75,6 +75,22 @@ def test_merged_index_is_in_global_order(spark):
     assert order == sorted(order) and len({r["part"] for r in rows}) > 1
 
 
+def test_capture_histories_are_in_global_order(spark):
+    df = spark.createDataFrame(pages(), SCHEMA).repartition(6)
+    off = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k in off:
+            spark.conf.set(k, "-1")
+        rows = [r.asDict() for r in warc.capture_histories(df).withColumn("part", F.spark_partition_id()).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == len(pages()) and len({r["part"] for r in rows}) > 1
+    order = [warc._order(r) for r in sorted(rows, key=lambda r: r["part"])]
+    assert order == sorted(order)
+
+
 def _written(spark, df):
     path = scratch_path(spark, f"warc-test-{random.random()}")
     warc.write_archives(df, path)
