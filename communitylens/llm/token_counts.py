@@ -39,7 +39,10 @@ def write_token_files(docs: DataFrame, path: str, rank_file: bytes, pattern: str
     (shard, ordinal, doc_id), the order in which documents were written.
 
     With ``by_split``, for a table just read from files, a shard is an input
-    split and nothing is shuffled; otherwise it is a hash of doc_id.  In a shard
+    split and nothing is shuffled; otherwise it is a hash of doc_id.  Another
+    job may cut other splits, so with ``by_split`` the job that writes the token
+    files (folder ``kind=ids``) writes the order beside them (``kind=order``:
+    ordinal, and doc_id in hex behind a mark, nothing for a null id).  In a shard
     documents lie by doc_id (null first), then by a hash of the text.  Spark's
     text sink writes the files: a document's ids are the bytes of a line, the
     separator is the line's end."""
@@ -49,26 +52,46 @@ def write_token_files(docs: DataFrame, path: str, rank_file: bytes, pattern: str
         n = pieces(docs, F.length(text_or_empty()) + 1, file_chars)
         shard = F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(n).cast("long"))
     dealt = docs.select(shard.alias("shard"), "doc_id", "text", F.xxhash64("text").alias("tie"))
-    order = Window.partitionBy("shard").orderBy("doc_id", "tie")
-    written = dealt.select("shard", "doc_id", "tie").withColumn("ordinal", F.row_number().over(order) - 1).drop("tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq = 0
+        last, seq = None, -1
         with byte_bpe.encoder(rank_file, pattern) as bpe:
             for b in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
                 ids = [np.frombuffer(x, "<u4").astype(ID).tobytes()
                        for x in bpe.encode_stream(t.as_py() for t in b.column("text"))]
-                yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(np.arange(seq, seq + len(ids))),
-                                                  pa.array(ids, pa.binary())], names=["shard", "seq", "value"])
-                seq += len(ids)
+                seqs = []
+                for key in b.column("shard").to_pylist():
+                    last, seq = key, seq + 1 if key == last else 0
+                    seqs.append(seq)
+                yield _lines("ids", b.column("shard"), seqs, ids)
+                if by_split:
+                    yield _lines("order", b.column("shard"), seqs,
+                                 [f"{q},{d}".encode() for q, d in zip(seqs, b.column("mark").to_pylist())])
+    end = np.array(separator, ID).tobytes().decode("latin-1")
+    sink = {"encoding": "ISO-8859-1", "lineSep": end}
+    folders = ["kind", "shard"] if by_split else ["shard"]
+    mark = F.coalesce(F.concat(F.lit("x"), F.hex(F.col("doc_id").cast("string").cast("binary"))), F.lit(""))
+    laid = dealt if by_split else dealt.repartition(n, "shard")
+    (laid.sortWithinPartitions("shard", "doc_id", "tie").select("shard", "text", mark.alias("mark"))
+     .mapInArrow(run, "kind string, shard long, seq long, value binary")
+     .select("kind", "shard", "seq", F.col("value").cast("string").alias("value"))  # the cast keeps the bytes as they are
+     .sortWithinPartitions(*folders, "seq").select(*folders, "value")
+     .write.partitionBy(*folders).options(**sink).text(path))
     if not by_split:
-        dealt = dealt.repartition(n, "shard")
-    (dealt.sortWithinPartitions("shard", "doc_id", "tie").mapInArrow(run, "shard long, seq long, value binary")
-     .select("shard", "seq", F.col("value").cast("string").alias("value"))  # the cast keeps the bytes as they are
-     .sortWithinPartitions("shard", "seq").select("shard", "value")
-     .write.partitionBy("shard").option("encoding", "ISO-8859-1")
-     .option("lineSep", np.array(separator, ID).tobytes().decode("latin-1")).text(path))
-    return written
+        order = Window.partitionBy("shard").orderBy("doc_id", "tie")
+        return dealt.select("shard", "doc_id", "tie").withColumn("ordinal", F.row_number().over(order) - 1).drop("tie")
+    if docs.isEmpty():  # no folders
+        return dealt.select("shard", F.lit(0).alias("ordinal"), "doc_id").limit(0)
+    parts = F.split("value", ",")
+    return (docs.sparkSession.read.options(**sink).text(f"{path}/kind=order")
+            .select(F.col("shard").cast("long").alias("shard"), parts[0].cast("int").alias("ordinal"),
+                    F.when(parts[1] != "", F.unhex(F.substr(parts[1], F.lit(2))).cast("string"))
+                    .cast(docs.schema["doc_id"].dataType).alias("doc_id")))
+
+
+def _lines(kind: str, shard: pa.Array, seqs: list[int], values: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(seqs), pa.string()), shard, pa.array(seqs, pa.int64()),
+                                       pa.array(values, pa.binary())], names=["kind", "shard", "seq", "value"])
 
 
 def scan_blocks(spark: SparkSession, path: str, separator: int = SEPARATOR, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -76,7 +99,7 @@ def scan_blocks(spark: SparkSession, path: str, separator: int = SEPARATOR, bloc
     its separators in the file."""
     size = ID.itemsize * block_tokens
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    blocks = (files.where("length > 0")
+    blocks = (files.where(~F.col("path").contains("/kind=order/") & (F.col("length") > 0))
               .select(F.col("path").alias("file"), "content",
                       F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size).cast("int"))).alias("block"))
               .select("file", "block", F.substring("content", F.col("block") * size + 1, F.lit(size)).alias("bytes")))
@@ -118,12 +141,17 @@ def token_counts(docs: DataFrame, rank_file: bytes, pattern: str, separator: int
     in the token files that hold them.
 
     A null or empty text has 0 tokens; repeated rows are documents of their
-    own; a null id is an id like any other; an empty table gives no rows."""
+    own; a null id is an id like any other; an empty table gives no rows.  A
+    document written and not counted, or counted and not written, is an error."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     path = scratch_path(spark, f"tokens-{uuid.uuid4().hex[:12]}")
     written = write_token_files(docs, path, rank_file, pattern, separator, file_chars, by_split)
     counted = stitch(scan_blocks(spark, path, separator, block_tokens))
     shard = F.regexp_extract("file", r"shard=(-?\d+)", 1).cast("long")
-    return (written.join(counted.select(shard.alias("shard"), "ordinal", "start", "n_tokens"), ["shard", "ordinal"])
-            .select("doc_id", "shard", "ordinal", "start", "n_tokens"))
+    found = counted.select(shard.alias("shard"), "ordinal", "start", "n_tokens")
+    return (written.withColumn("listed", F.lit(True)).join(found, ["shard", "ordinal"], "full_outer")
+            .select("doc_id", "shard", "ordinal", "start",
+                    F.when(F.col("listed") & F.col("n_tokens").isNotNull(), F.col("n_tokens")).otherwise(
+                        F.raise_error(F.concat_ws(" ", F.lit("documents written and counted differ at"), "shard", "ordinal")))
+                    .cast("long").alias("n_tokens")))

@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 
@@ -37,6 +39,36 @@ def test_query_reads_whole_table(spark):
     assert len(got) == len(want) and {(r.doc_id, r.n_tokens) for r in got} == want
 
 
+def test_splits_may_differ_between_jobs(spark, tmp_path):
+    """Shards by input split, read when the splits are no longer those of the write."""
+    rows = [(i, f"word {i} " * (i % 40)) for i in range(3000)] + [(None, "null id"), (7, None)]
+    table = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows])})
+    pq.write_table(table, tmp_path / "documents.parquet", row_group_size=300, compression="none")
+    confs = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k, None) for k in confs}
+    try:
+        spark.conf.set(confs[1], "0")
+        spark.conf.set(confs[0], "60000")
+        got = tc.token_counts(spark.read.parquet(f"file://{tmp_path}/documents.parquet"), RANKS, P.PATTERN, by_split=True)
+        spark.conf.set(confs[0], "200000")
+        got = got.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len({r.shard for r in got}) > 2
+    key = lambda x: (x[0] is None, x)
+    assert (sorted(((r.doc_id, r.n_tokens) for r in got), key=key)
+            == sorted(((d, len(REF.encode_ordinary(t or ""))) for d, t in rows), key=key))
+
+
+def test_missing_documents_are_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "some text", "", 0) for i in range(9)], SCHEMA)
+    whole = tc.stitch
+    monkeypatch.setattr(tc, "stitch", lambda blocks: whole(blocks).where("ordinal <> 0"))
+    with pytest.raises(Exception, match="written and counted differ"):
+        tc.token_counts(df, RANKS, P.PATTERN).collect()
+
+
 def test_files_not_written_here(spark, tmp_path):
     """Separators at both ends, in a row, at block borders and missing at the end."""
     S = tc.SEPARATOR
@@ -62,3 +94,7 @@ def test_flat_files_hold_ids_and_separators_only(spark):
 
 def test_empty_table(spark):
     assert tc.token_counts(spark.createDataFrame([], SCHEMA), RANKS, P.PATTERN).count() == 0
+
+
+def test_empty_table_by_split(spark):
+    assert tc.token_counts(spark.createDataFrame([], SCHEMA), RANKS, P.PATTERN, by_split=True).count() == 0
