@@ -4,7 +4,7 @@ The standard library's parser streams events; each block-level break ends a
 line, which knows its text, the number of tags met in it and the
 containers around it.  Text-to-tag ratios, smoothed by a Gaussian, are cut by
 a threshold into content and the rest; runs of content lines are clusters.
-The container that holds the clusters is the content region, and all its
+The innermost container that holds all clusters is the content region, and all its
 lines come out in page order, so that a short line between long ones stays.
 Article and main elements are a hint: they are the region if they hold three
 quarters of the content text, and lie inside the region otherwise.
@@ -182,7 +182,7 @@ def extract(html: str | None, sigma: float = SIGMA) -> str:
         return ""
     content = content_lines(lines, sigma)
     # article and main elements are the region if they hold the bulk of the
-    # content text; else it is the container around the largest cluster and them
+    # content text; else it is the container around all clusters and them
     total, tagged = 0, 0
     holders: set[int] = set()
     for (text, _, node), c, k in zip(lines, content, keep):
@@ -197,18 +197,9 @@ def extract(html: str | None, sigma: float = SIGMA) -> str:
     elif tagged >= TAGGED_SHARE * total:
         chosen = [t and any(id(p) in holders for p in _parents(node)) for (_, _, node), t in zip(lines, in_tags)]
     else:
-        clusters, run = [], []
-        for i, (c, k) in enumerate(zip(content, keep)):
-            if c and k:
-                run.append(i)
-            elif run and k:
-                clusters.append(run)
-                run = []
-        if run:
-            clusters.append(run)
-        best = max(clusters, key=lambda r: sum(len(lines[i][0]) for i in r))
-        around = _shared([lines[i][2].up or lines[i][2] for i in best]
-                         + [node.region for (_, _, node), t in zip(lines, in_tags) if t])
+        inner = [node.up or node for (_, _, node), c, k in zip(lines, content, keep) if c and k]
+        inner += [node.region for (_, _, node), t in zip(lines, in_tags) if t]
+        around = _shared(list({id(n): n for n in inner}.values()))
         chosen = [k and any(p is around for p in _parents(node)) for (_, _, node), k in zip(lines, keep)]
     return "\n".join(text for (text, _, _), c in zip(lines, chosen) if c)
 

@@ -40,6 +40,16 @@ def test_long_div_beside_a_short_article():
     assert ht.extract(PAGE.replace("BODY", stray)).split("\n") == ["Title", *story]
 
 
+@pytest.mark.parametrize("between", ["<ul>" + "".join(f"<li><a href=/{i}>{i}</a>" for i in range(9)) + "</ul>",
+                                     "<table>" + "<tr><td><b>1</b><td><i>2</i>" * 6 + "</table>"])
+def test_sections_around_a_run_of_short_lines(between):
+    first, second = ([f"{LONG} {name} {i}." for i in range(5)] for name in ("One", "Two"))
+    section = lambda ps, more="": "<section>" + "".join(f"<p>{p}</p>" for p in ps) + more + "</section>"
+    for body in (section(first, between) + section(second), section(first) + f"<div>{between}</div>" + section(second)):
+        got = ht.extract(PAGE.replace("BODY", f"<div>{body}</div>")).split("\n")
+        assert got[:5] == first and got[-5:] == second and len(got) > 15
+
+
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("   ", ""), ("<p></p>", ""), ("plain", "plain"), ("<nav>only a menu</nav>", ""),
     ("<p>a &lt;b&gt; &#233;&euro;", "a <b> é€"), ("<article>x</article>", "x"), ("<p>a<!-- c --> b</p>", "a b"),
