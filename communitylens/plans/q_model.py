@@ -393,6 +393,12 @@ def q_t13(spark, d):
     return w.join(total, "doc_id").select("doc_id", "topic", F.col("weight").between(0.0, 1.0).alias("in_range"), "adds_up")
 
 
+@query("lda_topic_weights")
+def q_t13_weights(spark, d):
+    """T13's own output: (doc_id, topic, weight), every topic of every document."""
+    return topic_weights(Tables(spark, d).documents)
+
+
 def vector_clusters(embeddings, k: int = 200, iterations: int = 300):
     """L2-normalised vectors -> k-means -> (vec_id, cluster)."""
     from pyspark.ml.clustering import KMeans
@@ -422,6 +428,19 @@ def q_t15_trained(spark, d):
     return counts.groupBy("user").agg(F.sum("n").cast("bigint").alias("n_tokens"))
 
 
+@query("word_vector_clusters")
+def q_t14_clusters(spark, d):
+    """T14's own output: (vec_id, cluster)."""
+    return vector_clusters(Tables(spark, d).embeddings)
+
+
+@query("word_cluster_counts_by_cluster")
+def q_t15_by_cluster(spark, d):
+    """T15's own output: (user, cluster, n) over the clusters of T14."""
+    t = Tables(spark, d)
+    return q_text.cluster_counts(t, vector_clusters(t.embeddings))
+
+
 @query("min_max", f"""
 WITH ud AS ({ORACLE['uddin_features']}),
 s AS (SELECT {', '.join(f'min({c}) AS {c}_min, max({c}) AS {c}_max' for c in BEHAVIOUR)} FROM ud)
