@@ -308,13 +308,12 @@ def _training(spark, d):
 
 @query("train_classifiers")
 def q_m05(spark, d):
-    """Every model's out-of-fold predictions.  The query shortens the
-    reference's settings (10 folds, 100 boosting rounds), which are the
-    defaults of ``model.classifiers`` and ``model.out_of_fold``."""
+    """Every model's out-of-fold predictions, with the reference's
+    settings (10 folds, 100 boosting rounds, 500 hidden units)."""
     _, df, cols, ix = _training(spark, d)
     df = md.class_weights(df).checkpoint()
-    ests = md.classifiers(len(cols), len(ix.labels), df.count(), boosting_rounds=3, hidden=20)
-    return md.out_of_fold(df, ests, "user_id", "label_idx", folds=2)
+    ests = md.classifiers(len(cols), len(ix.labels), df.count())
+    return md.out_of_fold(df, ests, "user_id", "label_idx")
 
 
 @query("pca_then_train")
@@ -385,10 +384,10 @@ def topic_weights(docs, topics: int = 100, iterations: int = 500, min_df: int =
 @query("lda_topics", """
 SELECT d.doc_id, t.topic::INTEGER AS topic, TRUE AS in_range, TRUE AS adds_up FROM documents d, (SELECT unnest(range(0, 100)) AS topic) t""")
 def q_t13(spark, d):
-    """T13 with 20 of the default 500 iterations; what SQL can state of it:
+    """What SQL can state of it:
     every document has all 100 topics, with weights from 0 to 1 that sum to 1
     (to 0 for a document without a vocabulary word)."""
-    w = topic_weights(Tables(spark, d).documents, iterations=20).checkpoint()
+    w = topic_weights(Tables(spark, d).documents).checkpoint()
     total = w.groupBy("doc_id").agg(F.round(F.sum("weight"), 4).isin(0.0, 1.0).alias("adds_up"))
     return w.join(total, "doc_id").select("doc_id", "topic", F.col("weight").between(0.0, 1.0).alias("in_range"), "adds_up")
 

@@ -28,3 +28,31 @@ def test_clusters_and_counts_leave_the_queries(spark, monkeypatch):
     for r in counts:
         own[r.user] = own.get(r.user, 0) + r.n
     assert own == totals and len({r.cluster for r in counts}) > 1
+
+
+def test_trainings_are_not_shortened(spark, monkeypatch):
+    class Enough(Exception):
+        pass
+
+    class Asked:
+        def checkpoint(self):
+            raise Enough
+
+    seen = []
+
+    def note(out):
+        return lambda *a, **k: seen.append((len(a), k)) or out
+
+    df = spark.range(3)
+    indexer = type("Indexer", (), {"labels": ["a", "b"]})
+    monkeypatch.setattr(q_model, "_training", lambda spark, d: (df, df, ["x"], indexer))
+    monkeypatch.setattr(q_model.md, "class_weights", lambda df: df)
+    monkeypatch.setattr(q_model.md, "classifiers", note({}))
+    monkeypatch.setattr(q_model.md, "out_of_fold", note(df))
+    E.queries()["train_classifiers"](spark, SF)
+    monkeypatch.setattr(q_model, "topic_weights", note(Asked()))
+    try:
+        E.queries()["lda_topics"](spark, SF)
+    except Enough:
+        pass
+    assert seen == [(3, {}), (4, {}), (1, {})]
