@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from communitylens.llm import (
     byte_bpe,
     context_tree,
+    divergence,
     exact_dedup,
     fingerprints,
     html_text,
@@ -21,6 +22,8 @@ from communitylens.llm import (
     ngram_join,
     quality_model,
     token_counts,
+    turn_repair,
+    url_rules,
     warc,
 )
 from communitylens.llm.common import table
@@ -172,3 +175,131 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes of every document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+def _url_sql() -> str:
+    """The stated rules, then all token combinations of the labelled URLs
+    counted by subset, kept by support and confidence."""
+    rest = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    fits = [f"WHEN (host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}') THEN "
+            for h, p, _ in sorted(url_rules.STATED, key=lambda r: (-len(r[0] + r[1]), r))]
+    by_length = sorted(url_rules.STATED, key=lambda r: (-len(r[0] + r[1]), r))
+    rule = " ".join(f"{f}'{h}{p}'" for f, (h, p, _) in zip(fits, by_length))
+    stated = " ".join(f"{f}'{v}'" for f, (_, _, v) in zip(fits, by_length))
+    part = lambda xs, mark: (f"list_transform(list_filter({xs}, lambda x: x <> ''), "
+                             f"lambda x: '{mark}' || regexp_replace(x, '[0-9]+', '0', 'g'))")
+    return f"""
+WITH u AS (SELECT page_id, url, coalesce({rest}, '') AS rest FROM pages),
+v AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), '{url_rules.UPPER}', '{url_rules.LOWER}') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1) AS query FROM u),
+w AS (SELECT *, CASE {rule} END AS rule, CASE {stated} END AS stated, list_sort(list_distinct(
+        {part("string_split(host, '.')", 'h:')} || {part("string_split(path, '/')", 'p:')}
+        || {part("list_transform(string_split(query, '&'), lambda x: regexp_extract(x, '^[^=]*'))", 'q:')})) AS tokens FROM v),
+lab AS (SELECT row_number() OVER () AS id, tokens, stated AS verdict FROM w WHERE stated IS NOT NULL AND url IS NOT NULL),
+size AS (SELECT count(*) AS n FROM lab),
+tok AS (SELECT id, unnest(tokens) AS token FROM lab),
+seen AS (SELECT token, list(id ORDER BY id) AS ids FROM tok GROUP BY token HAVING count(*) >= {url_rules.MIN_SUPPORT} * (SELECT n FROM size)),
+item AS (SELECT min(token) AS token FROM seen GROUP BY ids),
+basket AS (SELECT lab.id, any_value(verdict) AS verdict, list_sort(list(token)) AS items
+           FROM lab JOIN tok USING (id) JOIN item USING (token) GROUP BY lab.id),
+sub AS (SELECT id, verdict, list_where(items, list_transform(range(0, len(items)), lambda k: (mask >> k) & 1 = 1)) AS s
+        FROM (SELECT id, verdict, items, unnest(range(1, (1 << len(items))::BIGINT)) AS mask FROM basket)),
+tally AS (SELECT s, verdict, count(*) AS hits FROM sub GROUP BY ALL),
+r AS (SELECT s, verdict, hits, hits / total AS confidence FROM (SELECT *, sum(hits) OVER (PARTITION BY s) AS total FROM tally), size
+      WHERE hits >= ceil({url_rules.MIN_SUPPORT} * n) AND hits / total >= {url_rules.MIN_CONFIDENCE}),
+best AS (SELECT url, arg_min(r.verdict, struct_pack(c := -confidence, b := -hits, k := len(s), s := s, v := r.verdict)) AS mined
+         FROM (SELECT DISTINCT url, tokens FROM w WHERE stated IS NULL) o JOIN r ON list_has_all(tokens, s) GROUP BY url)
+SELECT page_id, host, path, rule, coalesce(stated, mined, '{url_rules.DEFAULT}') AS verdict FROM w LEFT JOIN best USING (url)"""
+
+
+@query(_url_sql())
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the stated rules, else by mined ones."""
+    return url_rules.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select(
+        "row.page_id", "host", "path", "rule", "verdict")
+
+
+@query(f"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source
+           FROM documents),
+x AS (SELECT id, lang, source, translate(unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')),
+        '{url_rules.UPPER}', '{url_rules.LOWER}') AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM x GROUP BY ALL HAVING count(DISTINCT id) >= {divergence.MIN_DOCS}),
+l AS (SELECT lang, sum(c) AS n, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM x JOIN kept USING (lang, term) GROUP BY ALL),
+gn AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+        1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (coalesce(gn.n, 0) + 2 * l.v) AS p,
+        1 + (1000000000::HUGEINT * (k.c + 2)) // (l.n + 2 * l.v) AS q
+      FROM g JOIN kept k USING (lang) JOIN l USING (lang) LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+allp AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+apart AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE c > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM (SELECT * FROM allp UNION ALL SELECT * FROM apart) QUALIFY part = 'pair' OR rank <= 10""")
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source against the others of its language, and its own terms."""
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def _repair_sql() -> str:
+    """Damage, faults and reports; then, row by row, the cheapest edits so far
+    for each state of the grammar (a cost and audit that sort as one string)."""
+    crc = ("list_reduce([4294967295::BIGINT] || list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i::INT, 1))::BIGINT), "
+           "lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], "
+           "lambda s, z: xor(s >> 1, 3988292384 * (s & 1))))")
+    return f"""
+WITH RECURSIVE o AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+f AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, (xor({crc}, 4294967295) % 20) AS fate FROM o),
+d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN ''
+        WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(0, CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM f WHERE fate <> 0),
+e AS (SELECT *, rtrim(text, ' \t\n\v\f\r') AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+        md5(length(role)::VARCHAR || ':' || role || ':' || text), copy) AS i FROM (SELECT conv_id, turn, role, copy, text FROM d)),
+a AS (SELECT *, body = '' AS blank, body <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup,
+        left(role, 1) || coalesce(lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i), '') AS pair,
+        i = max(i) OVER (PARTITION BY conv_id) AS final FROM e),
+b AS (SELECT *, NOT blank AND NOT dup AND right(body, 1) NOT IN ('.', '!', '?') AS broken FROM a),
+rep AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+          count(*) FILTER (dup) AS duplicate, count(*) FILTER (broken) AS truncated,
+          count(*) FILTER (NOT final AND pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM b GROUP BY conv_id),
+st AS (SELECT * FROM (VALUES ('0', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')) t(state, nxt)),
+ins AS (SELECT state AS p, 0 AS k, state AS q FROM st UNION ALL SELECT state, 1, nxt FROM st),
+nm AS (SELECT * FROM (VALUES ('u', 'user'), ('a', 'assistant')) t(l, name)),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, '0' AS state, '000000' AS best, '' AS lines FROM rep
+  UNION ALL
+  SELECT conv_id, i, state, min(best), arg_min(lines, best) FROM (
+    SELECT dp.conv_id, b.i, dp.state, lpad((left(best, 6)::INT + 2)::VARCHAR, 6, '0') || substr(best, 7) || 'D' AS best, lines
+    FROM dp JOIN b ON dp.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = dp.i + 1
+    UNION ALL
+    SELECT dp.conv_id, b.i, t.to_state, lpad((left(best, 6)::INT + 5 * ins.k + t.cost + CASE WHEN broken THEN 5 ELSE 0 END)::VARCHAR, 6, '0')
+             || substr(best, 7) || repeat('I', ins.k) || t.edit,
+           lines || CASE WHEN ins.k = 1 THEN chr(10) || (SELECT name FROM nm WHERE l = ins.q) || ':' ELSE '' END
+             || chr(10) || CASE WHEN t.edit = 'K' THEN role ELSE (SELECT name FROM nm WHERE l = t.to_state) END || ':' || text
+    FROM dp JOIN b ON dp.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = dp.i + 1 AND NOT blank AND NOT dup
+    JOIN ins ON ins.p = dp.state JOIN st ON st.state = ins.q,
+    LATERAL (SELECT 'K' AS edit, left(role, 1) AS to_state, 0 AS cost WHERE left(role, 1) = st.nxt OR (left(role, 1) = 's' AND st.state = '0')
+             UNION ALL SELECT 'R', st.nxt, 1 WHERE left(role, 1) <> st.nxt) t) z GROUP BY conv_id, i, state),
+fin AS (SELECT dp.conv_id, lpad((left(best, 6)::INT + CASE WHEN state = 'u' THEN 5 ELSE 0 END)::VARCHAR, 6, '0') || substr(best, 7)
+               || CASE WHEN state = 'u' THEN 'I' ELSE '' END AS best, lines || CASE WHEN state = 'u' THEN chr(10) || 'assistant:' ELSE '' END AS lines
+        FROM dp JOIN rep ON dp.conv_id IS NOT DISTINCT FROM rep.conv_id AND dp.i = rep.n WHERE state <> 's'),
+res AS (SELECT conv_id, min(best) AS best, arg_min(lines, best) AS lines FROM fin GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(left(best, 6)::BIGINT, 0) AS cost,
+  coalesce(substr(best, 7), '') AS audit, sha256(coalesce(substr(lines, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN rep ON c.conv_id IS NOT DISTINCT FROM rep.conv_id
+LEFT JOIN res ON c.conv_id IS NOT DISTINCT FROM res.conv_id"""
+
+
+@query(_repair_sql())
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by rule, with its faults and repair."""
+    turns = turn_repair.read_turns(table(spark, sf_dir, "conversations"))
+    out = turn_repair.repair(turn_repair.damage(turns), convs=turns)
+    return out.withColumnRenamed("conv", "conv_id")
