@@ -107,7 +107,7 @@ def test_long_conversation_in_many_blocks(spark):
     data += [(6, 4, "user", "same words.", "", 1, "")] * 500  # one group of equal rows
     turns = tr.read_turns(spark.createDataFrame(data, SCHEMA))
     found = {r.conv: r for r in tr.audits(turns, block_rows=16).collect()}
-    whole = {r.conv: r for r in tr.audits(turns, block_rows=4000).where("conv = 6").collect()}
+    whole = {r.conv: r for r in tr.audits(turns.where("conv = 6"), block_rows=4000).collect()}
     assert found[6] == whole[6] and found[6].audit in ("D" * 500, "K" + "D" * 499 + "I") and found[6].duplicate == 499
     # the same by a running minimum over the grammar's states
     state = {"0": (0, "")}
