@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from communitylens.llm.common import reliable, text_or_empty, unpacked
+from communitylens.llm.common import reliable, stored, text_or_empty, unpacked
 from communitylens.session import ensure_checkpoint_dir
 from communitylens.operators.windows import global_row_number
 
@@ -22,10 +22,9 @@ MAX_REPEATS = 3
 MIX_BLOCKS = 1 << 14
 BLOCKS_PER_SOURCE = 1 << 9
 BLOCKS_PER_SHARD = 1 << 8
-#: A source whose target is below so many blocks is cut into so many blocks of
-#: its own, down to single words, and into MOST_BLOCKS at most.
-FEW_BLOCKS = 1 << 6
-MOST_BLOCKS = 1 << 30
+#: Blocks are nested: each level's block holds so many of the next one's, down
+#: to single words.
+NESTED = 1 << 6
 #: Rows that one (source, md5 prefix) cell holds at most, about.
 CELL_ROWS = 20_000
 SEED = "mix-1"
@@ -102,13 +101,78 @@ def _positions(rows: DataFrame, cell_rows: int) -> DataFrame:
             .withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))))
 
 
-def _block_taken(first: str, last: str) -> Column:
-    """Words that the chosen blocks of one pass share with [start, end)."""
-    chosen = lambda j: F.pmod(j * F.col("mult") + F.col("shift"), F.col("n_blocks")) < F.col("rest_blocks")
-    inside = lambda j: (F.least(F.col("end"), (j + 1) * F.col("block_words"))
-                        - F.greatest(F.col("start"), j * F.col("block_words")))
-    return F.aggregate(F.sequence(F.col(first), F.col(last)), F.lit(0).cast("long"),
-                       lambda acc, j: acc + F.when(chosen(j), inside(j)).otherwise(F.lit(0).cast("long")))
+def block_lengths(total: int, sources: int, mix_blocks: int = MIX_BLOCKS) -> list[int]:
+    """Words of a block on each level, from the whole mix's blocks to words."""
+    lengths = [max(1, -(-total // max(mix_blocks, BLOCKS_PER_SOURCE * sources)))]
+    while lengths[-1] > 1:
+        lengths.append(-(-lengths[-1] // NESTED))
+    return lengths
+
+
+def word_quotas(targets: DataFrame, lengths: list[int], blocks_per_shard: int = BLOCKS_PER_SHARD) -> DataFrame:
+    """``targets`` with ``quota``, the words that each source gives.
+
+    One apportionment for all sources, level by level: the blocks of a level
+    go to the highest quotients of what the sources still miss.  A source keeps
+    all but its last block (never more than it misses); what that leaves of all
+    targets is apportioned anew in the next level's blocks, so a source's words
+    come within about a word of its target, whatever its size."""
+    state = targets.withColumn("quota", F.lit(0).cast("long")).withColumn("miss", F.col("target"))
+    for level, length in enumerate(lengths):
+        won = (quotas(state.select("source", "source_rank", F.col("miss").alias("target")), length, blocks_per_shard)
+               .groupBy("source_rank").agg(F.sum("blocks").alias("blocks")))
+        blocks = F.coalesce("blocks", F.lit(0))
+        if level < len(lengths) - 1:
+            blocks = F.least(F.greatest(blocks - 1, F.lit(0)), F.floor(F.col("miss") / length))
+        state = state.join(won, "source_rank", "left").withColumn("quota", F.col("quota") + (blocks * length).cast("long"))
+        state = reliable(state.withColumn("miss", F.col("target") - F.col("quota")).drop("blocks"))
+    return state.drop("miss")
+
+
+def _selection(plan: DataFrame, lengths: list[int], seed: str) -> DataFrame:
+    """Per source and level the blocks that its last, broken pass gives.
+
+    The pass's words are cut into blocks of the level's length (the last may be
+    short), and in a seeded order as many are given as the rest of the quota
+    holds.  The next block of that order is cut again on the next level.
+    ``levels`` is an array of (base, size, length, n, k, mult, shift): block j of
+    the n that begin at ``base`` is given if (j * mult + shift) mod n < k."""
+    rest, base, size, levels = F.col("rest"), F.lit(0).cast("long"), F.col("source_size"), []
+    for level, length in enumerate(lengths):
+        draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("source_rank").cast("string"), F.lit(str(level)))), 1, 7),
+                      16, 10).cast("long")
+        plan = (plan.withColumn("_shift", draw).withColumn("_base", base).withColumn("_size", size).withColumn("_rest", rest)
+                .withColumn("_n", F.greatest(F.ceil(F.col("_size") / length), F.lit(1)).cast("long"))
+                .withColumn("_mult", F.element_at(F.array(*[F.lit(p).cast("long") for p in PRIMES]), (draw % len(PRIMES) + 1).cast("int"))))
+        short = F.col("_n") * length - F.col("_size")
+        at = lambda j: F.pmod(j * F.col("_mult") + F.col("_shift"), F.col("_n"))
+        with_short = F.floor((F.col("_rest") + short) / length).cast("long")
+        plan = plan.withColumn("_k", F.when(at(F.col("_n") - 1) < with_short, with_short)
+                               .otherwise(F.floor(F.col("_rest") / length)).cast("long"))
+        plan = plan.withColumn("_level", F.struct(
+            F.col("_base").alias("base"), F.col("_size").alias("size"), F.lit(length).cast("long").alias("length"), F.col("_n").alias("n"),
+            F.col("_k").alias("k"), F.col("_mult").alias("mult"), F.col("_shift").alias("shift")))
+        given = F.col("_k") * length - F.when(at(F.col("_n") - 1) < F.col("_k"), short).otherwise(0)
+        after = F.filter(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda j: at(j) == F.col("_k"))
+        plan = reliable(plan.withColumn("_next", F.coalesce(F.try_element_at(after, F.lit(1)), F.lit(0).cast("long")))
+                        .withColumn(f"level{level}", F.col("_level")).withColumn("_left", F.col("_rest") - given))
+        levels.append(f"level{level}")
+        rest = F.col("_left")
+        base = F.col("_base") + F.col("_next") * length
+        size = F.greatest(F.least(F.lit(length).cast("long"), F.col("_size") - F.col("_next") * length), F.lit(0).cast("long"))
+    return plan.withColumn("levels", F.array(*levels))
+
+
+def _given(level: Column) -> Column:
+    """Words that a level's given blocks share with [start, end)."""
+    lo, hi = F.greatest(F.col("start"), level["base"]), F.least(F.col("end"), level["base"] + level["size"])
+    given = lambda j: F.pmod(j * level["mult"] + level["shift"], level["n"]) < level["k"]
+    inside = lambda j: (F.least(hi, level["base"] + (j + 1) * level["length"])
+                        - F.greatest(lo, level["base"] + j * level["length"]))
+    first, last = F.floor((lo - level["base"]) / level["length"]), F.floor((hi - 1 - level["base"]) / level["length"])
+    none = F.lit(0).cast("long")
+    return F.when((hi > lo) & (level["k"] > 0), F.aggregate(
+        F.sequence(first, last), none, lambda acc, j: acc + F.when(given(j), inside(j)).otherwise(none))).otherwise(none)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, mix_blocks: int = MIX_BLOCKS,
@@ -117,14 +181,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, mix_bl
     """``row`` (the row itself, or its columns ``carry``) with size,
     source_size, target and taken.
 
-    A source's words, rows in seeded md5 order, are cut into blocks of equal
-    length (the last one may be short).  The source gives its quota of
-    blocks: whole passes first, then, of the blocks in a seeded order, as
-    many as the rest of the quota needs.  ``taken`` counts the words of a row
-    in the blocks given.
-
-    Sources of ``FEW_BLOCKS`` blocks or more share the blocks by Sainte-Lague;
-    a smaller one's quota is its own target, in blocks of its own length.
+    Each source has a quota of words by Sainte-Lague (``word_quotas``).  Its
+    words, rows in seeded md5 order, come in whole passes first; the rest comes
+    in blocks of the last pass, chosen in a seeded order (``_selection``).
+    ``taken`` counts the words of a row in what is given.
 
     A null or blank text has size 0 and takes 0; null is a source of its own;
     repeated rows are rows of their own; an empty table gives no rows."""
@@ -135,35 +195,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, mix_bl
         row.alias("row"), doc_id, word_count(text).alias("size"), source,
         F.coalesce(F.concat(F.lit("s"), source), F.lit("null")).alias("source_key"), F.xxhash64(text).alias("tie"),
         F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))).alias("h"))
-    light = base.select("source", "size")
-    sizes = light.groupBy("source").agg(F.sum("size").alias("source_size"))
+    if carry is not None:  # narrow rows: words are counted once
+        base = stored(base, "mix-rows")
+    sizes = base.select("source", "size").groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = reliable(source_targets(sizes, weights, max_repeats))
     total, m = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count(F.lit(1))).first()
-    block = max(1, -(-total // max(mix_blocks, BLOCKS_PER_SOURCE * m)))
-    few = F.col("target") < FEW_BLOCKS * block
-    given = quotas(targets.where(~few), block, blocks_per_shard).groupBy("source_rank").agg(F.sum("blocks").alias("blocks"))
-    own = F.least(F.lit(block), F.greatest(F.lit(1), F.floor(F.col("target") / FEW_BLOCKS),
-                                           F.ceil(F.col("source_size") / MOST_BLOCKS))).cast("long")
-    length = F.when(few, own).otherwise(F.lit(block)).cast("long")
-    words = F.when(few, F.round("target").cast("long")).otherwise(F.coalesce("blocks", F.lit(0)) * block)
-    quota = F.least(words, F.col("source_size") * max_repeats)
-    n_blocks = F.greatest(F.ceil(F.col("source_size") / length), F.lit(1)).cast("long")
-    seed_of = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("source_rank").cast("string"))), 1, 7),
-                     16, 10).cast("long")
-    plan = (targets.join(given, "source_rank", "left")
-            .select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")).alias("source_key"),
-                    "source_size", "target", length.alias("block_words"), n_blocks.alias("n_blocks"),
-                    F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(0).cast("long")
-                    .alias("passes"), quota.alias("quota"), seed_of.alias("shift"),
-                    F.element_at(F.array(*[F.lit(p).cast("long") for p in PRIMES]),
-                                 (seed_of % len(PRIMES) + 1).cast("int")).alias("mult"))
-            .withColumn("rest_blocks", F.round((F.col("quota") - F.col("passes") * F.col("source_size")) / F.col("block_words"))
-                        .cast("long")))
-    placed = _positions(base, cell_rows)
-    out = placed.join(plan, "source_key").withColumn("end", F.col("start") + F.col("size"))
-    out = (out.withColumn("b0", F.floor(F.col("start") / F.col("block_words")))
-           .withColumn("b1", F.floor((F.col("end") - 1) / F.col("block_words"))))
-    part = F.when((F.col("size") > 0) & (F.col("rest_blocks") > 0), _block_taken("b0", "b1")).otherwise(F.lit(0))
+    lengths = block_lengths(total, m, mix_blocks)
+    quota = F.least(F.col("quota"), F.col("source_size") * max_repeats)
+    plan = (word_quotas(targets, lengths, blocks_per_shard)
+            .select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")).alias("source_key"), "source_rank",
+                    "source_size", "target", quota.alias("quota"),
+                    F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(0).cast("long").alias("passes"))
+            .withColumn("rest", F.col("quota") - F.col("passes") * F.col("source_size")))
+    plan = _selection(plan, lengths, seed).select("source_key", "source_size", "target", "passes", "levels")
+    out = _positions(base, cell_rows).join(plan, "source_key").withColumn("end", F.col("start") + F.col("size"))
+    part = sum((_given(F.col("levels")[i]) for i in range(len(lengths))), F.lit(0).cast("long"))
     return out.select("row", "size", "source_size", "target",
                       (F.col("passes") * F.col("size") + part).cast("long").alias("taken"))
 

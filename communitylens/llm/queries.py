@@ -137,6 +137,30 @@ def _mixing_sql() -> str:
           / nullif(sum(CASE WHEN NOT most < p.rate * weight THEN weight END), 0.0) AS rate
           FROM s, r{i - 1} p GROUP BY p.rate)""")
     primes = ", ".join(map(str, mixing.PRIMES))
+    depth = 4  # levels, enough for blocks of NESTED ** 3 words; levels after that of single words change nothing
+    levels, choices = [], []
+    for i in range(depth):
+        keep = f"CASE WHEN length > 1 THEN least(greatest(coalesce(blocks, 0) - 1, 0), floor(miss / length)) ELSE coalesce(blocks, 0) END * length"
+        levels.append(f"""n{i} AS (SELECT sum(miss) AS total, count(*) AS m, any_value(length) AS length FROM a{i}),
+q{i} AS (SELECT source_rank, miss / (2 * k + 1) AS quotient
+      FROM (SELECT source_rank, miss, unnest(range(0, ceil(miss * ((round(total / n{i}.length) + m / 2) / total) + 0.5)::BIGINT + 1)) AS k
+            FROM a{i}, n{i} WHERE miss > 0 AND length0 > 1)),
+w{i} AS (SELECT source_rank, row_number() OVER (ORDER BY quotient DESC, source_rank) AS rn FROM q{i}),
+v{i} AS (SELECT source_rank, count(*) AS blocks FROM w{i}, n{i} WHERE rn <= round(total / length) GROUP BY source_rank),
+a{i + 1} AS (SELECT a.* REPLACE (quota + ({keep})::BIGINT AS quota, target - quota - ({keep})::BIGINT AS miss,
+        ceil(length / {mixing.NESTED}.0)::BIGINT AS length), length AS length0 FROM (SELECT * EXCLUDE (length0) FROM a{i}) a LEFT JOIN v{i} USING (source_rank))""")
+        choices.append(f"""t{i} AS (SELECT *, greatest(ceil(size / len_::DOUBLE), 1)::BIGINT AS n_,
+        ('0x' || substr(md5('{mixing.SEED}|' || source_rank::VARCHAR || '|{i}'), 1, 7))::BIGINT AS shift_ FROM s{i}_),
+u{i} AS (SELECT *, ([{primes}])[shift_ % {len(mixing.PRIMES)} + 1] AS mult_, n_ * len_ - size AS short_ FROM t{i}),
+y{i} AS (SELECT *, ((n_ - 1) * mult_ + shift_) % n_ AS last_ FROM u{i}),
+z{i} AS (SELECT *, CASE WHEN last_ < (rest + short_) // len_ THEN (rest + short_) // len_ ELSE rest // len_ END AS k_ FROM y{i}),
+o{i} AS (SELECT *, coalesce(list_filter(range(0, n_), lambda j: (j * mult_ + shift_) % n_ = k_)[1], 0) AS next_,
+         struct_pack(base := base, size := size, length := len_, n := n_, k := k_, mult := mult_, shift := shift_) AS l{i} FROM z{i}),
+s{i + 1}_ AS (SELECT * EXCLUDE (n_, shift_, mult_, short_, last_, k_, next_)
+         REPLACE (base + next_ * len_ AS base, greatest(least(len_, size - next_ * len_), 0) AS size,
+                  rest - (k_ * len_ - CASE WHEN last_ < k_ THEN short_ ELSE 0 END) AS rest,
+                  ceil(len_ / {mixing.NESTED}.0)::BIGINT AS len_) FROM o{i})""")
+    levels, choices = ",\n".join(levels), ",\n".join(choices)
     return f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
@@ -148,25 +172,22 @@ s AS (SELECT *, {weight} AS weight, (source_size * {float(mixing.MAX_REPEATS)}):
 t AS (SELECT s.*, least(most, r12.rate * weight) AS target FROM s, r12),
 g AS (SELECT greatest(1, ceil(sum(source_size) / greatest({mixing.MIX_BLOCKS}, {mixing.BLOCKS_PER_SOURCE} * count(*))::DOUBLE))::BIGINT
         AS block, sum(target) AS total, count(*) AS m FROM t),
-q AS (SELECT source_rank, target / (2 * k + 1) AS quotient
-      FROM (SELECT source_rank, target, unnest(range(0, ceil(target * ((round(total / block) + m / 2) / total) + 0.5)::BIGINT + 1)) AS k
-            FROM t, g WHERE target > 0)),
-w AS (SELECT source_rank, row_number() OVER (ORDER BY quotient DESC, source_rank) AS rn FROM q),
-given AS (SELECT source_rank, count(*) AS blocks FROM w, g WHERE rn <= round(total / block) GROUP BY source_rank),
-p0 AS (SELECT t.*, block, least(coalesce(blocks, 0) * block, source_size * {mixing.MAX_REPEATS}) AS quota,
-              greatest(ceil(source_size / block::DOUBLE), 1)::BIGINT AS n_blocks,
-              ('0x' || substr(md5('{mixing.SEED}|' || t.source_rank::VARCHAR), 1, 7))::BIGINT AS shift
-       FROM g, t LEFT JOIN given ON t.source_rank = given.source_rank),
-p1 AS (SELECT *, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS passes,
-              ([{primes}])[shift % {len(mixing.PRIMES)} + 1] AS mult FROM p0),
-p AS (SELECT *, round((quota - passes * source_size) / block::DOUBLE)::BIGINT AS rest_blocks FROM p1),
-x AS (SELECT d.doc_id, d.size, p.*, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id NULLS LAST, d.size
+a0 AS (SELECT t.*, block AS length, 2::BIGINT AS length0, 0::BIGINT AS quota, target AS miss FROM t, g),
+{levels},
+p1 AS (SELECT *, least(quota, source_size * {mixing.MAX_REPEATS}) AS q FROM a{depth}),
+s0_ AS (SELECT *, CASE WHEN source_size > 0 THEN q // source_size ELSE 0 END AS passes, 0::BIGINT AS base, source_size AS size,
+          q - source_size * (CASE WHEN source_size > 0 THEN q // source_size ELSE 0 END) AS rest, block AS len_ FROM p1, g),
+{choices},
+p AS (SELECT *, [{", ".join(f"l{i}" for i in range(depth))}] AS levels FROM s{depth}_),
+x AS (SELECT d.doc_id, d.size AS words, p.*, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id NULLS LAST, d.size
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
       FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target, (passes * size + CASE WHEN size > 0 AND rest_blocks > 0 THEN
-  coalesce(list_sum(list_transform(range(a // block, (a + size - 1) // block + 1), lambda j:
-    CASE WHEN (j * mult + shift) % n_blocks < rest_blocks
-         THEN least(a + size, (j + 1) * block) - greatest(a, j * block) ELSE 0 END)), 0) ELSE 0 END)::BIGINT AS taken
+SELECT doc_id, words AS size, source_size, target, (passes * words + list_sum(list_transform(levels, lambda v:
+  CASE WHEN v.k > 0 AND least(a + words, v.base + v.size) > greatest(a, v.base) THEN
+    list_sum(list_transform(range((greatest(a, v.base) - v.base) // v.length, (least(a + words, v.base + v.size) - 1 - v.base) // v.length + 1),
+      lambda j: CASE WHEN (j * v.mult + v.shift) % v.n < v.k
+        THEN least(a + words, v.base + v.size, v.base + (j + 1) * v.length) - greatest(a, v.base, v.base + j * v.length) ELSE 0 END))
+  ELSE 0 END)))::BIGINT AS taken
 FROM x"""
 
 
