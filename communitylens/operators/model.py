@@ -177,32 +177,42 @@ def class_weights(df: DataFrame, label_col: str = "label_idx") -> DataFrame:
     return df.join(counts, label_col).withColumn("weight", n.cast("double") / (k * F.col("_nc"))).drop("_nc")
 
 
-def classifiers(n_features: int, n_classes: int, n_rows: int, seed: int = 42, boosting_rounds: int = 100,
-                svm_c: float = 0.01, hidden: int = 500):
-    """The reference's model family as Spark ML estimators.  A penalty C
-    on summed losses is regParam = 1 / (C n) on averaged ones."""
-    from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                           MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
+def classifiers(n_features: int, n_classes: int, n_rows: int, seed: int = 42, svm_c: float = 0.01, hidden: int = 500):
+    """The reference's model family as Spark ML estimators (boosting has
+    its own operator, ``boosting``).  A penalty C on summed losses is
+    regParam = 1 / (C n) on averaged ones; a forest's trees grow as deep as
+    Spark lets them."""
+    from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
+                                           RandomForestClassifier)
     return {
         "logistic_regression": LogisticRegression(labelCol="label_idx", maxIter=100),
-        "random_forest": RandomForestClassifier(labelCol="label_idx", numTrees=20, seed=seed),
+        "random_forest": RandomForestClassifier(labelCol="label_idx", numTrees=20, maxDepth=30, seed=seed),
         "linear_svm": OneVsRest(classifier=LinearSVC(regParam=1.0 / (svm_c * max(1, n_rows)), maxIter=50),
-                                labelCol="label_idx", weightCol="weight"),
-        "gradient_boosting": OneVsRest(classifier=GBTClassifier(maxIter=boosting_rounds, seed=seed), labelCol="label_idx"),
+                                labelCol="label_idx", weightCol="weight", parallelism=n_classes),
         "mlp": MultilayerPerceptronClassifier(labelCol="label_idx", layers=[n_features, hidden, n_classes], maxIter=100, seed=seed),
     }
 
 
-def out_of_fold(df: DataFrame, estimators: dict, key: str, label_col: str, folds: int = 10) -> DataFrame:
+def out_of_fold(df: DataFrame, estimators: dict, key: str, label_col: str, folds: int = 10, at_once: int = 8) -> DataFrame:
     """(model, key, label, prediction, fold); every row is predicted
-    by a model that was fitted without the row's fold."""
-    df = fold_column(df, key, label_col, folds).checkpoint()
-    out = None
-    for name, est in estimators.items():
-        for k in range(folds):
-            test = est.fit(df.filter(F.col("fold") != k)).transform(df.filter(F.col("fold") == k))
-            part = test.select(F.lit(name).alias("model"), key, label_col, "prediction", "fold")
-            out = part if out is None else out.unionByName(part)
+    by a model that was fitted without the row's fold.  The fits run while the
+    query is built, ``at_once`` of them side by side over one kept table."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark.util import inheritable_thread_target
+    df = (df if "fold" in df.columns else fold_column(df, key, label_col, folds)).checkpoint()
+
+    @inheritable_thread_target(df.sparkSession)
+    def fitted(task):
+        name, k = task
+        model = estimators[name].fit(df.filter(F.col("fold") != k))
+        return model.transform(df.filter(F.col("fold") == k)).select(F.lit(name).alias("model"), key, label_col, "prediction", "fold")
+
+    with ThreadPool(at_once) as pool:
+        parts = pool.map(fitted, [(name, k) for name in estimators for k in range(folds)], chunksize=1)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 

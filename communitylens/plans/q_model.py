@@ -112,6 +112,49 @@ def q_m01(spark, d):
     return blocks.select("user_id", "block", "feature", "value", set_members().alias("sets"))
 
 
+SPARSE_SET = "text_and_behaviour"
+_SET_BLOCKS = ", ".join(f"'{b}'" for b in FEATURE_SETS[SPARSE_SET])
+
+
+def set_vectors(spark, blocks, users, name):
+    """One named set as sparse vectors of all users: (user_id, features), the
+    saved column index, and the vectors' folder."""
+    from communitylens.operators import sparse as sp
+    rows = feature_set(blocks, name)
+    base = scratch_path(spark, f"vectors-{uuid.uuid4().hex[:12]}")
+    sp.save_index(sp.column_index(rows), f"{base}/index")
+    index = spark.read.parquet(f"{base}/index")
+    vectors = sp.sparse_vectors(rows, index, users, "user_id", f"{base}/vectors")
+    return vectors, index, f"{base}/vectors"
+
+
+@query("feature_set_vectors", ORACLE["feature_sets"].split("SELECT b.user_id")[0] + f"""
+, w AS (SELECT user_id, block, feature, sum(value) AS value FROM blocks WHERE block IN ({_SET_BLOCKS}) GROUP BY ALL),
+ix AS (SELECT block, feature, row_number() OVER (ORDER BY block, feature) - 1 AS index FROM (
+  SELECT DISTINCT block, feature FROM blocks WHERE block IN ({_SET_BLOCKS})) z)
+SELECT user_id, index::INTEGER AS index, round(value, 6) AS value FROM w JOIN ix USING (block, feature) WHERE value <> 0""")
+def q_m01_vectors(spark, d):
+    """A named set as sparse vectors, shown as what they hold."""
+    from communitylens.operators.sparse import stored_columns
+    t = Tables(spark, d)
+    blocks = feature_blocks(spark, t).checkpoint()
+    vectors, _, path = set_vectors(spark, blocks, t.users.select(F.col("id").alias("user_id")), SPARSE_SET)
+    return stored_columns(vectors, "user_id", path).select("user_id", "index", F.round("value", 6).alias("value"))
+
+
+@query("cross_validate_set")
+def q_m07_set(spark, d, name=SPARSE_SET):
+    """M07 by set name: out-of-fold predictions on the named set's vectors."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StringIndexer
+    t = Tables(spark, d)
+    labels = t.users.where("label IS NOT NULL").select(F.col("id").alias("user_id"), "label")
+    labels = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc").fit(labels).transform(labels)
+    vectors, _, _ = set_vectors(spark, feature_blocks(spark, t).checkpoint(), labels.select("user_id"), name)
+    out = md.out_of_fold(labels.join(vectors, "user_id"), {name: LogisticRegression(labelCol="label_idx", maxIter=100)}, "user_id", "label_idx", at_once=4)
+    return out.withColumnRenamed("model", "set")
+
+
 @query("has_url_feature", "SELECT u.id AS user_id, CAST(p.url IS NOT NULL AS INTEGER) AS has_url FROM users u LEFT JOIN pages p ON u.id = p.page_id")
 def q_m02(spark, d):
     t = Tables(spark, d)
@@ -309,15 +352,22 @@ def _training(spark, d):
 @query("train_classifiers")
 def q_m05(spark, d):
     """Every model's out-of-fold predictions, with the reference's
-    settings (10 folds, 100 boosting rounds, 500 hidden units)."""
+    settings (10 folds, 100 boosting rounds of depth 3, 500 hidden units)."""
+    from pyspark.ml.functions import vector_to_array
+
+    from communitylens.operators.boosting import boost_out_of_fold
     _, df, cols, ix = _training(spark, d)
-    df = md.class_weights(df).checkpoint()
-    ests = md.classifiers(len(cols), len(ix.labels), df.count())
-    return md.out_of_fold(df, ests, "user_id", "label_idx")
+    df = md.fold_column(md.class_weights(df), "user_id", "label_idx").checkpoint()
+    plain = md.out_of_fold(df, md.classifiers(len(cols), len(ix.labels), df.count()), "user_id", "label_idx")
+    rows = df.select("user_id", "label_idx", "fold", vector_to_array("features").alias("features"))
+    boosted = boost_out_of_fold(rows, "user_id", "label_idx", "fold", classes=len(ix.labels))
+    return plain.unionByName(boosted.select(F.lit("gradient_boosting").alias("model"), "user_id", "label_idx", "prediction", "fold"))
 
 
 @query("pca_then_train")
 def q_m06(spark, d):
+    """Half of the columns' principal components (1,000 at most), then a
+    classifier; components and classifier are fitted without the row's fold."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import PCA
@@ -325,7 +375,7 @@ def q_m06(spark, d):
     k = min(1000, max(1, len(cols) // 2))
     pipe = Pipeline(stages=[PCA(k=k, inputCol="features", outputCol="pca"),
                             LogisticRegression(featuresCol="pca", labelCol="label_idx", maxIter=100)])
-    return pipe.fit(df).transform(df).select("user_id", "label_idx", "prediction")
+    return md.out_of_fold(df, {"pca": pipe}, "user_id", "label_idx").drop("model")
 
 
 @query("cross_validate")
@@ -381,20 +431,9 @@ def topic_weights(docs, topics: int = 100, iterations: int = 500, min_df: int =
     return lda.transform(bag).select("doc_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "weight"))
 
 
-@query("lda_topics", """
-SELECT d.doc_id, t.topic::INTEGER AS topic, TRUE AS in_range, TRUE AS adds_up FROM documents d, (SELECT unnest(range(0, 100)) AS topic) t""")
+@query("lda_topics")
 def q_t13(spark, d):
-    """What SQL can state of it:
-    every document has all 100 topics, with weights from 0 to 1 that sum to 1
-    (to 0 for a document without a vocabulary word)."""
-    w = topic_weights(Tables(spark, d).documents).checkpoint()
-    total = w.groupBy("doc_id").agg(F.round(F.sum("weight"), 4).isin(0.0, 1.0).alias("adds_up"))
-    return w.join(total, "doc_id").select("doc_id", "topic", F.col("weight").between(0.0, 1.0).alias("in_range"), "adds_up")
-
-
-@query("lda_topic_weights")
-def q_t13_weights(spark, d):
-    """T13's own output: (doc_id, topic, weight), every topic of every document."""
+    """(doc_id, topic, weight), every topic of every document."""
     return topic_weights(Tables(spark, d).documents)
 
 
@@ -408,34 +447,15 @@ def vector_clusters(embeddings, k: int = 200, iterations: int = 300):
     return KMeans(k=k, seed=42, maxIter=iterations).fit(n).transform(n).select("vec_id", F.col("prediction").alias("cluster"))
 
 
-@query("word_vectors_and_clusters", """
-SELECT vec_id, 1 AS n_clusters, TRUE AS in_range FROM embeddings""")
+@query("word_vectors_and_clusters")
 def q_t14(spark, d):
-    """What SQL can state of it: each vector is in one cluster of 200."""
-    c = vector_clusters(Tables(spark, d).embeddings)
-    return c.groupBy("vec_id").agg(F.count_distinct("cluster").cast("int").alias("n_clusters"),
-                                   F.min(F.col("cluster").between(0, 199)).alias("in_range"))
-
-
-@query("word_cluster_counts_trained", f"""
-WITH n AS (SELECT "user", count(*) AS n_tokens FROM ({q_text.CLUSTER_ITEMS_SQL}) it GROUP BY "user")
-SELECT "user", n_tokens FROM n""")
-def q_t15_trained(spark, d):
-    """T15 over the clusters of T14: every token of a user falls in one."""
-    t = Tables(spark, d)
-    counts = q_text.cluster_counts(t, vector_clusters(t.embeddings))
-    return counts.groupBy("user").agg(F.sum("n").cast("bigint").alias("n_tokens"))
-
-
-@query("word_vector_clusters")
-def q_t14_clusters(spark, d):
-    """T14's own output: (vec_id, cluster)."""
+    """(vec_id, cluster), every vector's cluster of 200."""
     return vector_clusters(Tables(spark, d).embeddings)
 
 
-@query("word_cluster_counts_by_cluster")
-def q_t15_by_cluster(spark, d):
-    """T15's own output: (user, cluster, n) over the clusters of T14."""
+@query("word_cluster_counts_trained")
+def q_t15_trained(spark, d):
+    """T15 over the clusters of T14: (user, cluster, n)."""
     t = Tables(spark, d)
     return q_text.cluster_counts(t, vector_clusters(t.embeddings))
 
