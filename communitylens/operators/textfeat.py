@@ -188,3 +188,34 @@ def vocabulary(doc_terms: DataFrame, n_docs, max_df: float = 0.99, max_features:
     top = by_freq.filter(F.col("row_number") <= max_features).drop("row_number")
     ranked = global_row_number(top, ["term"])
     return ranked.select(F.col("term").alias("word"), (F.col("row_number") - 1).alias("index"), F.col("cf").alias("count"))
+
+
+def save_vocabulary(words: DataFrame, path: str) -> None:
+    """A vocabulary (word, index, count) kept for later runs."""
+    words.select("word", "index", "count").write.mode("overwrite").parquet(path)
+
+
+def token_places(df: DataFrame, keys, text_col) -> DataFrame:
+    """``token_rows`` with the place of each token in its text."""
+    rows = df.select(*keys, F.posexplode(F.split(F.regexp_replace(F.lower(text_col), r"[^a-z]+", " "), " ")).alias("place", "term"))
+    return rows.filter((F.col("term") != "") & ~F.col("term").isin(*TEXT_STOPWORDS))
+
+
+def index_sequences(places: DataFrame, words: DataFrame, keys) -> DataFrame:
+    """(keys, sequence) with the vocabulary indexes of a document's words
+    in order; words outside the vocabulary are skipped, and a document
+    without any word of it has no row."""
+    hit = places.join(words.select(F.col("word").alias("term"), F.col("index").cast("int").alias("index")), "term")
+    whole = hit.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "index"))).alias("w"))
+    return whole.select(*keys, F.transform("w", lambda x: x["index"]).alias("sequence"))
+
+
+def tfidf_by_column(items: dict, n_docs, **options) -> DataFrame:
+    """T11 over several text columns side by side: (column, doc, term, tf,
+    weight); each column has its own terms and statistics.  ``items`` maps a
+    column's name to its (doc, term) rows."""
+    out = None
+    for name, rows in items.items():
+        part = tfidf(rows, n_docs, **options).select(F.lit(name).alias("column"), "doc", "term", "tf", "weight")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -201,6 +201,41 @@ a AS (SELECT user_id, sum(pos) AS s_pos, sum(neg) AS s_neg, sum(neu) AS s_neu, s
 {{final}}""".replace("{final}", final or f"SELECT n.user_id, {', '.join(cols)} FROM n LEFT JOIN a ON n.user_id = a.user_id")
 
 
+# the lexicon is a table: here the words of the part names, their roles and values by md5
+register("word_lexicon", """
+SELECT word, CASE WHEN h < 8 THEN 'valence' WHEN h < 12 THEN 'booster' ELSE 'negation' END AS role,
+       CASE WHEN h < 8 THEN (h - 3.5) / 2 WHEN h < 10 THEN 1.0 WHEN h < 12 THEN -1.0 ELSE 0.0 END::DOUBLE AS value
+FROM (SELECT word, ('0x' || substr(md5(word), 1, 1))::INT AS h FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part) w) x""")
+
+
+def word_lexicon(t):
+    h = F.conv(F.substring(F.md5("word"), 1, 1), 16, 10).cast("int")
+    words = t.part.select(F.explode(F.split("p_name", " ")).alias("word")).distinct().select("word", h.alias("h"))
+    return words.select("word", F.when(F.col("h") < 8, "valence").when(F.col("h") < 12, "booster").otherwise("negation").alias("role"),
+                        F.when(F.col("h") < 8, (F.col("h") - 3.5) / 2).when(F.col("h") < 10, 1.0).when(F.col("h") < 12, -1.0)
+                        .otherwise(0.0).cast("double").alias("value"))
+
+
+@query("text_polarity", """
+WITH w AS (SELECT id, unnest(list_transform(regexp_extract_all(status_text, '[\\p{L}'']+'), lambda x, i: struct_pack(i := i, w := x))) AS t FROM posts),
+r AS (SELECT id, t.i AS i, upper(t.w) = t.w AND lower(t.w) <> t.w AND length(t.w) > 1 AS caps, l.role, l.value
+      FROM w LEFT JOIN word_lexicon l ON l.word = lower(t.w)),
+c AS (SELECT id, max(caps::INT) = 1 AND min(caps::INT) = 0 AS mixed FROM r GROUP BY id),
+v AS (SELECT a.id, a.i, a.value + sign(a.value) * ((CASE WHEN a.caps AND c.mixed THEN 0.733 ELSE 0 END)
+        + coalesce(sum(CASE WHEN b.role = 'booster' THEN b.value * 0.293 * (CASE a.i - b.i WHEN 1 THEN 1 WHEN 2 THEN 0.95 ELSE 0.9 END) END), 0)) AS v,
+        coalesce(bool_or(b.role = 'negation'), FALSE) AS neg
+      FROM r a JOIN c ON c.id = a.id LEFT JOIN r b ON b.id = a.id AND b.i BETWEEN a.i - 3 AND a.i - 1
+      WHERE a.role = 'valence' GROUP BY a.id, a.i, a.value, a.caps, c.mixed),
+s AS (SELECT id, sum(round((CASE WHEN neg THEN v * -0.74 ELSE v END) * 1e7)::BIGINT) / 1e7 AS s FROM v GROUP BY id)
+SELECT p.id, round(coalesce(s, 0.0), 7) AS valence, round(coalesce(s, 0.0) / sqrt(coalesce(s, 0.0) * coalesce(s, 0.0) + 15.0), 6) AS compound
+FROM posts p LEFT JOIN s ON s.id = p.id""")
+def q_us1_ordered(spark, d):
+    """U-S1's polarity in the order of words, by a lexicon table."""
+    from communitylens.operators.polarity import text_polarity
+    t = Tables(spark, d)
+    return text_polarity(t.posts, word_lexicon(t), "id", "status_text")
+
+
 @query("penn_sentiment_features", _us1_sql())
 def q_us1(spark, d):
     return fe.penn_sentiment_features(Tables(spark, d).posts, FEATURE_KEYWORDS)

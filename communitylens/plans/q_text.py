@@ -15,6 +15,7 @@ from communitylens.plans.registry import query
 from communitylens.plans.sqlfrag import letters_tokens
 from communitylens.session import scratch_path
 from communitylens.sources import dictionaries as dic
+from communitylens.sources import named_files as nf
 from communitylens.sources.tables import Tables
 
 PASS1_TOP, PROTO_TOP, S07_TOP = 200, 100, 100
@@ -292,6 +293,124 @@ def q_t17(spark, d):
     return tf.vocabulary(items, _n_docs(t))
 
 
+def _fitted_vocabulary(spark, t):
+    """The vocabulary of ``documents``, saved and read again."""
+    path = scratch_path(spark, f"vocabulary-{uuid.uuid4().hex[:12]}")
+    items = tf.token_rows(t.documents, [F.col("doc_id").alias("doc")], normalise_post("text"))
+    tf.save_vocabulary(tf.vocabulary(items, _n_docs(t)), path)
+    return spark.read.parquet(path)
+
+
+def _sequence_sql(keys: str, table: str) -> str:
+    return f"""
+WITH it AS (SELECT doc_id AS doc, unnest({_tok_sql(_normalise_sql_text(), True)}) AS term FROM documents),
+nd AS (SELECT count(*) AS n FROM documents),
+st AS (SELECT term, count(DISTINCT doc) AS df, count(*) AS cf FROM it GROUP BY term),
+top AS (SELECT term FROM st WHERE df <= (SELECT n FROM nd) * 0.99 ORDER BY cf DESC, term ASC LIMIT 500000),
+voc AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS index FROM top),
+tok AS (SELECT {keys}, unnest(list_transform(toks, lambda x, i: struct_pack(place := i, term := x))) AS p
+        FROM (SELECT {keys}, {_tok_sql(_normalise_sql_text(), True)} AS toks FROM {table}) z)
+SELECT {keys}, count(*) AS n_words, string_agg(index::VARCHAR, ' ' ORDER BY p.place) AS sequence FROM tok JOIN voc ON voc.term = p.term
+GROUP BY {keys}"""
+
+
+@query("vocabulary_sequences", _sequence_sql("doc_id", "documents"))
+def q_t17_sequences(spark, d):
+    """Every document as the indexes of its words in the vocabulary
+    fitted on all documents."""
+    t = Tables(spark, d)
+    seq = tf.index_sequences(tf.token_places(t.documents, ["doc_id"], normalise_post("text")), _fitted_vocabulary(spark, t), ["doc_id"])
+    return seq.select("doc_id", F.size("sequence").cast("bigint").alias("n_words"), F.array_join("sequence", " ").alias("sequence"))
+
+
+@query("vocabulary_reused", _sequence_sql("conv_id, turn", "conversations"))
+def q_t17_reused(spark, d):
+    """Conversation turns by the saved vocabulary of the documents; words
+    that it does not have are skipped."""
+    t = Tables(spark, d)
+    keys = ["conv_id", "turn"]
+    seq = tf.index_sequences(tf.token_places(t.raw("conversations"), keys, normalise_post("text")), _fitted_vocabulary(spark, t), keys)
+    return seq.select(*keys, F.size("sequence").cast("bigint").alias("n_words"), F.array_join("sequence", " ").alias("sequence"))
+
+
+_PROFILE_SQL = f"""SELECT id AS doc, unnest({_tok_sql(_normalise_sql_text().replace('text', 'user_desc'), True)}) AS term FROM users"""
+_POSTS_SQL = f"""SELECT user_id AS doc, unnest({_tok_sql(_normalise_sql_text().replace('text', 'status_text'), True)}) AS term FROM posts"""
+
+
+@query("tfidf_columns", " UNION ALL ".join(
+    f"SELECT '{name}' AS \"column\", * FROM ({_tfidf_sql(sql).replace('FROM documents),', 'FROM users),', 1)}) {name}_"
+    for name, sql in (("profile", _PROFILE_SQL), ("posts", _POSTS_SQL))))
+def q_t11_columns(spark, d):
+    """T11 over two text columns of a user side by side: profile and posts."""
+    t = Tables(spark, d)
+    items = {"profile": tf.token_rows(t.users, [F.col("id").alias("doc")], normalise_post("user_desc")),
+             "posts": tf.token_rows(t.posts, [F.col("user_id").alias("doc")], normalise_post("status_text"))}
+    return tf.tfidf_by_column(items, t.users.select(F.count(F.lit(1))).scalar())
+
+
+@query("pairwise_cosine", """
+WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT a.id, b.id AS other, round(list_cosine_similarity(a.e, b.e), 9) + 0.0 AS cosine FROM v a JOIN v b ON a.id <> b.id)
+SELECT id, other, round(cosine, 6) AS cosine, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, other) AS rank FROM p) r WHERE rank <= 10""")
+def q_t16(spark, d):
+    """The 10 most similar vectors of every vector, exactly, by blocks."""
+    from communitylens.operators.nearest import nearest_exact
+    e = Tables(spark, d).raw("embeddings")
+    return nearest_exact(e, 10, id_col="vec_id", vector_col="embedding").select("id", "other", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+@query("pairwise_cosine_sketched")
+def q_t16_sketched(spark, d):
+    """T16 by random-hyperplane buckets; recall against the exact form is in
+    the tests."""
+    from communitylens.operators.nearest import nearest_sketched
+    return nearest_sketched(Tables(spark, d).raw("embeddings"), 10, id_col="vec_id", vector_col="embedding")
+
+
+register("post_words", f"""SELECT word, count(*) AS count FROM (SELECT unnest({letters_tokens('status_text')}) AS word FROM posts) x GROUP BY word""")
+register("part_tags", "SELECT DISTINCT lower(replace(p_name, ' ', '')) AS tag FROM part")
+register("tag_words", f"""
+SELECT tag, words, cost FROM (
+  WITH RECURSIVE s AS (
+    SELECT tag, 0 AS pos, 0::BIGINT AS cost, 0 AS n, '' AS words FROM part_tags
+    UNION ALL
+    SELECT s.tag, s.pos + l.l, s.cost + round(1000000 * CASE WHEN w.count IS NOT NULL THEN ln(t.n) - ln(w.count)
+             ELSE ln(t.n) + (l.l - 1) * ln(10.0::DOUBLE) END)::BIGINT, s.n + 1,
+           CASE WHEN s.n = 0 THEN '' ELSE s.words || ' ' END || substr(s.tag, (s.pos + 1)::INT, l.l::INT)
+    FROM s JOIN (SELECT unnest(range(1, 21)) AS l) l ON s.pos + l.l <= length(s.tag)
+    CROSS JOIN (SELECT sum(count)::DOUBLE AS n FROM post_words) t
+    LEFT JOIN post_words w ON w.word = substr(s.tag, (s.pos + 1)::INT, l.l::INT))
+  SELECT *, row_number() OVER (PARTITION BY tag ORDER BY cost, n, words) AS rn FROM s WHERE pos = length(tag)) q WHERE rn = 1""")
+
+
+def _post_words(t):
+    from communitylens.operators.segmentation import unigram_counts
+    return unigram_counts(tf.token_rows(t.posts, [], F.col("status_text"), "word", drop_stopwords=False))
+
+
+@query("segment_hashtags", "SELECT tag, words, cost FROM tag_words")
+def q_x11_segments(spark, d):
+    """X11: every part's name written as one hashtag, cut into words by the
+    word counts of all posts."""
+    from communitylens.operators.segmentation import segment
+    t = Tables(spark, d)
+    return segment(t.part.select(F.lower(F.replace("p_name", F.lit(" "), F.lit(""))).alias("tag")), _post_words(t))
+
+
+@query("normalise_post_words", f"""
+SELECT post_id, {{}} AS text FROM (SELECT p_partkey AS post_id,
+  'RT *new* ' || words || ' &amp; it is "here" we cannot wait' AS text FROM part JOIN tag_words ON tag = lower(replace(p_name, ' ', ''))) x
+""".replace("{}", _normalise_sql_text()))
+def q_x11_words(spark, d):
+    """X11 in full over texts with a hashtag and contractions."""
+    from communitylens.operators.segmentation import unpack_posts
+    t = Tables(spark, d)
+    posts = t.part.select(F.col("p_partkey").alias("post_id"), F.concat(
+        F.lit("RT *new* #"), F.replace("p_name", F.lit(" "), F.lit("")), F.lit(" &amp; It's \"here\" we can’t wait")).alias("text"))
+    return unpack_posts(posts, _post_words(t), "post_id", "text")
+
+
 _VOC_TOKENS_SQL = f"SELECT doc_id AS doc, unnest({_tok_sql(_normalise_sql_text(), True)}) AS term FROM documents"
 # tokens of a user's posts, or of the profile where there are none
 CLUSTER_ITEMS_SQL = f"""
@@ -340,3 +459,14 @@ def q_s07(spark, d):
     pass1 = _pass1(Tables(spark, d)).select(F.lit("any").alias("pos"), "class", "word", F.col("freq").cast("double").alias("score"))
     dic.write_class_dictionaries(pass1, path)
     return dic.read_class_dictionaries(spark, path, S07_TOP).select("pos", "label", "word", "score")
+
+
+@query("read_class_dictionary_files", f"""
+SELECT 'any' AS pos, class AS label, word, CAST(freq AS DOUBLE) AS score FROM t_pass1 WHERE rank <= {S07_TOP}""")
+def q_s07_files(spark, d):
+    """S07 in the layout of the dictionary builder: one ``label_n_pos.csv`` a
+    list, best entries first; the first lines of each file are read."""
+    path = scratch_path(spark, f"class-files-{uuid.uuid4().hex[:12]}")
+    nf.write_class_dictionary_files(_pass1(Tables(spark, d)).select(F.lit("any").alias("pos"), "class", "word", F.col("freq").alias("score"), "rank"),
+                                     path, PASS1_TOP)
+    return nf.read_class_dictionary_lists(spark, path, S07_TOP).select("pos", "label", "word", "score")
