@@ -168,6 +168,16 @@ def tag_user_awareness(tag_users: DataFrame, n: int = 500) -> DataFrame:
                       F.try_divide(n_multi.cast("double"), n_tags).alias("share_multi_user"))
 
 
+def tag_user_awareness_report(tag_users: DataFrame, n_top: int = 500) -> DataFrame:
+    """The report of C03 over tags and the users who know them.
+    ``tag_users`` (tag, n_users, total_users) is kept, as totals, summary and
+    fences read it; its totals are taken while the query is built."""
+    kept = tag_users.checkpoint()
+    n_tags, n_users, n_multi = kept.agg(F.count(F.lit(1)), F.max("total_users"), F.count(F.when(F.col("n_users") > 1, 1))).first()
+    totals = {"n_tags": F.lit(n_tags), "n_users": F.lit(n_users), "share_multi": F.try_divide(F.lit(float(n_multi)), F.lit(n_tags))}
+    return _report(kept.select("tag", F.col("n_users").alias("n_communities")), "tag", n_top, totals)
+
+
 def community_tag_matrix(post_tags: DataFrame, tag_comm: DataFrame) -> DataFrame:
     """C07 long form: (community, tag, freq) -- posts carrying each
     multi-community tag, for every community the tag is linked to."""

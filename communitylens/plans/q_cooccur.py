@@ -116,6 +116,22 @@ def q_c06(spark, d):
     return co.tag_user_awareness(tag_user_counts(t.posts, t.post_tags), TOP_PRESENCE)
 
 
+register("tag_awareness", """
+SELECT pt.tag, count(DISTINCT p.user_id) AS n_communities
+FROM post_tags pt JOIN posts p ON p.id = pt.post_id WHERE length(CAST(pt.tag AS VARCHAR)) > 1 GROUP BY pt.tag""")
+
+
+@query("tag_user_awareness_report", _report_sql("tag_awareness", "tag", {
+    "n_tags": "count(*)", "n_users": "max((SELECT count(DISTINCT user_id) FROM posts))",
+    "share_multi": "count(CASE WHEN n_communities > 1 THEN 1 END) / count(*)"}))
+def q_c06_report(spark, d):
+    """C06 in full: totals, the summary of users per tag, the tags that most
+    users know and the upper outliers, as the reports of C03 and C05."""
+    from communitylens.operators.stats import tag_user_counts
+    t = Tables(spark, d)
+    return co.tag_user_awareness_report(tag_user_counts(t.posts, t.post_tags), TOP_PRESENCE)
+
+
 @query("community_tag_matrix", """
 SELECT tc.community, tc.tag, f.freq FROM tag_comm tc
 JOIN (SELECT tag, count(*) AS freq FROM post_tags WHERE tag IN (SELECT tag FROM tag_ncomm) GROUP BY tag) f ON tc.tag = f.tag""")

@@ -124,6 +124,33 @@ def q_s12(spark, d):
     return spark.read.text(_corpus(spark, d)).select("value")
 
 
+@query("user_corpus_files", """SELECT "user", kind, text FROM corpus_lines""")
+def q_s12_files(spark, d):
+    """S12 and S09 in the original layout: one file a user, line 0 the user,
+    written and read back."""
+    from communitylens.sources import named_files as nf
+    path = _scratch(spark, "user-files")
+    posts = Tables(spark, d).posts.select(
+        F.col("user_id").alias("user"), F.col("id").alias("post_id"), F.when(F.col("kind") == "retweet", "rt").otherwise("ot").alias("kind"),
+        sinks.collapse_whitespace("status_text").alias("text"))
+    nf.write_user_corpus(posts, path)
+    return nf.read_user_corpus(spark, path)
+
+
+@query("upsert_in_place", """
+SELECT id, CASE WHEN year(created_at) = 1998 THEN favorite_count + reply_count ELSE favorite_count END AS favorite_count,
+       CASE WHEN year(created_at) = 1998 THEN 1 ELSE 0 END AS version FROM posts""")
+def q_s13_in_place(spark, d):
+    """S13 on a kept table: new versions of some posts go into their buckets."""
+    path = _scratch(spark, "keyed")
+    p = Tables(spark, d).posts
+    sinks.create_keyed_table(p.select("id", "favorite_count", F.lit(0).alias("version")), path, "id", 64)
+    new = (p.filter(F.year("created_at") == 1998)
+           .select("id", (F.col("favorite_count") + F.col("reply_count")).alias("favorite_count"), F.lit(1).alias("version")))
+    sinks.upsert_into(path, new, "id", "version", 64)
+    return sinks.read_keyed_table(spark, path)
+
+
 @query("sink_rolled_csv", """
 SELECT p.user_id AS "from", m.mention AS "to", count(*) AS weight
 FROM posts p JOIN post_mentions m ON p.id = m.post_id GROUP BY p.user_id, m.mention""")

@@ -108,3 +108,43 @@ def wide_matrix(pairs: DataFrame, row_col: str, col_col: str, value_col: str, va
         pairs.select(F.col(col_col).alias("r"), F.col(row_col).alias("c"), value_col))
     sym = sym.withColumn("r", F.regexp_replace("r", "^#", "")).withColumn("c", F.regexp_replace("c", "^#", ""))
     return sym.groupBy(F.col("r").alias("community")).pivot("c", trimmed).agg(F.first(value_col))
+
+
+KEY_BUCKETS = 256
+
+
+def _bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64(key), F.lit(buckets).cast("long")).cast("int")
+
+
+def create_keyed_table(rows: DataFrame, path: str, key: str, buckets: int = KEY_BUCKETS) -> None:
+    """A table that ``upsert_into`` keeps: one folder for each
+    bucket of the key's hash."""
+    (rows.withColumn("_bucket", _bucket(key, buckets)).repartition("_bucket")
+     .write.mode("overwrite").partitionBy("_bucket").parquet(path))
+
+
+def read_keyed_table(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("_bucket")
+
+
+def upsert_into(path: str, rows: DataFrame, key: str, version_col: str, buckets: int = KEY_BUCKETS) -> list[int]:
+    """S13 in place: of old and new rows with one key the highest version
+    stays, of equal versions the greater row, so the same rows may come again
+    and again.  Only the buckets of the new keys are read and written over
+    (dynamic partition overwrite); the files of others stay as they are.
+    Returns the buckets, ``buckets`` numbers at most.  ``buckets`` must be the
+    number that the table was created with; a null key is a key."""
+    spark = rows.sparkSession
+    new = rows.withColumn("_bucket", _bucket(key, buckets)).checkpoint()
+    touched = sorted(r[0] for r in new.select("_bucket").distinct().collect())
+    if not touched:
+        return []
+    old = spark.read.schema(new.schema).parquet(path).where(F.col("_bucket").isin(touched)).select(*new.columns)
+    others = [c for c in rows.columns if c not in (key, version_col)]
+    best = F.max(F.struct(F.col(version_col), *[F.col(c) for c in others])).alias("_r")
+    merged = old.unionByName(new).groupBy("_bucket", key).agg(best).select(key, "_r.*", "_bucket").select(*new.columns)
+    # the merged rows are kept first: a bucket is never read while it is written over
+    (merged.checkpoint().repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("_bucket").parquet(path))
+    return touched

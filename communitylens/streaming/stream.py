@@ -10,13 +10,16 @@ run again writes the same rows once.
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from communitylens.session import scratch_path
 from communitylens.sources import post_json as pj
+from communitylens.sources import sinks
 from communitylens.sources.post_json import EVENT_SCHEMA
 
 FILE_RECORDS = 1_000_000   # records in one landed feed file
@@ -112,18 +115,83 @@ def stream_quarantine(spark: SparkSession, feed_lines: DataFrame, max_bytes: int
     return spark.read.parquet(good_path), spark.read.parquet(bad_path)
 
 
-def stream_progress(spark: SparkSession, feed_lines: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Running count of processed records (complete-mode aggregate of
-    one row), read back after the run."""
+class _Rows(StreamingQueryListener):
+    """Collects the observed row count of each micro-batch of one query."""
+
+    def __init__(self, metric: str):
+        self.metric, self.batches, self.done, self.run = metric, {}, threading.Event(), None
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        row = p.observedMetrics.get(self.metric)
+        if row is not None:
+            self.batches[int(p.batchId)] = int(row["n"])
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        if self.run is None or str(event.runId) == self.run:
+            self.done.set()
+
+
+def progress_by_batch(spark: SparkSession, feed_lines: DataFrame, max_bytes: int = MAX_BYTES,
+                      file_records: int = FILE_RECORDS) -> DataFrame:
+    """(batch, n, total): the records of each micro-batch and the running
+    total.  Rows are counted by an observed metric as the batch passes, without
+    an aggregate of their own and without state; a listener gets the counts,
+    one number a batch."""
     _, feed, out, ckpt = _run(spark, "progress")
-    write_feed(feed_lines, feed)
-    counts = _source(spark, feed, max_bytes).groupBy().agg(F.count(F.lit(1)).alias("n"))
+    write_feed(feed_lines, feed, file_records)
+    metric = f"rows_{uuid.uuid4().hex[:8]}"
+    seen = _Rows(metric)
+    spark.streams.addListener(seen)
+    try:
+        lines = _source(spark, feed, max_bytes).observe(metric, F.count(F.lit(1)).alias("n"))
+        query = lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+        seen.run = str(query.runId)
+        query.awaitTermination()
+        if not seen.done.wait(60):
+            raise RuntimeError("the stream's progress did not arrive")
+    finally:
+        spark.streams.removeListener(seen)
+    rows, total = [], 0
+    for batch in sorted(seen.batches):
+        total += seen.batches[batch]
+        rows.append((batch, seen.batches[batch], total))
+    return spark.createDataFrame(rows, "batch long, n long, total long")
 
-    def keep(batch: DataFrame, epoch_id: int):
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
 
-    _finish(counts.writeStream.outputMode("complete").foreachBatch(keep), ckpt)
-    return spark.read.parquet(out).agg(F.max_by("n", "epoch").alias("n"))
+def stream_progress(spark: SparkSession, feed_lines: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The number of processed records after the last batch."""
+    return progress_by_batch(spark, feed_lines, max_bytes).agg(F.coalesce(F.max("total"), F.lit(0).cast("long")).alias("n"))
+
+
+def upsert_feed(spark: SparkSession, feed: str, table: str, ckpt: str, buckets: int, max_bytes: int = MAX_BYTES) -> None:
+    """R02 as an upsert: every micro-batch of the event files in ``feed`` goes
+    into the keyed table by event id, the latest event time winning.  No state
+    is kept between batches but the table itself, and a batch that runs again
+    changes nothing."""
+    ev = parse_events(_source(spark, feed, max_bytes)).filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+
+    def into(batch: DataFrame, epoch_id: int):
+        sinks.upsert_into(table, batch, "event_id", "event_time", buckets)
+
+    _finish(ev.writeStream.foreachBatch(into), ckpt)
+
+
+def stream_upsert(spark: SparkSession, feed_lines: DataFrame, buckets: int = 64, max_bytes: int = MAX_BYTES,
+                  file_records: int = FILE_RECORDS) -> DataFrame:
+    """The same event id arriving twice becomes one row of a table."""
+    _, feed, out, ckpt = _run(spark, "upsert")
+    write_feed(feed_lines, feed, file_records)
+    none = parse_events(spark.createDataFrame([], "value string")).drop("_corrupt_record")
+    spark.createDataFrame([], none.withColumn("_bucket", F.lit(0)).schema).write.parquet(out)
+    upsert_feed(spark, feed, out, ckpt, buckets, max_bytes)
+    return spark.read.schema(none.withColumn("_bucket", F.lit(0)).schema).parquet(out).drop("_bucket")
 
 
 def stream_filter(spark: SparkSession, feed_lines: DataFrame, keywords: DataFrame, langs=("en",),
