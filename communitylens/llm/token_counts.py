@@ -25,7 +25,8 @@ from communitylens.session import ensure_checkpoint_dir, scratch_path
 #: End of a document: the free id of the 50k byte-level vocabulary.
 SEPARATOR = 50256
 BLOCK_TOKENS = 1 << 18
-#: Documents encoded and handed on at a time.
+#: Documents handed on at a time; they are encoded some millions of characters
+#: at a time.
 SLICE_ROWS = 500
 #: How an id lies in a file; the vocabulary has fewer than 65,536 ids.
 ID = np.dtype("<u2")
@@ -56,17 +57,21 @@ def write_token_files(docs: DataFrame, path: str, rank_file: bytes, pattern: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seq = None, -1
         with byte_bpe.encoder(rank_file, pattern) as bpe:
-            for b in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
-                ids = [np.frombuffer(x, "<u4").astype(ID).tobytes()
-                       for x in bpe.encode_stream(t.as_py() for t in b.column("text"))]
-                seqs = []
-                for key in b.column("shard").to_pylist():
-                    last, seq = key, seq + 1 if key == last else 0
-                    seqs.append(seq)
-                yield _lines("ids", b.column("shard"), seqs, ids)
-                if by_split:
-                    yield _lines("order", b.column("shard"), seqs,
-                                 [f"{q},{d}".encode() for q, d in zip(seqs, b.column("mark").to_pylist())])
+            for b in batches:
+                ids, keys, marks = [], b.column("shard").to_pylist(), b.column("mark").to_pylist()
+                for done, x in enumerate(bpe.encode_stream(t.as_py() for t in b.column("text")), 1):
+                    ids.append(np.frombuffer(x, "<u4").astype(ID).tobytes())
+                    if len(ids) < SLICE_ROWS and done < b.num_rows:
+                        continue
+                    at, seqs = done - len(ids), []
+                    for key in keys[at:done]:
+                        last, seq = key, seq + 1 if key == last else 0
+                        seqs.append(seq)
+                    yield _lines("ids", b.column("shard")[at:done], seqs, ids)
+                    if by_split:
+                        yield _lines("order", b.column("shard")[at:done], seqs,
+                                     [f"{q},{d}".encode() for q, d in zip(seqs, marks[at:done])])
+                    ids = []
     end = np.array(separator, ID).tobytes().decode("latin-1")
     sink = {"encoding": "ISO-8859-1", "lineSep": end}
     folders = ["kind", "shard"] if by_split else ["shard"]
