@@ -4,10 +4,16 @@ The standard library's parser streams events; each block-level break ends a
 line, which knows its text, the number of tags met in it and the
 containers around it.  Text-to-tag ratios, smoothed by a Gaussian, are cut by
 a threshold into content and the rest; runs of content lines are clusters.
-The innermost container that holds all clusters is the content region, and all its
-lines come out in page order, so that a short line between long ones stays.
-Article and main elements are a hint: they are the region if they hold three
-quarters of the content text, and lie inside the region otherwise.
+
+The content region is found by the clusters' weight, the sum of their smoothed
+ratios: from the whole page inwards, as long as one container holds
+``MAIN_SHARE`` of the weight.  All lines of that container come out in page
+order, so that a short line between long ones stays.  Where no container of
+the page's body holds so much, those that hold a content line come out.
+
+Names are a prior on top: elements and class names that mark boilerplate take a
+line's ratio away and keep it out of the text; article and main elements with
+content lines lie in the region.
 """
 
 from __future__ import annotations
@@ -21,9 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SIGMA = 1.0
-#: Share of a page's content text from which article and main elements are the
-#: content region by themselves.
-TAGGED_SHARE = 0.75
+#: Share of the clusters' weight from which a container is gone into.
+MAIN_SHARE = 0.75
 
 # Elements that end a line, elements without an end tag,
 # elements that never hold main text, and words of class, id and role names
@@ -143,12 +148,13 @@ def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full(x) / full(np.ones(len(x)))
 
 
-def content_lines(lines: list[tuple[str, int, _Node]], sigma: float = SIGMA) -> np.ndarray:
-    """Which lines the threshold puts with the content: those whose smoothed
-    ratio reaches one standard deviation of all ratios (or their mean, if that is less)."""
+def line_weights(lines: list[tuple[str, int, _Node]], sigma: float = SIGMA) -> np.ndarray:
+    """The smoothed text-to-tag ratio of each line that the threshold puts
+    with the content, 0 for the others.  The threshold is one standard
+    deviation of all smoothed ratios, or their mean if that is less."""
     ratio = np.array([0.0 if node.boiler else len(text) / max(1, tags) for text, tags, node in lines])
     s = smooth(ratio, sigma)
-    return (s >= min(s.std(), s.mean())) & (ratio > 0)
+    return np.where((s >= min(s.std(), s.mean())) & (ratio > 0), s, 0.0)
 
 
 def _parents(node: _Node) -> Iterator[_Node]:
@@ -169,6 +175,31 @@ def _shared(nodes: list[_Node]) -> _Node:
     return common[-1]
 
 
+def main_container(nodes: list[_Node], weights: np.ndarray, share: float = MAIN_SHARE) -> _Node:
+    """The innermost container that is reached from the page's root through
+    containers with ``share`` of all weight each.  A container whose only
+    line it is (a paragraph) is not gone into."""
+    held: dict[int, float] = {}
+    count: dict[int, int] = {}
+    for node, w in zip(nodes, weights):
+        for n in _parents(node):
+            held[id(n)] = held.get(id(n), 0.0) + w
+            count[id(n)] = count.get(id(n), 0) + 1
+    whole = float(weights.sum())
+    best = next(n for n in _parents(nodes[0]) if n.up is None)
+    depth = 0
+    for node, w in zip(nodes, weights):
+        if not w:
+            continue
+        path = list(_parents(node))[::-1]
+        for d, n in enumerate(path):
+            if count[id(n)] < 2 or held[id(n)] < share * whole:
+                break
+            if d > depth:
+                best, depth = n, d
+    return best
+
+
 def extract(html: str | None, sigma: float = SIGMA) -> str:
     """The main text, a line for each block; '' if there is none."""
     if not html:
@@ -180,34 +211,35 @@ def extract(html: str | None, sigma: float = SIGMA) -> str:
     keep = [not node.boiler for _, _, node in lines]
     if not any(keep):
         return ""
-    content = content_lines(lines, sigma)
-    # article and main elements are the region if they hold the bulk of the
-    # content text; else it is the container around all clusters and them
-    total, tagged = 0, 0
-    holders: set[int] = set()
-    for (text, _, node), c, k in zip(lines, content, keep):
-        if c and k:
-            total += len(text)
-            if node.region is not None:
-                tagged += len(text)
-                holders.add(id(node.region))
-    in_tags = [k and node.region is not None for (_, _, node), k in zip(lines, keep)]
-    if not total:
-        chosen = in_tags if any(in_tags) else keep
-    elif tagged >= TAGGED_SHARE * total:
-        chosen = [t and any(id(p) in holders for p in _parents(node)) for (_, _, node), t in zip(lines, in_tags)]
+    nodes = [node for _, _, node in lines]
+    weights = line_weights(lines, sigma)
+    tagged = [node.region for node, k in zip(nodes, keep) if k and node.region is not None]
+    hinted: list[_Node] = []
+    if weights.any():
+        # articles with content lines are in the region; with less than the
+        # main share of the weight they are not alone, and all articles are
+        inside = sum(w for node, w in zip(nodes, weights) if node.region is not None)
+        alone = inside >= MAIN_SHARE * weights.sum()
+        hinted = [node.region for node, w, k in zip(nodes, weights, keep) if node.region is not None and k and (w or not alone)]
+        around = _shared([main_container(nodes, weights), *hinted])
     else:
-        inner = [node.up or node for (_, _, node), c, k in zip(lines, content, keep) if c and k]
-        inner += [node.region for (_, _, node), t in zip(lines, in_tags) if t]
-        around = _shared(list({id(n): n for n in inner}.values()))
-        chosen = [k and any(p is around for p in _parents(node)) for (_, _, node), k in zip(lines, keep)]
+        around = _shared(tagged) if tagged else None
+    if around is None:
+        return "\n".join(text for (text, _, _), k in zip(lines, keep) if k)
+    chosen = [k and any(p is around for p in _parents(node)) for node, k in zip(nodes, keep)]
+    if around.tag in ("", "html", "body") and weights.any():
+        # no container stands out: those of the page that hold content lines
+        below = [next((p for p in _parents(node) if p.up is around), node) for node in nodes]
+        articles = {id(n) for n in hinted}
+        content = {id(n) for n, node, w in zip(below, nodes, weights) if w or id(node.region) in articles}
+        chosen = [c and id(n) in content for c, n in zip(chosen, below)]
     return "\n".join(text for (text, _, _), c in zip(lines, chosen) if c)
 
 
 def extract_pages(pages: DataFrame, sigma: float = SIGMA) -> DataFrame:
     """Per row of ``pages``: page_id, url, text, n_chars (code points).  A
-    null or empty page has the text ''; every row gives one row, whatever its
-    id, and further columns are ignored."""
+    null or empty page has the text ''; a page of any length is read whole;
+    every row gives one row, whatever its id, and further columns are ignored."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [extract(h.as_py(), sigma) for h in b.column("html")]
