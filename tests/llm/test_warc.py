@@ -115,3 +115,35 @@ def test_null_id_and_no_rows(spark):
     got = {(r.page_id, r.record_type, r.refers_to) for r in warc.capture_histories(df).collect()}
     assert got == {(None, "response", None), (3, "response", None), (2, "revisit", 3)}
     assert warc.capture_histories(df.limit(0)).count() == 0
+
+
+def test_runs_reach_the_merge_in_order(spark):
+    """Every archive is one run of each range, with no join between that could
+    mix its entries."""
+    rows = pages() + [(10_000 + i, f"http://h{i % 7}.org/{i}", f"text {i % 50}", "") for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    path = scratch_path(spark, f"warc-test-{random.random()}")
+    warc.write_archives(df, path, archive_bytes=4000)
+    entries = warc.read_runs(spark, path)
+    assert entries.select("archive").distinct().count() > 12  # archives end by bytes
+
+    def disorder(batches):
+        import pyarrow as pa
+        last, bad, n = {}, 0, 0
+        for b in batches:
+            for key in warc._keys(b):
+                bad += key < last.get(key[4], key)
+                last[key[4]] = key
+                n += 1
+        yield pa.RecordBatch.from_pydict({"bad": [bad], "n": [n]})
+    got = (entries.repartitionByRange(5, "url_key", "captured", "page_id", "archive", "offset").mapInArrow(disorder, "bad long, n long")
+           .selectExpr("sum(bad) AS bad", "sum(n) AS n").first())
+    assert got.bad == 0 and got.n == len(rows)
+
+
+def test_hot_digest_and_long_page(spark):
+    rows = [(i, "http://a/", "same text", "") for i in range(400)] + [(900, "http://b/", "x" * 3_000_000, ""), (901, "http://b/", "y", "")]
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in
+           warc.capture_histories(spark.createDataFrame(rows, SCHEMA), archive_bytes=1000).collect()}
+    assert got == {i: ("revisit", 399, 9) for i in range(399)} | {399: ("response", None, 9), 900: ("response", None, 3_000_000),
+                                                                  901: ("response", None, 1)}
