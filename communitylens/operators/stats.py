@@ -134,19 +134,24 @@ def user_rollup(posts: DataFrame) -> DataFrame:
         F.sum(F.coalesce("quote_count", F.lit(0))).cast("bigint").alias("quoted_count"))
 
 
+def _user_entities(posts: DataFrame, post_entities: DataFrame) -> DataFrame:
+    """(user_id, kind, value) of the entities in each author's posts."""
+    return posts.select(F.col("id").alias("post_id"), "user_id").join(post_entities, "post_id").select("user_id", "kind", "value")
+
+
 def user_entity_sets(posts: DataFrame, post_entities: DataFrame) -> DataFrame:
     """A05 entity part: the distinct entity set of each author as a long
     table (user_id, kind, value) -- never a per-user array.  A media entity
-    brings its type along as a kind of its own."""
-    own = posts.select(F.col("id").alias("post_id"), "user_id").join(post_entities, "post_id").select("user_id", "kind", "value")
-    types = own.filter(F.col("kind") == "media").select("user_id", F.lit("media_type").alias("kind"),
-                                                        F.lit(MEDIA_TYPE).alias("value"))
-    return own.unionByName(types).distinct()
+    brings its type along as a kind of its own, in the same pass."""
+    own = F.struct(F.col("kind").alias("kind"), F.col("value").alias("value"))
+    media = F.struct(F.lit("media_type").alias("kind"), F.lit(MEDIA_TYPE).alias("value"))
+    both = F.when(F.col("kind") == "media", F.array(own, media)).otherwise(F.array(own))
+    return _user_entities(posts, post_entities).distinct().select("user_id", F.explode(both).alias("e")).select("user_id", "e.*").distinct()
 
 
 def user_rollup_with_sets(posts: DataFrame, post_entities: DataFrame) -> DataFrame:
     """A05 as one row per author: counts plus the size of each entity set."""
-    sets = (user_entity_sets(posts, post_entities).groupBy("user_id")
+    sets = (_user_entities(posts, post_entities).distinct().groupBy("user_id")
             .agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in ENTITY_KINDS]))
     return user_rollup(posts).join(sets, "user_id", "left").na.fill(0, [f"n_{k}" for k in ENTITY_KINDS])
 
