@@ -47,6 +47,16 @@ def q_r02_upsert(spark, d):
     return out.select("event_id", F.col("event_time").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props")
 
 
+@query("stream_dedup_for", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def q_r02_for(spark, d):
+    """R02 with a state store that forgets ids a week after their last arrival."""
+    ev = Tables(spark, d).events
+    again = ev.filter(F.col("event_type") == DUPLICATED_TYPE)
+    feed = pj.event_feed(ev, None).select("value").unionByName(pj.event_feed(again, None).select("value"))
+    out = st.stream_dedup_for(spark, feed)
+    return out.select("event_id", F.col("event_time").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props")
+
+
 @query("stream_quarantine", f"""
 SELECT event_id, CASE WHEN event_type = '{BROKEN_TYPE}' THEN 'quarantine' ELSE 'good' END AS sink,
        CASE WHEN event_type = '{BROKEN_TYPE}' THEN NULL ELSE user_id END AS user_id FROM events""")

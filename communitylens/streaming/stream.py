@@ -92,6 +92,49 @@ def stream_dedup(spark: SparkSession, feed_lines: DataFrame, delay: str | None =
     return dedup_feed(spark, feed, out, ckpt, delay, max_bytes)
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def dedup_feed_for(spark: SparkSession, feed: str, out: str, ckpt: str, keep_seconds: int,
+                   max_bytes: int = MAX_BYTES) -> list[dict]:
+    """Deduplicate the event files of a folder into ``out`` with state that
+    is bounded by arrival (R02).
+
+    The watermark runs on the time at which a row's batch began, so no row is
+    ever late, whatever its event time.  A repeat that arrives within
+    ``keep_seconds`` of the row that passed is dropped; by twice that time the
+    id has left the state store (RocksDB: on the executors' disks, with changes
+    in the checkpoint).  Null ids are one key.  Returns for every batch its
+    number, its input rows and the keys held after it."""
+    ev = parse_events(_source(spark, feed, max_bytes)).filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    once = (ev.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", f"{keep_seconds} seconds")
+            .dropDuplicatesWithinWatermark(["event_id"]).drop("_arrived"))
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        query = (once.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "keys": p["stateOperators"][0]["numRowsTotal"]}
+            for p in query.recentProgress if p["stateOperators"]]
+
+
+def stream_dedup_for(spark: SparkSession, feed_lines: DataFrame, keep_seconds: int = 7 * 86400,
+                     max_bytes: int = MAX_BYTES, file_records: int = FILE_RECORDS) -> DataFrame:
+    """R02 with state that forgets: the same event id arriving twice within
+    ``keep_seconds`` becomes one row."""
+    _, feed, out, ckpt = _run(spark, "dedup-for")
+    write_feed(feed_lines, feed, file_records)
+    dedup_feed_for(spark, feed, out, ckpt, keep_seconds, max_bytes)
+    return spark.read.parquet(out)
+
+
 def stream_quarantine(spark: SparkSession, feed_lines: DataFrame, max_bytes: int = MAX_BYTES
                       ) -> tuple[DataFrame, DataFrame]:
     """Good records to the table, broken ones to a quarantine sink (two

@@ -1,6 +1,7 @@
 """Keyed tables, files by name, and streams that write them."""
 
 import os
+import time
 
 from communitylens.session import scratch_path
 from communitylens.sources import named_files as nf
@@ -41,6 +42,29 @@ def test_upsert_feed_in_any_order_with_restarts(spark):
     assert sorted(r.event_id for r in got) == list(range(30)) and {r.user_id for r in got} == {1}
 
 
+def test_dedup_by_arrival_forgets_and_restarts(spark):
+    base = scratch_path(spark, "dedup-for-test")
+
+    def land(ids, day):
+        lines = [(f'{{"event_id": {i}, "ts": "2024-01-{day:02d} 00:00:00", "user_id": 1, "event_type": "t", "value": 1.0, "props": ""}}',) for i in ids]
+        st.write_feed(spark.createDataFrame(lines, "value string"), f"{base}/feed", 11)
+
+    def run(keep):
+        return st.dedup_feed_for(spark, f"{base}/feed", f"{base}/out", f"{base}/checkpoint", keep)
+
+    land([*range(40), *range(40)], 20)
+    run(3)
+    land([*range(20, 60)], 1)  # after a restart: repeats with a far earlier event time, and new ids as early
+    run(3)
+    assert sorted(r.event_id for r in spark.read.parquet(f"{base}/out").collect()) == list(range(60))
+    time.sleep(8)
+    held = []
+    for k in range(3):  # the store does not grow: the first sixty ids leave it
+        land([100 + k], 1)
+        held.append(run(3)[-1]["keys"])
+    assert held[-1] <= 3 and spark.read.parquet(f"{base}/out").count() == 63
+
+
 def test_progress_by_batch_adds_up(spark):
     feed = spark.range(95).selectExpr("CAST(id AS string) AS value").repartition(1)
     rows = st.progress_by_batch(spark, feed, max_bytes=60, file_records=10).orderBy("batch").collect()
