@@ -26,16 +26,22 @@ def post_entity_counts(posts: DataFrame, post_entities: DataFrame) -> DataFrame:
     return p.na.fill(0, ["n_hashtag", "n_url", "n_mention"])
 
 
+def flag(condition) -> F.Column:
+    """'1' where the condition holds, else '0'."""
+    return F.when(condition, "1").otherwise("0")
+
+
 def kim_profile_features(users: DataFrame, rollup: DataFrame) -> DataFrame:
-    """U-K1: profile counters and word counts of screen name and profile."""
+    """U-K1: profile counters, image flags and word counts of screen name and
+    profile; ``users`` carries the profile facts."""
     j = users.join(rollup, users.id == rollup.user_id, "left")
     z = F.lit(0)
     return j.select(
-        F.col("id").alias("user_id"), F.lit("0").alias("default_profile_image"),
+        F.col("id").alias("user_id"), flag(~F.col("own_image")).alias("default_profile_image"),
         F.coalesce("favorited_count", z).cast("bigint").alias("favorite_count"),
-        F.lit(0).cast("bigint").alias("favorites_count"),
+        F.col("favourites").alias("favorites_count"),
         F.col("followers").cast("bigint").alias("followers_count"), F.col("friends").cast("bigint").alias("friends_count"),
-        F.lit(0).cast("bigint").alias("listed_count"), F.lit("0").alias("profile_use_background_image"),
+        F.col("listed").alias("listed_count"), flag(F.col("own_background")).alias("profile_use_background_image"),
         F.coalesce("retweet_count", z).cast("bigint").alias("retweet_count"),
         (F.coalesce("newtweet_count", z) + F.coalesce("retweet_count", z)).cast("bigint").alias("statuses_count"),
         F.size(split_whitespace(F.coalesce("screen_name", F.lit("")))).alias("screen_name_words"),
@@ -136,10 +142,10 @@ def penn_profile_features(users: DataFrame, rollup: DataFrame) -> DataFrame:
     rts = F.coalesce("retweet_count", F.lit(0))
     return j.select(F.col("id").alias("user_id"), F.length(name).alias("user_name_length"),
                     digits.alias("num_char_in_username"), alpha.alias("alph_char_in_username"),
-                    case.alias("username_cap"), F.lit("0").alias("avatar"),
+                    case.alias("username_cap"), flag(F.col("own_image")).alias("avatar"),
                     F.col("followers").cast("bigint").alias("followers"), F.col("friends").cast("bigint").alias("friends"),
                     null_safe_ratio("friends", "followers").alias("friends_follower_ratio"),
-                    F.lit("0").alias("location"), total.cast("bigint").alias("total_tweets"), rts.cast("bigint").alias("retweets"),
+                    flag(F.col("location").isNotNull()).alias("location"), total.cast("bigint").alias("total_tweets"), rts.cast("bigint").alias("retweets"),
                     null_safe_ratio(rts, total).alias("retweet_frac"))
 
 
@@ -176,9 +182,9 @@ def uddin_features(users: DataFrame, rollup: DataFrame, pec: DataFrame) -> DataF
                     F.coalesce("total_hashtags", z).cast("bigint").alias("total_hashtags"),
                     F.round(F.coalesce("tweet_influence", F.lit(0.0)), 4).alias("tweet_influence"),
                     F.coalesce("std_urls", F.lit(0.0)).alias("std_urls"), F.coalesce("std_hashtags", F.lit(0.0)).alias("std_hashtags"),
-                    (rt + ot + F.col("friends")).cast("bigint").alias("user_activeness"),
+                    (rt + ot + F.col("friends") + F.col("listed")).cast("bigint").alias("user_activeness"),
                     F.round(harmonic_mean(rt, ot), 4).alias("user_inclination"),
-                    (F.col("followers") + fav).cast("bigint").alias("collective_influence"))
+                    (F.col("followers") + fav + F.col("listed")).cast("bigint").alias("collective_influence"))
 
 
 def sentiment_compound(text_col) -> F.Column:

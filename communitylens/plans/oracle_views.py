@@ -67,6 +67,15 @@ SELECT c_custkey AS id, c_name AS screen_name,
   d.text AS user_desc
 FROM customer LEFT JOIN documents d ON c_custkey = d.doc_id
 """)
+_view("profile_facts", """
+SELECT c_custkey AS id, c_mktsegment || ' ' || n_name AS user_name, CAST(floor(abs(c_acctbal) / 50) AS BIGINT) AS listed,
+  CAST(coalesce(e.n, 0) AS BIGINT) AS favourites, d.lang AS language, CASE WHEN c_custkey % 4 <> 0 THEN n_name END AS location,
+  CASE WHEN c_custkey % 4 <> 0 THEN 30 * n_regionkey - 60 END AS latitude,
+  CASE WHEN c_custkey % 4 <> 0 THEN 14 * n_nationkey - 168 END AS longitude,
+  c_acctbal >= 0 AS own_image, c_nationkey % 2 = 0 AS own_background
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN documents d ON c_custkey = d.doc_id
+LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY user_id) e ON e.user_id = c_custkey
+""")
 _view("profiles", 'SELECT doc_id AS "user", text, lang AS class FROM documents')
 
 

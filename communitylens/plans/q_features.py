@@ -31,15 +31,15 @@ def _pec(t):
 
 
 @query("kim_profile_features", f"""
-SELECT u.id AS user_id, '0' AS default_profile_image, CAST(coalesce(r.favorited_count, 0) AS BIGINT) AS favorite_count,
-  CAST(0 AS BIGINT) AS favorites_count, u.followers AS followers_count, u.friends AS friends_count, CAST(0 AS BIGINT) AS listed_count,
-  '0' AS profile_use_background_image, CAST(coalesce(r.retweet_count, 0) AS BIGINT) AS retweet_count,
+SELECT u.id AS user_id, CASE WHEN f.own_image THEN '0' ELSE '1' END AS default_profile_image, CAST(coalesce(r.favorited_count, 0) AS BIGINT) AS favorite_count,
+  f.favourites AS favorites_count, u.followers AS followers_count, u.friends AS friends_count, f.listed AS listed_count,
+  CASE WHEN f.own_background THEN '1' ELSE '0' END AS profile_use_background_image, CAST(coalesce(r.retweet_count, 0) AS BIGINT) AS retweet_count,
   CAST(coalesce(r.newtweet_count, 0) + coalesce(r.retweet_count, 0) AS BIGINT) AS statuses_count,
   len({split_ws("coalesce(u.screen_name, '')")}) AS screen_name_words, len({split_ws("coalesce(u.user_desc, '')")}) AS desc_words
-FROM users u LEFT JOIN user_rollup r ON u.id = r.user_id""")
+FROM users u JOIN profile_facts f ON f.id = u.id LEFT JOIN user_rollup r ON u.id = r.user_id""")
 def q_uk1(spark, d):
     t = Tables(spark, d)
-    return fe.kim_profile_features(t.users, stats.user_rollup(t.posts))
+    return fe.kim_profile_features(t.full_users, stats.user_rollup(t.posts))
 
 
 def _uk2_sql():
@@ -132,17 +132,17 @@ def q_uk4(spark, d):
 
 @query("penn_profile_features", """
 WITH x AS (SELECT u.id, u.screen_name AS name, u.followers, u.friends, coalesce(r.newtweet_count, 0) + coalesce(r.retweet_count, 0) AS total,
-                  coalesce(r.retweet_count, 0) AS rts FROM users u LEFT JOIN user_rollup r ON u.id = r.user_id)
+                  coalesce(r.retweet_count, 0) AS rts, f.own_image, f.location FROM users u JOIN profile_facts f ON f.id = u.id LEFT JOIN user_rollup r ON u.id = r.user_id)
 SELECT id AS user_id, length(name) AS user_name_length, length(regexp_replace(name, '[^\\p{Nd}]', '', 'g')) AS num_char_in_username,
   length(regexp_replace(name, '[^\\p{L}]', '', 'g')) AS alph_char_in_username,
   CASE WHEN length(regexp_replace(name, '[^\\p{Lu}]', '', 'g')) = length(regexp_replace(name, '[^\\p{L}]', '', 'g')) THEN '1'
        WHEN length(regexp_replace(name, '[^\\p{Lu}]', '', 'g')) = 0 THEN '2' ELSE '3' END AS username_cap,
-  '0' AS avatar, followers, friends, coalesce(CAST(friends AS DOUBLE) / nullif(followers, 0), 0.0) AS friends_follower_ratio,
-  '0' AS location, CAST(total AS BIGINT) AS total_tweets, CAST(rts AS BIGINT) AS retweets,
+  CASE WHEN own_image THEN '1' ELSE '0' END AS avatar, followers, friends, coalesce(CAST(friends AS DOUBLE) / nullif(followers, 0), 0.0) AS friends_follower_ratio,
+  CASE WHEN location IS NULL THEN '0' ELSE '1' END AS location, CAST(total AS BIGINT) AS total_tweets, CAST(rts AS BIGINT) AS retweets,
   coalesce(CAST(rts AS DOUBLE) / nullif(total, 0), 0.0) AS retweet_frac FROM x""")
 def q_up1(spark, d):
     t = Tables(spark, d)
-    return fe.penn_profile_features(t.users, stats.user_rollup(t.posts))
+    return fe.penn_profile_features(t.full_users, stats.user_rollup(t.posts))
 
 
 @query("penn_post_features", f"""
@@ -167,13 +167,13 @@ SELECT u.id AS user_id, CAST(coalesce(r.favorited_count, 0) AS BIGINT) AS favori
   CAST(coalesce(t.total_mentions, 0) AS BIGINT) AS total_mentions, CAST(coalesce(t.total_urls, 0) AS BIGINT) AS total_urls,
   CAST(coalesce(t.total_hashtags, 0) AS BIGINT) AS total_hashtags, round(coalesce(t.tweet_influence, 0.0), 4) AS tweet_influence,
   coalesce(t.std_urls, 0.0) AS std_urls, coalesce(t.std_hashtags, 0.0) AS std_hashtags,
-  CAST(coalesce(r.retweet_count, 0) + coalesce(r.newtweet_count, 0) + u.friends AS BIGINT) AS user_activeness,
+  CAST(coalesce(r.retweet_count, 0) + coalesce(r.newtweet_count, 0) + u.friends + f.listed AS BIGINT) AS user_activeness,
   round(coalesce(2.0 * coalesce(r.retweet_count, 0) * coalesce(r.newtweet_count, 0) / nullif(coalesce(r.retweet_count, 0) + coalesce(r.newtweet_count, 0), 0), 0.0), 4) AS user_inclination,
-  CAST(u.followers + coalesce(r.favorited_count, 0) AS BIGINT) AS collective_influence
-FROM users u LEFT JOIN user_rollup r ON u.id = r.user_id LEFT JOIN t ON u.id = t.user_id""")
+  CAST(u.followers + coalesce(r.favorited_count, 0) + f.listed AS BIGINT) AS collective_influence
+FROM users u JOIN profile_facts f ON f.id = u.id LEFT JOIN user_rollup r ON u.id = r.user_id LEFT JOIN t ON u.id = t.user_id""")
 def q_uu1(spark, d):
     t = Tables(spark, d)
-    return fe.uddin_features(t.users, stats.user_rollup(t.posts), _pec(t))
+    return fe.uddin_features(t.full_users, stats.user_rollup(t.posts), _pec(t))
 
 
 def _us1_sql(final=None):

@@ -25,7 +25,7 @@ LABEL_CODES = ("advocate", "hpi", "hpo", "patient", "quality", "research", "toxi
 
 
 def _uddin(t):
-    return fe.uddin_features(t.users, stats.user_rollup(t.posts), fe.post_entity_counts(t.posts, t.post_entities))
+    return fe.uddin_features(t.full_users, stats.user_rollup(t.posts), fe.post_entity_counts(t.posts, t.post_entities))
 
 
 def _auto_match(t):

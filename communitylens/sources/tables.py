@@ -180,6 +180,34 @@ class Tables:
                         label.alias("label"),
                         F.col("text").alias("user_desc")))
 
+    @cached_property
+    def profile_facts(self) -> DataFrame:
+        """What a profile says besides its counters: (id, user_name, listed,
+        favourites, language, location, latitude, longitude, own_image,
+        own_background).  Favourites are the user's clicks in the event feed,
+        the language is that of the profile text, the place is the nation; one
+        user of four gives no place."""
+        c = self.raw("customer").select("c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey")
+        n = self.raw("nation").select("n_nationkey", "n_name", "n_regionkey")
+        d = self.raw("documents").select("doc_id", "lang")
+        clicks = (self.raw("events").filter(F.col("event_type") == "click").groupBy("user_id")
+                  .agg(F.count(F.lit(1)).alias("clicks")))
+        placed = F.col("c_custkey") % 4 != 0
+        return (c.join(n, c.c_nationkey == n.n_nationkey, "left").join(d, c.c_custkey == d.doc_id, "left")
+                .join(clicks, c.c_custkey == clicks.user_id, "left")
+                .select(F.col("c_custkey").alias("id"), F.concat("c_mktsegment", F.lit(" "), "n_name").alias("user_name"),
+                        F.floor(F.abs("c_acctbal") / 50).cast("bigint").alias("listed"),
+                        F.coalesce("clicks", F.lit(0)).cast("bigint").alias("favourites"), F.col("lang").alias("language"),
+                        F.when(placed, F.col("n_name")).alias("location"),
+                        F.when(placed, 30 * F.col("n_regionkey") - 60).alias("latitude"),
+                        F.when(placed, 14 * F.col("n_nationkey") - 168).alias("longitude"),
+                        (F.col("c_acctbal") >= 0).alias("own_image"), (F.col("c_nationkey") % 2 == 0).alias("own_background")))
+
+    @cached_property
+    def full_users(self) -> DataFrame:
+        """``users`` with their ``profile_facts``."""
+        return self.users.join(self.profile_facts, "id")
+
     @cached_property
     def profiles(self) -> DataFrame:
         """(user, text, class): documents as user profile texts; class = lang."""
