@@ -55,7 +55,8 @@ def kim_post_features(pec: DataFrame) -> DataFrame:
     """U-K2: originals (ot) vs retweets (rt) per user: count, favourites,
     totals; mean / median / max / min over *all* posts with 0 for posts of
     the other kind (as the reference's arrays); total mentions from
-    mentions."""
+    mentions.  A median is exact and keeps a count for each different value,
+    combined before the shuffle: entity counts of a post are small numbers."""
     is_rt = F.col("kind") == "retweet"
     aggs = []
     for side, cond in (("ot", ~is_rt), ("rt", is_rt)):
@@ -111,12 +112,14 @@ def post_cosine(pec: DataFrame) -> DataFrame:
     unit = counts.join(norms, "id").select("id", "user_id", "side", "word", (F.col("c") / F.col("norm")).alias("u"))
     s1 = (unit.groupBy("user_id", "side", "word").agg(F.sum("u").alias("s"))
           .groupBy("user_id", "side").agg(F.sum(F.col("s") * F.col("s")).alias("s2")))
+    # the word-pair matrix is symmetric: its upper half is made, what is off the diagonal counts twice
     a, b = unit.alias("a"), unit.alias("b")
-    pairs = (a.join(b, (F.col("a.id") == F.col("b.id")))
+    pairs = (a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a.word") <= F.col("b.word")))
              .groupBy(F.col("a.user_id").alias("user_id"), F.col("a.side").alias("side"),
                       F.col("a.word").alias("w1"), F.col("b.word").alias("w2"))
              .agg(F.sum(F.col("a.u") * F.col("b.u")).alias("m")))
-    m2 = pairs.groupBy("user_id", "side").agg(F.sum(F.col("m") * F.col("m")).alias("m2"))
+    m2 = pairs.groupBy("user_id", "side").agg(
+        F.sum(F.col("m") * F.col("m") * F.when(F.col("w1") == F.col("w2"), 1.0).otherwise(2.0)).alias("m2"))
     n = p.groupBy("user_id", "side").agg(F.count(F.lit(1)).alias("n"),
                                          F.count(F.when(F.size("w") > 0, 1)).alias("n_nz"))
     j = n.join(s1, ["user_id", "side"], "left").join(m2, ["user_id", "side"], "left").na.fill(0.0, ["s2", "m2"])

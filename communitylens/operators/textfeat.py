@@ -160,21 +160,17 @@ def skipgram_offsets(n: int, k: int):
     return [(0,) + c for c in combinations(range(1, n + k), n - 1)]
 
 
-def _gram_builder(tokens, offs):
-    def build(i):
-        return F.concat_ws(" ", *[F.try_element_at(tokens, i + o) for o in offs])
-    return build
-
-
-def skipgrams(tokens, n: int, k: int):
-    """All k-skip-n-grams of a token array as 'a b [c]' strings."""
-    arrays = []
-    for offs in skipgram_offsets(n, k):
-        last = offs[-1]
-        idx = F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))),
-                       lambda i: i + last <= F.size(tokens))
-        arrays.append(F.transform(idx, _gram_builder(tokens, offs)))
-    return F.concat(*arrays)
+def skipgram_rows(docs: DataFrame, tokens: str, shapes) -> DataFrame:
+    """(shape, doc, term) for all k-skip-n-grams of the token arrays, for
+    every (n, k) of ``shapes`` in one pass.  A token makes one short array, the
+    grams that begin with it; grams never gather in one array of the text."""
+    t, i = F.col(tokens), F.col("_i")
+    grams = [F.struct(F.lit(f"n{n}k{k}").alias("shape"),
+                      F.when(i + offs[-1] < F.size(t), F.concat_ws(" ", *[F.try_element_at(t, i + 1 + o) for o in offs])).alias("term"))
+             for n, k in shapes for offs in skipgram_offsets(n, k)]
+    starts = docs.select("doc", tokens, F.posexplode(t).alias("_i", "_w"))
+    return (starts.select("doc", F.explode(F.array(*grams)).alias("g")).select("g.shape", "doc", "g.term")
+            .filter(F.col("term").isNotNull()))
 
 
 def vocabulary(doc_terms: DataFrame, n_docs, max_df: float = 0.99, max_features: int = 500_000) -> DataFrame:
@@ -210,12 +206,28 @@ def index_sequences(places: DataFrame, words: DataFrame, keys) -> DataFrame:
     return whole.select(*keys, F.transform("w", lambda x: x["index"]).alias("sequence"))
 
 
+def tfidf_of_groups(items: DataFrame, by: str, n_docs, min_df: int = 2, max_df: float = 0.501,
+                    max_features: int = 10_000) -> DataFrame:
+    """``tfidf`` of several groups of (``by``, doc, term) rows at once: every
+    group has its own terms, statistics and ``max_features``, all from one
+    aggregate and one range-partitioned rank."""
+    tf = items.groupBy(by, "doc", "term").agg(F.count(F.lit(1)).alias("tf")).checkpoint()
+    stats = tf.groupBy(by, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= n_docs * F.lit(max_df)))
+    ranked = global_row_number(kept, [F.col(by), F.col("cf").desc(), F.col("term").asc()])
+    first = ranked.groupBy(by).agg(F.min("row_number").alias("_first"))
+    top = ranked.join(first, by).filter(F.col("row_number") < F.col("_first") + max_features)
+    idf = F.log(n_docs.cast("double") / F.col("df")) + 1.0
+    return (tf.join(top.select(by, "term", "df"), [by, "term"])
+            .select(by, "doc", "term", "tf", F.round(F.col("tf") * idf, 6).alias("weight")))
+
+
 def tfidf_by_column(items: dict, n_docs, **options) -> DataFrame:
     """T11 over several text columns side by side: (column, doc, term, tf,
     weight); each column has its own terms and statistics.  ``items`` maps a
     column's name to its (doc, term) rows."""
-    out = None
-    for name, rows in items.items():
-        part = tfidf(rows, n_docs, **options).select(F.lit(name).alias("column"), "doc", "term", "tf", "weight")
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = None
+    for name, part in items.items():
+        part = part.select(F.lit(name).alias("column"), "doc", "term")
+        rows = part if rows is None else rows.unionByName(part)
+    return tfidf_of_groups(rows, "column", n_docs, **options)

@@ -272,12 +272,7 @@ def q_t12(spark, d):
     from communitylens.functions.text import letters_only_tokens
     t = Tables(spark, d)
     docs = t.documents.select(F.col("doc_id").alias("doc"), letters_only_tokens("text").alias("t"))
-    out = None
-    for n, k in SKIPGRAM_SHAPES:
-        items = docs.select("doc", F.explode(tf.skipgrams(F.col("t"), n, k)).alias("term"))
-        part = tf.tfidf(items, _n_docs(t)).select(F.lit(f"n{n}k{k}").alias("shape"), "doc", "term", "tf", "weight")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return tf.tfidf_of_groups(tf.skipgram_rows(docs, "t", SKIPGRAM_SHAPES), "shape", _n_docs(t))
 
 
 @query("vocabulary", f"""
