@@ -378,6 +378,34 @@ def q_m06(spark, d):
     return md.out_of_fold(df, {"pca": pipe}, "user_id", "label_idx").drop("model")
 
 
+@query("pca_then_train_set")
+def q_m06_set(spark, d, name=SPARSE_SET, components=20, folds=10):
+    """M06 on a named set's sparse rows: components by a randomised range
+    finder, then a classifier; both are fitted without the row's fold."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.functions import array_to_vector
+
+    from communitylens.operators import sparse as sp
+    from communitylens.operators.components import components_by_fold
+    t = Tables(spark, d)
+    labels = t.users.where("label IS NOT NULL").select(F.col("id").alias("user_id"), "label")
+    labels = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc").fit(labels).transform(labels)
+    labels = md.fold_column(labels, "user_id", "label_idx", folds).checkpoint()
+    cells = feature_set(feature_blocks(spark, t), name).checkpoint()
+    rows = (cells.join(sp.column_index(cells), ["block", "feature"]).groupBy("user_id", "index")
+            .agg(F.sum("value").alias("value")).checkpoint())
+    placed = components_by_fold(rows, labels, "user_id", folds, components).join(labels, "user_id")
+    placed = placed.withColumn("features", array_to_vector("v")).checkpoint()
+    out = None
+    for fold in range(folds):
+        mine = placed.filter(F.col("without") == fold)
+        model = LogisticRegression(labelCol="label_idx", maxIter=100).fit(mine.filter(F.col("fold") != fold))
+        part = model.transform(mine.filter(F.col("fold") == fold)).select("user_id", "label_idx", "prediction", "fold")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("cross_validate")
 def q_m07(spark, d):
     from pyspark.ml.classification import LogisticRegression
