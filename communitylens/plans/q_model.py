@@ -395,7 +395,7 @@ def q_m06_set(spark, d, name=SPARSE_SET, components=20, folds=10):
     cells = feature_set(feature_blocks(spark, t), name).checkpoint()
     rows = (cells.join(sp.column_index(cells), ["block", "feature"]).groupBy("user_id", "index")
             .agg(F.sum("value").alias("value")).checkpoint())
-    placed = components_by_fold(rows, labels, "user_id", folds, components).join(labels, "user_id")
+    placed = components_by_fold(rows, labels, "user_id", folds, components, powers=1).join(labels, "user_id")
     placed = placed.withColumn("features", array_to_vector("v")).checkpoint()
     out = None
     for fold in range(folds):
