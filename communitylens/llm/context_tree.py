@@ -32,10 +32,12 @@ from communitylens.llm.shingles import in_batches, words
 from communitylens.llm.u64map import U64Map
 
 DEPTH = 5
-#: Characters in a chunk, grams in a part of the tree, bytes sorted at a time.
+#: Characters in a chunk, grams in a part of the tree, characters whose grams
+#: are sorted at a time, rows in an Arrow batch.
 CHUNK_CHARS = 24_000_000
 PART_GRAMS = 100_000
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 1_000_000
+BATCH_ROWS = 200_000
 #: Share of held-out documents: one in so many, by crc32 of the id.
 FOLDS = 10
 #: Ends every text; no word holds white space.
@@ -84,32 +86,46 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _distinct_items(depth: int):
     """A chunk's distinct grams and words with their training counts; those
-    of held-out texts come with a count of 0."""
-    def run(group: pa.Table) -> pa.Table:
-        chunk = group.column("chunk")[0].as_py()
-        parts, counts = [], Counter()
-        for train in (True, False):
-            own = group.filter(pa.compute.equal(group.column("train"), train)).column("text")
-            for texts in in_batches((t.as_py() for t in own), BLOCK_CHARS):
-                split = [words(t) for t in texts]
-                for ws in split:
-                    if train:
-                        counts.update(ws)
-                    else:
-                        counts.update(dict.fromkeys(ws, 0))
-                counts[END] += len(texts) if train else 0
-                keys, n = _counted(gram_keys([b" ".join(ws) + END for ws in split], depth)[0])
-                parts.append((keys, n if train else np.zeros_like(n)))
+    of held-out texts come with a count of 0.  Texts come and items leave in
+    Arrow batches; besides them a task holds the grams of a block and what
+    was counted so far."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, parts, counts = None, [], Counter()
+        for batch in batches:
+            chunk, texts = batch.column("chunk")[0].as_py(), batch.column("text")
+            trains = batch.column("train").to_pylist()
+            for train in (True, False):
+                own = (texts[i].as_py() for i, t in enumerate(trains) if t is train)
+                for block in in_batches(own, BLOCK_CHARS):
+                    split = [words(t) for t in block]
+                    for ws in split:
+                        if train:
+                            counts.update(ws)
+                        else:
+                            counts.update(dict.fromkeys(ws, 0))
+                    counts[END] += len(split) if train else 0
+                    keys, n = _counted(gram_keys([b" ".join(ws) + END for ws in split], depth)[0])
+                    parts.append((keys, n if train else np.zeros_like(n)))
+                    if sum(len(k) for k, _ in parts[1:]) > max(len(parts[0][0]), BLOCK_CHARS):
+                        parts = [_merge_counts(parts)]
         keys, n = _merge_counts(parts)
-        grams, ws = len(keys), list(counts)
-        return pa.table({
-            "chunk": pa.array(np.full(grams + len(ws), chunk, np.int32)),
-            "gram": pa.concat_arrays([pa.array(keys.view(np.int64)), pa.nulls(len(ws), pa.int64())]),
-            "word": pa.concat_arrays([pa.nulls(grams, pa.binary()), pa.array(ws, pa.binary())]),
-            "n": pa.concat_arrays([pa.array(n.astype(np.int64)), pa.array([counts[w] for w in ws], pa.int64())])})
+        del parts
+        for at in range(0, len(keys), BATCH_ROWS):
+            some, c = keys[at:at + BATCH_ROWS].view(np.int64), n[at:at + BATCH_ROWS].astype(np.int64)
+            yield _items(chunk, pa.array(some), pa.nulls(len(some), pa.binary()), pa.array(c))
+        every = list(counts)
+        for at in range(0, len(every), BATCH_ROWS):
+            some = every[at:at + BATCH_ROWS]
+            yield _items(chunk, pa.nulls(len(some), pa.int64()), pa.array(some, pa.binary()),
+                         pa.array([counts[w] for w in some], pa.int64()))
     return run
 
 
+def _items(chunk: int, grams: pa.Array, ws: pa.Array, n: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), chunk, np.int32)), grams, ws, n],
+                                      names=["chunk", "gram", "word", "n"])
+
+
 # --- the weighted trees -------------------------------------------------------
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -262,7 +278,7 @@ def _score_chunk(depth: int, denominator: float):
         table = U64Map(items.column("gram").drop_null().to_numpy().view(np.uint64))
         value = items.column("value").drop_null().to_numpy()
         n_tokens, n_known, base, score, n_bytes = [], [], [], [], []
-        for texts in in_batches((t.as_py() for t in docs.column("text")), BLOCK_CHARS // 2):
+        for texts in in_batches((t.as_py() for t in docs.column("text")), BLOCK_CHARS):
             data = []
             for t in texts:
                 ws = words(t)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from communitylens.llm import context_tree as ct
@@ -119,3 +120,36 @@ def test_no_rows_and_nothing_trained(spark):
 def test_log_gamma():
     x = np.array([0.5, 1.0, 2.5, 77.5, 1e5 + 0.5])
     assert ct.lgamma(x) == pytest.approx([math.lgamma(v) for v in x], abs=1e-8)
+
+
+def test_items_of_a_chunk_in_batches_and_blocks():
+    long = " ".join(f"w{i % 977} äx" for i in range(130_000))
+    assert len(long) > ct.BLOCK_CHARS
+    texts, train = [long, "", "w1 w2", long + "?", "only here"], [True, True, False, False, True]
+    rows = pa.table({"chunk": pa.array([7] * 5, pa.int32()), "text": texts, "train": train})
+    got = list(ct._distinct_items(5)(iter(rows.to_batches(max_chunksize=2))))
+    grams, ws = Counter(), Counter()
+    for t, f in zip(texts, train):
+        data = b"\n" * 5 + ct.normal_bytes(t)
+        g, w = Counter(data[i:i + 6] for i in range(len(data) - 5)), Counter([*words(t), "\n"] if f else words(t))
+        for total, part in ((grams, g), (ws, w)):
+            total.update(part if f else dict.fromkeys(part, 0))
+    items = pa.Table.from_batches(got).to_pylist()
+    assert {r["chunk"] for r in items} == {7} and max(b.num_rows for b in got) <= ct.BATCH_ROWS
+    assert {r["gram"].to_bytes(6, "big"): r["n"] for r in items if r["word"] is None} == dict(grams)
+    assert {r["word"].decode(): r["n"] for r in items if r["gram"] is None} == dict(ws)
+    assert len(items) == len(grams) + len(ws)
+
+
+def test_a_text_longer_than_a_block_is_scored_whole(spark):
+    held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    kept = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10]
+    long = " ".join(f"{t} {i % 50}" for i, t in enumerate(TEXTS * 500) if t)
+    assert len(long) > ct.BLOCK_CHARS
+    rows = [(held, long, "", "", 1), *((i, t, "", "", 1) for i, t in zip(kept, TEXTS))]
+    got = ct.score_documents(spark.createDataFrame(rows, SCHEMA), depth=3).filter(f"doc_id = {held}").first()
+    tree, data = Tree(TEXTS, 3), b"\n" * 3 + ct.normal_bytes(long)
+    grams = Counter(data[i - 3:i + 1] for i in range(3, len(data)))
+    want = sum(k * math.log10(tree.p(g[:3], node, bit)) for g, k in grams.items() for node, bit in tree.path(g[3]))
+    assert (got.held_out, got.n_bytes) == (True, len(data) - 3)
+    assert got.score == pytest.approx(want, rel=1e-9)
