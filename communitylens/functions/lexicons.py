@@ -14,10 +14,11 @@ when's where where's which while who who's whom why why's with won't would would
 your yours yourself yourselves
 """.split())
 
-# Letters that folding maps although they are no accented
-# base letter (X09); accented letters are folded by their decomposition.
-FOLD_SINGLE = {"Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ħ": "H", "ħ": "h", "ı": "i", "Ł": "L", "ł": "l", "Ŧ": "T", "ŧ": "t"}
-FOLD_MULTI = {"ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe"}
+# Characters that folding maps although neither their
+# decomposition nor their Unicode name gives the ASCII letters.
+FOLD_SINGLE = {"Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ð": "D", "ð": "d", "Ħ": "H", "ħ": "h", "ı": "i", "Ł": "L", "ł": "l",
+               "Ŋ": "N", "ŋ": "n", "ŉ": "n", "ĸ": "q", "Ŧ": "T", "ŧ": "t", "‘": "'", "’": "'"}
+FOLD_MULTI = {"ß": "ss", "ẞ": "SS", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Þ": "TH", "þ": "th"}
 
 # Label precedence (X23): advocates are dropped when one of
 # these labels is present; the short patient code is expanded.

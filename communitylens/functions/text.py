@@ -87,31 +87,49 @@ def r4(x) -> Column:
 
 
 # ---- X09 analyser -----------------------------------------------------------------------
+import re  # noqa: E402
 import unicodedata  # noqa: E402
 
 from communitylens.functions.lexicons import ANALYSER_STOPWORDS, FOLD_MULTI, FOLD_SINGLE  # noqa: E402
 
-TOKEN_PATTERN = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
-
-
-def _fold_table() -> dict[str, str]:
-    """Letters of the Latin blocks whose decomposition is one ASCII letter
-    and marks, and the single letters without a decomposition."""
-    table = dict(FOLD_SINGLE)
-    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
-        base = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
-        if c.isalpha() and len(base) == 1 and base.isascii():
+TOKEN_PATTERN = r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*"
+
+#: Blocks whose letters and numbers fold to ASCII: Latin (all but the
+#: modifier letters), superscripts and subscripts, circled numbers,
+#: ligatures, full-width forms.
+_FOLDED_BLOCKS = ((0xA0, 0x2B0), (0x1E00, 0x1F00), (0x2070, 0x20A0), (0x2460, 0x2474), (0xFB00, 0xFB07), (0xFF10, 0xFF5B))
+#: "LATIN SMALL LETTER B WITH STROKE": the letters that a name gives.
+_NAMED = re.compile(r"LATIN (SMALL|CAPITAL) (?:LETTER|LIGATURE) (?:OPEN |TURNED |REVERSED |DOTLESS |SCRIPT )?([A-Z]{1,2})(?: WITH .*)?")
+
+
+def fold_table() -> dict[str, str]:
+    """Character -> ASCII letters: by its compatibility decomposition without
+    marks, else by its Unicode name, else by the fixed values."""
+    table = {}
+    for c in map(chr, (i for block in _FOLDED_BLOCKS for i in range(*block))):
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        named = _NAMED.fullmatch(unicodedata.name(c, ""))
+        if not c.isalnum() or c.isascii():
+            continue
+        if base.isascii() and base.isalnum():
             table[c] = base
-    return table
+        elif named:
+            table[c] = named[2].lower() if named[1] == "SMALL" else named[2]
+    return table | FOLD_SINGLE | FOLD_MULTI
 
 
 def fold_accents(text) -> Column:
-    """ASCII folding of Latin letters."""
-    table = _fold_table()
-    t = F.translate(_c(text), "".join(table), "".join(table.values()))
-    for a, b in FOLD_MULTI.items():
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return t
+    """ASCII folding of letters, numbers and apostrophes.  Other typographic
+    signs separate tokens as they are, so they stay.  A text without a
+    character that folds to several letters pays one pass."""
+    table = fold_table()
+    one = {a: b for a, b in table.items() if len(b) == 1}
+    t = F.translate(_c(text), "".join(one), "".join(one.values()))
+    several = {a: b for a, b in table.items() if len(b) > 1}
+    whole = t
+    for a, b in several.items():
+        whole = F.replace(whole, F.lit(a), F.lit(b))
+    return F.when(t.rlike("[" + "".join(several) + "]"), whole).otherwise(t)
 
 
 def analyse_text(text) -> Column:

@@ -113,7 +113,7 @@ def _fold_sql(t: str) -> str:
     then the letters that are not an accented base letter."""
     s = f"strip_accents({t})"
     for a, b in {**FOLD_SINGLE, **FOLD_MULTI}.items():
-        s = f"replace({s}, '{a}', '{b}')"
+        s = "replace({}, '{}', '{}')".format(s, a, b.replace("'", "''"))
     return s
 
 
@@ -141,7 +141,7 @@ def q_x10(spark, d):
 def _normalise_sql(t: str) -> str:
     s = f"trim({t})"
     for a, b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", "\""), ("&#39;", "''")):
-        s = f"replace({s}, '{a}', '{b}')"
+        s = "replace({}, '{}', '{}')".format(s, a, b.replace("'", "''"))
     s = f"regexp_replace({s}, '(^|\\s)RT(\\s|$)', '\\1\\2', 'g')"
     s = f"regexp_replace({s}, '\"', ' ', 'g')"
     s = f"regexp_replace({s}, '\\*(\\w+)\\*', '\\1', 'g')"

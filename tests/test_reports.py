@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from communitylens.functions.text import fold_accents
+from communitylens.functions.text import analyse_text, fold_accents
 from communitylens.operators import model as md
 from communitylens.operators import sets as st
 from communitylens.operators import stats
@@ -121,3 +121,12 @@ def test_out_of_fold_predicts_every_row_once(spark):
 def test_folding(spark):
     df = spark.createDataFrame([("Šš łŁ ğ ő ñ Æß ẽ Đ x",)], "t string")
     assert df.select(F.concat(fold_accents("t"))).first()[0] == "Ss lL g o n AEss e D x"
+
+
+def test_folding_covers_names_decompositions_and_fixed_values(spark):
+    texts = {"Þór ðað ŋ ſ": "THor dad n s", "ﬁne ﬄ Ｔｅｘｔ９": "fine ffl Text9", "x² H₂O ⑳ ª": "x2 H2O 20 a",
+             "ƒ Ɓ ɛ ŉ ǆ ǅ": "f B e n dz Dz", "don’t ‘a’": "don't 'a'", "Ελλάδα ½ – µ": "Ελλάδα ½ – µ", "": ""}
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = {r.t: r.f for r in df.select("t", fold_accents("t").alias("f")).collect()}
+    assert got == {**texts, None: None}
+    assert df.filter("t LIKE 'don%'").select(analyse_text("t").alias("a")).first().a == []
