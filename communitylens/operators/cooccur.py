@@ -202,12 +202,9 @@ def pair_overlaps(members: DataFrame, group_col: str, elem_col: str) -> DataFram
            .groupBy(elem_col).agg(F.array_sort(F.collect_set(group_col)).alias("sig"))
            .filter(F.size("sig") >= 2)
            .groupBy("sig").agg(F.count(F.lit(1)).alias("w")))
-    pairs = sig.select("w", F.explode(F.flatten(F.transform(
-        F.sequence(F.lit(0), F.size("sig") - 2),
-        lambda i: F.transform(F.sequence(i + 1, F.size("sig") - 1),
-                              lambda j: F.struct(F.try_element_at("sig", i + 1).alias("g1"),
-                                                 F.try_element_at("sig", j + 1).alias("g2")))))).alias("p"))
-    return pairs.groupBy(F.col("p.g1").alias("g1"), F.col("p.g2").alias("g2")).agg(F.sum("w").alias("inter"))
+    pairs = (sig.select("w", "sig", F.posexplode("sig").alias("i", "g1"))
+             .select("w", "g1", F.explode(F.slice("sig", F.col("i") + 2, F.size("sig"))).alias("g2")))
+    return pairs.groupBy("g1", "g2").agg(F.sum("w").alias("inter"))
 
 
 def jaccard_pairs(members: DataFrame, group_col: str, elem_col: str) -> DataFrame:
