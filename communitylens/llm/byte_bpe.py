@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame
 from communitylens.llm.u64map import U64Map
 
 #: Texts are cut here first: a run without white space and one space before
-#: it never shares a pre-token with what stands around it.
+#: it never shares a pre-token with what stands around it.  So it is with the
+#: pattern of ``public_tokenizers``; one whose matches span white space inside
+#: (several words, or several spaces before one) must not be given.
 CHUNK = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Chunks remembered by a worker, and characters encoded at a time.
 MEMO = 400_000

@@ -50,8 +50,9 @@ def decisions(docs: DataFrame, prefix_chars: int = 64, digest_all: bool = False)
     """Per row of ``docs``: doc_id, n_chars, digest, keep_id, group_size, kept.
 
     Of equal texts the one with the most code points stays, then the one
-    with the smallest doc_id; rows repeated in full share one decision.  A
-    null text is the empty text, and all empty or blank texts are equal.  A
+    with the smallest doc_id; rows that tie in both (repeated in full, or of
+    one id and length with other white space) share one decision.  A null
+    text is the empty text, and all empty or blank texts are equal.  A
     row without doc_id stays only where its group has no id at all
     (``keep_id`` is then null)."""
     rows = reliable(refine(docs.select("doc_id", "text"), prefix_chars, digest_all)
@@ -73,7 +74,9 @@ def decisions(docs: DataFrame, prefix_chars: int = 64, digest_all: bool = False)
 
 def drop_copies(docs: DataFrame, prefix_chars: int = 64) -> DataFrame:
     """The rows of ``docs`` that stay, one for each different text, with the
-    columns of ``docs``.  Rows repeated in full leave one row."""
+    columns of ``docs``.  Rows repeated in full leave one row.  Null, empty
+    and blank texts are equal; a row without doc_id stays only where its group
+    has no id; no rows give no rows."""
     text_key = F.xxhash64(text_or_empty())
     shared = refine(docs.select("doc_id", "text"), prefix_chars).where("alive")
     rank = F.struct(_rank(F.length(text_or_empty("row.text")), F.col("row.doc_id")).alias("rank"),

@@ -74,13 +74,19 @@ def from_text(s: str) -> np.ndarray:
 
 def group_sketches(docs: DataFrame, by: str, k: int = K, width: int = WIDTH) -> DataFrame:
     """(group, fingerprint, n_shingles): one merged sketch for each value of
-    column ``by``.  Every row's sketch is cut to k hashes, and the k smallest
-    of a group are picked map-side first, so a hot group sends k rows a task."""
+    column ``by``.  The sketches of an Arrow batch are merged by group, and a
+    task's k smallest of a group are picked before the shuffle, so a hot group
+    of copies sends k hashes a batch at most.  Null is a group of its own; a
+    null or blank text brings no shingle (a group of those alone has an empty
+    sketch), a repeated row changes nothing, no rows give no groups."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [x for texts in in_batches(t.as_py() for t in b.column("text")) for x in sketches(texts, k, width)]
-            signed = [(x ^ np.uint64(1 << 63)).view(np.int64) for x in got]  # order as unsigned
-            yield pa.RecordBatch.from_arrays([b.column("grp"), pa.array(signed, pa.list_(pa.int64()))],
+            groups: dict[str | None, list[np.ndarray]] = {}
+            for g, x in zip(b.column("grp").to_pylist(), got):
+                groups.setdefault(g, []).append(x)
+            signed = [(merge(x, k) ^ np.uint64(1 << 63)).view(np.int64) for x in groups.values()]  # order as unsigned
+            yield pa.RecordBatch.from_arrays([pa.array(list(groups), pa.string()), pa.array(signed, pa.list_(pa.int64()))],
                                              names=["grp", "hashes"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,8 +96,8 @@ def group_sketches(docs: DataFrame, by: str, k: int = K, width: int = WIDTH) ->
                                               pa.array([distinct_count(x, k) for x in got])],
                                              names=["grp", "fingerprint", "n_shingles"])
     rows = docs.select(F.col(by).cast("string").alias("grp"), "text").mapInArrow(run, "grp string, hashes array<long>")
-    rank = Window.partitionBy("grp").orderBy("hash")
-    low = (rows.select("grp", F.explode("hashes").alias("hash")).withColumn("rn", F.dense_rank().over(rank))
+    rank = Window.partitionBy("grp").orderBy(F.col("hash").asc_nulls_last())  # a null stands for no shingle
+    low = (rows.select("grp", F.explode_outer("hashes").alias("hash")).withColumn("rn", F.dense_rank().over(rank))
            .where(F.col("rn") <= k).groupBy("grp").agg(F.collect_set("hash").alias("hashes")))
     return low.mapInArrow(pack, "grp string, fingerprint string, n_shingles double")
 

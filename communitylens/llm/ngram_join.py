@@ -235,8 +235,8 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDT
                 block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay, columns as they came: of each class
     the row with the smallest doc_id (a null id last, then by a hash of the
-    text).  Texts without words all stay; a row repeated in full stays or
-    goes with its twins."""
+    text).  Texts without words, null ones too, all stay; a row repeated in
+    full stays or goes with its twins; no rows give no rows."""
     rows = reliable(_verdicts(docs, threshold, width, recall, block)
                     .where("root IS NOT NULL").select("root", "doc_id", "text_key").distinct())
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")

@@ -122,7 +122,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
                   max_rows: int = MAX_TRAIN_ROWS) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """Features and label of labelled documents outside the held-out fold:
     the ``max_rows`` labels first in md5 order of their id.  A document with
-    several labels counts by the highest; null labels do not count."""
+    several labels counts by the highest; null labels do not count.  A null
+    text is the empty text; a repeated row trains as often as it comes; no
+    rows or no labels give no sample."""
     chosen = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
               .where(crc_remainder(F.col("doc_id"), fold_mod) != 0)
               .groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("label"))
@@ -188,5 +190,7 @@ def score(docs: DataFrame, model: SubwordModel) -> DataFrame:
 
 
 def accept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The rows whose score reaches the threshold, columns as they came."""
+    """The rows whose score reaches the threshold, columns as they came:
+    repeated rows stay or go together, null and empty texts are scored like
+    any text, and without labels every score is 0.5, so all rows stay."""
     return score(docs, fit(docs, labels, **options)).where(F.col("score") >= threshold).select("row.*")

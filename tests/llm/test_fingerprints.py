@@ -79,3 +79,13 @@ def test_merged_parts_equal_the_whole(spark):
         want = fp.merge(fp.sketches(texts[i::2], 64), 64)
         assert np.array_equal(fp.from_text(got[s].fingerprint), want)
         assert got[s].n_shingles == pytest.approx(fp.distinct_count(want, 64))
+
+
+def test_groups_without_a_name_or_text(spark):
+    schema = "doc_id long, text string, source string, grp string"
+    assert fp.group_sketches(spark.createDataFrame([], schema), "source", k=8).count() == 0
+    five = "one two three four five"
+    rows = [(1, None, "a", "x"), (2, " ", "a", "x"), (3, five, None, "x"), (3, five, None, "x"), (None, five, "b", "x")]
+    got = {r.grp: r for r in fp.group_sketches(spark.createDataFrame(rows, schema), "source", k=8).collect()}
+    assert {g: r.n_shingles for g, r in got.items()} == {"a": 0, None: 1, "b": 1}
+    assert got[None].fingerprint == got["b"].fingerprint
