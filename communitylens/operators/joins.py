@@ -101,6 +101,17 @@ def dictionary_probe(tokens: DataFrame, dictionary: DataFrame, token_col: str =
     return tokens.join(dictionary, token_col)
 
 
+def word_groups(tokens: DataFrame, dictionary: DataFrame, key: str, value: str) -> DataFrame:
+    """J12 by key: (key, n_words, values) for every key of ``tokens`` (key,
+    word) with a word of ``dictionary`` (word, ``value``): how many different
+    words hit, and the sorted set of their values.  A word meets the list of
+    its values as one row, however many values it has; a null value is none,
+    but its word counts."""
+    lists = dictionary.groupBy("word").agg(F.collect_set(value).alias("values"))
+    hits = dictionary_probe(tokens.select(key, "word"), F.broadcast(lists)).groupBy(key, "word").agg(F.first("values").alias("values"))
+    return hits.groupBy(key).agg(F.count("word").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("values")))).alias("values"))
+
+
 def drop_ids_across_tables(bad_ids: DataFrame, key: str, *tables: DataFrame):
     """Remove the bad ids from every sibling table by key (not by row
     position)."""

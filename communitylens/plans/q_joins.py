@@ -150,10 +150,9 @@ SELECT t.post_id, count(DISTINCT t.word) AS n_words, count(DISTINCT w.community)
   FROM posts) t JOIN word_dictionary w ON t.word = w.word GROUP BY t.post_id""")
 def q_j12(spark, d):
     t = Tables(spark, d)
-    toks = t.posts.select(F.col("id").alias("post_id"), F.explode(letters_only_tokens("status_text")).alias("word")).distinct()
-    hits = jn.dictionary_probe(toks, word_dictionary(t.part))
-    return hits.groupBy("post_id").agg(F.count_distinct("word").alias("n_words"),
-                                       F.count_distinct("community").alias("n_communities"))
+    toks = t.posts.select(F.col("id").alias("post_id"), F.explode(F.array_distinct(letters_only_tokens("status_text"))).alias("word"))
+    hits = jn.word_groups(toks, word_dictionary(t.part), "post_id", "community")
+    return hits.select("post_id", "n_words", F.size("values").cast("bigint").alias("n_communities"))
 
 
 @query("drop_ids_across_tables", """

@@ -1,7 +1,11 @@
 """Steps that were made to grow with their input: the same rows as the plain
 forms, and texts that are read once."""
 
+import random
+
 import pytest
+
+from communitylens.operators import joins as jn
 from communitylens.operators import textfeat as tf
 
 
@@ -34,3 +38,19 @@ def test_goodness_counts_its_lists_once(spark):
     got = {(r["class"], r.word): r.score for r in tf.class_word_goodness(df).collect()}
     assert got == pytest.approx({("p", "a"): 3 / 4 * 3 / 3, ("q", "a"): 1 / 4 * 1 / 5, ("q", "b"): 4 / 4 * 4 / 5})
     assert made.value == len(rows)
+
+
+def test_word_groups_are_sets_of_values(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    pairs = [(w, f"c{rng.randrange(150):03d}") for w in words for _ in range(rng.randrange(1, 60))] + [("lone", None), ("w0", None), (None, "c000")]
+    toks = [(rng.choice([None, *range(12)]), rng.choice([*words, "other", "lone", None])) for _ in range(300)] + [(99, "other"), (98, "lone")]
+    want = {}
+    for k, w in toks:
+        if w is not None and any(w == x for x, _ in pairs):
+            want.setdefault(k, (set(), set()))[0].add(w)
+            want[k][1].update(c for x, c in pairs if x == w and c is not None)
+    out = jn.word_groups(spark.createDataFrame(toks, "k long, word string"), spark.createDataFrame(pairs, "word string, c string"), "k", "c")
+    assert {r.k: (r.n_words, r["values"]) for r in out.collect()} == {k: (len(a), sorted(b)) for k, (a, b) in want.items()}
+    none = jn.word_groups(spark.createDataFrame(toks, "k long, word string"), spark.createDataFrame([], "word string, c string"), "k", "c")
+    assert none.count() == 0
