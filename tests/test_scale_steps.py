@@ -4,6 +4,7 @@ forms, and texts that are read once."""
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from communitylens.operators import joins as jn
 from communitylens.operators import textfeat as tf
@@ -54,3 +55,22 @@ def test_word_groups_are_sets_of_values(spark):
     assert {r.k: (r.n_words, r["values"]) for r in out.collect()} == {k: (len(a), sorted(b)) for k, (a, b) in want.items()}
     none = jn.word_groups(spark.createDataFrame(toks, "k long, word string"), spark.createDataFrame([], "word string, c string"), "k", "c")
     assert none.count() == 0
+
+
+@pytest.mark.parametrize("cells, features", [(4, 5), (64, 12), (1 << 20, 7), (1 << 20, 10_000)])
+def test_tfidf_of_many_is_tfidf_of_groups(spark, cells, features):
+    rng = random.Random(cells + features)
+    rows = [(s, rng.choice([None, *range(20)]), f"t{int(rng.paretovariate(0.6)) % 300}") for s in ("n2k1", "n3k2") for _ in range(900)]
+    rows += [("n3k2", 1, "once"), ("few", 1, "a"), ("few", 2, "a")]
+    items = spark.createDataFrame(rows, "shape string, doc long, term string")
+    n = items.select(F.count_distinct(F.coalesce("doc", F.lit(-1)))).scalar()
+    want = sorted(tuple(r) for r in tf.tfidf_of_groups(items, "shape", n, max_features=features).select("shape", F.coalesce("doc", F.lit(-1)), "term", "tf", "weight").collect())
+    placed = items.repartition(3, "doc")
+    got = tf.tfidf_of_many(placed, "shape", n, max_features=features, cells=cells).select("shape", F.coalesce("doc", F.lit(-1)), "term", "tf", "weight")
+    assert sorted(tuple(r) for r in got.collect()) == want and want
+
+
+def test_grams_of_placed_texts_are_counted_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(i, ["a", "b", "c", "a"]) for i in range(6)], "doc long, t array<string>").repartition(3, "doc")
+    counts = tf.skipgram_rows(docs, "t", ((2, 1),)).groupBy("shape", "doc", "term").count()
+    assert counts._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Exchange") == 1
