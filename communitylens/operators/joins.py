@@ -108,7 +108,9 @@ def word_groups(tokens: DataFrame, dictionary: DataFrame, key: str, value: str)
     its values as one row, however many values it has; a null value is none,
     but its word counts."""
     lists = dictionary.groupBy("word").agg(F.collect_set(value).alias("values"))
-    hits = dictionary_probe(tokens.select(key, "word"), F.broadcast(lists)).groupBy(key, "word").agg(F.first("values").alias("values"))
+    # a key's words are made distinct before they carry their lists
+    words = tokens.select(key, "word").join(F.broadcast(lists.select("word")), "word", "left_semi").select(key, "word").distinct()
+    hits = dictionary_probe(words, F.broadcast(lists))
     return hits.groupBy(key).agg(F.count("word").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("values")))).alias("values"))
 
 

@@ -31,6 +31,16 @@ def _counted(df):
     return df.mapInArrow(run, df.schema), made
 
 
+def test_a_topic_hit_is_not_a_row_for_each_community(spark):
+    words = [("red", f"c{i}") for i in range(40)] + [("blue", "c1"), ("blue", "d"), ("green", None), (None, "x")]
+    texts = [(1, "red red #blue"), (2, "red"), (3, "green #t"), (4, "nothing #here"), (None, "red #t"), (5, None), (6, "blue #t"), (6, "red #t")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    out = tf.community_word_match(df, "id", "text", spark.createDataFrame(words, "word string, community string"))
+    got = sorted((r.id or 0, r.has_match, r.n_communities) for r in out.collect())
+    assert got == [(0, False, 0), (1, True, 41), (2, False, 0), (3, False, 0), (4, False, 0), (5, False, 0), (6, True, 41), (6, True, 41)]
+    assert not re.search(r"keys=\[id#\d+L?, community#", _plan(out))
+
+
 def test_post_cosine_makes_pairs_without_a_join_of_posts(spark):
     rng = random.Random(5)
     posts = [(i, rng.choice([1, 2, None]), rng.choice(["retweet", "x"]), " ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(rng.randrange(5)))) for i in range(40)]
