@@ -77,3 +77,12 @@ def test_post_cosine_makes_pairs_without_a_join_of_posts(spark):
             assert got[u][f"{side}_cos_std"] == pytest.approx(math.sqrt(max(dot2 / pairs - (dot / pairs) ** 2, 0)), abs=1e-4)
         else:
             assert got[u][f"{side}_cos_std"] is None
+
+
+def test_sequences_of_placed_texts_move_no_words(spark):
+    docs = [(1, "dog cat zz"), (1, "cat"), (None, "cat dog"), (2, "zz"), (3, None)]
+    words = spark.createDataFrame([("cat", 0), ("dog", 1)], "word string, index long")
+    placed = q_text._placed_texts(SimpleNamespace(documents=spark.createDataFrame(docs, "doc_id long, text string")))
+    out = tf.index_sequences(tf.token_places(placed, ["doc_id"], F.col("text")), words, ["doc_id"])
+    assert re.findall(r"Exchange hashpartitioning\(([a-z_]+)#", _plan(out)) == ["doc_id"]
+    assert sorted((r.doc_id or 0, sorted(r.sequence)) for r in out.collect()) == [(0, [0, 1]), (1, [0, 0, 1])]
