@@ -86,3 +86,12 @@ def test_sequences_of_placed_texts_move_no_words(spark):
     out = tf.index_sequences(tf.token_places(placed, ["doc_id"], F.col("text")), words, ["doc_id"])
     assert re.findall(r"Exchange hashpartitioning\(([a-z_]+)#", _plan(out)) == ["doc_id"]
     assert sorted((r.doc_id or 0, sorted(r.sequence)) for r in out.collect()) == [(0, [0, 1]), (1, [0, 0, 1])]
+
+
+def test_texts_are_cut_once_for_cluster_counts(spark):
+    docs, made = _counted(spark.createDataFrame([(1, "bb cc bb"), (1, "cc"), (2, ""), (None, "bb"), (4, None)], "doc_id long, text string"))
+    users = spark.createDataFrame([(1, "dd"), (2, "dd dd bb"), (3, None)], "id long, user_desc string")
+    clusters = spark.createDataFrame([(0, 7), (1, 8), (2, 9)], "vec_id long, cluster long")
+    got = {(r.user, r.cluster): r.n for r in q_text.cluster_counts(SimpleNamespace(documents=docs, users=users), clusters).collect()}
+    assert got == {(1, 7): 2, (1, 8): 2, (None, 7): 1, (2, 9): 2, (2, 7): 1}
+    assert made.value == 5
