@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors on a side of a cell, about (blocks are by hash).
-BLOCK = 1024
+BLOCK = 4096
 #: Bits of a bucket's name and bands of such names: of a pair at cosine 0.9
 #: the bits of one band agree with 0.31, those of one band of 24 with 0.9998.
 BITS, BANDS = 8, 24
@@ -33,29 +33,42 @@ def unit_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
 
 
+def _best(cos: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the n largest of each row of ``cos``, equal ones by
+    ``ids``; -inf is none."""
+    cut = np.partition(cos, cos.shape[1] - n, axis=1)[:, cos.shape[1] - n]
+    row, col = np.nonzero((cos >= cut[:, None]) & (cos > -np.inf))
+    order = np.lexsort((ids[col], -cos[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < n], col[place < n]
+
+
 def _cell(k: int):
     def run(cell: pa.Table) -> pa.Table:
         ids, block = cell.column("id").to_numpy(), cell.column("block").to_numpy()
-        vectors = np.array(cell.column("v").to_pylist(), dtype=float)
+        lists = cell.column("v").combine_chunks()
+        widths = np.unique(lists.value_lengths().to_numpy())
+        if len(widths) > 1:
+            raise ValueError(f"vectors of different lengths: {widths.tolist()}")
+        vectors = lists.flatten().to_numpy().reshape(len(ids), -1)
         i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
-        out: list[tuple] = []
+        out: list[list[np.ndarray]] = [[], [], []]
         for rows, cols in {(i, j), (j, i)}:
             a, b = np.flatnonzero(block == rows), np.flatnonzero(block == cols)
             if not len(a) or not len(b):
                 continue
+            right, names = vectors[b].T, ids[b]
             for at in range(0, len(a), 256):
                 part = a[at:at + 256]
                 # rounded, so that equal cosines tie whatever the order of the sum
-                cos = np.round(vectors[part] @ vectors[b].T, 9) + 0.0
-                cos[ids[part][:, None] == ids[b][None, :]] = -np.inf
-                n = min(k, len(b))
-                for r, c in zip(part, cos):
-                    cut = np.partition(c, len(b) - n)[len(b) - n]
-                    near = np.flatnonzero((c >= cut) & (c > -np.inf))
-                    near = near[np.lexsort((ids[b][near], -c[near]))][:n]
-                    out += [(int(ids[r]), int(ids[b][x]), float(c[x])) for x in near]
-        cols_ = list(zip(*out)) if out else [(), (), ()]
-        return pa.table({"id": pa.array(cols_[0], pa.int64()), "other": pa.array(cols_[1], pa.int64()), "cosine": pa.array(cols_[2], pa.float64())})
+                cos = np.round(vectors[part] @ right, 9) + 0.0
+                cos[ids[part][:, None] == names[None, :]] = -np.inf
+                r, c = _best(cos, names, min(k, len(b)))
+                for to, x in zip(out, (ids[part][r], names[c], cos[r, c])):
+                    to.append(x)
+        one = [np.concatenate(x) if x else np.empty(0) for x in out]
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(("id", "other", "cosine"), one, (pa.int64(), pa.int64(), pa.float64()))})
     return run
 
 

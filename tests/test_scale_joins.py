@@ -95,3 +95,21 @@ def test_texts_are_cut_once_for_cluster_counts(spark):
     got = {(r.user, r.cluster): r.n for r in q_text.cluster_counts(SimpleNamespace(documents=docs, users=users), clusters).collect()}
     assert got == {(1, 7): 2, (1, 8): 2, (None, 7): 1, (2, 9): 2, (2, 7): 1}
     assert made.value == 5
+
+
+def test_best_of_a_block_with_ties():
+    rng = np.random.default_rng(1)
+    ids = rng.permutation(40)
+    cos = rng.integers(0, 4, (9, 40)) / 4.0
+    cos[2, 5:] = -np.inf
+    cos[3] = 1.0
+    row, col = nearest._best(cos, ids, 6)
+    for r in range(9):
+        want = sorted((-cos[r, c], ids[c]) for c in range(40) if cos[r, c] > -np.inf)[:6]
+        assert [(-cos[r, c], ids[c]) for c in col[row == r]] == want
+
+
+def test_vectors_of_different_lengths_are_refused(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [1.0]), (3, [1.0, 1.0])], "id long, vector array<double>")
+    with pytest.raises(Exception, match="different lengths"):
+        nearest.nearest_exact(df, 1).collect()
