@@ -97,6 +97,14 @@ def test_texts_are_cut_once_for_cluster_counts(spark):
     assert made.value == 5
 
 
+def test_only_the_blocks_of_a_set_are_kept_and_read_once(spark):
+    rows = [("text", 1, "a", 1.0), ("behaviour", 1, "n", 2.0), ("auto", 1, "x", 3.0), ("text", 2, "b", 4.0)]
+    blocks, made = _counted(spark.createDataFrame(rows, "block string, user_id long, feature string, value double"))
+    vectors, index, _ = q_model.set_vectors(spark, blocks, spark.range(1, 4).withColumnRenamed("id", "user_id"), "text_and_behaviour")
+    assert {r.user_id: r.features.toArray().tolist() for r in vectors.collect()} == {1: [2.0, 1.0, 0.0], 2: [0.0, 0.0, 4.0], 3: [0.0, 0.0, 0.0]}
+    assert index.count() == 3 and made.value == 4
+
+
 def test_best_of_a_block_with_ties():
     rng = np.random.default_rng(1)
     ids = rng.permutation(40)
