@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from communitylens.operators import filters as fl
-from communitylens.operators import stats
 from communitylens.plans.registry import query
 from communitylens.sources.tables import Tables
 
@@ -115,15 +114,13 @@ DROPPED = ("avg_unique_media", "avg_media", "avg_unique_symbol", "avg_symbol")
 
 def _register_drop_columns():
     from communitylens.plans.registry import ORACLE, QUERIES
-    from communitylens.plans.q_stats import A01_SQL
+    from communitylens.plans.q_stats import A01_SQL, content_of
     keep = ["tag", "total_tweets", "avg_unique_hashtag", "avg_unique_mention", "avg_unique_urls",
             "avg_unique_anyentity", "avg_hashtags", "avg_mention", "avg_urls", "avg_anyentity",
             "avg_tweet_uniquewords", "avg_tweet_length", "avg_tweet_density"]
 
     def q_f13(spark, d):
-        t = Tables(spark, d)
-        full = stats.content_stats(t.posts, t.post_entities, t.post_communities, t.communities)
-        return fl.drop_columns(full, DROPPED)
+        return fl.drop_columns(content_of(Tables(spark, d)), DROPPED)
 
     QUERIES["drop_columns"] = q_f13
     ORACLE["drop_columns"] = (f"SELECT {', '.join(keep)} FROM ({A01_SQL}) s")

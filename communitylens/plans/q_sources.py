@@ -210,8 +210,8 @@ def _s15_sql():
 
 @query("merge_shards", _s15_sql())
 def q_s15(spark, d):
-    t = Tables(spark, d)
-    cs = stats.content_stats(t.posts, t.post_entities, t.post_communities, t.communities).select(
+    from communitylens.plans.q_stats import content_of
+    cs = content_of(Tables(spark, d)).select(
         "tag", "total_tweets", "avg_hashtags", "avg_tweet_length")
     path = _scratch(spark, "stats-shards")
     cs.repartition(4).write.mode("overwrite").option("header", "true").csv(path)

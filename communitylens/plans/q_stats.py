@@ -46,10 +46,17 @@ FROM j
 """
 
 
+def content_of(t):
+    """A01 of a data folder: from written views where the session has them,
+    else from one row for each post of a community."""
+    if t.has_views:
+        return stats.content_stats(t.posts, t.post_entities, t.post_communities, t.communities)
+    return stats.content_stats_of_rows(t.community_posts, t.communities)
+
+
 @query("content_stats", A01_SQL)
 def q_content_stats(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return stats.content_stats(t.posts, t.post_entities, t.post_communities, t.communities)
+    return content_of(Tables(spark, sf_dir))
 
 
 # ---- A02 ----------------------------------------------------------------------------
@@ -290,7 +297,7 @@ FROM cs LEFT JOIN sup ON cs.tag = sup.community""")
 def q_stats_cleaner(spark, d):
     t = Tables(spark, d)
     from communitylens.operators import filters as fl
-    cs = stats.content_stats(t.posts, t.post_entities, t.post_communities, t.communities)
+    cs = content_of(t)
     return stats.stats_cleaner(cs, fl.community_support(t.posts, t.post_communities),
                                ["tag", "total_tweets", "avg_hashtags", "avg_tweet_length"])
 
