@@ -53,13 +53,13 @@ def post_json_feed(t: Tables) -> DataFrame:
     """One JSON document per post (column ``value``).  Tags are written as
     upper-case hashtag texts ('P<tag>'); for retweets the odd tags sit in
     the retweeted post's entities, so parsing must merge both."""
-    ent = (t.post_entities.groupBy("post_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "hashtag", F.col("value").cast("bigint")))).alias("tags"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "mention", F.col("value").cast("bigint")))).alias("ments"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "url", F.col("value")))).alias("urls"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "symbol", F.col("value")))).alias("syms"),
-        F.first(F.when(F.col("kind") == "media", F.col("value")), ignorenulls=True).alias("media")))
-    p = t.posts.join(ent, t.posts.id == ent.post_id, "left")
+    def values(kind, cast="string"):
+        return F.array_sort(F.array_compact(F.transform(F.filter("entities", lambda e: e["kind"] == kind), lambda e: e["value"].cast(cast))))
+
+    media = F.filter("entities", lambda e: (e["kind"] == "media") & e["value"].isNotNull())
+    p = t.posts_and_entities.select(
+        "*", values("hashtag", "bigint").alias("tags"), values("mention", "bigint").alias("ments"), values("url").alias("urls"),
+        values("symbol").alias("syms"), F.try_element_at(media, F.lit(1))["value"].alias("media")).drop("entities")
     is_rt = F.col("kind") == "retweet"
 
     def hashtags(cond):
