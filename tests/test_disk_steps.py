@@ -31,3 +31,18 @@ def test_lines_move_by_post_without_lists_of_a_few(spark, tmp_path):
     for df in (t.posts, t.post_entities, t.posts_and_entities, t.community_posts):
         moved = re.findall(r"Exchange hashpartitioning\(l_orderkey[^\n]*\n[^\n]*", _plan(df))
         assert moved and not any("collect_list" in m for m in moved)
+
+
+def test_words_of_a_feed_do_not_move_to_the_track_list(spark, monkeypatch):
+    finish, plans = st._finish, []
+
+    def note(writer, ckpt):
+        plans.append(writer._df._jdf.queryExecution().analyzed().toString())
+        finish(writer, ckpt)
+    monkeypatch.setattr(st, "_finish", note)
+    feed = ['{"id_str":"1","lang":"en","text":"Anvil gizmo"}', '{"id_str":"2","lang":"en","text":"x anvils"}',
+            '{"id_str":"3","lang":"de","text":"anvil"}', '{"id_str":"4","lang":"en","text":"a  GIZMO"}', "{"]
+    keywords = spark.createDataFrame([("anvil",), ("Gizmo",), ("gizmo",), (None,)], "keyword string")
+    out = st.stream_filter(spark, spark.createDataFrame([(x,) for x in feed], "value string"), keywords)
+    assert sorted((r.id, r.status_text) for r in out.collect()) == [(1, "Anvil gizmo"), (4, "a  GIZMO")]
+    assert re.search(r"Join LeftSemi(?s:.*)ResolvedHint \(strategy=broadcast\)", plans[0])
