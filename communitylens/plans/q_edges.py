@@ -133,7 +133,8 @@ SELECT 'https://twitter.com/' || u.screen_name AS twitter_id,
 FROM users u JOIN profile_facts f ON f.id = u.id LEFT JOIN user_rollup r ON u.id = r.user_id LEFT JOIN s ON u.id = s.user_id WHERE u.screen_name IS NOT NULL""")
 def q_g05(spark, d):
     t = Tables(spark, d)
-    return eg.basic_user_features(t.full_users, stats.user_rollup(t.posts), stats.user_entity_sets(t.posts, t.post_entities))
+    posts = t.kept_posts
+    return eg.basic_user_features(t.full_users, stats.user_rollup(posts), stats.user_entity_sets(posts))
 
 
 @query("extract_column", "SELECT regexp_replace(string_split(text, ',')[2], '\\s', '', 'g') AS value FROM conversations")

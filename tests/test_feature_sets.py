@@ -4,7 +4,8 @@ import datetime as dt
 
 import pytest
 
-from communitylens.plans import q_model
+from communitylens.plans import q_edges, q_model
+from communitylens.sources.tables import Tables
 
 DAY = dt.datetime(2020, 1, 2)
 ROWS = {
@@ -51,3 +52,15 @@ def test_sets_hold_all_counters_and_all_values_of_a_match(spark, folder):
     assert 0 < en["en_max_score"] < en["en"]
     names = {k.split("_")[0] for k in got["manual", 1]}
     assert all({n, f"{n}_score_sum", f"{n}_max_score", f"{n}_any_match"} <= set(got["manual", 1]) for n in names)
+
+
+def test_posts_of_the_user_table_are_made_once(spark, folder, monkeypatch):
+    whole, made = Tables._lines, []
+    monkeypatch.setattr(Tables, "_lines", lambda t: made.append(t) or whole(t))
+    out = q_edges.q_g05(spark, folder)
+    assert len(made) == 1
+    # a user's clicks, posts and different entities, which are gathered once, and the numbers of these
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [user_id#") == 4
+    rows = {r.user_screen_name: r for r in out.collect()}
+    assert set(rows) == {"Ann One", "Cy"}
+    assert rows["Ann One"].user_entities_hashtag == 3 and rows["Ann One"].user_entities_media_url == 2 and rows["Cy"].user_statuses_count == 0
