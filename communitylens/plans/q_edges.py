@@ -77,8 +77,10 @@ def q_g01(spark, d):
 SELECT pc.community, e.* EXCLUDE (post_id) FROM post_communities pc JOIN e ON pc.post_id = e.post_id""")
 def q_g02(spark, d):
     t = Tables(spark, d)
-    pc = t.post_communities.select("community", F.concat(F.lit("ID_"), F.col("post_id").cast("string")).alias("imported_id"))
-    return pc.join(_edges(t, _screen_names(t)), "imported_id").select("community", *eg.EDGE_COLUMNS)
+    # the posts of a community alone become edges, after their authors are known
+    posts = eg.listed_targets(t.posts_and_entities, t.post_community_lists.join(t.post_mention_lists, "post_id", "left"))
+    edges = eg.edges_of_lists(posts, _screen_names(t), more=("communities",))
+    return edges.select(F.col("communities.community").alias("community"), *eg.EDGE_COLUMNS)
 
 
 @query("edges_by_days", f"""

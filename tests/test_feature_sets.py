@@ -3,7 +3,9 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from communitylens.operators import edges as eg
 from communitylens.plans import q_edges, q_model
 from communitylens.sources.tables import Tables
 
@@ -64,3 +66,13 @@ def test_posts_of_the_user_table_are_made_once(spark, folder, monkeypatch):
     rows = {r.user_screen_name: r for r in out.collect()}
     assert set(rows) == {"Ann One", "Cy"}
     assert rows["Ann One"].user_entities_hashtag == 3 and rows["Ann One"].user_entities_media_url == 2 and rows["Cy"].user_statuses_count == 0
+
+
+def test_edges_of_a_community_are_made_where_its_posts_lie(spark, folder):
+    t = Tables(spark, folder)
+    pc = t.post_communities.select("community", F.concat(F.lit("ID_"), F.col("post_id").cast("string")).alias("imported_id"))
+    want = pc.join(q_edges._edges(t, q_edges._screen_names(t)), "imported_id").select("community", *eg.EDGE_COLUMNS)
+    out = q_edges.q_g02(spark, folder)
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, want.collect())) and out.count() == 6
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(imported_id" not in plan
