@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from communitylens.operators import edges as eg
 from communitylens.plans import q_edges, q_model
@@ -76,3 +77,14 @@ def test_edges_of_a_community_are_made_where_its_posts_lie(spark, folder):
     assert sorted(map(repr, out.collect())) == sorted(map(repr, want.collect())) and out.count() == 6
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(imported_id" not in plan
+
+
+def test_rows_of_a_set_are_kept_packed(spark, monkeypatch):
+    whole = DataFrame.checkpoint
+    rows = spark.createDataFrame([("text", u, w, 1.0) for u in range(300) for w in ("health", "doctor", "krankheit")],
+                                 "block string, user_id long, feature string, value double")
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda *a, **k: pytest.fail("rows of a set are not kept as Java rows") if "value" in a[0].columns else whole(*a, **k))
+    vectors, index, path = q_model.set_vectors(spark, rows, spark.range(300).withColumnRenamed("id", "user_id"), "text")
+    assert vectors.count() == 300 and index.count() == 3
+    kept = path.removesuffix("/vectors") + "/rows"
+    assert spark.read.parquet(kept).count() == 900
